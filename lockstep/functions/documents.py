@@ -77,7 +77,7 @@ def _paths(leaves: Column) -> Column:
     return F.transform(leaves, lambda x: x["path"])
 
 
-def _quote(token: Column) -> Column:
+def quote(token: Column) -> Column:
     """JSON string literal of a text."""
     return _bind(F.to_json(F.array(token)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
 
@@ -173,7 +173,7 @@ def leaves_to_json(tree: Column) -> Column:
         names = F.slice(tokens, F.greatest(n, F.lit(1)) + 1, F.size(tokens))
         return F.concat(
             F.when((n == 0) & (F.size(tokens) > 1), "{").otherwise(""),
-            F.array_join(F.transform(names, lambda t: F.concat(_quote(_unescape(t)), F.lit(":"))), "{"),
+            F.array_join(F.transform(names, lambda t: F.concat(quote(_unescape(t)), F.lit(":"))), "{"),
         )
 
     def piece(before: Column, x: Column) -> Column:

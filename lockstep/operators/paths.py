@@ -147,11 +147,23 @@ def clean_objects(
     )
 
 
-def stamp_type(df: DataFrame, kind: str = "kind", object_kind: str = "object_kind") -> DataFrame:
-    """Give rows of typed objects the type fields their documents lack."""
+def stamp_type(
+    df: DataFrame,
+    object_kind: Column,
+    kind: str = "kind",
+    doc: str = "doc",
+    depth: int | None = docs.DEFAULT_DEPTH,
+) -> DataFrame:
+    """Documents of typed objects with the ``apiVersion`` and ``kind`` they lack."""
+    depth = docs.object_depth(df, doc) if depth is None else depth
     parts = F.split(F.col(kind), "/", -1)
     api = F.when(parts[0] == "", parts[1]).otherwise(F.concat_ws("/", parts[0], parts[1]))
-    return df.withColumns({"apiVersion": api, "object_kind": F.col(object_kind)})
+    stamp = docs.struct_leaves({"/apiVersion": docs.quote(api), "/kind": docs.quote(object_kind)})
+    return (
+        df.withColumn("_tree", docs.leaves(F.col(doc), depth))
+        .withColumn(doc, docs.leaves_to_json(docs.patch(F.col("_tree"), stamp)))
+        .drop("_tree")
+    )
 
 
 def mask_env(

@@ -23,6 +23,15 @@ def keys_common(a: DataFrame, b: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     return a.select(*keys).intersect(b.select(*keys))
 
 
+def _op() -> Column:
+    return (
+        F.when(F.col("source_version").isNull(), DELETE)
+        .when(F.col("target_version").isNull(), F.when(F.col("_in"), VERIFY).otherwise(SKIP))
+        .when(F.col("source_version") != F.col("target_version"), PUT)
+        .otherwise(SKIP)
+    )
+
+
 def reconcile(
     source: DataFrame,
     target: DataFrame,
@@ -46,17 +55,33 @@ def reconcile(
     in_scope = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
     s = source.select(*keys, to_version(F.col("version")).alias("source_version"), in_scope.alias("_in"))
     t = target.select(*keys, to_version(F.col("version")).alias("target_version"))
-    op = (
-        F.when(F.col("source_version").isNull(), DELETE)
-        .when(F.col("target_version").isNull(), F.when(F.col("_in"), VERIFY).otherwise(SKIP))
-        .when(F.col("source_version") != F.col("target_version"), PUT)
-        .otherwise(SKIP)
-    )
-    plan = s.join(t, list(keys), "full_outer").select(*keys, op.alias("op"), "source_version", "target_version")
+    plan = s.join(t, list(keys), "full_outer").select(*keys, _op().alias("op"), "source_version", "target_version")
     return plan if keep_skips else plan.where(F.col("op") != SKIP)
 
 
 def with_documents(plan: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Put and verify rows of a plan with the source's document, deletes without one."""
-    docs = source.select(*keys, "doc")
-    return plan.join(docs, list(keys), "left")
+    return plan.join(source.select(*keys, "doc"), list(keys), "left")
+
+
+def reconciled(
+    source: DataFrame, target: DataFrame, scope: Column | None = None, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """The target after one whole exchange: deletes done, puts stored, verifications answered.
+
+    Both sides meet in a single join, so no object is shuffled more than once.
+    """
+    rest = [c for c in target.columns if c not in keys]
+    in_scope = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    s = source.select(
+        *keys, to_version(F.col("version")).alias("source_version"), in_scope.alias("_in"), F.struct(*rest).alias("_s")
+    )
+    t = target.select(*keys, to_version(F.col("version")).alias("target_version"), F.struct(*rest).alias("_t"))
+    after = F.when(F.col("op").isin(PUT, VERIFY), F.col("_s")).when(F.col("op") == SKIP, F.col("_t"))
+    return (
+        s.join(t, list(keys), "full_outer")
+        .withColumn("op", _op())
+        .withColumn("_after", after)
+        .where(F.col("_after").isNotNull())
+        .select(*keys, "_after.*")
+    )

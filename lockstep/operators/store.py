@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.cluster import cut
 from lockstep.functions import documents as docs
 from lockstep.functions.identity import to_version, version_newer
 from lockstep.model import DELETE_OBJECT, GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
 from lockstep.operators.batches import unpack_batches
+from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
 from lockstep.operators.paths import KEYS, merge_metadata
@@ -237,64 +237,54 @@ class BatchResult:
     errors: DataFrame
 
 
-def _fold_patches(
-    state: DataFrame, patches: DataFrame, depth: int, check: bool, per_round: int
+def replay(
+    store: DataFrame,
+    messages: DataFrame,
+    check: bool = True,
+    depth: int = docs.DEFAULT_DEPTH,
+    per_round: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
-    """Apply the patches of each key one after another.
+    """Apply verify, delete, patch and put messages to the store in ``seq`` order per key.
 
-    Every round takes the next ``per_round`` patches of each key into one row and
-    folds them there, so a key with very many patches costs rounds, not memory.
+    Returns the new store and the get requests that arise. Senders debounce per
+    key, so a single round of ``fold_runs`` nearly always does.
     """
-    longest = patches.groupBy(*KEYS).count().agg(F.max("count").alias("n")).first()["n"] or 0
-    rounds = -(-longest // per_round)
-    gets = patches.select(*KEYS, "seq", F.lit(None).cast("string").alias("base_object")).where(F.lit(False))
-    by_seq = Window.partitionBy(*KEYS).orderBy("seq")
-
-    def step(s: Column, p: Column) -> Column:
-        def settle(merged: Column) -> Column:
-            good = F.coalesce(docs.checksum(docs.leaves_to_json(merged)) == p["checksum"], F.lit(False))
-            newer = F.lit(True)
-            if check:
-                text = lambda tree: F.trim(F.lit('"'), docs.leaf(tree, VERSION_PATH))
-                newer = version_newer(text(merged), text(s["tree"]))
-            ask = F.struct(p["seq"].alias("seq"), docs.leaves_to_json(s["tree"]).alias("base_object"))
-            return F.struct(
-                F.when(good & newer, merged).otherwise(s["tree"]).alias("tree"),
-                F.when(good, s["gets"]).otherwise(F.array_append(s["gets"], ask)).alias("gets"),
+    fields = {"event": "string", "checksum": "string", "patch": "string", "object": "string"}
+    events = messages.select(
+        *KEYS,
+        F.col("seq").cast("bigint").alias("seq"),
+        F.struct(
+            *[(F.col(f) if f in messages.columns else F.lit(None)).cast(t).alias(f) for f, t in fields.items()]
+        ).alias("event"),
+    )
+    state = store.select(
+        *KEYS, F.struct(F.col("version").cast("string").alias("version"), F.col("doc").alias("doc")).alias("state")
+    )
+
+    def version_of(doc: Column) -> Column:
+        return F.get_json_object(doc, "$" + VERSION_PATH.replace("/", "."))
+
+    def step(s: Column, m: Column) -> Column:
+        held = s["doc"]
+        is_patch, is_verify = m["event"] == PATCH_OBJECT, m["event"] == VERIFY_OBJECT
+        merged = docs.leaves_to_json(docs.patch(docs.leaves(held, depth), docs.leaves(m["patch"], depth)))
+
+        def settle(offer: Column) -> Column:
+            fits = F.coalesce(docs.checksum(F.when(is_patch, offer).otherwise(held)) == m["checksum"], F.lit(False))
+            newer = held.isNull() | version_newer(version_of(offer), version_of(held)) if check else F.lit(True)
+            stored = F.struct(version_of(offer).alias("version"), offer.alias("doc"))
+            after = (
+                F.when(m["event"] == DELETE_OBJECT, F.lit(None))
+                .when(((is_patch & fits) | (m["event"] == PUT_OBJECT)) & newer, stored)
+                .otherwise(s)
             )
+            ask = F.struct(F.when(is_patch | docs.is_valid(held), held).alias("base_object"))
+            return F.struct(after.alias("state"), F.when((is_patch | is_verify) & ~fits, ask).alias("emit"))
 
-        return F.transform(F.array(docs.patch(s["tree"], docs.leaves(p["patch"], depth))), settle)[0]
+        return F.transform(F.array(F.when(is_patch, merged).otherwise(m["object"])), settle)[0]
 
-    for number in range(rounds):
-        runs = (
-            patches.withColumn("_n", F.row_number().over(by_seq))
-            .where(F.col("_n") <= per_round)
-            .groupBy(*KEYS)
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "checksum", "patch"))).alias("_run"))
-        )
-        start = F.struct(
-            docs.leaves(F.col("doc"), depth).alias("tree"),
-            F.array().cast("array<struct<seq:bigint,base_object:string>>").alias("gets"),
-        )
-        # one pass over the store; objects without a patch go through untouched
-        folded = (
-            state.join(runs, KEYS, "full_outer")
-            .withColumn("_end", F.when(F.col("_run").isNotNull(), F.aggregate("_run", start, step)))
-            .withColumn("_doc", docs.leaves_to_json(F.col("_end.tree")))
-        )
-        last_round = number == rounds - 1
-        folded = folded if last_round else cut(folded)
-        gets = gets.unionByName(folded.select(*KEYS, F.explode("_end.gets").alias("_g")).select(*KEYS, "_g.*"))
-        if not last_round:
-            done = folded.select(*KEYS, F.element_at("_run", -1)["seq"].alias("_done"))
-            patches = cut(patches.join(done, KEYS).where(F.col("seq") > F.col("_done")).drop("_done"))
-        version = F.get_json_object(F.col("_doc"), "$.metadata.resourceVersion")
-        state = folded.where(F.col("doc").isNotNull()).select(
-            *KEYS,
-            F.coalesce(version, F.col("version")).alias("version"),
-            F.coalesce("_doc", "doc").alias("doc"),
-        )
-    return state, gets
+    after, asked = fold_runs(state, events, KEYS, step, per_round)
+    return after.select(*KEYS, "state.*"), asked.select(*KEYS, "seq", F.col("emit.base_object").alias("base_object"))
 
 
 def fold_batches(
@@ -304,7 +294,7 @@ def fold_batches(
     known: DataFrame | None = None,
     check: bool = True,
     depth: int = docs.DEFAULT_DEPTH,
-    per_round: int = 64,
+    per_round: int = 256,
 ) -> BatchResult:
     """Effect of batches on the store.
 
@@ -327,7 +317,7 @@ def fold_batches(
     )
     checks = verify(of(VERIFY_OBJECT).select(*KEYS, "seq", "checksum"), store)
     left = store.join(of(DELETE_OBJECT).select(*KEYS).distinct(), KEYS, "left_anti")
-    patched, asked = _fold_patches(left, of(PATCH_OBJECT).select(*KEYS, "seq", "checksum", "patch"), depth, check, per_round)
+    patched, asked = replay(left, of(PATCH_OBJECT), check, depth, per_round)
     puts = of(PUT_OBJECT).select(*KEYS, "seq", "version", F.col("object").alias("doc"))
     newest = fold_puts(puts) if check else last_by_key(puts, KEYS, "seq")
     requests = checks.select(*KEYS, "seq", "base_object").unionByName(asked)

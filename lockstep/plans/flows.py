@@ -9,24 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
-from lockstep.functions.documents import checksum
-from lockstep.functions.identity import lineage, to_version
-from lockstep.model import GET_OBJECT, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
+from lockstep.functions.identity import lineage
+from lockstep.model import GET_OBJECT, PATCH_OBJECT, PUT_OBJECT
 from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
 from lockstep.operators.messages import decode_log_messages, envelope
 from lockstep.operators.paths import KEYS, clean_objects, mask_env
-from lockstep.operators.reconcile import DELETE, PUT, SKIP, VERIFY, reconcile
-from lockstep.operators.store import (
-    apply_changes,
-    apply_patches,
-    fold_puts,
-    last_by_key,
-    put_or_patch,
-    save_if_newer,
-    verify,
-)
+from lockstep.operators.reconcile import reconciled
+from lockstep.operators.store import apply_changes, apply_patches, replay, serve_gets, verify
 from lockstep.sources.tables import usable_changes, with_properties
 
 
@@ -75,64 +66,33 @@ class Applied:
 def backend_to_store(
     log: DataFrame, clients: DataFrame, kinds: DataFrame, store: DataFrame, s: Settings, check: bool = True
 ) -> Applied:
-    """Message log to store: drop own, route, decode, guard, apply; disagreements become get requests.
-
-    Several messages for one key take effect in the order verify, delete, patch,
-    put, with the newest patch and the newest put of the key.
-    """
+    """Message log to store: drop own, route, decode, guard, replay in order; disagreements become get requests."""
     routed = route_to_connected(guards.drop_own_messages(with_properties(log), s.own_key), clients)
     usable, rejected = guards.quarantine(decode_log_messages(routed))
     wanted, _ = scope.configured_kinds(guards.depth_guard(usable), kinds)
-    wanted = wanted.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
+    messages = wanted.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
+    after, gets = replay(store, messages, check, s.depth)
+    origin = messages.select(*KEYS, "seq", "account", "cluster", "depth", "msg_id")
+    requests = gets.withColumn("event", F.lit(GET_OBJECT)).join(origin, [*KEYS, "seq"], "left")
+    return Applied(after, lineage(requests), rejected)
 
-    def of(event: str) -> DataFrame:
-        return wanted.where(F.col("event") == event)
 
-    asked = verify(of(VERIFY_OBJECT), store)
-    left = store.join(of("DeleteObject").select(*KEYS).distinct(), KEYS, "left_anti")
-    patches = last_by_key(of(PATCH_OBJECT), KEYS, "seq", "msg_id")
-    outcome = apply_patches(patches.drop("base_object", "object"), left, kinds, s.depth)
-    stored = outcome.where(F.col("outcome") == "stored").select(
-        *KEYS, F.get_json_object("doc", "$.metadata.resourceVersion").alias("version"), "doc"
-    )
-    puts = fold_puts(
-        of(PUT_OBJECT).select(
-            *KEYS, F.get_json_object("object", "$.metadata.resourceVersion").alias("version"), "seq", F.col("object").alias("doc")
-        )
-    ).drop("seq")
-    left = left.withColumn("version", F.col("version").cast("string"))
-    after = save_if_newer(save_if_newer(left, stored, check), puts, check)
-    asked_too = outcome.where(F.col("outcome") == "get").withColumn("event", F.lit(GET_OBJECT))
-    cols = [*KEYS, "event", "account", "cluster", "depth", "msg_id", "base_object"]
-    requests = lineage(asked.select(*cols).unionByName(asked_too.select(*cols)))
-    return Applied(after, requests, rejected)
-
-
-def sync_round(
-    source: DataFrame, target: DataFrame, kinds: DataFrame, in_scope: Column | None = None, depth: int = docs.DEFAULT_DEPTH
-) -> DataFrame:
-    """The target after one reconciliation exchange; it then equals the in-scope source.
-
-    Keys with equal versions are left alone, deletes are applied, and every other
-    object is answered from the source as put or patch against the target's copy.
-    """
-    plan = reconcile(source, target, in_scope, allow_empty=True)
-    wanted = plan.where(F.col("op").isin(PUT, VERIFY)).select(*KEYS)
-    answers = put_or_patch(source.join(wanted, KEYS, "left_semi"), target, kinds, depth)
-    puts = answers.where(F.col("event") == PUT_OBJECT).select(*KEYS, "version", F.col("object").alias("doc"))
-    patched = apply_patches(
-        answers.where(F.col("event") == PATCH_OBJECT).select(*KEYS, "version", "checksum", "patch"), target, kinds, depth
-    )
-    stored = patched.where(F.col("outcome") == "stored").select(*KEYS, "version", "doc")
-    changes = (
-        puts.unionByName(stored)
-        .withColumn("op", F.lit("put"))
-        .unionByName(plan.where(F.col("op") == DELETE).select(*KEYS, F.lit("delete").alias("op")), allowMissingColumns=True)
-        .withColumn("seq", F.lit(0))
-    )
-    return apply_changes(target, changes)
+def sync_round(source: DataFrame, target: DataFrame, in_scope: Column | None = None) -> DataFrame:
+    """The target after one reconciliation exchange; it then equals the in-scope source."""
+    return reconciled(source, target, in_scope)
+
 
+def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame, depth: int = docs.DEFAULT_DEPTH) -> DataFrame:
+    """The target after a verify, get, put-or-patch exchange driven by checksums.
 
-def verify_snapshot(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Checksums of all source objects checked against the target; nothing comes back when both agree."""
-    return verify(source.select(*KEYS, checksum(F.col("doc")).alias("checksum")), target)
+    Every source object is verified; the target asks for those that differ, with
+    its own copy as base, and is answered with a put or a patch against that copy.
+    """
+    asked = verify(source.select(*KEYS, docs.checksum(F.col("doc")).alias("checksum")), target)
+    nothing_known = target.where(F.lit(False))
+    answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds, depth)
+    puts = answers.where(F.col("event") == PUT_OBJECT).select(*KEYS, "version", F.col("object").alias("doc"))
+    patches = answers.where(F.col("event") == PATCH_OBJECT).select(*KEYS, "version", "checksum", "patch")
+    stored = apply_patches(patches, target, kinds, depth).where(F.col("outcome") == "stored")
+    changes = puts.unionByName(stored.select(*KEYS, "version", "doc"))
+    return apply_changes(target, changes.withColumns({"op": F.lit("put"), "seq": F.lit(0)}))
