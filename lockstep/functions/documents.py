@@ -82,13 +82,28 @@ def quote(token: Column) -> Column:
     return _bind(F.to_json(F.array(token)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
 
 
+def parsed(doc: Column) -> Column:
+    """The document as variant, null for invalid JSON.
+
+    The parser stops after the first value, so the text is read as the first of
+    two array items: whatever follows a complete value makes the array unreadable
+    or displaces the second item.
+    """
+    tag = F.xxhash64(doc)
+    both = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(","), tag.cast("string"), F.lit("]")))
+    return _bind(
+        both,
+        lambda v: F.when(F.try_variant_get(v, "$[1]", "bigint") == tag, F.try_variant_get(v, "$[0]", "variant")),
+    )
+
+
 def canonical(doc: Column) -> Column:
     """Canonical text: members sorted, whitespace gone; null for invalid JSON."""
-    return F.to_json(F.try_parse_json(doc))
+    return F.to_json(parsed(doc))
 
 
 def is_valid(doc: Column) -> Column:
-    return F.try_parse_json(doc).isNotNull()
+    return parsed(doc).isNotNull()
 
 
 def json_equal(a: Column, b: Column) -> Column:
@@ -130,7 +145,7 @@ def object_depth(df: DataFrame, *docs: str) -> int:
 
 def leaves(doc: Column, depth: int = DEFAULT_DEPTH) -> Column:
     """Leaves of a JSON text; null for invalid JSON."""
-    return variant_leaves(F.try_parse_json(doc), depth)
+    return variant_leaves(parsed(doc), depth)
 
 
 def variant_leaves(v: Column, depth: int = DEFAULT_DEPTH) -> Column:
@@ -378,7 +393,7 @@ def mask_containers(value: Column) -> Column:
                 F.map_contains_key(m, "value"),
                 F.to_variant_object(
                     F.transform_values(
-                        m, lambda k, x: F.when(k == "value", F.parse_json(F.to_json(F.array(F.lit(MASK))))).otherwise(x)
+                        m, lambda k, x: F.when(k == "value", F.parse_json(F.lit(f'"{MASK}"'))).otherwise(x)
                     )
                 ),
             ).otherwise(entry),

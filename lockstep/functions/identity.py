@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.functions.documents import parsed
 from lockstep.model import BATCH_VERSION
 
 
@@ -70,7 +71,7 @@ def identity_from_object(doc: Column) -> Column:
 
     A bare ``v1`` is both group and version.
     """
-    v = F.try_parse_json(doc)
+    v = parsed(doc)
 
     def text(path: str) -> Column:
         return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))

@@ -1,0 +1,7 @@
+"""Queries over the test tables, one per operator, each beside its SQL twin."""
+
+from workload.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+from workload import filters, joins, ordered, projections, tables  # noqa: E402,F401
