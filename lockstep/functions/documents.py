@@ -9,418 +9,117 @@ merge patch in leaf form uses the value ``null`` for "remove".
 Everything here works inside one row, so diffing, patching and hashing need no
 shuffle beyond the join that brings two documents together, and a hot key costs
 no more than any other row.
+
+Arguments are column names or SQL expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.model import LEAVES, MASK
+from lockstep.functions import trees
 
 # Levels of nested objects unfolded unless the caller says otherwise. A deeper
 # document fails the job rather than being cut; see ``object_depth``.
 DEFAULT_DEPTH = 6
 
-
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _members(v: Column) -> Column:
-    """Members of a variant object as map, null for any other variant."""
-    return F.try_variant_get(v, "$", "map<string,variant>")
+NO_LEAVES = "cast(array() AS array<struct<path:string,value:string>>)"
 
 
-def _escape(token: Column) -> Column:
-    return F.replace(F.replace(token, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+def parsed(doc: str) -> Column:
+    """The document as variant, null for invalid JSON (also when text follows it)."""
+    return F.expr(trees.parsed(doc))
 
 
-def _unescape(token: Column) -> Column:
-    return F.replace(F.replace(token, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
-
-
-def _pair(path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), value.alias("value"))
-
+def canonical(doc: str) -> Column:
+    """Canonical text: members sorted, whitespace gone; null for invalid JSON."""
+    return F.expr(trees.canonical(doc))
 
-def _ancestors(path: Column) -> Column:
-    """All pointers from the root down to ``path`` itself."""
-    return _bind(
-        F.split(path, "/", -1),
-        lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda n: F.array_join(F.slice(t, 1, n), "/")),
-    )
 
+def is_valid(doc: str) -> Column:
+    return F.expr(f"{trees.parsed(doc)} IS NOT NULL")
 
-def _all_ancestors(paths: Column) -> Column:
-    return F.flatten(F.transform(paths, _ancestors))
 
+def json_equal(a: str, b: str) -> Column:
+    """Structural equality; invalid JSON is equal to nothing."""
+    return F.expr(f"coalesce({trees.canonical(a)} = {trees.canonical(b)}, false)")
 
-def parent(path: Column) -> Column:
-    """Pointer of the enclosing object."""
-    return F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
+def checksum(doc: str, annotation: str | None = None) -> Column:
+    """The checksum the document carries, else the digest of its canonical text.
 
-def _under(path: Column, top: Column) -> Column:
-    return F.startswith(path, F.concat(top, F.lit("/")))
+    Null when there is neither, which callers treat as the error case.
+    """
+    digest = trees.checksum(doc)
+    return F.expr(digest if annotation is None else f"coalesce({annotation}, {digest})")
 
 
-def _enclosing(path: Column) -> Column:
-    """All pointers strictly above ``path``."""
-    return _bind(_ancestors(path), lambda a: F.slice(a, 1, F.size(a) - 1))
+def leaves(doc: str, depth: int = DEFAULT_DEPTH) -> Column:
+    """Leaves of a JSON text; null for invalid JSON."""
+    return F.expr(trees.leaves(doc, depth))
 
 
-def _paths(leaves: Column) -> Column:
-    return F.transform(leaves, lambda x: x["path"])
+def struct_leaves(fields: dict[str, str]) -> Column:
+    """Leaves of a row with known columns: pointer -> JSON text expression, null = absent."""
+    return F.expr(trees.struct_leaves(fields))
 
 
-def quote(token: Column) -> Column:
+def quote(text: str) -> Column:
     """JSON string literal of a text."""
-    return _bind(F.to_json(F.array(token)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
-
+    return F.expr(trees.quote(text))
 
-def parsed(doc: Column) -> Column:
-    """The document as variant, null for invalid JSON.
 
-    The parser stops after the first value, so the text is read as the first of
-    two array items: whatever follows a complete value makes the array unreadable
-    or displaces the second item.
-    """
-    tag = F.xxhash64(doc)
-    both = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(","), tag.cast("string"), F.lit("]")))
-    return _bind(
-        both,
-        lambda v: F.when(F.try_variant_get(v, "$[1]", "bigint") == tag, F.try_variant_get(v, "$[0]", "variant")),
-    )
+def leaves_to_json(tree: str) -> Column:
+    """JSON text of a document in leaf form; null without leaves."""
+    return F.expr(trees.to_json(tree))
 
 
-def canonical(doc: Column) -> Column:
-    """Canonical text: members sorted, whitespace gone; null for invalid JSON."""
-    return F.to_json(parsed(doc))
+def diff(old: str, new: str) -> Column:
+    """Merge patch, in leaf form, that turns ``old`` into ``new``; both in leaf form."""
+    return F.expr(trees.diff(old, new))
 
 
-def is_valid(doc: Column) -> Column:
-    return parsed(doc).isNotNull()
-
-
-def json_equal(a: Column, b: Column) -> Column:
-    """Structural equality; invalid JSON is equal to nothing."""
-    return F.coalesce(canonical(a) == canonical(b), F.lit(False))
+def patch(base: str, change: str) -> Column:
+    """``base`` with a merge patch applied; both in leaf form."""
+    return F.expr(trees.patch(base, change))
 
 
-def checksum(doc: Column, annotation: Column | None = None) -> Column:
-    """The checksum the document carries, else the digest of its canonical text.
+def drop_paths(tree: str, paths: str) -> Column:
+    """Leaves without those at or below ``paths``; an emptied object stays as ``{}``."""
+    return F.expr(trees.drop_paths(tree, paths))
 
-    Null when there is neither, which callers treat as the error case.
-    """
-    digest = F.sha2(canonical(doc).cast("binary"), 256)
-    return digest if annotation is None else F.coalesce(annotation, digest)
 
+def clear_paths(tree: str, paths: str) -> Column:
+    """Leaves in which what lies at or below ``paths`` is a null member."""
+    return F.expr(trees.clear_paths(tree, paths))
 
-def object_depth(df: DataFrame, *docs: str) -> int:
-    """Deepest nesting of objects in the given columns, found in one aggregate.
 
-    Counts braces outside string literals, so it never underestimates.
-    """
+def leaf(tree: str, path: str) -> Column:
+    """JSON text of one leaf, null when absent."""
+    return F.expr(trees.leaf(tree, path))
 
-    def deepest(doc: Column) -> Column:
-        bare = F.regexp_replace(doc, r'"(?:[^"\\]|\\.)*"', "")
-        braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
-        return F.aggregate(
-            braces,
-            F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-            lambda s, c: _bind(
-                s["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0),
-                lambda n: F.struct(n.alias("now"), F.greatest(n, s["top"]).alias("top")),
-            ),
-            lambda s: s["top"],
-        )
 
-    top = df.agg(F.max(F.greatest(F.lit(0), *[deepest(F.col(c)) for c in docs])).alias("top")).first()["top"]
-    return max(int(top or 0), 1)
+def mask_containers(value: str) -> Column:
+    """Container list, as JSON text, with the values of its environment variables masked."""
+    return F.expr(trees.mask_containers(value))
 
 
-def leaves(doc: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    """Leaves of a JSON text; null for invalid JSON."""
-    return variant_leaves(parsed(doc), depth)
-
-
-def variant_leaves(v: Column, depth: int = DEFAULT_DEPTH) -> Column:
-    def unfold(x: Column) -> Column:
-        children = F.transform(
-            F.map_entries(_members(x["v"])),
-            lambda e: F.struct(F.concat(x["path"], F.lit("/"), _escape(e["key"])).alias("path"), e["value"].alias("v")),
-        )
-        return _bind(children, lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(x)))
-
-    def close(x: Column) -> Column:
-        too_deep = F.coalesce(F.size(_members(x["v"])), F.lit(0)) > 0
-        text = F.when(too_deep, F.raise_error(F.lit(f"document nests deeper than {depth} objects"))).otherwise(
-            F.coalesce(F.to_json(x["v"]), F.lit("null"))
-        )
-        return _pair(x["path"], text)
-
-    level = F.array(F.struct(F.lit("").alias("path"), v.alias("v")))
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, unfold))
-    return F.when(v.isNotNull(), F.transform(level, close))
-
-
-def struct_leaves(fields: dict[str, Column]) -> Column:
-    """Leaves of a row with known columns: pointer -> JSON text, null = absent."""
-    rows = F.array(*[_pair(F.lit(path), text) for path, text in fields.items()])
-    return F.filter(rows, lambda x: x["value"].isNotNull())
-
-
-def leaves_to_json(tree: Column) -> Column:
-    """JSON text of a document in leaf form, members in canonical order."""
-
-    def shared(a: Column, b: Column) -> Column:
-        """How many containers two consecutive leaves have in common."""
-        pos = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
-        return F.when(pos == 0, F.size(a)).otherwise(pos.cast("int") - 1)
-
-    def opening(tokens: Column, n: Column) -> Column:
-        """Opening text of containers n+1 .. last-1 followed by the member name."""
-        names = F.slice(tokens, F.greatest(n, F.lit(1)) + 1, F.size(tokens))
-        return F.concat(
-            F.when((n == 0) & (F.size(tokens) > 1), "{").otherwise(""),
-            F.array_join(F.transform(names, lambda t: F.concat(quote(_unescape(t)), F.lit(":"))), "{"),
-        )
-
-    def piece(before: Column, x: Column) -> Column:
-        # before: tokens of the previous leaf, null for the first one
-        return _bind(
-            F.when(
-                before.isNotNull(),
-                shared(F.slice(before, 1, F.size(before) - 1), F.slice(x["t"], 1, F.size(x["t"]) - 1)),
-            ).otherwise(0),
-            lambda n: F.concat(
-                F.when(
-                    before.isNotNull(), F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - n), F.lit(","))
-                ).otherwise(""),
-                opening(x["t"], n),
-                x["value"],
-            ),
-        )
-
-    ordered = F.array_sort(F.transform(tree, lambda x: F.struct(F.split(x["path"], "/", -1).alias("t"), x["value"])))
-    text = _bind(
-        ordered,
-        lambda s: F.concat(
-            F.array_join(
-                F.zip_with(
-                    F.concat(F.array(F.lit(None).cast("array<string>")), F.transform(s, lambda x: x["t"])),
-                    s,
-                    lambda b, x: F.when(x.isNotNull(), piece(b, x)),
-                ),
-                "",
-            ),
-            F.repeat(F.lit("}"), F.size(F.element_at(s, -1)["t"]) - 1),
-        ),
-    )
-    return F.when(F.size(tree) > 0, text)
-
-
-def _pairs(old: Column, new: Column) -> Column:
-    """Both sides per path, by hash: array of (path, old, new)."""
-    return F.transform(
-        F.map_entries(
-            F.map_zip_with(
-                F.map_from_entries(old),
-                F.map_from_entries(new),
-                lambda k, o, n: F.struct(o.alias("old"), n.alias("new")),
-            )
-        ),
-        lambda e: F.struct(e["key"].alias("path"), e["value"]["old"].alias("old"), e["value"]["new"].alias("new")),
-    )
-
-
-def diff(old: Column, new: Column) -> Column:
-    """Merge patch, in leaf form, that turns ``old`` into ``new``.
-
-    A member that is gone is removed at its highest vanished ancestor, so that
-    applying the patch leaves no empty shell behind.
-    """
+def merge_metadata(old: str, new: str, depth: int = DEFAULT_DEPTH) -> Column:
+    """``new`` with the metadata of the stored ``old``; labels and annotations only gain members."""
+    return F.expr(trees.merge_metadata(old, new, depth))
 
-    def build(p: Column) -> Column:
-        return _bind(
-            F.struct(
-                _paths(F.filter(p, lambda x: x["new"].isNull())).alias("lost"),
-                F.filter(p, lambda x: x["new"].isNotNull() & ~x["new"].eqNullSafe(x["old"])).alias("changed"),
-            ),
-            lambda d: F.when(
-                F.size(d["lost"]) == 0, F.transform(d["changed"], lambda x: _pair(x["path"], x["new"]))
-            ).otherwise(with_losses(p, d)),
-        )
-
-    def with_losses(p: Column, d: Column) -> Column:
-        still = _all_ancestors(_paths(F.filter(p, lambda x: x["new"].isNotNull())))
-        solid = _paths(F.filter(d["changed"], lambda x: x["new"] != "{}"))
-        return _bind(
-            F.struct(
-                F.array_except(_all_ancestors(d["lost"]), still).alias("gone"),
-                _all_ancestors(d["lost"]).alias("was"),
-                solid.alias("solid"),
-            ),
-            lambda g: _bind(
-                F.array_except(F.array_except(F.transform(g["gone"], parent), g["gone"]), g["solid"]),
-                lambda alive: F.concat(
-                    F.transform(
-                        F.filter(
-                            d["changed"], lambda x: (x["new"] != "{}") | ~F.array_contains(g["was"], x["path"])
-                        ),
-                        lambda x: _pair(x["path"], x["new"]),
-                    ),
-                    F.transform(
-                        F.filter(g["gone"], lambda q: F.array_contains(alive, parent(q))),
-                        lambda q: _pair(q, F.lit("null")),
-                    ),
-                ),
-            ),
-        )
-
-    return _bind(_pairs(old, new), build)
-
-
-def _removal(x: Column) -> Column:
-    return (x["new"] == "null") & (x["path"] != "")
-
-
-def patch(base: Column, change: Column) -> Column:
-    """``base`` with a merge patch applied; both in leaf form."""
 
-    def build(p: Column) -> Column:
-        # patch paths that meet no leaf: they may replace a subtree or a scalar above them
-        return _bind(F.filter(p, lambda x: x["old"].isNull()), lambda s: kept_and_set(p, s))
-
-    def kept_and_set(p: Column, s: Column) -> Column:
-        kept = F.filter(
-            p,
-            lambda x: x["new"].isNull()
-            & ~F.exists(
-                s,
-                lambda q: (_under(x["path"], q["path"]) & (q["new"] != "{}")) | _under(q["path"], x["path"]),
-            ),
-        )
-        placed = F.filter(
-            p,
-            lambda x: x["new"].isNotNull()
-            & ~_removal(x)
-            & ((x["new"] != "{}") | x["old"].isNotNull() | ~F.exists(p, lambda y: _under(y["path"], x["path"]))),
-        )
-        return _bind(
-            F.concat(
-                F.transform(kept, lambda x: _pair(x["path"], x["old"])),
-                F.transform(placed, lambda x: _pair(x["path"], x["new"])),
-            ),
-            lambda r: _bind(
-                F.transform(F.filter(p, lambda x: x["new"].isNotNull() & _removal(x)), lambda x: parent(x["path"])),
-                lambda holders: F.when(F.size(holders) == 0, r).otherwise(F.concat(r, _shells(r, holders))),
-            ),
-        )
-
-    return _bind(_pairs(base, change), build)
-
-
-def _shells(tree: Column, holders: Column) -> Column:
-    """Empty objects for holders that have no leaf left at or below them."""
-    return _bind(
-        F.array_except(holders, _all_ancestors(_paths(tree))),
-        lambda e: F.transform(
-            F.array_except(e, F.flatten(F.transform(e, _enclosing))),
-            lambda q: _pair(q, F.lit("{}")),
-        ),
-    )
-
-
-def drop_paths(tree: Column, paths: Column) -> Column:
-    """Remove what lies at or below ``paths``; an emptied object stays as ``{}``."""
-
-    def hit(x: Column) -> Column:
-        return F.exists(paths, lambda q: (x["path"] == q) | _under(x["path"], q))
-
-    return _bind(
-        F.struct(F.filter(tree, lambda x: ~hit(x)).alias("kept"), F.filter(tree, hit).alias("cut")),
-        lambda d: F.when(F.size(d["cut"]) == 0, tree).otherwise(
-            F.concat(
-                d["kept"],
-                _shells(
-                    d["kept"],
-                    F.transform(
-                        F.filter(
-                            paths, lambda q: F.exists(d["cut"], lambda x: (x["path"] == q) | _under(x["path"], q))
-                        ),
-                        parent,
-                    ),
-                ),
-            )
-        ),
-    )
-
-
-def clear_paths(tree: Column, paths: Column) -> Column:
-    """Replace what lies at or below ``paths`` by a null member that stays."""
-
-    def inside(x: Column, q: Column) -> Column:
-        return (x["path"] == q) | _under(x["path"], q)
-
-    present = F.filter(paths, lambda q: F.exists(tree, lambda x: inside(x, q)))
-    return F.concat(
-        F.filter(tree, lambda x: ~F.exists(paths, lambda q: inside(x, q))),
-        F.transform(present, lambda q: _pair(q, F.lit("null"))),
-    )
-
-
-def leaf(tree: Column, path: str) -> Column:
-    """JSON text of one leaf, null when absent."""
-    return F.try_element_at(F.filter(tree, lambda x: x["path"] == path), F.lit(1))["value"]
+def object_depth(df: DataFrame, *docs: str) -> int:
+    """Deepest nesting of objects in the given columns, found in one aggregate; never an underestimate."""
+    deepest = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.expr(trees.object_depth(d)), F.lit(0)) for d in docs])
+    return max(int(df.agg(F.max(deepest).alias("top")).first()["top"] or 0), 1)
 
 
-def mask_containers(value: Column) -> Column:
-    """Mask ``env[].value`` in the JSON text of a container list.
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a generator.
 
-    Entries that are no objects, and ``valueFrom``, stay as they are.
+    Filters on it, or on what is derived from it, then stay above instead of
+    being pushed down as a second copy of the expression.
     """
-
-    def mask_env(entry: Column) -> Column:
-        return _bind(
-            _members(entry),
-            lambda m: F.when(
-                F.map_contains_key(m, "value"),
-                F.to_variant_object(
-                    F.transform_values(
-                        m, lambda k, x: F.when(k == "value", F.parse_json(F.lit(f'"{MASK}"'))).otherwise(x)
-                    )
-                ),
-            ).otherwise(entry),
-        )
-
-    def mask_container(container: Column) -> Column:
-        return _bind(
-            _members(container),
-            lambda m: F.when(
-                F.try_variant_get(F.try_element_at(m, F.lit("env")), "$", "array<variant>").isNotNull(),
-                F.to_variant_object(
-                    F.transform_values(
-                        m,
-                        lambda k, x: F.when(
-                            k == "env",
-                            F.to_variant_object(
-                                F.transform(F.try_variant_get(x, "$", "array<variant>"), mask_env)
-                            ),
-                        ).otherwise(x),
-                    )
-                ),
-            ).otherwise(container),
-        )
-
-    items = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
-    return F.coalesce(F.to_json(F.to_variant_object(F.transform(items, mask_container))), value)
-
-
-def empty_leaves() -> Column:
-    return F.array().cast(LEAVES)
+    return df.withColumn(name, F.explode(F.array(value)))

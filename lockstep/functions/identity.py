@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.functions.documents import parsed
+from lockstep.functions import trees
 from lockstep.model import BATCH_VERSION
 
 
@@ -66,28 +66,34 @@ def parse_kind(text: Column) -> Column:
     )
 
 
-def identity_from_object(doc: Column) -> Column:
+def identity_from_object(doc: str) -> Column:
     """Lower-cased identity of an object document; null for invalid JSON.
 
-    A bare ``v1`` is both group and version.
+    A bare ``v1`` is both group and version. ``doc`` is a column name or SQL expression.
     """
-    v = parsed(doc)
 
-    def text(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    def member(v: str, path: str) -> str:
+        return f"coalesce(try_variant_get({v}, '$.{path}', 'string'), '')"
+
+    def read(v: str) -> str:
+        api = f"split(lower({member(v, 'apiVersion')}), '/', -1)"
+        fields = {
+            "group": f"{api}[0]",
+            "version": f"if(size({api}) = 1, 'v1', try_element_at({api}, 2))",
+            "resource": f"lower({member(v, 'kind')})",
+            "ns": f"lower({member(v, 'metadata.namespace')})",
+            "name": f"lower({member(v, 'metadata.name')})",
+            "resource_version": _version_text(member(v, "metadata.resourceVersion")),
+        }
+        body = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        return f"if({v} IS NULL, NULL, named_struct({body}))"
 
-    api = F.split(F.lower(text("$.apiVersion")), "/", -1)
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            api[0].alias("group"),
-            F.when(F.size(api) == 1, F.lit("v1")).otherwise(F.try_element_at(api, F.lit(2))).alias("version"),
-            F.lower(text("$.kind")).alias("resource"),
-            F.lower(text("$.metadata.namespace")).alias("ns"),
-            F.lower(text("$.metadata.name")).alias("name"),
-            to_version(text("$.metadata.resourceVersion")).alias("resource_version"),
-        ),
-    )
+    return F.expr(trees.let(trees.parsed(doc), read))
+
+
+def _version_text(value: str) -> str:
+    number = f"if({value} RLIKE '^[+-]?[0-9]+$', try_cast({value} AS BIGINT), NULL)"
+    return f"coalesce({number}, cast(0 AS BIGINT))"
 
 
 def _integer(text: Column) -> Column:

@@ -55,11 +55,11 @@ def change_ops(
         rows = rows.join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
 
     modified = rows.where(op == "Modified").withColumn("_base", F.col("_known.doc")).drop("_known")
-    sent = encode_changes(modified, F.col("_base"), F.col("_strategy"), depth)
+    sent = encode_changes(modified, "_base", "_strategy", depth)
     others = (
         changes.where(op.isin("Added", "Deleted"))
         .withColumn("event", F.when(op == "Added", VERIFY_OBJECT).otherwise(DELETE_OBJECT))
-        .withColumn("checksum", F.when(op == "Added", docs.checksum(F.col("doc"))))
+        .withColumn("checksum", F.when(op == "Added", docs.checksum("doc")))
         .drop("doc")
     )
     return sent.drop("_base", "_strategy").unionByName(others, allowMissingColumns=True)
@@ -80,7 +80,7 @@ def bootstrap(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
         *KEYS,
         "version",
         F.lit(VERIFY_OBJECT).alias("op"),
-        docs.checksum(F.col("doc")).alias("checksum"),
+        docs.checksum("doc").alias("checksum"),
     )
     after = F.coalesce(F.col("resume_version"), F.lit(-1))
     later = (

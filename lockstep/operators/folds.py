@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lockstep.cluster import cut
+from lockstep.functions import trees
+from lockstep.functions.documents import once
 
 
 def fold_runs(
     state: DataFrame,
     events: DataFrame,
     keys: Sequence[str],
-    step: Callable[[Column, Column], Column],
+    step: Callable[[str, str], str],
     per_round: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold ``events`` (keys, seq, event) into ``state`` (keys, state) in ``seq`` order per key.
 
-    ``step(state, event)`` gives a struct of the new ``state`` and an ``emit``
-    value, null when nothing is emitted. Returns the new states and the emitted
+    ``step(state, event)`` maps SQL expressions to the SQL expression of a struct:
+    the new ``state`` and an ``emit`` value, null when nothing is emitted. Returns the new states and the emitted
     rows (keys, seq, emit).
 
     Every round takes the next ``per_round`` events of each key into one row and
@@ -31,26 +33,22 @@ def fold_runs(
     keys = list(keys)
     by_seq = Window.partitionBy(*keys).orderBy("seq")
     state_type = state.schema["state"].dataType.simpleString()
-    emit_type = (
-        state.join(events, keys)
-        .select(step(F.col("state"), F.col("event")).alias("r"))
-        .schema["r"].dataType["emit"].dataType.simpleString()
-    )
+    probe = state.join(events, keys).select(F.expr(step("state", "event")).alias("r"))
+    emit_type = probe.schema["r"].dataType["emit"].dataType.simpleString()
     out_type = f"array<struct<seq:bigint,emit:{emit_type}>>"
-    start = F.struct(F.col("state").alias("state"), F.array().cast(out_type).alias("out"))
 
-    def advance(acc: Column, x: Column) -> Column:
-        def settle(r: Column) -> Column:
-            said = F.struct(x["seq"].cast("bigint").alias("seq"), r["emit"].alias("emit"))
-            return F.struct(
-                r["state"].cast(state_type).alias("state"),
-                F.when(r["emit"].isNull(), acc["out"])
-                .otherwise(F.array_append(acc["out"], said))
-                .cast(out_type)
-                .alias("out"),
+    def advance(acc: str, x: str) -> str:
+        def settle(r: str) -> str:
+            said = f"named_struct('seq', cast({x}.seq AS BIGINT), 'emit', {r}.emit)"
+            return (
+                f"named_struct('state', cast({r}.state AS {state_type}), 'out', "
+                f"cast(if({r}.emit IS NULL, {acc}.out, array_append({acc}.out, {said})) AS {out_type}))"
             )
 
-        return F.transform(F.array(step(acc["state"], x["event"])), settle)[0]
+        return trees.let(step(f"{acc}.state", f"{x}.event"), settle)
+
+    start = f"named_struct('state', state, 'out', cast(array() AS {out_type}))"
+    fold = F.expr(f"if(_run IS NULL, NULL, aggregate(_run, {start}, (acc, x) -> {advance('acc', 'x')}))")
 
     longest = events.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
     rounds = -(-longest // per_round)
@@ -63,9 +61,7 @@ def fold_runs(
             .agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_run"))
         )
         # one pass over the states; those without events go through untouched
-        folded = state.join(runs, keys, "full_outer").withColumn(
-            "_end", F.when(F.col("_run").isNotNull(), F.aggregate("_run", start, advance))
-        )
+        folded = once(state.join(runs, keys, "full_outer"), "_end", fold)
         last_round = number == rounds - 1
         folded = folded if last_round else cut(folded)
         said = folded.select(*keys, F.explode("_end.out").alias("_o")).select(*keys, "_o.*")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.cluster import lookup
-from lockstep.functions.documents import leaf
+from lockstep.functions import trees
 from lockstep.functions.identity import identity_from_object, supports_batch
 from lockstep.model import MAX_DEPTH, METHOD_STRATEGY, MUTABLE_RESOURCE, PUT_OBJECT
 
@@ -56,13 +56,13 @@ def size_guard(
     return df.where(~F.coalesce(too_large, F.lit(False)))
 
 
-def version_only(change: Column) -> Column:
-    """Whether a patch in leaf form touches nothing but the version."""
-    return (F.size(change) == 1) & leaf(change, VERSION_PATH).isNotNull()
+def version_only(change: str) -> str:
+    """SQL test whether a patch in leaf form touches nothing but the version."""
+    return f"(size({change}) = 1 AND {trees.leaf(change, VERSION_PATH)} IS NOT NULL)"
 
 
 def drop_version_only(df: DataFrame, change: str = "change") -> DataFrame:
-    return df.where(~version_only(F.col(change)))
+    return df.where(f"NOT {version_only(change)}")
 
 
 def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
@@ -118,7 +118,7 @@ def validate_ingest(df: DataFrame, routes: Sequence[tuple[str, str, str, str]])
         .withColumns({"_strategy": strategy, "_group": part[3], "_version": part[4], "_resource": part[5]})
         .join(table.withColumnsRenamed({v: k for k, v in on.items()}), list(on), "left")
         # only routed requests are parsed
-        .withColumn("_id", F.when(F.col("_route") & F.col("_shape"), identity_from_object(F.col("body"))))
+        .withColumn("_id", F.when(F.col("_route") & F.col("_shape"), identity_from_object("body")))
         .withColumn("status", status)
     )
     accepted = F.col("status") == 202

@@ -50,7 +50,7 @@ def decode_socket_messages(df: DataFrame, payload: str = "payload") -> DataFrame
     batch = F.when(F.col("event") == "batch", F.from_json(text, SOCKET_BATCH))
     error = (
         F.when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, "empty")
-        .when(~is_valid(text), "undecodable")
+        .when(~is_valid(f"cast({payload} AS STRING)"), "undecodable")
         .when(F.col("_h.Event").isNull(), "no event")
         .when(F.col("event").isNull(), "unknown event")
     )
@@ -92,7 +92,7 @@ def decode_log_messages(df: DataFrame, payload: str = "payload", event: str = "e
     bad_kind = F.col("_b").isNotNull() & parse_kind(F.col("_b.kind")).isNull()
     error = (
         F.when(F.coalesce(F.octet_length(text), F.lit(0)) == 0, "empty")
-        .when(~is_valid(text), "undecodable")
+        .when(~is_valid(f"cast({payload} AS STRING)"), "undecodable")
         .when(~F.coalesce(known, F.lit(False)), "unknown event")
         .when(bad_kind, "unknown kind")
     )

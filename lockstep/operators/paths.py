@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
+from lockstep.functions import trees
 from lockstep.model import BOOKKEEPING_PATHS, CLEARED_PATHS, CONTAINER_LISTS, POD_SPEC
 
 KEYS = ["kind", "ns", "name"]
@@ -18,7 +19,7 @@ def to_path_rows(
 ) -> DataFrame:
     """One row per leaf. ``depth=None`` measures the nesting first."""
     depth = docs.object_depth(df, doc) if depth is None else depth
-    return explode_leaves(df.withColumn("_leaves", docs.leaves(F.col(doc), depth)), keys, "_leaves")
+    return explode_leaves(df.withColumn("_leaves", docs.leaves(doc, depth)), keys, "_leaves")
 
 
 def explode_leaves(df: DataFrame, keys: Sequence[str], leaves: str = "leaves") -> DataFrame:
@@ -43,15 +44,13 @@ def diff_documents(
     both = old.select(*keys, F.col(doc).alias("_old")).join(
         new.select(*keys, F.col(doc).alias("_new")), list(keys), how
     )
-    blank = docs.empty_leaves()
-    same = F.col("_old").eqNullSafe(F.col("_new"))
-    trees = both.withColumns(
-        {
-            "old_leaves": F.when(same, blank).otherwise(F.coalesce(docs.leaves(F.col("_old"), depth), blank)),
-            "new_leaves": F.when(same, blank).otherwise(F.coalesce(docs.leaves(F.col("_new"), depth), blank)),
-        }
-    )
-    return trees.withColumn("change", docs.diff(F.col("old_leaves"), F.col("new_leaves"))).drop("_old", "_new")
+    unfolded = {
+        f"{side}_leaves": F.expr(
+            f"if(_old <=> _new, {docs.NO_LEAVES}, coalesce({trees.leaves(f'_{side}', depth)}, {docs.NO_LEAVES}))"
+        )
+        for side in ("old", "new")
+    }
+    return docs.once(both.withColumns(unfolded), "change", docs.diff("old_leaves", "new_leaves")).drop("_old", "_new")
 
 
 def diff_rows(
@@ -83,28 +82,24 @@ def patch_rows(
     """Documents with their merge patch applied, as path rows; no patch, no change."""
     if depth is None:
         depth = max(docs.object_depth(base, doc), docs.object_depth(patches, patch))
-    joined = (
-        base.select(*keys, F.col(doc).alias("_doc"))
-        .join(patches.select(*keys, F.col(patch).alias("_patch")), list(keys), "left")
-        .withColumns(
-            {
-                "_base": docs.leaves(F.col("_doc"), depth),
-                "_change": F.coalesce(docs.leaves(F.col("_patch"), depth), docs.empty_leaves()),
-            }
-        )
+    joined = base.select(*keys, F.col(doc).alias("_doc")).join(
+        patches.select(*keys, F.col(patch).alias("_patch")), list(keys), "left"
+    )
+    change = f"coalesce({trees.leaves('_patch', depth)}, {docs.NO_LEAVES})"
+    return explode_leaves(
+        joined.withColumn("_result", docs.patch(trees.leaves("_doc", depth), change)), keys, "_result"
     )
-    return explode_leaves(joined.withColumn("_result", docs.patch(F.col("_base"), F.col("_change"))), keys, "_result")
 
 
 def rows_to_json(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Documents put together again from their path rows."""
     tree = F.collect_list(F.struct("path", "value"))
-    return rows.groupBy(*keys).agg(tree.alias("_t")).select(*keys, docs.leaves_to_json(F.col("_t")).alias("doc"))
+    return rows.groupBy(*keys).agg(tree.alias("_t")).select(*keys, docs.leaves_to_json("_t").alias("doc"))
 
 
 def rows_checksum(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Checksum of documents in row form; the same number the document itself has."""
-    return rows_to_json(rows, keys).select(*keys, docs.checksum(F.col("doc")).alias("checksum"))
+    return rows_to_json(rows, keys).select(*keys, docs.checksum("doc").alias("checksum"))
 
 
 def change_report(
@@ -118,13 +113,19 @@ def change_report(
     return diff_rows(old, new, keys, doc, depth).groupBy("path", "op").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
-def _by_kind(kind: Column, table: Mapping[str, list[str]]) -> Column:
+def _path_list(paths: Sequence[str]) -> str:
+    return f"array({', '.join(trees.text(p) for p in paths)})"
+
+
+def _by_kind(kind: str, table: Mapping[str, list[str]]) -> str:
     """Paths configured for a kind, an empty list for any other kind."""
-    chosen = F.array().cast("array<string>")
-    for key, paths in table.items():
-        hit = kind == key if key.startswith("/") else kind.endswith("/" + key)
-        chosen = F.when(hit, F.array(*[F.lit(p) for p in paths])).otherwise(chosen)
-    return chosen
+    cases = [
+        f"WHEN {kind} = {trees.text(key)} THEN {_path_list(paths)}"
+        if key.startswith("/")
+        else f"WHEN endswith({kind}, {trees.text('/' + key)}) THEN {_path_list(paths)}"
+        for key, paths in table.items()
+    ]
+    return f"CASE {' '.join(cases)} ELSE cast(array() AS array<string>) END" if cases else "cast(array() AS array<string>)"
 
 
 def clean_objects(
@@ -136,39 +137,33 @@ def clean_objects(
 ) -> DataFrame:
     """Objects without bookkeeping, with the paths their kind clears set to null."""
     depth = docs.object_depth(df, doc) if depth is None else depth
-    bookkeeping = F.array(*[F.lit(p) for p in BOOKKEEPING_PATHS])
-    tree = docs.drop_paths(F.col("_tree"), bookkeeping)
-    return (
-        df.withColumn("_tree", docs.leaves(F.col(doc), depth))
-        .withColumn("_tree", tree)
-        .withColumn("_tree", docs.clear_paths(F.col("_tree"), _by_kind(F.col(kind), cleared)))
-        .withColumn(doc, docs.leaves_to_json(F.col("_tree")))
-        .drop("_tree")
+    bare = trees.let(trees.leaves(doc, depth), lambda t: trees.drop_paths(t, _path_list(BOOKKEEPING_PATHS)))
+    cleaned = trees.let(
+        _by_kind(kind, cleared), lambda paths: trees.let(bare, lambda t: trees.clear_paths(t, paths))
     )
+    return df.withColumn(doc, docs.leaves_to_json(cleaned))
 
 
 def stamp_type(
     df: DataFrame,
-    object_kind: Column,
+    object_kind: str,
     kind: str = "kind",
     doc: str = "doc",
     depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
-    """Documents of typed objects with the ``apiVersion`` and ``kind`` they lack."""
+    """Documents of typed objects with the ``apiVersion`` and ``kind`` they lack.
+
+    ``object_kind`` is a column name or SQL expression.
+    """
     depth = docs.object_depth(df, doc) if depth is None else depth
-    parts = F.split(F.col(kind), "/", -1)
-    api = F.when(parts[0] == "", parts[1]).otherwise(F.concat_ws("/", parts[0], parts[1]))
-    stamp = docs.struct_leaves({"/apiVersion": docs.quote(api), "/kind": docs.quote(object_kind)})
-    return (
-        df.withColumn("_tree", docs.leaves(F.col(doc), depth))
-        .withColumn(doc, docs.leaves_to_json(docs.patch(F.col("_tree"), stamp)))
-        .drop("_tree")
-    )
+    api = f"ltrim('/', substring_index({kind}, '/', 2))"
+    stamp = trees.struct_leaves({"/apiVersion": trees.quote(api), "/kind": trees.quote(object_kind)})
+    return df.withColumn(doc, docs.leaves_to_json(trees.patch(trees.leaves(doc, depth), stamp)))
 
 
 def mask_env(
     df: DataFrame,
-    object_kind: Column | None = None,
+    object_kind: str | None = None,
     doc: str = "doc",
     depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
@@ -177,55 +172,23 @@ def mask_env(
     The pod spec lies where the object's kind keeps it; kinds without one pass through.
     """
     depth = docs.object_depth(df, doc) if depth is None else depth
-    kind = F.get_json_object(F.col(doc), "$.kind") if object_kind is None else object_kind
-    lists = F.lit(None).cast("array<string>")
-    for name, top in POD_SPEC.items():
-        lists = F.when(kind == name, F.array(*[F.lit(f"{top}/{c}") for c in CONTAINER_LISTS])).otherwise(lists)
-    masked = F.transform(
-        F.col("_tree"),
-        lambda x: F.when(
-            F.array_contains(F.col("_lists"), x["path"]),
-            F.struct(x["path"].alias("path"), docs.mask_containers(x["value"]).alias("value")),
-        ).otherwise(x),
-    )
-    has_spec = F.col("_lists").isNotNull()
-    return (
-        df.withColumn("_lists", lists)
-        .withColumn("_tree", F.when(has_spec, docs.leaves(F.col(doc), depth)))
-        .withColumn(doc, F.when(has_spec, F.coalesce(docs.leaves_to_json(masked), F.col(doc))).otherwise(F.col(doc)))
-        .drop("_lists", "_tree")
+    kind = f"get_json_object({doc}, '$.kind')" if object_kind is None else object_kind
+    cases = " ".join(
+        f"WHEN {trees.text(name)} THEN {_path_list([f'{top}/{c}' for c in CONTAINER_LISTS])}"
+        for name, top in POD_SPEC.items()
     )
 
+    def mask(lists: str) -> str:
+        tree = trees.each(
+            trees.leaves(doc, depth),
+            lambda x: f"if(array_contains({lists}, {x}.path), "
+            f"{trees.pair(f'{x}.path', trees.mask_containers(f'{x}.value'))}, {x})",
+        )
+        return f"if({lists} IS NULL, {doc}, coalesce({trees.to_json(tree)}, {doc}))"
+
+    return df.withColumn(doc, F.expr(trees.let(f"CASE {kind} {cases} END", mask)))
+
 
 def merge_maps(old: Column, new: Column) -> Column:
     """Union of two maps in which the existing value wins."""
     return F.coalesce(F.map_zip_with(old, new, lambda k, o, n: F.coalesce(o, n)), old, new)
-
-
-def merge_metadata(old: Column, new: Column, depth: int = docs.DEFAULT_DEPTH) -> Column:
-    """``new`` with the metadata of the stored ``old``; labels and annotations only gain members."""
-
-    def under(x: Column, *tops: str) -> Column:
-        hit = F.lit(False)
-        for top in tops:
-            hit = hit | (x["path"] == top) | F.startswith(x["path"], F.lit(top + "/"))
-        return hit
-
-    def build(t: Column) -> Column:
-        stored = F.filter(t["old"], lambda x: under(x, "/metadata"))
-        paths = F.transform(stored, lambda x: x["path"])
-        gained = F.filter(
-            t["new"],
-            lambda x: under(x, "/metadata/labels", "/metadata/annotations") & ~F.array_contains(paths, x["path"]),
-        )
-        # an empty map that gains members, or a gained empty map beside members, gives way
-        both = F.concat(stored, gained)
-        settled = F.filter(
-            both,
-            lambda x: (x["value"] != "{}")
-            | ~F.exists(both, lambda y: F.startswith(y["path"], F.concat(x["path"], F.lit("/")))),
-        )
-        return F.concat(F.filter(t["new"], lambda x: ~under(x, "/metadata")), settled)
-
-    trees = F.struct(docs.leaves(old, depth).alias("old"), docs.leaves(new, depth).alias("new"))
-    return F.coalesce(docs.leaves_to_json(F.transform(F.array(trees), build)[0]), new)

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
+from lockstep.functions import trees
 from lockstep.functions.identity import to_version, version_newer
 from lockstep.model import DELETE_OBJECT, GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
 from lockstep.operators.batches import unpack_batches
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
-from lockstep.operators.paths import KEYS, merge_metadata
+from lockstep.operators.paths import KEYS
 
 
 def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     found = store.select(*KEYS, F.col("doc").alias("_doc"))
     return (
         messages.join(found, KEYS, "left")
-        .withColumn("_sum", docs.checksum(F.col("_doc")))
+        .withColumn("_sum", docs.checksum("_doc"))
         .where(F.coalesce(F.col("_sum") != F.col("checksum"), F.lit(True)))
         .withColumns(
             {
@@ -44,40 +45,37 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def encode_changes(df: DataFrame, base: Column, strategy: Column, depth: int = docs.DEFAULT_DEPTH) -> DataFrame:
-    """Objects in ``doc`` as put or patch messages against ``base``.
+def encode_changes(df: DataFrame, base: str, strategy: str, depth: int = docs.DEFAULT_DEPTH) -> DataFrame:
+    """Objects in ``doc`` as put or patch messages against the column ``base``.
 
     Copy, or no base: put. Otherwise a merge patch with the checksum of the
     merged result; a patch that moves only the version is dropped.
     """
-    as_patch = (strategy == PATCH) & base.isNotNull()
-    trees = df.withColumns(
+    as_patch = f"{strategy} = '{PATCH}' AND {base} IS NOT NULL"
+    trees_of = df.withColumns(
         {
-            "_old": F.when(as_patch, docs.leaves(base, depth)),
-            "_new": F.when(as_patch, docs.leaves(F.col("doc"), depth)),
+            "_old": F.expr(f"if({as_patch}, {trees.leaves(base, depth)}, NULL)"),
+            "_new": F.expr(f"if({as_patch}, {trees.leaves('doc', depth)}, NULL)"),
         }
-    ).withColumn("_change", docs.diff(F.col("_old"), F.col("_new")))
-    # The generator drops version-only patches and keeps the diff from being
-    # evaluated twice, which a filter above it would cause.
-    kept = trees.withColumn(
-        "_change",
-        F.explode(
-            F.filter(
-                F.array(F.struct(F.col("_change").alias("leaves"))),
-                lambda c: c["leaves"].isNull() | ~version_only(c["leaves"]),
-            )
-        ),
-    ).withColumn("_change", F.col("_change.leaves"))
-    is_patch = F.col("_change").isNotNull()
-    merged = docs.leaves_to_json(docs.patch(F.col("_old"), F.col("_change")))
+    ).withColumn("_change", docs.diff("_old", "_new"))
+    # The generator drops version-only patches. A filter would be pushed down
+    # and evaluate the diff a second time.
+    useful = trees.keep(
+        "array(named_struct('leaves', _change))",
+        lambda c: f"{c}.leaves IS NULL OR NOT {version_only(f'{c}.leaves')}",
+    )
+    kept = trees_of.withColumn("_kept", F.explode(F.expr(useful)))
+    change = "_kept.leaves"
+    merged = trees.to_json(trees.patch("_old", change))
+    is_patch = f"{change} IS NOT NULL"
     return kept.withColumns(
         {
-            "event": F.when(is_patch, PATCH_OBJECT).otherwise(PUT_OBJECT),
-            "checksum": docs.checksum(F.when(is_patch, merged).otherwise(F.col("doc"))),
-            "patch": F.when(is_patch, F.coalesce(docs.leaves_to_json(F.col("_change")), F.lit("{}"))),
-            "object": F.when(~is_patch, F.col("doc")),
+            "event": F.expr(f"if({is_patch}, '{PATCH_OBJECT}', '{PUT_OBJECT}')"),
+            "checksum": docs.checksum(f"if({is_patch}, {merged}, doc)"),
+            "patch": F.expr(f"if({is_patch}, coalesce({trees.to_json(change)}, '{{}}'), NULL)"),
+            "object": F.expr(f"if({is_patch}, NULL, doc)"),
         }
-    ).drop("_old", "_new", "_change", "doc")
+    ).drop("_old", "_new", "_change", "_kept", "doc")
 
 
 def put_or_patch(
@@ -96,7 +94,7 @@ def put_or_patch(
     if "base_object" in new.columns:
         base = F.coalesce(F.nullif(F.col("base_object"), F.lit("")), base)
     joined = joined.withColumn("_known", base)
-    return encode_changes(joined, F.col("_known"), F.col("_strategy"), depth).drop("_known", "_strategy", "base_object")
+    return encode_changes(joined, "_known", "_strategy", depth).drop("_known", "_strategy", "base_object")
 
 
 def advance_known(known: DataFrame, sent: DataFrame) -> DataFrame:
@@ -115,31 +113,22 @@ def apply_patches(
     Otherwise the object is asked for: without base when its kind is not patched
     or the object is missing, with the stored object as base in all other cases.
     """
-    may_patch = F.col("_strategy") == PATCH
-    trees = (
+    merged = trees.to_json(trees.patch(trees.leaves("_doc", depth), trees.leaves("patch", depth)))
+    joined = (
         messages.join(store.select(*KEYS, F.col("doc").alias("_doc")), KEYS, "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
-        .withColumn("_doc", F.when(may_patch, F.col("_doc")))
-        .withColumns(
-            {
-                "_base": docs.leaves(F.col("_doc"), depth),
-                "_change": F.when(F.col("_doc").isNotNull(), docs.leaves(F.col("patch"), depth)),
-            }
-        )
-        .withColumn("_merged", docs.leaves_to_json(docs.patch(F.col("_base"), F.col("_change"))))
+        .withColumn("_doc", F.when(F.col("_strategy") == PATCH, F.col("_doc")))
     )
+    tried = docs.once(joined, "_merged", F.expr(f"if(_doc IS NULL, NULL, {merged})"))
+    tried = docs.once(tried, "_good", F.expr(f"coalesce({trees.checksum('_merged')} = checksum, false)"))
     good = F.col("_good")
-    return (
-        trees.withColumn("_good", F.coalesce(docs.checksum(F.col("_merged")) == F.col("checksum"), F.lit(False)))
-        .withColumns(
-            {
-                "outcome": F.when(good, "stored").otherwise("get"),
-                "doc": F.when(good, F.col("_merged")),
-                "base_object": F.when(~good, F.col("_doc")),
-            }
-        )
-        .drop("_doc", "_strategy", "_base", "_change", "_merged", "_good")
-    )
+    return tried.withColumns(
+        {
+            "outcome": F.when(good, "stored").otherwise("get"),
+            "doc": F.when(good, F.col("_merged")),
+            "base_object": F.when(~good, F.col("_doc")),
+        }
+    ).drop("_doc", "_strategy", "_merged", "_good")
 
 
 def fold_puts(puts: DataFrame, order: str = "seq") -> DataFrame:
@@ -176,7 +165,7 @@ def save_if_newer(store: DataFrame, puts: DataFrame, check: bool = True) -> Data
     if check:
         replace = version_newer(F.col("_p.version"), F.col("_s.version"))
         if "doc" in rest:
-            replace = replace | ~docs.is_valid(F.col("_p.doc")) | ~docs.is_valid(F.col("_s.doc"))
+            replace = replace | ~docs.is_valid("_p.doc") | ~docs.is_valid("_s.doc")
     winner = (
         F.when(F.col("_s").isNull(), F.col("_p"))
         .when(F.col("_p").isNull(), F.col("_s"))
@@ -217,9 +206,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, order: str = "seq", kee
     )
     updated = F.col("_c")
     if keep_metadata and "doc" in rest:
-        updated = F.when(
-            F.col("_t").isNull(), F.col("_c")
-        ).otherwise(F.col("_c").withField("doc", merge_metadata(F.col("_t.doc"), F.col("_c.doc"))))
+        merged = F.col("_c").withField("doc", docs.merge_metadata("_t.doc", "_c.doc"))
+        updated = F.when(F.col("_t").isNull(), F.col("_c")).otherwise(merged)
     return (
         both.where(~F.col("op").eqNullSafe("delete"))
         .select(*KEYS, F.when(F.col("op").isNull(), F.col("_t")).otherwise(updated).alias("_w"))
@@ -261,27 +249,36 @@ def replay(
         *KEYS, F.struct(F.col("version").cast("string").alias("version"), F.col("doc").alias("doc")).alias("state")
     )
 
-    def version_of(doc: Column) -> Column:
-        return F.get_json_object(doc, "$" + VERSION_PATH.replace("/", "."))
-
-    def step(s: Column, m: Column) -> Column:
-        held = s["doc"]
-        is_patch, is_verify = m["event"] == PATCH_OBJECT, m["event"] == VERIFY_OBJECT
-        merged = docs.leaves_to_json(docs.patch(docs.leaves(held, depth), docs.leaves(m["patch"], depth)))
-
-        def settle(offer: Column) -> Column:
-            fits = F.coalesce(docs.checksum(F.when(is_patch, offer).otherwise(held)) == m["checksum"], F.lit(False))
-            newer = held.isNull() | version_newer(version_of(offer), version_of(held)) if check else F.lit(True)
-            stored = F.struct(version_of(offer).alias("version"), offer.alias("doc"))
-            after = (
-                F.when(m["event"] == DELETE_OBJECT, F.lit(None))
-                .when(((is_patch & fits) | (m["event"] == PUT_OBJECT)) & newer, stored)
-                .otherwise(s)
-            )
-            ask = F.struct(F.when(is_patch | docs.is_valid(held), held).alias("base_object"))
-            return F.struct(after.alias("state"), F.when((is_patch | is_verify) & ~fits, ask).alias("emit"))
-
-        return F.transform(F.array(F.when(is_patch, merged).otherwise(m["object"])), settle)[0]
+    def version_of(doc: str) -> str:
+        return f"get_json_object({doc}, '${VERSION_PATH.replace('/', '.')}')"
+
+    def newer(offer: str, held: str) -> str:
+        a, b = (f"try_cast(if({v} RLIKE '^[+-]?[0-9]+$', {v}, NULL) AS BIGINT)" for v in (version_of(offer), version_of(held)))
+        return f"({held} IS NULL OR coalesce({a} > {b}, false))" if check else "true"
+
+    def step(s: str, m: str) -> str:
+        held, event = f"{s}.doc", f"{m}.event"
+        is_patch, is_put, is_verify, is_delete = (
+            f"{event} = '{e}'" for e in (PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT, DELETE_OBJECT)
+        )
+        merged = trees.to_json(trees.patch(trees.leaves(held, depth), trees.leaves(f"{m}.patch", depth)))
+
+        def settle(offer: str) -> str:
+            fits = f"coalesce({trees.checksum(f'if({is_patch}, {offer}, {held})')} = {m}.checksum, false)"
+
+            def outcome(ok: str) -> str:
+                stored = f"named_struct('version', {version_of(offer)}, 'doc', {offer})"
+                after = (
+                    f"CASE WHEN {is_delete} THEN NULL"
+                    f" WHEN ({is_put} OR ({is_patch} AND {ok})) AND {newer(offer, held)} THEN {stored} ELSE {s} END"
+                )
+                base = f"if({is_patch} OR {trees.parsed(held)} IS NOT NULL, {held}, NULL)"
+                ask = f"if(({is_patch} OR {is_verify}) AND NOT {ok}, named_struct('base_object', {base}), NULL)"
+                return f"named_struct('state', {after}, 'emit', {ask})"
+
+            return trees.let(f"if({is_patch} OR {is_verify}, {fits}, true)", outcome)
+
+        return trees.let(f"if({is_patch}, {merged}, {m}.object)", settle)
 
     after, asked = fold_runs(state, events, KEYS, step, per_round)
     return after.select(*KEYS, "state.*"), asked.select(*KEYS, "seq", F.col("emit.base_object").alias("base_object"))

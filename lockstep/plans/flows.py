@@ -88,7 +88,7 @@ def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame, depth:
     Every source object is verified; the target asks for those that differ, with
     its own copy as base, and is answered with a put or a patch against that copy.
     """
-    asked = verify(source.select(*KEYS, docs.checksum(F.col("doc")).alias("checksum")), target)
+    asked = verify(source.select(*KEYS, docs.checksum("doc").alias("checksum")), target)
     nothing_known = target.where(F.lit(False))
     answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds, depth)
     puts = answers.where(F.col("event") == PUT_OBJECT).select(*KEYS, "version", F.col("object").alias("doc"))

@@ -126,26 +126,25 @@ def stream_change_ops(
     return run(changes, checkpoint, each, interval)
 
 
-def _connection_step(s: Column, e: Column) -> Column:
+def _connection_step(s: str, e: str) -> str:
     """One connect or disconnect against the live connection of the client, if any."""
-    live = s["live"]
     # a live connection with a later connection time wins over the incoming event
-    newer_lives = F.coalesce(live & (s["connection_time"] > e["connection_time"]), F.lit(False))
-    joined = F.struct(
-        e["connection_id"].alias("connection_id"),
-        e["connection_time"].alias("connection_time"),
-        e["sync_version"].alias("sync_version"),
-        F.lit(True).alias("live"),
+    refused = f"coalesce({s}.live AND {s}.connection_time > {e}.connection_time, false)"
+    joined = (
+        f"named_struct('connection_id', {e}.connection_id, 'connection_time', {e}.connection_time, "
+        f"'sync_version', {e}.sync_version, 'live', true)"
     )
-    is_connect = e["op"] == "connect"
-    left = s.withField("live", F.lit(False))
-    after = F.when(newer_lives, s).when(is_connect, joined).otherwise(left)
+    gone = (
+        f"named_struct('connection_id', {s}.connection_id, 'connection_time', {s}.connection_time, "
+        f"'sync_version', {s}.sync_version, 'live', false)"
+    )
+    is_connect = f"{e}.op = 'connect'"
+    after = f"CASE WHEN {refused} THEN {s} WHEN {is_connect} THEN {joined} ELSE {gone} END"
     said = (
-        F.when(newer_lives, F.lit(None).cast("string"))
-        .when(is_connect, F.lit(SERVER_CONNECTED))
-        .when(F.coalesce(live, F.lit(False)), F.lit("Disconnected"))
+        f"CASE WHEN {refused} THEN NULL WHEN {is_connect} THEN '{SERVER_CONNECTED}' "
+        f"WHEN coalesce({s}.live, false) THEN 'Disconnected' END"
     )
-    return F.struct(after.alias("state"), said.alias("emit"))
+    return f"named_struct('state', {after}, 'emit', {said})"
 
 
 def stream_connections(

@@ -7,13 +7,14 @@ import time
 from collections import Counter
 
 import duckdb
+import pandas as pd
 
 from workload import ORACLES, QUERIES
 from workload.base import TABLES
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     if isinstance(value, bool):
         return value

@@ -26,13 +26,13 @@ ON = "s.kind = t.kind AND s.ns = t.ns AND s.name = t.name"
     """,
 )
 def verify_objects(spark, sf_dir):
-    source = derived(spark, sf_dir, "source").select(*KEYS, docs.checksum(F.col("doc")).alias("checksum"))
+    source = derived(spark, sf_dir, "source").select(*KEYS, docs.checksum("doc").alias("checksum"))
     return st.verify(source, derived(spark, sf_dir, "target")).select(*KEYS, "reason", "base_object")
 
 
 RECONCILE_SQL = f"""
 SELECT coalesce(s.kind, t.kind) AS kind, coalesce(s.ns, t.ns) AS ns, coalesce(s.name, t.name) AS name,
-       s.version AS source_version, t.version AS target_version,
+       coalesce(s.version, -1) AS source_version, coalesce(t.version, -1) AS target_version,
        CASE WHEN s.name IS NULL THEN 'delete'
             WHEN t.name IS NULL THEN CASE WHEN s.ns <> 'P' THEN 'verify' ELSE 'skip' END
             WHEN s.version <> t.version THEN 'put' ELSE 'skip' END AS op
@@ -42,9 +42,8 @@ FROM source s FULL OUTER JOIN target t ON {ON}
 
 @query("reconcile", with_inputs("source", "target") + f"SELECT * FROM ({RECONCILE_SQL}) r WHERE op <> 'skip'")
 def reconcile(spark, sf_dir):
-    return rec.reconcile(
-        derived(spark, sf_dir, "source"), derived(spark, sf_dir, "target"), scope=F.col("ns") != "P"
-    )
+    plan = rec.reconcile(derived(spark, sf_dir, "source"), derived(spark, sf_dir, "target"), scope=F.col("ns") != "P")
+    return plan.fillna(-1, ["source_version", "target_version"])
 
 
 @query(
@@ -58,7 +57,7 @@ def reconcile(spark, sf_dir):
 def reconcile_messages(spark, sf_dir):
     source = derived(spark, sf_dir, "source")
     plan = rec.reconcile(source, derived(spark, sf_dir, "target"), scope=F.col("ns") != "P")
-    return rec.with_documents(plan, source).select(*KEYS, "op", docs.checksum(F.col("doc")).alias("digest"))
+    return rec.with_documents(plan, source).select(*KEYS, "op", docs.checksum("doc").alias("digest"))
 
 
 @query(
@@ -105,8 +104,8 @@ def patch_messages(spark, sf_dir):
         derived(spark, sf_dir, "new_parts").join(
             derived(spark, sf_dir, "old_parts").select(*KEYS, F.col("doc").alias("base")), KEYS
         ),
-        F.col("base"),
-        F.lit("patch"),
+        "base",
+        "'patch'",
         depth=3,
     )
     wrong = F.when(F.endswith("name", F.lit("7")), F.lit("off")).otherwise(F.col("checksum"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lockstep.functions import documents as docs
 from lockstep.functions import identity as ident
 from lockstep.operators import messages as msg
-from lockstep.operators.paths import clean_objects, mask_env, merge_maps, merge_metadata, stamp_type
+from lockstep.operators.paths import clean_objects, mask_env, merge_maps, stamp_type
 from workload.base import derived, query, table, with_inputs
 
 
@@ -67,7 +67,7 @@ FROM {part}
 )
 def identity_from_object(spark, sf_dir):
     rows = spark.sql(OBJECT_TEXT, part=table(spark, sf_dir, "part"))
-    return rows.withColumn("i", ident.identity_from_object(F.col("doc"))).select("p_partkey", "i.*")
+    return rows.withColumn("i", ident.identity_from_object("doc")).select("p_partkey", "i.*")
 
 
 VERSION_TEXT = """
@@ -170,7 +170,7 @@ def stamp(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(
         "p_partkey", F.lit("shop/v1/parts").alias("kind"), F.to_json(F.struct(F.col("p_name").alias("name"))).alias("doc")
     )
-    return stamp_type(rows, F.lit("Part")).select("p_partkey", "doc")
+    return stamp_type(rows, "'Part'").select("p_partkey", "doc")
 
 
 WORKLOADS = """
@@ -237,7 +237,7 @@ def merge_maps_query(spark, sf_dir):
 def merge_metadata_query(spark, sf_dir):
     old = derived(spark, sf_dir, "old_parts").select("name", F.col("doc").alias("old"))
     new = derived(spark, sf_dir, "new_parts").select("name", F.col("doc").alias("new"))
-    return old.join(new, "name").select("name", merge_metadata(F.col("old"), F.col("new")).alias("doc"))
+    return old.join(new, "name").select("name", docs.merge_metadata("old", "new").alias("doc"))
 
 
 @query(
@@ -252,7 +252,8 @@ def merge_metadata_query(spark, sf_dir):
 def checksum(spark, sf_dir):
     doc = F.when(F.col("event_type") == "click", F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     noted = F.when(F.col("event_type") == "view", F.lit("known"))
-    return table(spark, sf_dir, "events").select("event_id", docs.checksum(doc, noted).alias("checksum"))
+    events = table(spark, sf_dir, "events").withColumns({"doc": doc, "noted": noted})
+    return events.select("event_id", docs.checksum("doc", "noted").alias("checksum"))
 
 
 @query(
@@ -270,7 +271,8 @@ def json_equal(spark, sf_dir):
         .when(kind == "error", F.concat(a, F.lit("}")))
         .otherwise(F.concat(F.lit('{"a":2,"p":'), props, F.lit("}")))
     )
-    return table(spark, sf_dir, "events").select("event_id", docs.json_equal(a, b).cast("int").alias("equal"))
+    events = table(spark, sf_dir, "events").withColumns({"a": a, "b": b})
+    return events.select("event_id", docs.json_equal("a", "b").cast("int").alias("equal"))
 
 
 SOCKET = """
