@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,23 @@ MAX_LOOKUP_ROWS = 10_000
 
 
 def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A configuration list as a table, broadcast only while its size allows."""
-    table = spark.createDataFrame(list(rows), schema)
+    """A configuration list of texts as a table, broadcast only while its size allows."""
+    names = [field.split()[0] for field in schema.split(",")]
+    columns = list(zip(*rows)) or [[] for _ in names]
+    arrow = pa.table([pa.array(list(c), pa.string()) for c in columns], names=names)
+    table = spark.createDataFrame(arrow)
     return F.broadcast(table) if len(rows) <= MAX_LOOKUP_ROWS else table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files give fewer splits than there are cores.
+
+    For work that is heavy per row. Large inputs come in enough splits and pass through.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the session names it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -58,19 +58,12 @@ def pack_batches(messages: DataFrame, max_items: int = 10_000) -> DataFrame:
 def unpack_batches(batches: DataFrame) -> DataFrame:
     """Messages of the batches with their order: ``op_rank`` by list, then ``pos`` in the list."""
     rest = [c for c in batches.columns if c not in ("items", "n_items")]
-    rows = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(f"items.{name}"), F.array()),
-                    lambda x, i, rank=rank, event=event: F.struct(
-                        F.lit(rank).alias("op_rank"), i.alias("pos"), F.lit(event).alias("event"), x.alias("item")
-                    ),
-                )
-                for rank, (name, event) in enumerate(BATCH_LISTS)
-            ]
-        )
+    lists = ", ".join(
+        f"transform(items.{name}, (x, i) -> "
+        f"named_struct('op_rank', {rank}, 'pos', i, 'event', '{event}', 'item', x))"
+        for rank, (name, event) in enumerate(BATCH_LISTS)
     )
+    rows = F.expr(f"flatten(filter(array({lists}), l -> l IS NOT NULL))")
     return batches.select(*rest, F.explode(rows).alias("_m")).select(
         *rest, "_m.op_rank", "_m.pos", "_m.event", "_m.item.*"
     )

@@ -29,8 +29,7 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     """
     found = store.select(*KEYS, F.col("doc").alias("_doc"))
     return (
-        messages.join(found, KEYS, "left")
-        .withColumn("_sum", docs.checksum("_doc"))
+        docs.once(messages.join(found, KEYS, "left"), "_sum", docs.checksum("_doc"))
         .where(F.coalesce(F.col("_sum") != F.col("checksum"), F.lit(True)))
         .withColumns(
             {

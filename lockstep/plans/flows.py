@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
 from lockstep.functions.identity import lineage
-from lockstep.model import GET_OBJECT, PATCH_OBJECT, PUT_OBJECT
+from lockstep.model import GET_OBJECT
 from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
@@ -91,8 +91,8 @@ def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame, depth:
     asked = verify(source.select(*KEYS, docs.checksum("doc").alias("checksum")), target)
     nothing_known = target.where(F.lit(False))
     answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds, depth)
-    puts = answers.where(F.col("event") == PUT_OBJECT).select(*KEYS, "version", F.col("object").alias("doc"))
-    patches = answers.where(F.col("event") == PATCH_OBJECT).select(*KEYS, "version", "checksum", "patch")
-    stored = apply_patches(patches, target, kinds, depth).where(F.col("outcome") == "stored")
-    changes = puts.unionByName(stored.select(*KEYS, "version", "doc"))
-    return apply_changes(target, changes.withColumns({"op": F.lit("put"), "seq": F.lit(0)}))
+    # puts find no patch to try and bring their document along
+    tried = apply_patches(answers, target, kinds, depth)
+    changes = tried.withColumn("doc", F.coalesce("doc", "object")).where(F.col("doc").isNotNull())
+    changes = changes.select(*KEYS, "version", "doc", F.lit("put").alias("op"), F.lit(0).alias("seq"))
+    return apply_changes(target, changes)

@@ -4,4 +4,4 @@ from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
 
-from workload import filters, joins, ordered, projections, tables  # noqa: E402,F401
+from workload import aggregates, documents, filters, joins, ordered, projections, streams, tables  # noqa: E402,F401

@@ -10,6 +10,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lockstep.cluster import lookup, spread
+from lockstep.model import KINDS_SCHEMA
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -168,13 +171,11 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as DataFrame."""
     text = INPUTS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    rows = spark.sql(text, **used)
+    return spread(rows) if "doc" in rows.columns else rows
 
 
 def kinds(spark: SparkSession) -> DataFrame:
-    from lockstep.cluster import lookup
-    from lockstep.model import KINDS_SCHEMA
-
     return lookup(spark, KINDS, KINDS_SCHEMA)
 
 
