@@ -7,6 +7,7 @@ seconds per query. ``documents`` offers the same functions as columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from itertools import count
 
@@ -24,7 +25,9 @@ def fn(body: Body) -> str:
 
 
 def let(value: str, body: Body) -> str:
-    """Evaluate ``value`` once and use it in ``body``."""
+    """Evaluate ``value`` once and use it in ``body``; a plain name is used as it is."""
+    if re.fullmatch(r"[\w.]+", value):
+        return body(value)
     return f"transform(array({value}), {fn(body)})[0]"
 
 
@@ -69,7 +72,8 @@ def unescape(token: str) -> str:
 
 def quote(token: str) -> str:
     """JSON string literal of a text, null for null."""
-    return let(f"to_json(array({token}))", lambda j: f"if({token} IS NULL, NULL, substring({j}, 2, length({j}) - 2))")
+    listed = f"to_json(array({token}))"
+    return f"if({token} IS NULL, NULL, substring({listed}, 2, length({listed}) - 2))"
 
 
 def tokens(path: str) -> str:
@@ -78,12 +82,12 @@ def tokens(path: str) -> str:
 
 def ancestors(path: str) -> str:
     """All pointers from the root down to ``path`` itself."""
-    return let(tokens(path), lambda t: each(f"sequence(1, size({t}))", lambda n: f"array_join(slice({t}, 1, {n}), '/')"))
+    return each(f"sequence(1, size({tokens(path)}))", lambda n: f"substring_index({path}, '/', {n})")
 
 
 def enclosing(path: str) -> str:
     """All pointers strictly above ``path``."""
-    return let(ancestors(path), lambda a: f"slice({a}, 1, size({a}) - 1)")
+    return f"array_except({ancestors(path)}, array({path}))"
 
 
 def all_ancestors(paths: str) -> str:
@@ -175,33 +179,32 @@ def to_json(tree: str) -> str:
     share are closed and opened.
     """
 
-    def shared(a: str, b: str) -> str:
-        mismatch = f"array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false)"
-        return let(mismatch, lambda p: f"if({p} = 0, size({a}), cast({p} AS INT) - 1)")
-
-    def holders(t: str) -> str:
-        return f"slice({t}, 1, size({t}) - 1)"
-
     def piece(before: str, x: str) -> str:
+        # n: how many containers the previous leaf and this one share
+        mismatch = f"array_position(zip_with({before}.h, {x}.h, (a, b) -> a <=> b), false)"
+        common = f"CASE WHEN {before} IS NULL THEN 0 WHEN {mismatch} = 0 THEN size({x}.h) ELSE cast({mismatch} AS INT) - 1 END"
+
         def write(n: str) -> str:
             names = f"slice({x}.t, greatest({n}, 1) + 1, size({x}.t))"
             quoted = each(names, lambda t: f"concat({quote(unescape(t))}, ':')")
             return (
-                f"concat(if({before} IS NULL, '', concat(repeat('}}', size({before}) - 1 - {n}), ',')), "
-                f"if({n} = 0 AND size({x}.t) > 1, '{{', ''), array_join({quoted}, '{{'), {x}.value)"
+                f"concat(if({before} IS NULL, '', concat(repeat('}}', size({before}.h) - {n}), ',')), "
+                f"if({n} = 0 AND size({x}.h) > 0, '{{', ''), array_join({quoted}, '{{'), {x}.value)"
             )
 
-        common = f"if({before} IS NULL, 0, {let(holders(before), lambda a: let(holders(f'{x}.t'), lambda b: shared(a, b)))})"
         return let(common, write)
 
     def render(s: str) -> str:
-        previous = f"concat(array(cast(NULL AS array<string>)), {each(s, lambda x: f'{x}.t')})"
         b, x = f"_v{next(_names)}", f"_v{next(_names)}"
-        pieces = f"zip_with({previous}, {s}, ({b}, {x}) -> if({x} IS NULL, NULL, {piece(b, x)}))"
-        return f"concat(array_join({pieces}, ''), repeat('}}', size(element_at({s}, -1).t) - 1))"
+        pieces = f"zip_with(array_prepend({s}, NULL), {s}, ({b}, {x}) -> if({x} IS NULL, NULL, {piece(b, x)}))"
+        return f"concat(array_join({pieces}, ''), repeat('}}', size(element_at({s}, -1).h)))"
 
     def whole(tree: str) -> str:
-        rows = each(tree, lambda x: f"named_struct('t', {tokens(f'{x}.path')}, 'value', {x}.value)")
+        rows = each(
+            tree,
+            lambda x: f"named_struct('t', {tokens(f'{x}.path')}, 'value', {x}.value, "
+            f"'h', slice({tokens(f'{x}.path')}, 1, size({tokens(f'{x}.path')}) - 1))",
+        )
         return f"if(size({tree}) > 0, {let(f'array_sort({rows})', render)}, NULL)"
 
     return let(tree, whole)

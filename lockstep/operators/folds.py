@@ -12,12 +12,19 @@ from lockstep.functions import trees
 from lockstep.functions.documents import once
 
 
+def _same(value: str) -> str:
+    return value
+
+
 def fold_runs(
     state: DataFrame,
     events: DataFrame,
     keys: Sequence[str],
     step: Callable[[str, str], str],
     per_round: int = 256,
+    enter: Callable[[str], str] = _same,
+    leave: Callable[[str], str] = _same,
+    arrive: Callable[[str], str] = _same,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold ``events`` (keys, seq, event) into ``state`` (keys, state) in ``seq`` order per key.
 
@@ -25,6 +32,10 @@ def fold_runs(
     the new ``state`` and an ``emit`` value, null when nothing is emitted. Returns the new states and the emitted
     rows (keys, seq, emit).
 
+    ``enter`` and ``arrive`` turn states and events into the form ``step`` works
+    on, ``leave`` turns states back. They are applied after the shuffle, so only
+    the compact form travels.
+
     Every round takes the next ``per_round`` events of each key into one row and
     folds them there; the row_number limit is applied before the shuffle, so a
     busy key never gathers in one task. One round does when no key has more
@@ -32,8 +43,11 @@ def fold_runs(
     """
     keys = list(keys)
     by_seq = Window.partitionBy(*keys).orderBy("seq")
-    state_type = state.schema["state"].dataType.simpleString()
-    probe = state.join(events, keys).select(F.expr(step("state", "event")).alias("r"))
+    inner = state.join(events, keys).select(
+        F.expr(enter("state")).alias("state"), F.expr(arrive("event")).alias("event")
+    )
+    state_type = inner.schema["state"].dataType.simpleString()
+    probe = inner.select(F.expr(step("state", "event")).alias("r"))
     emit_type = probe.schema["r"].dataType["emit"].dataType.simpleString()
     out_type = f"array<struct<seq:bigint,emit:{emit_type}>>"
 
@@ -47,8 +61,9 @@ def fold_runs(
 
         return trees.let(step(f"{acc}.state", f"{x}.event"), settle)
 
-    start = f"named_struct('state', state, 'out', cast(array() AS {out_type}))"
-    fold = F.expr(f"if(_run IS NULL, NULL, aggregate(_run, {start}, (acc, x) -> {advance('acc', 'x')}))")
+    arrived = f"transform(_run, x -> named_struct('seq', x.seq, 'event', {arrive('x.event')}))"
+    start = f"named_struct('state', cast({enter('state')} AS {state_type}), 'out', cast(array() AS {out_type}))"
+    fold = F.expr(f"if(_run IS NULL, NULL, aggregate(_arrived, {start}, (acc, x) -> {advance('acc', 'x')}))")
 
     longest = events.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
     rounds = -(-longest // per_round)
@@ -61,7 +76,8 @@ def fold_runs(
             .agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_run"))
         )
         # one pass over the states; those without events go through untouched
-        folded = once(state.join(runs, keys, "full_outer"), "_end", fold)
+        met = state.join(runs, keys, "full_outer").withColumn("_arrived", F.expr(arrived))
+        folded = once(met, "_end", fold).drop("_arrived")
         last_round = number == rounds - 1
         folded = folded if last_round else cut(folded)
         said = folded.select(*keys, F.explode("_end.out").alias("_o")).select(*keys, "_o.*")
@@ -69,7 +85,7 @@ def fold_runs(
         if not last_round:
             done = folded.select(*keys, F.element_at("_run", -1)["seq"].alias("_done"))
             events = cut(events.join(done, keys).where(F.col("seq") > F.col("_done")).drop("_done"))
-        after = F.when(F.col("_run").isNull(), F.col("state")).otherwise(F.col("_end.state"))
+        after = F.when(F.col("_run").isNull(), F.col("state")).otherwise(F.expr(leave("_end.state")))
         state = folded.withColumn("state", after).where(F.col("state").isNotNull()).select(*keys, "state")
     if emitted is None:
         emitted = events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))

@@ -236,51 +236,62 @@ def replay(
     Returns the new store and the get requests that arise. Senders debounce per
     key, so a single round of ``fold_runs`` nearly always does.
     """
-    fields = {"event": "string", "checksum": "string", "patch": "string", "object": "string"}
-    events = messages.select(
-        *KEYS,
-        F.col("seq").cast("bigint").alias("seq"),
-        F.struct(
-            *[(F.col(f) if f in messages.columns else F.lit(None)).cast(t).alias(f) for f, t in fields.items()]
-        ).alias("event"),
-    )
-    state = store.select(
-        *KEYS, F.struct(F.col("version").cast("string").alias("version"), F.col("doc").alias("doc")).alias("state")
-    )
+    event = F.struct(*[_column(messages, c).alias(c) for c in ("event", "checksum", "patch", "object")])
+    events = messages.select(*KEYS, F.col("seq").cast("bigint").alias("seq"), event.alias("event"))
+    held = store.select(*KEYS, F.struct(F.col("doc").alias("doc")).alias("state"))
 
-    def version_of(doc: str) -> str:
-        return f"get_json_object({doc}, '${VERSION_PATH.replace('/', '.')}')"
+    # each document is unfolded once; the fold works on leaves
+    def enter(s: str) -> str:
+        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc, 'tree', {trees.leaves(f'{s}.doc', depth)}))"
 
-    def newer(offer: str, held: str) -> str:
-        a, b = (f"try_cast(if({v} RLIKE '^[+-]?[0-9]+$', {v}, NULL) AS BIGINT)" for v in (version_of(offer), version_of(held)))
-        return f"({held} IS NULL OR coalesce({a} > {b}, false))" if check else "true"
+    def leave(s: str) -> str:
+        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc))"
 
-    def step(s: str, m: str) -> str:
-        held, event = f"{s}.doc", f"{m}.event"
-        is_patch, is_put, is_verify, is_delete = (
-            f"{event} = '{e}'" for e in (PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT, DELETE_OBJECT)
+    def arrive(m: str) -> str:
+        return (
+            f"named_struct('event', {m}.event, 'checksum', {m}.checksum, 'object', {m}.object, "
+            f"'leaves', {trees.leaves(f'if({m}.event = {trees.text(PATCH_OBJECT)}, {m}.patch, {m}.object)', depth)})"
         )
-        merged = trees.to_json(trees.patch(trees.leaves(held, depth), trees.leaves(f"{m}.patch", depth)))
-
-        def settle(offer: str) -> str:
-            fits = f"coalesce({trees.checksum(f'if({is_patch}, {offer}, {held})')} = {m}.checksum, false)"
 
-            def outcome(ok: str) -> str:
-                stored = f"named_struct('version', {version_of(offer)}, 'doc', {offer})"
-                after = (
-                    f"CASE WHEN {is_delete} THEN NULL"
-                    f" WHEN ({is_put} OR ({is_patch} AND {ok})) AND {newer(offer, held)} THEN {stored} ELSE {s} END"
-                )
-                base = f"if({is_patch} OR {trees.parsed(held)} IS NOT NULL, {held}, NULL)"
-                ask = f"if(({is_patch} OR {is_verify}) AND NOT {ok}, named_struct('base_object', {base}), NULL)"
-                return f"named_struct('state', {after}, 'emit', {ask})"
+    def number(tree: str) -> str:
+        digits = f"trim('\"' FROM {trees.leaf(tree, VERSION_PATH)})"
+        return f"try_cast(if({digits} RLIKE '^[+-]?[0-9]+$', {digits}, NULL) AS BIGINT)"
 
-            return trees.let(f"if({is_patch} OR {is_verify}, {fits}, true)", outcome)
+    def step(s: str, m: str) -> str:
+        is_patch, is_put, is_verify, is_delete = (
+            f"{m}.event = '{e}'" for e in (PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT, DELETE_OBJECT)
+        )
+        # what the message offers to store: for a patch the merged leaves and their text
+        offered = f"if({is_patch}, {trees.patch(f'{s}.tree', f'{m}.leaves')}, {m}.leaves)"
+
+        def settle(o: str) -> str:
+            fits = f"coalesce({trees.checksum(f'{o}.doc')} = {m}.checksum, false)"
+            newer = f"({s}.doc IS NULL OR coalesce({number(f'{o}.tree')} > {number(f'{s}.tree')}, false))" if check else "true"
+            stored = f"named_struct('doc', {o}.doc, 'tree', {o}.tree)"
+            after = (
+                f"CASE WHEN {is_delete} THEN NULL"
+                f" WHEN ({is_put} OR ({is_patch} AND {fits})) AND {newer} THEN {stored} ELSE {s} END"
+            )
+            base = f"if({is_patch} OR {s}.tree IS NOT NULL, {s}.doc, NULL)"
+            ask = f"if(({is_patch} OR {is_verify}) AND NOT {fits}, named_struct('base_object', {base}), NULL)"
+            return f"named_struct('state', {after}, 'emit', {ask})"
+
+        def told(tree: str) -> str:
+            text = f"CASE WHEN {is_patch} THEN {trees.to_json(tree)} WHEN {is_verify} THEN {s}.doc ELSE {m}.object END"
+            return trees.let(f"named_struct('tree', {tree}, 'doc', {text})", settle)
+
+        return trees.let(offered, told)
+
+    after, asked = fold_runs(held, events, KEYS, step, per_round, enter, leave, arrive)
+    version = F.get_json_object("state.doc", "$" + VERSION_PATH.replace("/", "."))
+    return (
+        after.select(*KEYS, version.alias("version"), "state.doc"),
+        asked.select(*KEYS, "seq", F.col("emit.base_object").alias("base_object")),
+    )
 
-        return trees.let(f"if({is_patch}, {merged}, {m}.object)", settle)
 
-    after, asked = fold_runs(state, events, KEYS, step, per_round)
-    return after.select(*KEYS, "state.*"), asked.select(*KEYS, "seq", F.col("emit.base_object").alias("base_object"))
+def _column(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
 def fold_batches(
