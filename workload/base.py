@@ -200,6 +200,8 @@ def query(name: str, oracle: str | None = None):
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the tables hold naive UTC times
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
