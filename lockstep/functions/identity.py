@@ -92,14 +92,13 @@ def identity_from_object(doc: str) -> Column:
 
 
 def _version_text(value: str) -> str:
-    number = f"if({value} RLIKE '^[+-]?[0-9]+$', try_cast({value} AS BIGINT), NULL)"
-    return f"coalesce({number}, cast(0 AS BIGINT))"
+    return f"coalesce({trees.integer(value)}, cast(0 AS BIGINT))"
 
 
 def _integer(text: Column) -> Column:
     """The integer a text holds, null for anything else; surrounding blanks do not count."""
     text = text.cast("string")
-    return F.when(text.rlike(r"^[+-]?[0-9]+\z"), text.try_cast("bigint"))
+    return F.when(text.rlike(trees.INTEGER), text.try_cast("bigint"))
 
 
 def to_version(text: Column) -> Column:

@@ -15,6 +15,9 @@ from lockstep.model import MASK
 
 Body = Callable[[str], str]
 
+# Text that is an integer and nothing else.
+INTEGER = r"^[+-]?[0-9]+\z"
+
 _names = count()
 
 
@@ -48,6 +51,11 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def integer(value: str) -> str:
+    """The integer a text holds, null for anything else."""
+    return f"if({value} RLIKE {text(INTEGER)}, try_cast({value} AS BIGINT), NULL)"
+
+
 def pair(path: str, value: str) -> str:
     return f"named_struct('path', {path}, 'value', {value})"
 

@@ -138,7 +138,7 @@ def fold_puts(puts: DataFrame, order: str = "seq") -> DataFrame:
     readable; see ``quarantine``.
     """
     rest = [c for c in puts.columns if c not in KEYS]
-    numeric = F.col("version").cast("string").rlike(r"^[+-]?[0-9]+\z")
+    numeric = F.col("version").cast("string").rlike(trees.INTEGER)
     rank = F.when(numeric, F.struct(to_version(F.col("version")), -F.col(order)))
     folded = puts.groupBy(*KEYS).agg(
         F.min_by(F.struct(*rest), order).alias("_first"),
@@ -255,7 +255,7 @@ def replay(
 
     def number(tree: str) -> str:
         digits = f"trim('\"' FROM {trees.leaf(tree, VERSION_PATH)})"
-        return f"try_cast(if({digits} RLIKE '^[+-]?[0-9]+$', {digits}, NULL) AS BIGINT)"
+        return trees.integer(digits)
 
     def step(s: str, m: str) -> str:
         is_patch, is_put, is_verify, is_delete = (
