@@ -159,11 +159,24 @@ def supports_batch(version: Column) -> Column:
     return F.coalesce((version != "") & semver_ge(version, F.lit(BATCH_VERSION)), F.lit(False))
 
 
-def lineage(df: DataFrame, depth: str = "depth", msg_id: str = "msg_id") -> DataFrame:
-    """Lineage of an outgoing message: one level deeper, same id, a new id where none came in."""
+def derived_id(*parts: Column) -> Column:
+    """A message id in UUID form that depends on ``parts`` alone.
+
+    Unlike a random one it survives the recomputation of a lost task.
+    """
+    digest = F.md5(F.to_json(F.struct(*parts)).cast("binary"))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def lineage(
+    df: DataFrame, depth: str = "depth", msg_id: str = "msg_id", new_id: Column | None = None
+) -> DataFrame:
+    """Lineage of an outgoing message: one level deeper, same id, a new id where none came in.
+
+    ``new_id`` replaces the random id; give one that is derived from the row for
+    results that are written more than once.
+    """
+    fresh = F.uuid() if new_id is None else new_id
     return df.withColumns(
-        {
-            depth: F.coalesce(F.col(depth), F.lit(0)) + 1,
-            msg_id: F.coalesce(F.col(msg_id).cast("string"), F.uuid()),
-        }
+        {depth: F.coalesce(F.col(depth), F.lit(0)) + 1, msg_id: F.coalesce(F.col(msg_id).cast("string"), fresh)}
     )

@@ -18,6 +18,9 @@ Body = Callable[[str], str]
 # Text that is an integer and nothing else.
 INTEGER = r"^[+-]?[0-9]+\z"
 
+# Text that needs no escaping inside a JSON string.
+PLAIN = r"^[0-9A-Za-z_ .:/@+-]*\z"
+
 _names = count()
 
 
@@ -75,13 +78,16 @@ def escape(token: str) -> str:
 
 
 def unescape(token: str) -> str:
-    return f"replace(replace({token}, '~1', '/'), '~0', '~')"
+    return f"if(contains({token}, '~'), replace(replace({token}, '~1', '/'), '~0', '~'), {token})"
 
 
 def quote(token: str) -> str:
     """JSON string literal of a text, null for null."""
     listed = f"to_json(array({token}))"
-    return f"if({token} IS NULL, NULL, substring({listed}, 2, length({listed}) - 2))"
+    return (
+        f"CASE WHEN {token} IS NULL THEN NULL WHEN {token} RLIKE {text(PLAIN)} THEN concat('\"', {token}, '\"') "
+        f"ELSE substring({listed}, 2, length({listed}) - 2) END"
+    )
 
 
 def tokens(path: str) -> str:
@@ -95,7 +101,8 @@ def ancestors(path: str) -> str:
 
 def enclosing(path: str) -> str:
     """All pointers strictly above ``path``."""
-    return f"array_except({ancestors(path)}, array({path}))"
+    above = each(f"sequence(1, size({tokens(path)}) - 1)", lambda n: f"substring_index({path}, '/', {n})")
+    return f"if({path} = '', cast(array() AS array<string>), {above})"
 
 
 def all_ancestors(paths: str) -> str:
@@ -188,19 +195,18 @@ def to_json(tree: str) -> str:
     """
 
     def piece(before: str, x: str) -> str:
-        # n: how many containers the previous leaf and this one share
-        mismatch = f"array_position(zip_with({before}.h, {x}.h, (a, b) -> a <=> b), false)"
-        common = f"CASE WHEN {before} IS NULL THEN 0 WHEN {mismatch} = 0 THEN size({x}.h) ELSE cast({mismatch} AS INT) - 1 END"
-
         def write(n: str) -> str:
-            names = f"slice({x}.t, greatest({n}, 1) + 1, size({x}.t))"
-            quoted = each(names, lambda t: f"concat({quote(unescape(t))}, ':')")
+            # n: how many containers the previous leaf and this one share
+            quoted = each(
+                f"slice({x}.t, greatest({n}, 1) + 1, size({x}.t))",
+                lambda t: let(unescape(t), lambda u: f"concat({quote(u)}, ':')"),
+            )
             return (
                 f"concat(if({before} IS NULL, '', concat(repeat('}}', size({before}.h) - {n}), ',')), "
                 f"if({n} = 0 AND size({x}.h) > 0, '{{', ''), array_join({quoted}, '{{'), {x}.value)"
             )
 
-        return let(common, write)
+        return let(f"if({before} IS NULL, 0, size(array_intersect({before}.h, {x}.h)))", write)
 
     def render(s: str) -> str:
         b, x = f"_v{next(_names)}", f"_v{next(_names)}"
@@ -208,10 +214,11 @@ def to_json(tree: str) -> str:
         return f"concat(array_join({pieces}, ''), repeat('}}', size(element_at({s}, -1).h)))"
 
     def whole(tree: str) -> str:
+        # k sorts the members of an object next to each other; h holds the containers of the leaf
         rows = each(
             tree,
-            lambda x: f"named_struct('t', {tokens(f'{x}.path')}, 'value', {x}.value, "
-            f"'h', slice({tokens(f'{x}.path')}, 1, size({tokens(f'{x}.path')}) - 1))",
+            lambda x: f"named_struct('k', translate({x}.path, '/', chr(1)), 't', {tokens(f'{x}.path')}, "
+            f"'h', {enclosing(f'{x}.path')}, 'value', {x}.value)",
         )
         return f"if(size({tree}) > 0, {let(f'array_sort({rows})', render)}, NULL)"
 

@@ -67,7 +67,11 @@ def fold_runs(
 
     longest = events.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0
     rounds = -(-longest // per_round)
-    emitted = None
+    if not rounds:
+        return state, events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))
+
+    touched = events.select(*keys).distinct()
+    active, emitted = state, None
     for number in range(rounds):
         runs = (
             events.withColumn("_n", F.row_number().over(by_seq))
@@ -75,18 +79,19 @@ def fold_runs(
             .groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_run"))
         )
-        # one pass over the states; those without events go through untouched
-        met = state.join(runs, keys, "full_outer").withColumn("_arrived", F.expr(arrived))
-        folded = once(met, "_end", fold).drop("_arrived")
-        last_round = number == rounds - 1
-        folded = folded if last_round else cut(folded)
-        said = folded.select(*keys, F.explode("_end.out").alias("_o")).select(*keys, "_o.*")
+        # every touched key has a run in the first round; the states of the others stay where they are
+        met = runs.join(active, keys, "left") if number == 0 else active.join(runs, keys, "left")
+        folded = once(met.withColumn("_arrived", F.expr(arrived)), "_end", fold)
+        after = F.when(F.col("_run").isNull(), F.col("state")).otherwise(F.expr(leave("_end.state")))
+        # states and emitted rows come from one computation; its size follows the events
+        folded = cut(
+            folded.select(*keys, after.alias("state"), "_end.out", F.element_at("_run", -1)["seq"].alias("_done"))
+        )
+        said = folded.select(*keys, F.explode("out").alias("_o")).select(*keys, "_o.*")
         emitted = said if emitted is None else emitted.unionByName(said)
-        if not last_round:
-            done = folded.select(*keys, F.element_at("_run", -1)["seq"].alias("_done"))
+        active = folded.select(*keys, "state")
+        if number < rounds - 1:
+            done = folded.where(F.col("_done").isNotNull()).select(*keys, "_done")
             events = cut(events.join(done, keys).where(F.col("seq") > F.col("_done")).drop("_done"))
-        after = F.when(F.col("_run").isNull(), F.col("state")).otherwise(F.expr(leave("_end.state")))
-        state = folded.withColumn("state", after).where(F.col("state").isNotNull()).select(*keys, "state")
-    if emitted is None:
-        emitted = events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))
-    return state, emitted
+    untouched = state.join(touched, keys, "left_anti")
+    return untouched.unionByName(active.where(F.col("state").isNotNull())), emitted

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.functions.documents import is_valid
+from lockstep.functions.documents import is_valid, once
 from lockstep.functions.identity import kind_text, parse_kind
 from lockstep.model import (
     DELETE_OBJECT,
@@ -55,10 +55,9 @@ def decode_socket_messages(df: DataFrame, payload: str = "payload") -> DataFrame
         .when(F.col("event").isNull(), "unknown event")
     )
     kind = F.col("_h.Kind")
+    parsed = once(df.withColumn("_h", header).withColumn("event", name), "error", error)
     return (
-        df.withColumn("_h", header)
-        .withColumns({"event": name})
-        .withColumns({"_b": item, "batch": batch, "error": error})
+        parsed.withColumns({"_b": item, "batch": batch})
         .withColumns(
             {
                 "depth": F.coalesce(F.col("_h.Depth"), F.lit(0)),
@@ -97,7 +96,7 @@ def decode_log_messages(df: DataFrame, payload: str = "payload", event: str = "e
         .when(bad_kind, "unknown kind")
     )
     return (
-        df.withColumn("_b", body)
+        once(df.withColumn("_b", body), "error", error)
         .withColumns(
             {
                 "msg_id": F.col("_b.msgId"),
@@ -110,7 +109,6 @@ def decode_log_messages(df: DataFrame, payload: str = "payload", event: str = "e
                 "base_object": raw("baseObject"),
                 "patch": F.when(F.col(event) == PATCH_OBJECT, raw("patch")),
                 "object": F.when(F.col(event) == PUT_OBJECT, raw("patch")),
-                "error": error,
             }
         )
         .drop("_b")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
-from lockstep.functions.identity import lineage
+from lockstep.functions.identity import derived_id, lineage
 from lockstep.model import GET_OBJECT
 from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
@@ -51,7 +51,8 @@ def cluster_to_backend(changes: DataFrame, kinds: DataFrame, account: str, clust
         }
     )
     guarded = guards.size_guard(guards.mute_accounts(messages, s.muted_accounts), s.max_bytes, payload="object")
-    return envelope(lineage(guarded), s.own_key)
+    new_id = derived_id(*[F.col(c) for c in ("account", "cluster", *KEYS, "event", "ts", "seq")])
+    return envelope(lineage(guarded, new_id=new_id), s.own_key)
 
 
 @dataclass

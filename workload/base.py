@@ -163,16 +163,18 @@ KINDS = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; ``heavy`` work per row is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived input as DataFrame."""
+def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool | None = None) -> DataFrame:
+    """A derived input as DataFrame; inputs with documents are spread over the cores."""
     text = INPUTS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     rows = spark.sql(text, **used)
-    return spread(rows) if "doc" in rows.columns else rows
+    return spread(rows) if heavy or (heavy is None and "doc" in rows.columns) else rows
 
 
 def kinds(spark: SparkSession) -> DataFrame:

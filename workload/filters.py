@@ -190,7 +190,7 @@ FROM {orders}
     """,
 )
 def validate_ingest(spark, sf_dir):
-    requests = spark.sql(REQUESTS, orders=table(spark, sf_dir, "orders"))
+    requests = spark.sql(REQUESTS, orders=table(spark, sf_dir, "orders", heavy=True))
     return guards.validate_ingest(requests, ROUTES).select("o_orderkey", "status")
 
 

@@ -66,7 +66,7 @@ FROM {part}
     """,
 )
 def identity_from_object(spark, sf_dir):
-    rows = spark.sql(OBJECT_TEXT, part=table(spark, sf_dir, "part"))
+    rows = spark.sql(OBJECT_TEXT, part=table(spark, sf_dir, "part", heavy=True))
     return rows.withColumn("i", ident.identity_from_object("doc")).select("p_partkey", "i.*")
 
 
@@ -156,7 +156,7 @@ FROM {customer}
     """,
 )
 def clean(spark, sf_dir):
-    rows = spark.sql(NODES, customer=table(spark, sf_dir, "customer"))
+    rows = spark.sql(NODES, customer=table(spark, sf_dir, "customer", heavy=True))
     return clean_objects(rows).select("id", "doc")
 
 
@@ -167,7 +167,7 @@ def clean(spark, sf_dir):
     """,
 )
 def stamp(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part", heavy=True).select(
         "p_partkey", F.lit("shop/v1/parts").alias("kind"), F.to_json(F.struct(F.col("p_name").alias("name"))).alias("doc")
     )
     return stamp_type(rows, "'Part'").select("p_partkey", "doc")
@@ -195,7 +195,7 @@ FROM (SELECT p_partkey, p_type,
     """,
 )
 def mask_values(spark, sf_dir):
-    rows = spark.sql(WORKLOADS, part=table(spark, sf_dir, "part"))
+    rows = spark.sql(WORKLOADS, part=table(spark, sf_dir, "part", heavy=True))
     return mask_env(rows, depth=8).select("p_partkey", "doc")
 
 
@@ -252,7 +252,7 @@ def merge_metadata_query(spark, sf_dir):
 def checksum(spark, sf_dir):
     doc = F.when(F.col("event_type") == "click", F.concat("props", F.lit("}"))).otherwise(F.col("props"))
     noted = F.when(F.col("event_type") == "view", F.lit("known"))
-    events = table(spark, sf_dir, "events").withColumns({"doc": doc, "noted": noted})
+    events = table(spark, sf_dir, "events", heavy=True).withColumns({"doc": doc, "noted": noted})
     return events.select("event_id", docs.checksum("doc", "noted").alias("checksum"))
 
 
@@ -271,7 +271,7 @@ def json_equal(spark, sf_dir):
         .when(kind == "error", F.concat(a, F.lit("}")))
         .otherwise(F.concat(F.lit('{"a":2,"p":'), props, F.lit("}")))
     )
-    events = table(spark, sf_dir, "events").withColumns({"a": a, "b": b})
+    events = table(spark, sf_dir, "events", heavy=True).withColumns({"a": a, "b": b})
     return events.select("event_id", docs.json_equal("a", "b").cast("int").alias("equal"))
 
 
@@ -311,7 +311,7 @@ def decode_messages(spark, sf_dir):
 
 def socket_rows(spark, sf_dir):
     """Socket messages: some empty, some cut off, some with an unknown number."""
-    return spark.sql(SOCKET, messages=derived(spark, sf_dir, "messages"))
+    return spark.sql(SOCKET, messages=derived(spark, sf_dir, "messages", heavy=True))
 
 
 @query(
@@ -326,7 +326,7 @@ def socket_rows(spark, sf_dir):
     """,
 )
 def decode_log(spark, sf_dir):
-    rows = derived(spark, sf_dir, "messages").withColumns(
+    rows = derived(spark, sf_dir, "messages", heavy=True).withColumns(
         {"object": F.col("payload"), "patch": F.col("payload"), "checksum": F.lit("k")}
     )
     sent = rows.select(

@@ -106,7 +106,7 @@ def message_scan(spark, sf_dir):
 )
 def message_envelope(spark, sf_dir):
     payload = F.col("payload")
-    rows = derived(spark, sf_dir, "messages").withColumns(
+    rows = derived(spark, sf_dir, "messages", heavy=True).withColumns(
         {"checksum": F.sha2(payload, 256), "object": payload, "patch": payload, "base_object": payload}
     )
     names = [
