@@ -68,13 +68,18 @@ def members(v: str) -> str:
     return f"try_variant_get({v}, '$', 'map<string,variant>')"
 
 
+def is_nested(v: str) -> str:
+    """Whether a variant is an object with members."""
+    return f"coalesce(size({members(v)}), 0) > 0"
+
+
 def items(v: str) -> str:
     """Items of a variant array, null for any other variant."""
     return f"try_variant_get({v}, '$', 'array<variant>')"
 
 
 def escape(token: str) -> str:
-    return f"replace(replace({token}, '~', '~0'), '/', '~1')"
+    return f"if({token} RLIKE '[~/]', replace(replace({token}, '~', '~0'), '/', '~1'), {token})"
 
 
 def unescape(token: str) -> str:
@@ -162,12 +167,13 @@ def leaves(doc: str, depth: int) -> str:
             f"map_entries({members(f'{x}.v')})",
             lambda e: f"named_struct('path', concat({x}.path, '/', {escape(f'{e}.key')}), 'v', {e}.value)",
         )
-        return let(children, lambda c: f"if(coalesce(size({c}), 0) > 0, {c}, array({x}))")
+        # most entries are values already, so the test comes first
+        return f"if({is_nested(f'{x}.v')}, {children}, array({x}))"
 
     def close(x: str) -> str:
         message = text(f"document nests deeper than {depth} objects")
         return (
-            f"if(coalesce(size({members(f'{x}.v')}), 0) > 0, raise_error({message}), "
+            f"if({is_nested(f'{x}.v')}, raise_error({message}), "
             + pair(f"{x}.path", f"coalesce(to_json({x}.v), 'null')")
             + ")"
         )

@@ -65,7 +65,9 @@ def encode_changes(df: DataFrame, base: str, strategy: str, depth: int = docs.DE
     )
     kept = trees_of.withColumn("_kept", F.explode(F.expr(useful)))
     change = "_kept.leaves"
-    merged = trees.to_json(trees.patch("_old", change))
+    # Merging leads to the new document, except that explicit nulls vanish from it.
+    has_null = trees.some("_new", lambda x: f"{x}.value = 'null'")
+    merged = f"if({has_null}, {trees.to_json(trees.patch('_old', change))}, doc)"
     is_patch = f"{change} IS NOT NULL"
     return kept.withColumns(
         {
