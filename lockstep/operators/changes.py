@@ -54,15 +54,26 @@ def change_ops(
     else:
         rows = rows.join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
 
-    modified = rows.where(op == "Modified").withColumn("_base", F.col("_known.doc")).drop("_known")
-    sent = encode_changes(modified, "_base", "_strategy", depth)
-    others = (
-        changes.where(op.isin("Added", "Deleted"))
-        .withColumn("event", F.when(op == "Added", VERIFY_OBJECT).otherwise(DELETE_OBJECT))
-        .withColumn("checksum", F.when(op == "Added", docs.checksum("doc")))
-        .drop("doc")
+    # one pass: without a strategy a row keeps its document whole
+    rows = rows.where(op.isin("Added", "Modified", "Deleted")).withColumns(
+        {
+            "_strategy": F.when(op == "Modified", F.col("_strategy")),
+            "doc": F.when(op != "Deleted", F.col("doc")),
+            "_base": F.col("_known.doc"),
+        }
+    )
+    return (
+        encode_changes(rows, "_base", "_strategy", depth)
+        .withColumns(
+            {
+                "event": F.when(op == "Added", VERIFY_OBJECT)
+                .when(op == "Deleted", DELETE_OBJECT)
+                .otherwise(F.col("event")),
+                "object": F.when(op == "Modified", F.col("object")),
+            }
+        )
+        .drop("_base", "_strategy", "_known")
     )
-    return sent.drop("_base", "_strategy").unionByName(others, allowMissingColumns=True)
 
 
 def resume_points(snapshot: DataFrame) -> DataFrame:

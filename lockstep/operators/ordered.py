@@ -88,7 +88,7 @@ def sessions(
     Rows whose time falls into the same gap-wide cell always share a session, so
     cells are pre-aggregated before any ordering. Cells are then chained inside
     slices of ``slice_gaps`` cells, and only sessions that reach a slice border
-    are looked at across slices.
+    meet across slices: at most two per key and slice.
     """
     gap = gap_seconds * 1_000_000
     rest = [c for c in df.columns if c not in keys]
@@ -124,10 +124,10 @@ def sessions(
     width = slice_gaps * gap
     low = F.col("_slice") * width
     border = (F.col("_from") - low <= gap) | (low + width - F.col("_to") <= gap)
-    local = chain(cells, [*keys, "_slice"]).withColumn("_border", border)
-    whole = local.where(~F.col("_border")).drop("_slice", "_border")
-    joined = chain(local.where("_border").drop("_slice", "_border"), keys)
-    return whole.unionByName(joined).select(
+    local = chain(cells, [*keys, "_slice"])
+    # border sessions of a key form one group, every other session is its own
+    group = F.when(~border, F.col("_from"))
+    return chain(local.withColumn("_group", group), [*keys, "_group"]).select(
         *keys,
         F.timestamp_micros("_from").alias("session_start"),
         F.timestamp_micros("_to").alias("session_end"),

@@ -99,6 +99,20 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).partitionBy("kind").mode("errorifexists").save(path)
 
 
+def write_store(df: DataFrame, table: str, path: str, buckets: int) -> None:
+    """A store as bucketed table, so that joins on the object key do not shuffle it again.
+
+    Choose ``buckets`` so that one bucket fits a task; every operator that joins
+    with the store then moves only its other side.
+    """
+    keys = ["kind", "ns", "name"]
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).mode("errorifexists").saveAsTable(table)
+
+
+def read_store(spark: SparkSession, table: str) -> DataFrame:
+    return spark.table(table)
+
+
 def write_messages(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Envelopes appended to the message log."""
     df.write.format(fmt).mode("append").save(path)

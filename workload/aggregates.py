@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lockstep.cluster import checked_broadcast
 from lockstep.operators import batches as bt
 from lockstep.operators import clients as cl
 from lockstep.operators.guards import reconcile_targets
@@ -71,7 +72,7 @@ def connected_report(spark, sf_dir):
     reports = cl.connected_report(clients, max_clients=500)
     totals = reports.groupBy("server", "tick").agg(F.sum("n_clients").alias("reported"))
     listed = reports.select("server", "tick", F.explode("clients").alias("c"))
-    return listed.join(totals, ["server", "tick"]).select(
+    return listed.join(checked_broadcast(totals), ["server", "tick"]).select(
         "server", "tick", "c.account", "c.cluster", "c.sync_version", "reported"
     )
 
