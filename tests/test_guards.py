@@ -78,35 +78,35 @@ def test_long_lookups_are_not_broadcast(spark):
     assert many.count() == MAX_LOOKUP_ROWS + 1
 
 
-ALERT = json.dumps({"apiVersion": "test-ks/v1", "kind": "Alerts", "metadata": {"name": "N"}})
+ALERT = json.dumps({"apiVersion": "demo/v1", "kind": "Alerts", "metadata": {"name": "N"}})
 
 
 @pytest.mark.parametrize(
     "method, path, body, status",
     [
-        ("POST", "/apis/v1/test-ks/v1/alerts", ALERT, 202),
-        ("POST", "/APIS/V1/Test-KS/v1/Alerts", ALERT, 202),
-        ("POST", "/apis/v1/test-ks/v1", ALERT, 400),
-        ("POST", "/apis/v1/test-ks/v1/alerts/x", ALERT, 400),
-        ("POST", "apis/v1/test-ks/v1/alerts/", ALERT, 400),
-        ("POST", "/apis/v2/test-ks/v1/alerts", ALERT, 400),
+        ("POST", "/apis/v1/demo/v1/alerts", ALERT, 202),
+        ("POST", "/APIS/V1/Demo/v1/Alerts", ALERT, 202),
+        ("POST", "/apis/v1/demo/v1", ALERT, 400),
+        ("POST", "/apis/v1/demo/v1/alerts/x", ALERT, 400),
+        ("POST", "apis/v1/demo/v1/alerts/", ALERT, 400),
+        ("POST", "/apis/v2/demo/v1/alerts", ALERT, 400),
         ("POST", "/apis/v1//v1/alerts", ALERT, 400),
-        ("PUT", "/apis/v1/test-ks/v1/alerts", ALERT, 405),
-        ("DELETE", "/apis/v1/test-ks/v1/alerts", ALERT, 405),
-        ("COPY", "/apis/v1/test-ks/v1/alerts", ALERT, 202),
+        ("PUT", "/apis/v1/demo/v1/alerts", ALERT, 405),
+        ("DELETE", "/apis/v1/demo/v1/alerts", ALERT, 405),
+        ("COPY", "/apis/v1/demo/v1/alerts", ALERT, 202),
         ("POST", "/apis/v1/other/v1/alerts", ALERT, 404),
-        ("POST", "/apis/v1/test-ks/v2/alerts", ALERT, 404),
-        ("POST", "/apis/v1/test-ks/v1/other", ALERT, 404),
-        ("POST", "/apis/v1/test-ks/v1/alerts", None, 400),
-        ("POST", "/apis/v1/test-ks/v1/alerts", "", 500),
-        ("POST", "/apis/v1/test-ks/v1/alerts", "no json", 500),
-        ("POST", "/apis/v1/test-ks/v1/alerts", '{"apiVersion":"test-ks/v1"}', 500),
-        ("POST", "/apis/v1/test-ks/v1/alerts", ALERT.replace("Alerts", "Other"), 400),
+        ("POST", "/apis/v1/demo/v2/alerts", ALERT, 404),
+        ("POST", "/apis/v1/demo/v1/other", ALERT, 404),
+        ("POST", "/apis/v1/demo/v1/alerts", None, 400),
+        ("POST", "/apis/v1/demo/v1/alerts", "", 500),
+        ("POST", "/apis/v1/demo/v1/alerts", "no json", 500),
+        ("POST", "/apis/v1/demo/v1/alerts", '{"apiVersion":"demo/v1"}', 500),
+        ("POST", "/apis/v1/demo/v1/alerts", ALERT.replace("Alerts", "Other"), 400),
     ],
 )
 def test_ingest(spark, method, path, body, status):
     df = spark.createDataFrame([(method, path, body)], "method string, path string, body string")
-    row = guards.validate_ingest(df, [("copy", "test-ks", "v1", "alerts")]).first()
+    row = guards.validate_ingest(df, [("copy", "demo", "v1", "alerts")]).first()
     assert row.status == status
     assert (row.identity is not None) == (status == 202)
     if status == 202:
