@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions import trees
+from lockstep.model import LEAVES
 
 # Levels of nested objects unfolded unless the caller says otherwise. A deeper
 # document fails the job rather than being cut; see ``object_depth``.
 DEFAULT_DEPTH = 6
 
-NO_LEAVES = "cast(array() AS array<struct<path:string,value:string>>)"
+NO_LEAVES = f"cast(array() AS {LEAVES})"
 
 
 def parsed(doc: str) -> Column:

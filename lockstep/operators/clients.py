@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.cluster import checked_broadcast
+from lockstep.model import RECONCILIATION_REQUEST, RECONCILIATION_REQUEST_BATCH
 from lockstep.operators.chunks import chunked
 from lockstep.operators.ordered import HOUR, state_before
 
@@ -85,10 +86,12 @@ def request_batch(targets: DataFrame, max_requests: int = 10_000) -> DataFrame:
         chunked(whole.withColumn("_all", F.lit(0)), ["_all"], max_requests, CLIENT)
         .groupBy("part")
         .agg(F.array_sort(F.collect_list(F.struct(*CLIENT, "server_initiated"))).alias("requests"))
-        .withColumn("n_requests", F.size("requests"))
+        .withColumns({"n_requests": F.size("requests"), "event": F.lit(RECONCILIATION_REQUEST_BATCH)})
     )
 
 
 def request_messages(targets: DataFrame) -> DataFrame:
     """One request message per client."""
-    return targets.select(*CLIENT, F.lit(True).alias("server_initiated"))
+    return targets.select(
+        *CLIENT, F.lit(True).alias("server_initiated"), F.lit(RECONCILIATION_REQUEST).alias("event")
+    )

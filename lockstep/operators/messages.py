@@ -63,7 +63,8 @@ def decode_socket_messages(df: DataFrame, payload: str = "payload") -> DataFrame
                 "depth": F.coalesce(F.col("_h.Depth"), F.lit(0)),
                 "msg_id": F.col("_h.MsgId"),
                 "kind": F.when(kind.isNotNull(), kind_text(kind["Group"], kind["Version"], kind["Resource"])),
-                "ns": F.col("_b.Namespace"),
+                # a cluster-wide object has no namespace on the wire and an empty one here
+                "ns": F.when(F.col("_b").isNotNull(), F.coalesce("_b.Namespace", F.lit(""))),
                 "name": F.col("_b.Name"),
                 "version": F.col("_b.ResourceVersion"),
                 "checksum": F.col("_b.Checksum"),
@@ -102,7 +103,7 @@ def decode_log_messages(df: DataFrame, payload: str = "payload", event: str = "e
                 "msg_id": F.col("_b.msgId"),
                 "depth": F.coalesce(F.col("_b.depth"), F.lit(0)),
                 "kind": F.col("_b.kind"),
-                "ns": F.col("_b.namespace"),
+                "ns": F.when(F.col("_b").isNotNull(), F.coalesce("_b.namespace", F.lit(""))),
                 "name": F.col("_b.name"),
                 "version": F.col("_b.resourceVersion"),
                 "checksum": F.col("_b.checksum"),

@@ -113,6 +113,15 @@ def read_store(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
 
 
+def as_kafka(log: DataFrame) -> DataFrame:
+    """Envelopes in the columns of a Kafka sink; properties become headers."""
+    headers = F.transform(
+        F.map_entries("properties"),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].cast("binary").alias("value")),
+    )
+    return log.select("key", F.col("payload").alias("value"), headers.alias("headers"))
+
+
 def write_messages(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Envelopes appended to the message log."""
     df.write.format(fmt).mode("append").save(path)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lockstep.functions import documents as docs
-from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, RECONCILIATION_REQUEST, SERVER_CONNECTED
+from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, SERVER_CONNECTED
 from lockstep.operators.changes import change_ops
-from lockstep.operators.clients import CLIENT
+from lockstep.operators.clients import CLIENT, request_messages
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import reconcile_targets
 from lockstep.operators.messages import merge_message_streams
@@ -216,9 +216,7 @@ def reconcile_tick(
     Source and target carry account and cluster beside the object key.
     """
     due = reconcile_targets(clients, now, min_age_seconds)
-    requests = due.select(
-        *CLIENT, F.lit(True).alias("server_initiated"), F.lit(RECONCILIATION_REQUEST).alias("event")
-    )
+    requests = request_messages(due)
     who = due.select(*CLIENT).distinct()
     mine = source.join(who, CLIENT, "left_semi")
     theirs = target.join(who, CLIENT, "left_semi")

@@ -129,3 +129,8 @@ def test_reconcile_targets(spark):
         "n string, t string, sync_version string",
     ).withColumn("connection_time", F.col("t").cast("timestamp"))
     assert names(guards.reconcile_targets(df, now, 3600)) == {"exact"}
+
+
+def test_ingest_without_routes(spark):
+    df = spark.createDataFrame([("POST", "/apis/v1/demo/v1/alerts", ALERT)], "method string, path string, body string")
+    assert guards.validate_ingest(df, []).first().status == 405

@@ -9,6 +9,7 @@ from lockstep.operators import clients as cl
 from lockstep.operators import messages as msg
 from lockstep.operators.chunks import chunked
 from lockstep.operators.guards import quarantine
+from lockstep.sources import tables as io
 from tests.helpers import rows
 
 
@@ -167,3 +168,16 @@ def test_metrics(spark):
     df = spark.createDataFrame([("success", "GetObject", "r", "a", "c", "é"), ("success", "GetObject", "r", "a", "c", None)],
                                "status string, event_type string, kind string, account string, cluster string, payload string")
     assert rows(msg.message_metrics(df), "n_messages", "payload_bytes") == [(2, 2)]
+
+
+def test_kafka_columns(spark):
+    row = io.as_kafka(msg.envelope(wide(spark, "GetObject"), "own")).first()
+    assert {h["key"]: bytes(h["value"]).decode() for h in row.headers}["event"] == "GetObject"
+    assert row.key == "own" and json.loads(row.value)["name"] == "n"
+
+
+def test_cluster_wide_objects_have_an_empty_namespace(spark):
+    body = {"Event": 0, "Name": "node", "Kind": {"Group": "", "Version": "v1", "Resource": "nodes"}}
+    assert socket(spark, body).first().ns == ""
+    log = spark.createDataFrame([("VerifyObject", '{"kind":"/v1/nodes","name":"node"}')], "event string, payload string")
+    assert msg.decode_log_messages(log).first().ns == ""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lockstep.cluster import checked_broadcast
+from lockstep.model import DEFAULT_BATCH
 from lockstep.operators import batches as bt
 from lockstep.operators import clients as cl
 from lockstep.operators.guards import reconcile_targets
@@ -235,7 +236,7 @@ def batched(spark, sf_dir):
     return rows.withColumns(
         {
             "event": event,
-            "batch_type": F.lit(""),
+            "batch_type": F.lit(DEFAULT_BATCH),
             "version": number,
             "checksum": F.when(F.col("value") > 50, "off").otherwise(F.sha2(patched, 256)),
             "patch": change,
