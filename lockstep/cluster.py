@@ -26,7 +26,9 @@ def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the files give fewer splits than there are cores.
 
-    For work that is heavy per row. Large inputs come in enough splits and pass through.
+    For work that is heavy per row, on a table as it was read: asking a joined or
+    aggregated one for its partitions would run it. Large inputs come in enough
+    splits and pass through.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

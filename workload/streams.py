@@ -19,16 +19,23 @@ from workload.filters import DUE_SQL
 from workload.tables import scratch
 
 
-def replayed(spark, df, files: int):
-    """The rows as a stream of ``files`` files in time order, one per micro-batch."""
+def replayed(spark, df, slices: int, start):
+    """Feed the rows as ``slices`` appends in time order, and run the stream after each of them.
+
+    ``start`` gets the stream and returns a running query; the last one is returned.
+    """
     path = scratch(spark, "stream")
     cuts = df.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    step = (cuts["high"] - cuts["low"]) / files
-    for i in range(files):
-        low, high = cuts["low"] + i * step, cuts["low"] + (i + 1) * step
-        part = df.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) if i < files - 1 else F.lit(True)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    step = (cuts["high"] - cuts["low"]) / slices
+    run = None
+    for i in range(slices):
+        rows = df.where(F.col("ts") >= F.lit(cuts["low"] + i * step))
+        if i < slices - 1:
+            rows = rows.where(F.col("ts") < F.lit(cuts["low"] + (i + 1) * step))
+        rows.write.mode("append").parquet(path)
+        run = start(spark.readStream.schema(df.schema).parquet(path))
+        run.awaitTermination()
+    return run
 
 
 def finish(query) -> None:
@@ -53,23 +60,25 @@ def as_utc(df):
     """,
 )
 def stream_debounce(spark, sf_dir):
-    changes = replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 4)
-    out = scratch(spark, "debounced")
-    bursts = st.stream_debounce(changes, gap_seconds=GAP, delay="0 seconds").select("name", "op", "seq", "n_events")
-    finish(
-        bursts.writeStream.format("parquet")
-        .option("checkpointLocation", scratch(spark, "cp"))
-        .trigger(availableNow=True)
-        .start(out)
-    )
+    out, checkpoint = scratch(spark, "debounced"), scratch(spark, "cp")
+
+    def start(changes):
+        bursts = st.stream_debounce(changes, gap_seconds=GAP, delay="0 seconds")
+        writer = bursts.select("name", "op", "seq", "n_events").writeStream.format("parquet")
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+    replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 3, start)
     return spark.read.parquet(out)
 
 
 @query("stream_change_ops", CHANGE_OPS_SQL)
 def stream_change_ops(spark, sf_dir):
-    changes = replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 3)
-    out = scratch(spark, "sent")
-    finish(st.stream_change_ops(changes, scratch(spark, "known"), scratch(spark, "cp"), appending(out), depth=3))
+    out, known, checkpoint = (scratch(spark, name) for name in ("sent", "known", "cp"))
+
+    def start(changes):
+        return st.stream_change_ops(changes, known, checkpoint, appending(out), depth=3)
+
+    replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 3, start)
     sent = spark.read.parquet(out)
     return sent.select("seq", "event", F.coalesce("patch", "object").alias("body"), "checksum")
 
@@ -79,10 +88,12 @@ def stream_change_ops(spark, sf_dir):
     f"WITH {CONNECTIONS_SQL}, {LIVE_SQL} SELECT account, cluster, connection_id, epoch_us(connection_time) AS since FROM live",
 )
 def stream_connections(spark, sf_dir):
-    events = replayed(spark, as_utc(connections(spark, sf_dir)), 3)
-    state_path, out = scratch(spark, "clients"), scratch(spark, "told")
-    run = st.stream_connections(events, state_path, scratch(spark, "cp"), appending(out))
-    finish(run)
+    state_path, out, checkpoint = (scratch(spark, name) for name in ("clients", "told", "cp"))
+
+    def start(events):
+        return st.stream_connections(events, state_path, checkpoint, appending(out))
+
+    run = replayed(spark, as_utc(connections(spark, sf_dir)), 3, start)
     live = st.connection_state(state_path).after(spark, run.lastProgress["batchId"])
     return live.select("account", "cluster", "connection_id", micros(F.col("connection_time")).alias("since"))
 
