@@ -47,12 +47,12 @@ ORACLES: dict[str, str] = {
     """,
     "op5_embedding_near_dedup": """
     WITH RECURSIVE v AS (
-        SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
     ), used AS (
-        SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, x -> x * x))) AS norm FROM v
+        SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
         WHERE label IS NOT NULL AND e IS NOT NULL
-          AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-          AND len(list_filter(e, x -> x <> 0)) > 0
+          AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0
     ), links AS (
         SELECT a.vec_id AS a, b.vec_id AS b FROM used a JOIN used b
         ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
