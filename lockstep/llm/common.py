@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +63,23 @@ def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: s
     )
 
 
+#: A written table of up to this many narrow rows is broadcast.
+SMALL = 1_000_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of numbers, for broadcast if its rows, counted, are few; a larger one is left to be shuffled."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and where each text begins, as views of its buffers."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    values = column.buffers()[2]
+    return np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8), bounds
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node with an edge.
 

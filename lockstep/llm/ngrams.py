@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lockstep.llm.common import components, let, stored, text_or_empty
+from lockstep.llm.common import broadcast_if_small, components, stored, text_bytes, text_or_empty
+from lockstep.llm.shingling import blocks, reordered, shingle_sets
 
 WORDS = 5
 #: Documents link when PART * intersection >= SHARE * union.
@@ -15,136 +22,209 @@ SHARE, PART = 80, 100
 SPARE = 20
 #: Salts of the further orders that a candidate pair must pass.
 FURTHER_ORDERS = (1, 2)
-
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shingles(text: Column, n: int = WORDS) -> Column:
-    """The set of 64-bit hashes of ``n`` words in a row, ascending; of all words where there are fewer; empty without words.
-
-    A-Z are lower-cased; words are parted by ASCII white space alone.
-    """
-    words = F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), "[ \\t-\\r]+"), "")
-
-    def hashed(w: Column) -> Column:
-        count = F.size(w)
-        return (
-            F.when(count == 0, F.array().cast("array<bigint>"))
-            .when(count < n, F.array(F.xxhash64(w)))
-            .otherwise(F.transform(F.sequence(F.lit(1), count - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n))))
-        )
-
-    return F.sort_array(F.array_distinct(let(words, hashed)))
+#: Tokens of the sets that are compared in one group of a task, about.
+TOGETHER = 1_000_000
 
 
-def least_shared(size: Column) -> Column:
+def least_shared(size: int) -> int:
     """The fewest tokens that a set of ``size`` shares with any set it links with."""
-    return F.ceil(size * SHARE / PART)
+    return -(-size * SHARE // PART)
 
 
-def prefix_length(size: Column) -> Column:
-    """Tokens of the prefix under any order.
+def prefix_length(size: int) -> int:
+    """Tokens of the prefix under the first order.
 
     Two linked sets share at least ``1 + min(sizes) // SPARE`` tokens of their prefixes: the
     smallest shared tokens stand behind no more than ``size - least_shared(size)`` others.
     """
-    return (size - least_shared(size) + 1 + F.floor(size / SPARE)).cast("int")
+    return size - least_shared(size) + 1 + size // SPARE
 
 
 def prefix_shared(size: Column) -> Column:
     """Prefix tokens that a set of ``size`` shares with whichever it links with: those are at least SHARE / PART as large."""
-    return 1 + F.floor(size * SHARE / PART / SPARE)
-
-
-def linked(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
-    """The link itself: 100 * intersection >= 80 * union."""
-    both = F.size(F.array_intersect(a, b))
-    return both * PART >= (size_a + size_b - both) * SHARE
-
-
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return (F.least(a, b) * PART) >= (F.greatest(a, b) * SHARE)
-
-
-def _reordered_prefix(tokens: Column, salt: int) -> Column:
-    """The prefix without spare under the order of a salted hash, as an array of tokens."""
-    size = F.size(tokens)
-    ranked = F.sort_array(F.transform(tokens, lambda t: F.struct(F.xxhash64(t, F.lit(salt)).alias("r"), t.alias("t"))))
-    return F.slice(ranked, 1, (size - least_shared(size) + 1).cast("int"))["t"]
+    return 1 + F.floor(size * SHARE / (PART * SPARE))
+
+
+def _set_id(tokens: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to (doc_id, n, set_id, prefix)."""
+    for batch in batches:
+        data, bounds = text_bytes(batch.column(1))
+        for a, b in blocks(bounds):
+            sizes, ids, prefixes = [], [], []
+            for tokens in shingle_sets(data, bounds[a : b + 1], WORDS):
+                sizes.append(len(tokens))
+                ids.append(_set_id(tokens) if len(tokens) else None)
+                prefixes.append(tokens[: prefix_length(len(tokens))] if len(tokens) else tokens)
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            values = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                ],
+                names=["doc_id", "n", "set_id", "prefix"],
+            )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id, text) to (set_id, n, tokens)."""
+    for batch in batches:
+        data, bounds = text_bytes(batch.column(1))
+        for a, b in blocks(bounds):
+            sets = list(shingle_sets(data, bounds[a : b + 1], WORDS))
+            sizes = [len(s) for s in sets]
+            ends = np.cumsum([0, *sizes]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), tokens],
+                names=["set_id", "n", "tokens"],
+            )
+
+
+def _meant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (set_id, text) the rows whose text has that set, where ids of documents repeat."""
+    for batch in batches:
+        data, bounds = text_bytes(batch.column(1))
+        found = [_set_id(s) for a, b in blocks(bounds) for s in shingle_sets(data, bounds[a : b + 1], WORDS)]
+        yield batch.filter(pa.array(np.array(found, np.int64) == batch.column(0).to_numpy()))
+
+
+def promising(classes: DataFrame) -> DataFrame:
+    """(set_id): the sets that may link, by their prefixes under the first order, the hash itself.
+
+    A set shares ``prefix_shared`` tokens of its prefix or more with whichever it links
+    with, so one with fewer that any other set holds in its own prefix is gone.
+    """
+    rows = classes.select("set_id", "n", F.explode("prefix").alias("token"))
+    held = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1")
+    shared = held.groupBy("set_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") >= prefix_shared(F.col("n"))).select("set_id")
 
 
-def index(classes: DataFrame) -> DataFrame:
-    """(token, set_id, n): the prefix tokens under which a set must look for others; sets without a chance are gone.
+def index(texts: DataFrame) -> DataFrame:
+    """(token, set_id, n, rank, own): under which tokens a set must look for others, of the texts that are left.
 
-    First order: the hash itself. Tokens held by one set alone say nothing; a set with
-    too few of the others in its prefix links with none. Second order, within the prefix:
-    by how many sets hold a token. As a pair shares ``prefix_shared`` tokens or more, each
-    side may leave out that many less one of its most frequent tokens, and the rarest
-    shared one stays on both sides. Passages that many documents share so drop out.
+    Second order: by how many of these sets hold a token, rarest first, so that passages
+    that many documents share come last. Tokens of one set alone need no entry, but they
+    take their place in its prefix: a set of which more than ``size - least_shared(size)``
+    are its own links with none. ``rank`` is the token's place in the set, from 1, and
+    ``own`` the part of the set that no other holds.
     """
-    rows = classes.select("set_id", "n", F.explode("prefix").alias("token"))
-    held = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1")
-    held = stored(held, "shared-tokens")
+    rows = texts.mapInArrow(_sets, "set_id bigint, n bigint, tokens array<bigint>")
+    rows = rows.select("set_id", "n", F.explode("tokens").alias("token"))
     by_set = Window.partitionBy("set_id")
-    ranked = held.withColumns(
-        {
-            "shared": F.count(F.lit(1)).over(by_set),
-            "rank": F.row_number().over(by_set.orderBy(F.col("held").desc(), "token")),
-        }
+    held = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("held > 1")
+    ranked = held.withColumn("shared", F.count(F.lit(1)).over(by_set))
+    ranked = ranked.withColumn(
+        "rank", F.row_number().over(by_set.orderBy("held", "token")) + F.col("n") - F.col("shared")
+    )
+    last = F.col("n") - F.ceil(F.col("n") * SHARE / PART) + 1
+    return stored(
+        ranked.where(F.col("rank") <= last).select(
+            "token", "set_id", "n", "rank", ((F.col("n") - F.col("shared")) / F.col("n")).cast("float").alias("own")
+        ),
+        "token-index",
     )
-    kept = ranked.where((F.col("shared") >= prefix_shared(F.col("n"))) & (F.col("rank") >= prefix_shared(F.col("n"))))
-    return stored(kept.select("token", "set_id", "n"), "token-index")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link: first all further orders' prefixes must meet, then the sets are compared."""
-    orders = [f"p{k}" for k in FURTHER_ORDERS]
+def _may_link(a: str, b: str) -> Column:
+    """Whether sets that meet at a token can link if it is the first that they share: sizes and what is left behind it."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.rank"), F.col(f"{b}.n") - F.col(f"{b}.rank")) + 1
+    return left * (PART + SHARE) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * SHARE
 
-    def side(name: str, columns: list[str]) -> DataFrame:
-        return sets.select(F.col("set_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
 
-    meet = F.lit(True)
-    for p in orders:
-        meet = meet & F.arrays_overlap(f"a_{p}", f"b_{p}")
-    near = pairs.join(side("a", orders), "a").join(side("b", orders), "b").where(meet).select("a", "b")
-    near = stored(near, "candidates")
-    whole = near.join(side("a", ["n", "tokens"]), "a").join(side("b", ["n", "tokens"]), "b")
-    link = linked(F.col("a_tokens"), F.col("b_tokens"), F.col("a_n"), F.col("b_n"))
-    return stored(whole.where(link).select("a", "b"), "links")
+def _compare(group: pd.DataFrame) -> pd.DataFrame:
+    """The pairs (a, b) of a group that link; rows of ``a`` equal to ``b`` are there for the text of b.
 
+    Candidates must meet in the prefixes under all further orders before the sets are compared.
+    """
+    raw = [t.encode() for t in group["text"]]
+    bounds = np.cumsum([0, *map(len, raw)])
+    sets = list(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), bounds, WORDS))
+    fronts = [
+        [np.sort(reordered(s, k)[: len(s) - least_shared(len(s)) + 1]) for k in FURTHER_ORDERS] for s in sets
+    ]
+    pairs = list(zip(group["a"].tolist(), group["b"].tolist()))
+    at = {b: i for i, (a, b) in enumerate(pairs) if a == b}
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        if a == b:
+            continue
+        j = at[b]
+        if all(len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(fronts[i], fronts[j])):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * PART >= (len(sets[i]) + len(sets[j]) - both) * SHARE:
+                out.append((a, b))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, n), ``n`` the size of a's set, that link.
+
+    Pairs of one ``b`` are compared in one place, or, where they are many, in several that
+    each get b's text. Texts move rather than sets: they are smaller.
+    """
+    pairs = stored(pairs, "pairs")
+    loads = pairs.groupBy("b").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
+    places = F.lit(max(1, int((pairs.agg(F.sum("n")).first()[0] or 0) // TOGETHER)))
+    loads = stored(loads.withColumn("place", F.pmod(F.xxhash64("b"), places)), "loads")
+    texts = texts.select(F.col("set_id").alias("id"), "text")
+    part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")
+    members = pairs.join(broadcast_if_small(loads), "b").select("place", part, "a", "b")
+    members = texts.join(broadcast_if_small(stored(members, "members")), F.col("id") == F.col("a"))
+    leaders = texts.join(broadcast_if_small(loads), F.col("id") == F.col("b"))
+    leaders = leaders.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = members.select("place", "part", "a", "b", "text").unionByName(
+        leaders.select("place", "part", F.col("b").alias("a"), "b", "text")
+    )
+    return stored(both.groupBy("place", "part").applyInPandas(_compare, "a bigint, b bigint"), "links")
 
-def set_links(entries: DataFrame, sets: DataFrame) -> DataFrame:
+
+def set_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join whatever all links join.
 
-    1. Of each token's sets one is the leader: the first by a hash of its id, so that sets
-       with much in common have few leaders. Every set is compared with its leaders.
+    1. Of each token's sets one is the leader: that of which least is its own, as in the
+       original of many edited copies. Every set is compared with its leaders.
     2. What is joined so far needs no further comparison. Under each token the sets outside
        the largest joined group are compared with all sets of other groups.
     """
+    columns = ["set_id", "n", "rank"]
     first = entries.groupBy("token").agg(
-        F.min(F.struct(F.xxhash64("set_id").alias("h"), "set_id", "n")).alias("first"), F.count(F.lit(1)).alias("m")
+        F.min(F.struct("own", F.xxhash64("set_id").alias("h"), *columns)).alias("first"), F.count(F.lit(1)).alias("m")
+    )
+    first = first.where("m > 1").select("token", *[f"first.{c}" for c in columns])
+    a, b = entries.alias("a"), first.alias("b")
+    led = a.join(b, F.col("a.token") == F.col("b.token")).where(
+        (F.col("a.set_id") != F.col("b.set_id")) & _may_link("a", "b")
     )
-    first = first.where("m > 1").select("token", F.col("first.set_id").alias("b"), F.col("first.n").alias("n_b"))
-    led = entries.join(first, "token").where(F.col("set_id") != F.col("b")).where(_sizes_fit(F.col("n"), F.col("n_b")))
-    links = _verified(led.select(F.col("set_id").alias("a"), "b").distinct(), sets)
 
+    def pairs(joined: DataFrame) -> DataFrame:
+        return joined.select(
+            F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b"), F.col("a.n").alias("n")
+        ).distinct()
+
+    links = _verified(pairs(led), texts)
     groups = components(links)
-    entries = entries.join(groups, F.col("set_id") == F.col("node"), "left").select(
-        "token", "set_id", "n", F.coalesce("component", "set_id").alias("g")
-    )
-    entries = stored(entries, "grouped-tokens")
-    sizes = entries.groupBy("token", "g").agg(F.count(F.lit(1)).alias("m"))
+    grouped = entries.drop("own").join(groups, F.col("set_id") == F.col("node"), "left")
+    grouped = grouped.select("token", *columns, F.coalesce("component", "set_id").alias("g"))
+    grouped = stored(grouped, "grouped-tokens")
+    sizes = grouped.groupBy("token", "g").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("m", "g")).alias("top"))
     mixed = mixed.where("groups > 1").select("token", F.col("top.g").alias("top"))
-    entries = stored(entries.join(mixed, "token"), "mixed-tokens")
-    a, b = entries.where("g != top").alias("a"), entries.alias("b")
-    cross = a.join(b, "token").where(
+    mixed = stored(grouped.join(mixed, "token"), "mixed-tokens")
+    a, b = mixed.where("g != top").alias("a"), mixed.alias("b")
+    cross = a.join(b, F.col("a.token") == F.col("b.token")).where(
         (F.col("a.g") != F.col("b.g"))
         & ((F.col("b.g") == F.col("b.top")) | (F.col("a.set_id") < F.col("b.set_id")))
-        & _sizes_fit(F.col("a.n"), F.col("b.n"))
+        & _may_link("a", "b")
     )
-    cross = cross.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct()
-    return links.union(_verified(cross, sets))
+    return links.union(_verified(pairs(cross), texts))
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -153,49 +233,25 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     Equal sets are one class before anything is indexed, so exact copies cost one row.
     Rows without words link with nothing and are their own component; a null doc_id counts
     as larger than any other and names a component only of such rows. Tokens and classes
-    are 64-bit hashes. Texts are read twice: for the prefixes of all documents, and for the
-    whole sets of one document of each class that the index leaves.
+    are 64-bit hashes. Texts are read twice: for the prefixes of all documents, and for
+    one document of each class that the first order leaves.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sets = docs.select("doc_id", shingles(F.col("text")).alias("tokens")).where(F.lit(True))
-    sets = sets.select(
-        "doc_id",
-        let(
-            F.col("tokens"),
-            lambda t: F.struct(
-                F.size(t).alias("n"),
-                F.when(F.size(t) > 0, F.xxhash64(t)).alias("set_id"),
-                F.slice(t, 1, F.greatest(prefix_length(F.size(t)), F.lit(0))).alias("prefix"),
-            ),
-        ).alias("s"),
-    ).select("doc_id", "s.*")
+    sets = docs.mapInArrow(_prefixes, "doc_id bigint, n bigint, set_id bigint, prefix array<bigint>")
     sets = stored(sets, "prefixes")
-    classes = sets.where("set_id is not null").groupBy("set_id").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("doc_id")
-    )
-    classes = classes.select("set_id", "n", "prefix")
-    entries = index(classes)
-    chosen = entries.select("set_id").distinct()
-    chosen = sets.select("set_id", "doc_id").join(chosen, "set_id").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    whole = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"])).select(
-        "set_id", shingles(F.col("text")).alias("tokens")
-    )
-    whole = whole.select("set_id", let(F.col("tokens"), lambda t: F.struct(t.alias("tokens"), F.xxhash64(t).alias("is"))).alias("s"))
-    whole = whole.where("s.is = set_id").select("set_id", "s.tokens")  # of repeated ids the row that was meant
-    whole = stored(whole.dropDuplicates(["set_id"]), "sets")
-    whole = whole.select(
-        "set_id",
-        F.size("tokens").alias("n"),
-        "tokens",
-        *[_reordered_prefix(F.col("tokens"), k).alias(f"p{k}") for k in FURTHER_ORDERS],
-    )
-    whole = stored(whole, "ordered-sets")
-    groups = components(set_links(entries, whole))
+    classes = sets.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    chosen = sets.select("set_id", F.col("doc_id").alias("one")).join(stored(promising(classes), "promising"), "set_id")
+    chosen = stored(chosen.groupBy("set_id").agg(F.min("one").alias("one")), "chosen")
+    texts = docs.join(broadcast_if_small(chosen), F.col("doc_id").eqNullSafe(F.col("one"))).select("set_id", "text")
+    texts = stored(texts.mapInArrow(_meant, "set_id bigint, text string"), "texts")
+    if texts.count() > texts.select("set_id").distinct().count():  # repeated rows
+        texts = stored(texts.dropDuplicates(["set_id"]), "texts")
+    groups = components(set_links(index(texts), texts))
     rows = sets.select("doc_id", "n", "set_id").join(groups, F.col("set_id") == F.col("node"), "left")
     rows = rows.select("doc_id", "n", F.coalesce("component", "set_id").alias("g"))
     names = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "g", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 

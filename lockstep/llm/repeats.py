@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import stored, text_or_empty
+from lockstep.llm.common import stored, text_bytes, text_or_empty
 from lockstep.llm.suffixes import Shard
 
 #: A string of this many bytes that starts at two places is removed at both.
@@ -102,14 +102,6 @@ def window_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) ->
         k = last
 
 
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column without nulls, and where each text begins, as views of its buffers."""
-    column = column.cast(pa.large_binary())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    values = column.buffers()[2]
-    return np.frombuffer(values, np.uint8) if values else np.zeros(0, np.uint8), bounds
-
-
 def _runs(length: int, gram: int):
     """Map of texts (x, y, text) to their runs (h, c, x, y, start, n). One text is done once in a batch."""
 
@@ -117,7 +109,7 @@ def _runs(length: int, gram: int):
         for batch in batches:
             frame = batch.select([0, 1]).to_pandas()
             batch = batch.take(pa.array(np.flatnonzero(~frame.duplicated().to_numpy())))
-            data, bounds = _bytes_of(batch.column(2))
+            data, bounds = text_bytes(batch.column(2))
             x, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             view = memoryview(data)
             for h, anchor, first, count, text in window_runs(data, bounds, length, gram):
