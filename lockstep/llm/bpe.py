@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,12 +80,16 @@ class Codec:
     """Encodes and decodes by one vocabulary file. Its output is what tiktoken gives for the same ranks."""
 
     def __init__(self, path: str, pattern: str):
-        import sentencepiece
-
         self.ranks = read_ranks(path)
         self.tokens = sorted(self.ranks, key=self.ranks.__getitem__)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
-        self.encoder = CachedEncoder(pattern, self._encode_pieces)
+        self.encoder = CachedEncoder(pattern, self._encode_pieces, limit=4_000_000)
+
+    @cached_property
+    def model(self):
+        """Built when first used: a worker that only decodes does without."""
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=serialise(self.ranks))
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         raw = [x.encode() for x in pieces]
@@ -132,6 +136,18 @@ def decode(ids: Column, path: str = VOCABULARY, pattern: str = public_tokenizers
     return raw(ids)
 
 
+def round_trip(text: Column, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Column:
+    """(ids, decoded): what :func:`encode` gives and what :func:`decode` makes of it, in one pass of one worker."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        own = codec(path, pattern)
+        ids = [own.encode(t) for t in texts]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([own.decode(x) for x in ids], dtype=object)})
+
+    return both.asNondeterministic()(text)  # so that nothing that uses a part encodes once more
+
+
 def id_array(ids: Column) -> Column:
     """Packed ids as an array of whole numbers, for use in SQL."""
 
@@ -147,8 +163,7 @@ def encoded_documents(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     Map-only. Null texts are empty; every row of ``docs`` gives one row.
     """
-    ids = encode(text_or_empty(), path)
-    rows = docs.select("doc_id", ids.alias("ids")).withColumn("decoded", decode(F.col("ids"), path))
+    rows = docs.select("doc_id", round_trip(text_or_empty(), path).alias("both")).select("doc_id", "both.*")
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
