@@ -204,7 +204,7 @@ def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, d
     read = [(words(t), y) for t, y in documents]
     toxic = sum(y for _, y in read)
     model = Model()
-    share = (toxic + 0.5) / (len(read) + 1)
+    share = min((toxic + 0.5) / (len(read) + 1), SCORE / 2)  # without a mark nothing is called toxic
     model.document = np.array([np.log(share / (1 - share)), 0.0, 0.0])
     marks = sorted(marking_features(read))
     if not marks:
