@@ -45,31 +45,35 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(start, length) for start in range(first, n, length)]
 
 
-def pieces(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: int = END, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: int = END, ids: str = "") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end``, cut where longer than ``length``.
 
-    Null and empty texts are the end id alone. ``ids`` are little-endian unsigned 32-bit
-    numbers. Map-only; rows come out in batches of bounded size.
+    Null and empty texts are the end id alone. ``ids``, if wanted, are little-endian numbers
+    of the numpy type given, which must hold every id of the vocabulary. Map-only; rows
+    come out in batches of bounded size.
     """
     tail = np.array([end], "<u4").tobytes()
     pattern = public_tokenizers.PATTERN
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * ids
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * bool(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in batches:
-            rows: list[list] = [[] for _ in range(5 + ids)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = encoder.encode(text.as_py()) + tail
-                for k, (start, size) in enumerate(cut(len(packed) // 4, length)):
-                    raw = packed[4 * start : 4 * (start + size)]
-                    for column, value in zip(rows, (doc, k, start, size, zlib.crc32(raw), raw)):
-                        column.append(value)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, t) for v, t in zip(rows, types)], names=names[: len(rows)]
-            )
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                yield piece_rows(encoder, whole.slice(at, 1000))
+
+    def piece_rows(encoder: CachedEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[list] = [[] for _ in range(5 + bool(ids))]
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            packed = encoder.encode(text.as_py()) + tail
+            for k, (start, size) in enumerate(cut(len(packed) // 4, length)):
+                raw = packed[4 * start : 4 * (start + size)]
+                kept = np.frombuffer(raw, "<u4").astype(ids).tobytes() if ids else b""
+                for column, value in zip(rows, (doc, k, start, size, zlib.crc32(raw), kept)):
+                    column.append(value)
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=names[: len(rows)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, schema)

@@ -89,15 +89,15 @@ def with_slots(sequences: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
 
 
 def write_shards(sequences: DataFrame, path: str, key: str = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> int:
-    """Write ``sequences`` (doc_id, piece, length, ids as 32-bit numbers) in training order; returns their number.
+    """Write ``sequences`` (doc_id, piece, ids as 16-bit numbers) in training order; returns their number.
 
     The table at ``path`` has a row for each shard: its number, its first slot, how many
     slots it has, and its payload, in which slot s is at byte ``(s - first_slot) *
     stride``. Every shard but the last has ``per_shard`` slots, so a reader finds any slot by
     arithmetic, reads on from there in order, and resumes where it stopped. Tasks hold
-    ranges of shards in order. Ids must be below 65,536 and no sequence longer than ``length``.
+    ranges of shards in order. No sequence may be longer than ``length``.
     """
-    rows = sequences.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "piece", _narrow("ids", length).alias("ids"))
+    rows = sequences.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "piece", "ids")
     placed, count = with_slots(rows, key)
     size = stride(length)
 
@@ -116,6 +116,8 @@ def write_shards(sequences: DataFrame, path: str, key: str = KEY, length: int =
                     if parts:
                         yield done()
                     shard, first, parts = number, slot, []
+                if len(ids) > 2 * length:
+                    raise ValueError("a sequence is too long")
                 head = np.array([(doc, piece, len(ids) // 2)], HEAD).tobytes()
                 parts.append((head + ids).ljust(size, b"\0"))
         if parts:
@@ -130,22 +132,6 @@ def write_shards(sequences: DataFrame, path: str, key: str = KEY, length: int =
     return count
 
 
-def _narrow(ids: str, length: int):
-    @F.pandas_udf("binary")
-    def narrow(column):
-        import pandas as pd
-
-        out = []
-        for raw in column:
-            numbers = np.frombuffer(raw or b"", "<u4")
-            if len(numbers) > length or (len(numbers) and numbers.max() > 0xFFFF):
-                raise ValueError("a sequence is too long, or an id too large")
-            out.append(numbers.astype("<u2").tobytes())
-        return pd.Series(out, dtype=object)
-
-    return narrow(ids)
-
-
 def read_shards(spark: SparkSession, path: str, first_slot: int = 0, length: int = LENGTH) -> DataFrame:
     """(slot, shard, offset, doc_id, piece, length, ids_crc32) of every record from ``first_slot`` on.
 
@@ -190,5 +176,5 @@ def ordered_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/shards-{uuid4().hex}"
-    write_shards(pieces(docs, ids=True), path)
+    write_shards(pieces(docs, ids="<u2"), path)
     return read_shards(spark, path)

@@ -147,7 +147,8 @@ def test_next_row_over_ranges(spark):
     order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
     after = [str(order[(k + 1) % len(order)]) for k in range(len(order))]
     assert sorted(map(str, [(r.id, r.next_v) for r in got])) == sorted(map(str, zip(order, after)))
-    one = syncmers.with_next(df.limit(1), "id", ["v"], F.col("u")).collect()
+    alone = spark.createDataFrame([(7, "x")], "id bigint, v string")
+    one = syncmers.with_next(alone, "id", ["v"], F.col("v")).collect()
     assert one[0].v == one[0].next_v
 
 
