@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.cluster import checked_broadcast
 from lockstep.model import RECONCILIATION_REQUEST, RECONCILIATION_REQUEST_BATCH
 from lockstep.operators.chunks import chunked
 from lockstep.operators.ordered import HOUR, state_before
@@ -65,7 +64,7 @@ def disconnect_counts(events: DataFrame, slice_seconds: int = HOUR) -> DataFrame
 
 def route_to_connected(messages: DataFrame, clients: DataFrame) -> DataFrame:
     """Messages of live clients. Comes before decoding, so that other bodies are never parsed."""
-    return messages.join(checked_broadcast(clients.select(*CLIENT).distinct()), CLIENT, "left_semi")
+    return messages.join(clients.select(*CLIENT), CLIENT, "left_semi")
 
 
 def connected_report(clients: DataFrame, max_clients: int = 10_000) -> DataFrame:

@@ -77,6 +77,20 @@ def in_scope(
     return df.where(scope_condition(F.col(ns), owned, operator_ns, include, exclude))
 
 
+def with_object_fields(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """The columns that ``in_scope`` reads, from the document where the input lacks them.
+
+    Of an unreadable or missing document all three are null, and it counts as not owned.
+    """
+    owner = "array<struct<apiVersion: string>>"
+    found = {
+        "object_kind": F.get_json_object(doc, "$.kind"),
+        "owners": F.from_json(F.get_json_object(doc, "$.metadata.ownerReferences"), owner),
+        "labels": F.from_json(F.get_json_object(doc, "$.metadata.labels"), "map<string, string>"),
+    }
+    return df.withColumns({c: value for c, value in found.items() if c not in df.columns})
+
+
 def configured_kinds(df: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of configured kinds, and the rest for audit."""
     wanted = kinds.select("kind")

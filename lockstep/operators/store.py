@@ -268,7 +268,7 @@ def replay(
 
         def settle(o: str) -> str:
             fits = f"coalesce({trees.checksum(f'{o}.doc')} = {m}.checksum, false)"
-            newer = f"({s}.doc IS NULL OR coalesce({number(f'{o}.tree')} > {number(f'{s}.tree')}, false))" if check else "true"
+            newer = f"({s}.tree IS NULL OR coalesce({number(f'{o}.tree')} > {number(f'{s}.tree')}, false))" if check else "true"
             stored = f"named_struct('doc', {o}.doc, 'tree', {o}.tree)"
             after = (
                 f"CASE WHEN {is_delete} THEN NULL"

@@ -39,8 +39,8 @@ def cluster_to_backend(changes: DataFrame, kinds: DataFrame, account: str, clust
     usable, _ = usable_changes(changes)
     wanted, _ = scope.configured_kinds(usable, kinds)
     kept = debounce(wanted).drop("n_events")
-    if {"object_kind", "owners", "labels"} <= set(kept.columns):
-        kept = scope.in_scope(kept, s.operator_ns, s.include, s.exclude).drop("object_kind", "owners", "labels")
+    kept = scope.in_scope(scope.with_object_fields(kept), s.operator_ns, s.include, s.exclude)
+    kept = kept.drop("object_kind", "owners", "labels")
     cleaned = mask_env(clean_objects(kept, depth=s.depth), depth=s.depth)
     messages = change_ops(cleaned, kinds, depth=s.depth).withColumns(
         {

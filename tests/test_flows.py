@@ -147,3 +147,32 @@ def test_guards_on_the_way_out(spark):
     limited = Settings(own_key="cluster", max_bytes=300)
     log = cluster_to_backend(changes, kinds(spark), "account", "c1", limited)
     assert [r[0] for r in log.select(F.col("properties")["name"]).collect()] == ["small"]
+
+
+def test_scope_comes_from_the_document_and_cannot_be_skipped(spark):
+    def pod(name, ns, **metadata):
+        doc = compact({"kind": "Pod", "metadata": {"name": name, "resourceVersion": "1"} | metadata})
+        return ("v1/pods", ns, name, "1", doc)
+
+    changes = watch(
+        spark,
+        ("Modified", pod("free", "default"), 0),
+        ("Modified", pod("owned", "default", ownerReferences=[{"apiVersion": "apps/v1"}]), 0),
+        ("Modified", pod("hashed", "default", labels={"pod-template-hash": "x"}), 0),
+        ("Modified", pod("excluded", "kube-system"), 0),
+        ("Modified", pod("mine", "operator", ownerReferences=[{"apiVersion": "apps/v1"}]), 0),
+        ("Deleted", ("v1/pods", "default", "gone", "1", None), 0),
+    )
+    both = lookup(spark, [("v1/pods", "copy")], KINDS_SCHEMA)
+    limited = Settings(own_key="cluster", operator_ns="operator", exclude=("kube-system",))
+    log = cluster_to_backend(changes, both, "account", "c1", limited)
+    assert sorted(r[0] for r in log.select(F.col("properties")["name"]).collect()) == ["free", "gone", "mine"]
+
+
+def test_replay_replaces_a_corrupt_stored_object(spark):
+    fresh = obj("web", 9, a=1)
+    changes = watch(spark, ("Modified", fresh, 0))
+    log = cluster_to_backend(changes, kinds(spark), "account", "c1", SENDER)
+    store = table(spark, (DEPLOY, "default", "web", "1", "{broken"))
+    done = backend_to_store(log, clients(spark, "c1"), kinds(spark), store, SETTINGS)
+    assert rows(done.store, "name", "doc") == [("web", fresh[4])]

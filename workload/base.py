@@ -34,6 +34,9 @@ FROM {orders}
 WHERE o_orderstatus <> 'F' OR o_orderdate >= DATE '1996-01-01'
 """
 
+# Every order, for operators that compare nothing.
+OBJECTS = SOURCE[: SOURCE.index("WHERE")]
+
 # The replica: it has not seen the orders of the last months, is one version behind on
 # urgent ones, and holds another customer under the same version for orders of high priority.
 TARGET = """
@@ -140,6 +143,7 @@ FROM (
 
 INPUTS = {
     "source": SOURCE,
+    "objects": OBJECTS,
     "target": TARGET,
     "messages": MESSAGES,
     "changes": CHANGES,

@@ -14,15 +14,15 @@ from workload.base import KINDS_SQL, derived, kinds, query, table, with_inputs
 from workload.projections import socket_rows
 
 
-@query("namespace_filter", with_inputs("source") + "SELECT ns, name FROM source WHERE ns NOT IN ('P', 'kube-system')")
+@query("namespace_filter", with_inputs("objects") + "SELECT ns, name FROM objects WHERE ns NOT IN ('P', 'kube-system')")
 def namespace_filter(spark, sf_dir):
-    rows = scope.namespace_filter(derived(spark, sf_dir, "source"), exclude=["P", "kube-system"])
+    rows = scope.namespace_filter(derived(spark, sf_dir, "objects"), exclude=["P", "kube-system"])
     return rows.select("ns", "name")
 
 
-@query("namespace_include", with_inputs("source") + "SELECT ns, name FROM source WHERE ns IN ('P', 'O')")
+@query("namespace_include", with_inputs("objects") + "SELECT ns, name FROM objects WHERE ns IN ('P', 'O')")
 def namespace_include(spark, sf_dir):
-    rows = scope.namespace_filter(derived(spark, sf_dir, "source"), include=["P", "O"], exclude=["P"])
+    rows = scope.namespace_filter(derived(spark, sf_dir, "objects"), include=["P", "O"], exclude=["P"])
     return rows.select("ns", "name")
 
 
@@ -75,6 +75,33 @@ def in_scope(spark, sf_dir):
     return rows.select("name", "ns", "object_kind")
 
 
+# The workloads as documents alone.
+DOCUMENTS = (
+    """
+SELECT name, ns, CONCAT('{{"kind":"', object_kind, '","metadata":{{',
+       CASE WHEN owner_api IS NULL THEN '' ELSE CONCAT('"ownerReferences":[{{"apiVersion":"', owner_api, '"}}],') END,
+       '"labels":{{"pod-template-hash":"', template_hash, '"}}}}}}') AS doc
+FROM ("""
+    + WORKLOADS
+    + ") w"
+)
+
+
+@query(
+    "document_scope",
+    f"""
+    SELECT name, ns, object_kind FROM ({WORKLOADS.format(lineitem='lineitem')}) w
+    WHERE CASE WHEN ns = 'operator' THEN true WHEN ns IN ('hidden', 'kube-system') THEN false ELSE NOT ({OWNED_SQL}) END
+    """,
+)
+def document_scope(spark, sf_dir):
+    """The scope filter on rows that have nothing but their document."""
+    rows = spark.sql(DOCUMENTS, lineitem=table(spark, sf_dir, "lineitem"))
+    return scope.in_scope(scope.with_object_fields(rows), "operator", exclude=["hidden", "kube-system"]).select(
+        "name", "ns", "object_kind"
+    )
+
+
 @query("depth_guard", with_inputs("messages") + "SELECT seq, depth FROM messages WHERE depth <= 8")
 def depth_guard(spark, sf_dir):
     return guards.depth_guard(derived(spark, sf_dir, "messages")).select("seq", "depth")

@@ -76,17 +76,17 @@ def route_connected(spark, sf_dir):
 
 @query(
     "put_or_patch",
-    with_inputs("old_parts", "new_parts", "part_patch", "source")
+    with_inputs("old_parts", "new_parts", "part_patch", "objects")
     + """
     SELECT 'shop/v1/parts' AS kind, name, 'PatchObject' AS event, patch AS body, sha256(new_doc) AS checksum
     FROM part_patch WHERE edits <> '{"metadata":{"resourceVersion":"2"}}'
     UNION ALL
-    SELECT kind, name, 'PutObject', doc, sha256(doc) FROM source
+    SELECT kind, name, 'PutObject', doc, sha256(doc) FROM objects
     """,
 )
 def put_or_patch(spark, sf_dir):
     new = derived(spark, sf_dir, "new_parts")
-    fresh = derived(spark, sf_dir, "source").withColumn("version", F.col("version").cast("string"))
+    fresh = derived(spark, sf_dir, "objects").withColumn("version", F.col("version").cast("string"))
     sent = st.put_or_patch(new.unionByName(fresh), derived(spark, sf_dir, "old_parts"), kinds(spark), depth=3)
     return sent.select("kind", "name", "event", F.coalesce("patch", "object").alias("body"), "checksum")
 

@@ -21,11 +21,11 @@ def scratch(spark, name: str) -> str:
 
 @query(
     "snapshot_scan",
-    with_inputs("source") + "SELECT ns, name, version, sha256(doc) AS digest FROM source WHERE kind = 'shop/v1/urgent'",
+    with_inputs("objects") + "SELECT ns, name, version, sha256(doc) AS digest FROM objects WHERE kind = 'shop/v1/urgent'",
 )
 def snapshot_scan(spark, sf_dir):
     path = scratch(spark, "snapshot")
-    io.write_snapshot(derived(spark, sf_dir, "source").withColumn("version", F.col("version").cast("string")), path)
+    io.write_snapshot(derived(spark, sf_dir, "objects").withColumn("version", F.col("version").cast("string")), path)
     rows = io.read_snapshot(spark, path, "shop/v1/urgent")
     return rows.select("ns", "name", F.col("version").cast("bigint"), F.sha2("doc", 256).alias("digest"))
 
