@@ -165,6 +165,7 @@ def test_scope_comes_from_the_document_and_cannot_be_skipped(spark):
     )
     both = lookup(spark, [("v1/pods", "copy")], KINDS_SCHEMA)
     limited = Settings(own_key="cluster", operator_ns="operator", exclude=("kube-system",))
+    changes = changes.drop("object_kind", "owners", "labels")
     log = cluster_to_backend(changes, both, "account", "c1", limited)
     assert sorted(r[0] for r in log.select(F.col("properties")["name"]).collect()) == ["free", "gone", "mine"]
 
