@@ -82,10 +82,11 @@ def pieces(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: i
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each size, placed one after another as they come.
 
-    ``open[g]`` is the number of open bins with a gap of ``g``. Each item goes where the
-    sum of the squared numbers of open bins per gap becomes smallest: into a bin of some
-    gap, or into a new one. Of equal places the one with the smallest gap is taken; a new
-    bin has the largest. Bins of one gap are used last in, first out.
+    ``opened[g]`` is the number of open bins with a gap of ``g``. Each item goes into the
+    open bin with which the sum of the squared numbers of open bins per gap becomes
+    smallest, and into a new one where none has room: sequences are to be few, so a new
+    bin doesn't compete. Of equal places the one with the smallest gap is taken. Bins of
+    one gap are used last in, first out.
     """
     opened = np.zeros(length + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(length + 1)]
@@ -95,14 +96,14 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
         if size == length:
             bins[i], offsets[i], made = made, 0, made + 1
             continue
-        # growth of the sum if a bin of gap g takes the item; gap 0 doesn't count, a new bin leaves no gap behind
+        # growth of the sum if a bin of gap g takes the item; gap 0 doesn't count
         gaps = opened[size:]
         left = opened[: length + 1 - size]
         growth = 2 * (left - gaps) + 2
         growth[0] = 1 - 2 * gaps[0]
         growth[gaps == 0] = never
-        growth[-1] = 2 * left[-1] + 1
-        gap = size + int(growth.argmin())
+        best = int(growth.argmin())
+        gap = size + best if growth[best] < never else length
         if gap == length:
             chosen, made = made, made + 1
         else:

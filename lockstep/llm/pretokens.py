@@ -76,14 +76,13 @@ class CachedEncoder:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers; a null text has none."""
         pieces = split(self.pattern, text) if text else []
         known = self.known
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            missing = [x for x in set(pieces) if x not in known]
+        missing = list(set(pieces).difference(known))
+        if not missing:
+            return b"".join(map(known.__getitem__, pieces))
         if self.held > self.limit:
             known.clear()
             self.held, missing = 0, list(set(pieces))
         for piece, ids in zip(missing, self.encode_many(missing)):
             known[piece] = array("I", ids).tobytes()
         self.held += sum(map(len, missing))
-        return b"".join([known[x] for x in pieces])
+        return b"".join(map(known.__getitem__, pieces))

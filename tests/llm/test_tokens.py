@@ -101,12 +101,13 @@ def test_sum_of_squares_places_each_by_its_rule():
             return int((counts**2).sum())
 
         now = list(level.values())
-        best = total([*now, size])
+        sums = []
         for v in set(now):
             if v + size <= length:
                 rest = list(now)
                 rest.remove(v)
-                best = min(best, total([*rest, v + size]))
+                sums.append(total([*rest, v + size]))
+        best = min(sums, default=total([*now, size]))
         assert at == level.get(b, 0)
         level[b] = at + size
         assert total(level.values()) == best
@@ -117,7 +118,7 @@ def test_packing_wastes_little(spark):
     rows = spark.createDataFrame([(i, 0, int(n), 0) for i, n in enumerate(rng.integers(1, 1025, 4000))], "doc_id bigint, piece int, length bigint, ids_crc32 bigint")
     got = packing.pack(rows, per_group=1500)
     total = got.agg(F.sum("length")).first()[0]
-    assert got.select("sequence_id").distinct().count() <= 1.03 * total / packing.LENGTH
+    assert got.select("sequence_id").distinct().count() <= 1.02 * total / packing.LENGTH
     assert got.count() == 4000
 
 
