@@ -151,5 +151,7 @@ def test_shards_hold_every_sequence(spark, tmp_path):
     key = str
     wanted = [(-1 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in source.collect()]
     assert sorted([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in got], key=key) == sorted(wanted, key=key)
+    whole = training_order.ordered_documents(documents(spark, rows)).collect()
+    assert sorted([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole], key=key) == sorted(wanted, key=key)
     later = training_order.read_shards(spark, path, first_slot=6).collect()
     assert sorted(r.slot for r in later) == list(range(6, count))
