@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 from lockstep.functions import trees
 from lockstep.model import LEAVES
 
-# Levels of nested objects unfolded unless the caller says otherwise. A deeper
-# document fails the job rather than being cut; see ``object_depth``.
-DEFAULT_DEPTH = 6
-
 NO_LEAVES = f"cast(array() AS {LEAVES})"
 
 
@@ -56,9 +52,9 @@ def checksum(doc: str, annotation: str | None = None) -> Column:
     return F.expr(digest if annotation is None else f"coalesce({annotation}, {digest})")
 
 
-def leaves(doc: str, depth: int = DEFAULT_DEPTH) -> Column:
+def leaves(doc: str) -> Column:
     """Leaves of a JSON text; null for invalid JSON."""
-    return F.expr(trees.leaves(doc, depth))
+    return F.expr(trees.leaves(doc))
 
 
 def struct_leaves(fields: dict[str, str]) -> Column:
@@ -106,15 +102,9 @@ def mask_containers(value: str) -> Column:
     return F.expr(trees.mask_containers(value))
 
 
-def merge_metadata(old: str, new: str, depth: int = DEFAULT_DEPTH) -> Column:
+def merge_metadata(old: str, new: str) -> Column:
     """``new`` with the metadata of the stored ``old``; labels and annotations only gain members."""
-    return F.expr(trees.merge_metadata(old, new, depth))
-
-
-def object_depth(df: DataFrame, *docs: str) -> int:
-    """Deepest nesting of objects in the given columns, found in one aggregate; never an underestimate."""
-    deepest = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(F.expr(trees.object_depth(d)), F.lit(0)) for d in docs])
-    return max(int(df.agg(F.max(deepest).alias("top")).first()["top"] or 0), 1)
+    return F.expr(trees.merge_metadata(old, new))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

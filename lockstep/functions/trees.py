@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from itertools import count
 
-from lockstep.model import MASK
+from lockstep.model import LEAVES, MASK
 
 Body = Callable[[str], str]
 
@@ -159,32 +159,45 @@ def checksum(doc: str) -> str:
     return f"sha2({canonical(doc)}, 256)"
 
 
-def leaves(doc: str, depth: int) -> str:
-    """Leaves of a JSON text; null for invalid JSON, an error beyond ``depth`` nested objects."""
+def leaves(doc: str) -> str:
+    """Leaves of a JSON text, however deep it nests; null for invalid JSON.
 
-    def unfold(x: str) -> str:
-        children = each(
-            f"map_entries({members(f'{x}.v')})",
-            lambda e: f"named_struct('path', concat({x}.path, '/', {escape(f'{e}.key')}), 'v', {e}.value)",
+    Level by level: what is no object with members is done, the rest is opened. The text
+    has at least as many opening braces as levels, so that many steps always do, and
+    those after the last level cost nothing. The parser itself refuses text that nests
+    beyond 1,000 levels; like any other unreadable text it has no leaves.
+    """
+
+    def node(path: str, v: str) -> str:
+        # a null value marks an object with members
+        return let(
+            members(v),
+            lambda m: f"named_struct('path', {path}, 'value', "
+            f"if(coalesce(size({m}), 0) > 0, cast(NULL AS STRING), coalesce(to_json({v}), 'null')), 'm', {m})",
         )
-        # most entries are values already, so the test comes first
-        return f"if({is_nested(f'{x}.v')}, {children}, array({x}))"
 
-    def close(x: str) -> str:
-        message = text(f"document nests deeper than {depth} objects")
-        return (
-            f"if({is_nested(f'{x}.v')}, raise_error({message}), "
-            + pair(f"{x}.path", f"coalesce(to_json({x}.v), 'null')")
-            + ")"
+    def level(nodes: str, done: str) -> str:
+        opened = keep(nodes, lambda x: f"{x}.value IS NULL")
+        closed = each(keep(nodes, lambda x: f"{x}.value IS NOT NULL"), lambda x: pair(f"{x}.path", f"{x}.value"))
+        return f"named_struct('open', {opened}, 'done', concat({done}, {closed}))"
+
+    def children(x: str) -> str:
+        return each(
+            f"map_entries({x}.m)", lambda e: node(f"concat({x}.path, '/', {escape(f'{e}.key')})", f"{e}.value")
         )
 
-    def whole(v: str) -> str:
-        level = f"array(named_struct('path', '', 'v', {v}))"
-        for _ in range(depth):
-            level = f"flatten({each(level, unfold)})"
-        return f"if({v} IS NULL, NULL, {each(level, close)})"
+    def whole(d: str, v: str) -> str:
+        acc, step = f"_v{next(_names)}", f"_v{next(_names)}"
+        below = let(f"flatten({each(f'{acc}.open', children)})", lambda n: level(n, f"{acc}.done"))
+        root = let(f"array({node(text(''), v)})", lambda n: level(n, f"cast(array() AS {LEAVES})"))
+        braces = f"length({d}) - length(replace({d}, '{{', ''))"
+        unfolded = (
+            f"aggregate(sequence(0, {braces}), {root}, "
+            f"({acc}, {step}) -> if(size({acc}.open) = 0, {acc}, {below}), {acc} -> {acc}.done)"
+        )
+        return f"if({v} IS NULL, NULL, {unfolded})"
 
-    return let(parsed(doc), whole)
+    return let(doc, lambda d: let(parsed(d), lambda v: whole(d, v)))
 
 
 def struct_leaves(fields: dict[str, str]) -> str:
@@ -391,7 +404,7 @@ def mask_containers(value: str) -> str:
     return f"coalesce(to_json(to_variant_object({each(items(parsed(value)), container)})), {value})"
 
 
-def merge_metadata(old: str, new: str, depth: int) -> str:
+def merge_metadata(old: str, new: str) -> str:
     """``new`` with the metadata of the stored ``old``; labels and annotations only gain members."""
     maps = ("'/metadata/labels'", "'/metadata/annotations'")
 
@@ -417,16 +430,5 @@ def merge_metadata(old: str, new: str, depth: int) -> str:
 
         return let(stored, build)
 
-    both = f"named_struct('old', {leaves(old, depth)}, 'new', {leaves(new, depth)})"
+    both = f"named_struct('old', {leaves(old)}, 'new', {leaves(new)})"
     return f"coalesce({let(both, settle)}, {new})"
-
-
-def object_depth(doc: str) -> str:
-    """Nesting of objects in a text, counted by braces outside string literals."""
-    bare = f"regexp_replace({doc}, {text(r'"(?:[^"\\]|\\.)*"')}, '')"
-    braces = f"split(regexp_replace({bare}, '[^{{}}]', ''), '')"
-    step = let(
-        "s.now + CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END",
-        lambda n: f"named_struct('now', {n}, 'top', greatest({n}, s.top))",
-    )
-    return f"aggregate({braces}, named_struct('now', 0, 'top', 0), (s, c) -> {step}, s -> s.top)"

@@ -34,7 +34,6 @@ def change_ops(
     keys: Sequence[str] = KEYS,
     ts: str = "ts",
     tiebreak: str = "seq",
-    depth: int = docs.DEFAULT_DEPTH,
     slice_seconds: int = HOUR,
 ) -> DataFrame:
     """Messages for a watch stream with the columns ``op`` and ``doc``.
@@ -63,7 +62,7 @@ def change_ops(
         }
     )
     return (
-        encode_changes(rows, "_base", "_strategy", depth)
+        encode_changes(rows, "_base", "_strategy")
         .withColumns(
             {
                 "event": F.when(op == "Added", VERIFY_OBJECT)

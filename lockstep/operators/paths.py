@@ -14,12 +14,9 @@ from lockstep.model import BOOKKEEPING_PATHS, CLEARED_PATHS, CONTAINER_LISTS, PO
 KEYS = ["kind", "ns", "name"]
 
 
-def to_path_rows(
-    df: DataFrame, keys: Sequence[str] = KEYS, doc: str = "doc", depth: int | None = docs.DEFAULT_DEPTH
-) -> DataFrame:
-    """One row per leaf. ``depth=None`` measures the nesting first."""
-    depth = docs.object_depth(df, doc) if depth is None else depth
-    return explode_leaves(df.withColumn("_leaves", docs.leaves(doc, depth)), keys, "_leaves")
+def to_path_rows(df: DataFrame, keys: Sequence[str] = KEYS, doc: str = "doc") -> DataFrame:
+    """One row per leaf."""
+    return explode_leaves(df.withColumn("_leaves", docs.leaves(doc)), keys, "_leaves")
 
 
 def explode_leaves(df: DataFrame, keys: Sequence[str], leaves: str = "leaves") -> DataFrame:
@@ -31,7 +28,6 @@ def diff_documents(
     new: DataFrame,
     keys: Sequence[str] = KEYS,
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
     how: str = "inner",
 ) -> DataFrame:
     """Merge patch per key: ``change`` in leaf form, beside both sides as leaves.
@@ -39,14 +35,12 @@ def diff_documents(
     Documents travel whole, once, and are unfolded where they meet; equal ones
     are not unfolded at all.
     """
-    if depth is None:
-        depth = max(docs.object_depth(old, doc), docs.object_depth(new, doc))
     both = old.select(*keys, F.col(doc).alias("_old")).join(
         new.select(*keys, F.col(doc).alias("_new")), list(keys), how
     )
     unfolded = {
         f"{side}_leaves": F.expr(
-            f"if(_old <=> _new, {docs.NO_LEAVES}, coalesce({trees.leaves(f'_{side}', depth)}, {docs.NO_LEAVES}))"
+            f"if(_old <=> _new, {docs.NO_LEAVES}, coalesce({trees.leaves(f'_{side}')}, {docs.NO_LEAVES}))"
         )
         for side in ("old", "new")
     }
@@ -58,10 +52,9 @@ def diff_rows(
     new: DataFrame,
     keys: Sequence[str] = KEYS,
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """Merge patch as rows: ``set`` with a value, or ``delete``."""
-    rows = explode_leaves(diff_documents(old, new, keys, doc, depth), keys, "change")
+    rows = explode_leaves(diff_documents(old, new, keys, doc), keys, "change")
     gone = F.col("value") == "null"
     return rows.select(
         *keys,
@@ -77,17 +70,14 @@ def patch_rows(
     keys: Sequence[str] = KEYS,
     doc: str = "doc",
     patch: str = "patch",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """Documents with their merge patch applied, as path rows; no patch, no change."""
-    if depth is None:
-        depth = max(docs.object_depth(base, doc), docs.object_depth(patches, patch))
     joined = base.select(*keys, F.col(doc).alias("_doc")).join(
         patches.select(*keys, F.col(patch).alias("_patch")), list(keys), "left"
     )
-    change = f"coalesce({trees.leaves('_patch', depth)}, {docs.NO_LEAVES})"
+    change = f"coalesce({trees.leaves('_patch')}, {docs.NO_LEAVES})"
     return explode_leaves(
-        joined.withColumn("_result", docs.patch(trees.leaves("_doc", depth), change)), keys, "_result"
+        joined.withColumn("_result", docs.patch(trees.leaves("_doc"), change)), keys, "_result"
     )
 
 
@@ -107,10 +97,9 @@ def change_report(
     new: DataFrame,
     keys: Sequence[str] = KEYS,
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """How many documents differ, per path and kind of difference."""
-    return diff_rows(old, new, keys, doc, depth).groupBy("path", "op").agg(F.count(F.lit(1)).alias("n_objects"))
+    return diff_rows(old, new, keys, doc).groupBy("path", "op").agg(F.count(F.lit(1)).alias("n_objects"))
 
 
 def _path_list(paths: Sequence[str]) -> str:
@@ -133,11 +122,9 @@ def clean_objects(
     cleared: Mapping[str, list[str]] = CLEARED_PATHS,
     kind: str = "kind",
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """Objects without bookkeeping, with the paths their kind clears set to null."""
-    depth = docs.object_depth(df, doc) if depth is None else depth
-    bare = trees.let(trees.leaves(doc, depth), lambda t: trees.drop_paths(t, _path_list(BOOKKEEPING_PATHS)))
+    bare = trees.let(trees.leaves(doc), lambda t: trees.drop_paths(t, _path_list(BOOKKEEPING_PATHS)))
     cleaned = trees.let(
         _by_kind(kind, cleared), lambda paths: trees.let(bare, lambda t: trees.clear_paths(t, paths))
     )
@@ -149,29 +136,25 @@ def stamp_type(
     object_kind: str,
     kind: str = "kind",
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """Documents of typed objects with the ``apiVersion`` and ``kind`` they lack.
 
     ``object_kind`` is a column name or SQL expression.
     """
-    depth = docs.object_depth(df, doc) if depth is None else depth
     api = f"ltrim('/', substring_index({kind}, '/', 2))"
     stamp = trees.struct_leaves({"/apiVersion": trees.quote(api), "/kind": trees.quote(object_kind)})
-    return df.withColumn(doc, docs.leaves_to_json(trees.patch(trees.leaves(doc, depth), stamp)))
+    return df.withColumn(doc, docs.leaves_to_json(trees.patch(trees.leaves(doc), stamp)))
 
 
 def mask_env(
     df: DataFrame,
     object_kind: str | None = None,
     doc: str = "doc",
-    depth: int | None = docs.DEFAULT_DEPTH,
 ) -> DataFrame:
     """Objects with the values of environment variables masked in every container list.
 
     The pod spec lies where the object's kind keeps it; kinds without one pass through.
     """
-    depth = docs.object_depth(df, doc) if depth is None else depth
     kind = f"get_json_object({doc}, '$.kind')" if object_kind is None else object_kind
     cases = " ".join(
         f"WHEN {trees.text(name)} THEN {_path_list([f'{top}/{c}' for c in CONTAINER_LISTS])}"
@@ -180,7 +163,7 @@ def mask_env(
 
     def mask(lists: str) -> str:
         tree = trees.each(
-            trees.leaves(doc, depth),
+            trees.leaves(doc),
             lambda x: f"if(array_contains({lists}, {x}.path), "
             f"{trees.pair(f'{x}.path', trees.mask_containers(f'{x}.value'))}, {x})",
         )

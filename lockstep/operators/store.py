@@ -44,7 +44,7 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     )
 
 
-def encode_changes(df: DataFrame, base: str, strategy: str, depth: int = docs.DEFAULT_DEPTH) -> DataFrame:
+def encode_changes(df: DataFrame, base: str, strategy: str) -> DataFrame:
     """Objects in ``doc`` as put or patch messages against the column ``base``.
 
     Copy, or no base: put. Otherwise a merge patch with the checksum of the
@@ -53,8 +53,8 @@ def encode_changes(df: DataFrame, base: str, strategy: str, depth: int = docs.DE
     as_patch = f"{strategy} = '{PATCH}' AND {base} IS NOT NULL"
     trees_of = df.withColumns(
         {
-            "_old": F.expr(f"if({as_patch}, {trees.leaves(base, depth)}, NULL)"),
-            "_new": F.expr(f"if({as_patch}, {trees.leaves('doc', depth)}, NULL)"),
+            "_old": F.expr(f"if({as_patch}, {trees.leaves(base)}, NULL)"),
+            "_new": F.expr(f"if({as_patch}, {trees.leaves('doc')}, NULL)"),
         }
     ).withColumn("_change", docs.diff("_old", "_new"))
     # The generator drops version-only patches. A filter would be pushed down
@@ -79,9 +79,7 @@ def encode_changes(df: DataFrame, base: str, strategy: str, depth: int = docs.DE
     ).drop("_old", "_new", "_change", "_kept", "doc")
 
 
-def put_or_patch(
-    new: DataFrame, known: DataFrame, kinds: DataFrame, depth: int = docs.DEFAULT_DEPTH
-) -> DataFrame:
+def put_or_patch(new: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFrame:
     """Messages that bring the other side up to ``new``, given what it is known to hold.
 
     A ``base_object`` sent along overrides the known state. After sending, the
@@ -95,7 +93,7 @@ def put_or_patch(
     if "base_object" in new.columns:
         base = F.coalesce(F.nullif(F.col("base_object"), F.lit("")), base)
     joined = joined.withColumn("_known", base)
-    return encode_changes(joined, "_known", "_strategy", depth).drop("_known", "_strategy", "base_object")
+    return encode_changes(joined, "_known", "_strategy").drop("_known", "_strategy", "base_object")
 
 
 def advance_known(known: DataFrame, sent: DataFrame) -> DataFrame:
@@ -105,16 +103,14 @@ def advance_known(known: DataFrame, sent: DataFrame) -> DataFrame:
     return last_by_key(older.unionByName(newer), KEYS, "_age").drop("_age")
 
 
-def apply_patches(
-    messages: DataFrame, store: DataFrame, kinds: DataFrame, depth: int = docs.DEFAULT_DEPTH
-) -> DataFrame:
+def apply_patches(messages: DataFrame, store: DataFrame, kinds: DataFrame) -> DataFrame:
     """Outcome of each patch message: ``stored`` with the new document, or ``get``.
 
     A patch is accepted when the checksum of the result is the announced one.
     Otherwise the object is asked for: without base when its kind is not patched
     or the object is missing, with the stored object as base in all other cases.
     """
-    merged = trees.to_json(trees.patch(trees.leaves("_doc", depth), trees.leaves("patch", depth)))
+    merged = trees.to_json(trees.patch(trees.leaves("_doc"), trees.leaves("patch")))
     joined = (
         messages.join(store.select(*KEYS, F.col("doc").alias("_doc")), KEYS, "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
@@ -177,12 +173,12 @@ def save_if_newer(store: DataFrame, puts: DataFrame, check: bool = True) -> Data
 
 
 def serve_gets(
-    requests: DataFrame, store: DataFrame, known: DataFrame, kinds: DataFrame, depth: int = docs.DEFAULT_DEPTH
+    requests: DataFrame, store: DataFrame, known: DataFrame, kinds: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Answers to get requests as puts or patches, and the requests for unknown objects."""
     drop = [c for c in ("version", "doc") if c in requests.columns]
     held = requests.drop(*drop).join(store.select(*KEYS, "version", "doc"), KEYS, "left")
-    answers = put_or_patch(held.where(F.col("doc").isNotNull()), known, kinds, depth)
+    answers = put_or_patch(held.where(F.col("doc").isNotNull()), known, kinds)
     errors = held.where(F.col("doc").isNull()).drop("version", "doc").withColumn("error", F.lit("object not found"))
     return answers, errors
 
@@ -230,7 +226,6 @@ def replay(
     store: DataFrame,
     messages: DataFrame,
     check: bool = True,
-    depth: int = docs.DEFAULT_DEPTH,
     per_round: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """Apply verify, delete, patch and put messages to the store in ``seq`` order per key.
@@ -244,7 +239,7 @@ def replay(
 
     # each document is unfolded once; the fold works on leaves
     def enter(s: str) -> str:
-        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc, 'tree', {trees.leaves(f'{s}.doc', depth)}))"
+        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc, 'tree', {trees.leaves(f'{s}.doc')}))"
 
     def leave(s: str) -> str:
         return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc))"
@@ -252,7 +247,7 @@ def replay(
     def arrive(m: str) -> str:
         return (
             f"named_struct('event', {m}.event, 'checksum', {m}.checksum, 'object', {m}.object, "
-            f"'leaves', {trees.leaves(f'if({m}.event = {trees.text(PATCH_OBJECT)}, {m}.patch, {m}.object)', depth)})"
+            f"'leaves', {trees.leaves(f'if({m}.event = {trees.text(PATCH_OBJECT)}, {m}.patch, {m}.object)')})"
         )
 
     def number(tree: str) -> str:
@@ -302,7 +297,6 @@ def fold_batches(
     kinds: DataFrame,
     known: DataFrame | None = None,
     check: bool = True,
-    depth: int = docs.DEFAULT_DEPTH,
     per_round: int = 256,
 ) -> BatchResult:
     """Effect of batches on the store.
@@ -322,11 +316,10 @@ def fold_batches(
         store,
         store.where(F.lit(False)) if known is None else known,
         kinds,
-        depth,
     )
     checks = verify(of(VERIFY_OBJECT).select(*KEYS, "seq", "checksum"), store)
     left = store.join(of(DELETE_OBJECT).select(*KEYS).distinct(), KEYS, "left_anti")
-    patched, asked = replay(left, of(PATCH_OBJECT), check, depth, per_round)
+    patched, asked = replay(left, of(PATCH_OBJECT), check, per_round)
     puts = of(PUT_OBJECT).select(*KEYS, "seq", "version", F.col("object").alias("doc"))
     newest = fold_puts(puts) if check else last_by_key(puts, KEYS, "seq")
     requests = checks.select(*KEYS, "seq", "base_object").unionByName(asked)

@@ -31,7 +31,6 @@ class Settings:
     exclude: Sequence[str] = field(default_factory=tuple)
     muted_accounts: Sequence[str] = field(default_factory=tuple)
     max_bytes: int | str | None = None
-    depth: int = docs.DEFAULT_DEPTH
 
 
 def cluster_to_backend(changes: DataFrame, kinds: DataFrame, account: str, cluster: str, s: Settings) -> DataFrame:
@@ -41,8 +40,8 @@ def cluster_to_backend(changes: DataFrame, kinds: DataFrame, account: str, clust
     kept = debounce(wanted).drop("n_events")
     kept = scope.in_scope(scope.with_object_fields(kept), s.operator_ns, s.include, s.exclude)
     kept = kept.drop("object_kind", "owners", "labels")
-    cleaned = mask_env(clean_objects(kept, depth=s.depth), depth=s.depth)
-    messages = change_ops(cleaned, kinds, depth=s.depth).withColumns(
+    cleaned = mask_env(clean_objects(kept))
+    messages = change_ops(cleaned, kinds).withColumns(
         {
             "account": F.lit(account),
             "cluster": F.lit(cluster),
@@ -72,7 +71,7 @@ def backend_to_store(
     usable, rejected = guards.quarantine(decode_log_messages(routed))
     wanted, _ = scope.configured_kinds(guards.depth_guard(usable), kinds)
     messages = wanted.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
-    after, gets = replay(store, messages, check, s.depth)
+    after, gets = replay(store, messages, check)
     origin = messages.select(*KEYS, "seq", "account", "cluster", "depth", "msg_id")
     requests = gets.withColumn("event", F.lit(GET_OBJECT)).join(origin, [*KEYS, "seq"], "left")
     return Applied(after, lineage(requests), rejected)
@@ -83,7 +82,7 @@ def sync_round(source: DataFrame, target: DataFrame, in_scope: Column | None = N
     return reconciled(source, target, in_scope)
 
 
-def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame, depth: int = docs.DEFAULT_DEPTH) -> DataFrame:
+def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame) -> DataFrame:
     """The target after a verify, get, put-or-patch exchange driven by checksums.
 
     Every source object is verified; the target asks for those that differ, with
@@ -91,9 +90,9 @@ def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame, depth:
     """
     asked = verify(source.select(*KEYS, docs.checksum("doc").alias("checksum")), target)
     nothing_known = target.where(F.lit(False))
-    answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds, depth)
+    answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds)
     # puts find no patch to try and bring their document along
-    tried = apply_patches(answers, target, kinds, depth)
+    tried = apply_patches(answers, target, kinds)
     changes = tried.withColumn("doc", F.coalesce("doc", "object")).where(F.col("doc").isNotNull())
     changes = changes.select(*KEYS, "version", "doc", F.lit("put").alias("op"), F.lit(0).alias("seq"))
     return apply_changes(target, changes)

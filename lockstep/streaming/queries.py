@@ -94,7 +94,6 @@ def stream_change_ops(
     checkpoint: str,
     sink: Sink,
     kinds: DataFrame | None = None,
-    depth: int = docs.DEFAULT_DEPTH,
     interval: str | None = None,
 ) -> StreamingQuery:
     """``change_ops`` on a stream; the last sent state of each object is kept between batches.
@@ -116,7 +115,7 @@ def stream_change_ops(
             F.timestamp_micros(F.lit(0).cast("bigint")).cast(batch.schema["ts"].dataType).alias("ts"),
             F.lit(-1).cast("bigint").alias("seq"),
         )
-        sent = change_ops(batch.unionByName(seeds, allowMissingColumns=True), kinds, depth=depth)
+        sent = change_ops(batch.unionByName(seeds, allowMissingColumns=True), kinds)
         sink(sent.where(F.col("seq") >= 0), batch_id)
         told = batch.where(F.col("op").isin("Modified", "Deleted")).select(*KEYS, "op", "doc", "ts", "seq")
         touched = last_by_key(told, KEYS, "ts", "seq").select(

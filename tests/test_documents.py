@@ -56,12 +56,12 @@ def test_random_documents(spark):
 
 
 def test_golden_patch(spark):
-    change = F.expr(trees.to_json(trees.diff(trees.leaves("a", 3), trees.leaves("b", 3))))
+    change = F.expr(trees.to_json(trees.diff(trees.leaves("a"), trees.leaves("b"))))
     assert one(spark, change, a=ONE, b=TWO) == '{"metadata":{"resourceVersion":"2"}}'
 
 
 def test_removed_subtree_is_one_null(spark):
-    change = F.expr(trees.to_json(trees.diff(trees.leaves("a", 3), trees.leaves("b", 3))))
+    change = F.expr(trees.to_json(trees.diff(trees.leaves("a"), trees.leaves("b"))))
     old = '{"a":{"b":{"c":1,"d":2}},"e":1}'
     assert one(spark, change, a=old, b='{"e":1}') == '{"a":null}'
     assert one(spark, change, a=old, b='{"a":{},"e":1}') == '{"a":{"b":null}}'
@@ -95,12 +95,13 @@ def test_annotation_is_the_fast_path(spark):
 
 def test_depth_is_never_cut(spark):
     deep = '{"a":{"b":{"c":{"d":1}}}}'
-    df = spark.createDataFrame([(deep,), ('{"text":"}}}{{{{{{"}',)], "doc string")
-    assert docs.object_depth(df, "doc") == 4
-    with pytest.raises(Exception, match="nests deeper than 3"):
-        df.select(docs.leaves("doc", 3)).collect()
-    found = paths.to_path_rows(df.withColumn("k", F.lit(1)), ["k"], depth=None)
-    assert {r.path for r in found.collect()} == {"/a/b/c/d", "/text"}
+    very = '{"n":' * 300 + "1" + "}" * 300
+    unreadable = '{"n":' * 5000 + "1" + "}" * 5000
+    df = spark.createDataFrame([(deep,), ('{"text":"}}}{{{{{{"}',), (very,), (unreadable,), ("{}",), ("7",)], "doc string")
+    found = paths.to_path_rows(df.withColumn("k", F.lit(1)), ["k"])
+    assert {r.path for r in found.collect()} == {"/a/b/c/d", "/text", "/n" * 300, ""}
+    back = df.select(docs.leaves("doc").alias("tree")).select(docs.leaves_to_json("tree").alias("back"))
+    assert [r.back for r in back.collect()] == [deep, '{"text":"}}}{{{{{{"}', very, None, "{}", "7"]
 
 
 def test_rows_checksum_equals_document_checksum(spark):
@@ -140,7 +141,7 @@ def test_clean_objects(spark):
 
 def mask(spark, doc):
     df = spark.createDataFrame([(json.dumps(doc),)], "doc string")
-    return json.loads(paths.mask_env(df, depth=8).first()["doc"])
+    return json.loads(paths.mask_env(df).first()["doc"])
 
 
 def env(*entries):

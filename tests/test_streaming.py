@@ -4,7 +4,6 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lockstep.functions import documents as docs
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.streaming import queries as st
 from lockstep.streaming.state import KeyedState
@@ -55,9 +54,9 @@ def test_stream_debounce_equals_batch(spark, tmp_path):
 def test_stream_change_ops_equals_batch(spark, tmp_path):
     df = changes(spark, 120)
     stream = feed(spark, df, f"{tmp_path}/in", 4)
-    st.stream_change_ops(stream, f"{tmp_path}/known", f"{tmp_path}/cp", to_folder(f"{tmp_path}/out"), depth=2).awaitTermination()
+    st.stream_change_ops(stream, f"{tmp_path}/known", f"{tmp_path}/cp", to_folder(f"{tmp_path}/out")).awaitTermination()
     columns = ["seq", "event", "checksum", "patch", "object"]
-    assert rows(spark.read.parquet(f"{tmp_path}/out"), *columns) == rows(change_ops(df, depth=2), *columns)
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), *columns) == rows(change_ops(df), *columns)
 
 
 @pytest.mark.parametrize("in_order", [True, False])
@@ -138,4 +137,3 @@ def test_handlers(spark):
     events = ["DeleteObject", "GetObject", "PatchObject", "PutObject", "VerifyObject", "batch"]
     df = spark.createDataFrame([(e,) for e in events], "event string")
     assert rows(st.handle(df, Echo()), "by") == [("batch",), ("delete",), ("get",), ("patch",), ("put",), ("verify",)]
-    assert docs.DEFAULT_DEPTH > 0

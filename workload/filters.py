@@ -147,7 +147,7 @@ def size_guard(spark, sf_dir):
     """,
 )
 def drop_version_only(spark, sf_dir):
-    changes = diff_documents(derived(spark, sf_dir, "old_parts"), derived(spark, sf_dir, "new_parts"), depth=3)
+    changes = diff_documents(derived(spark, sf_dir, "old_parts"), derived(spark, sf_dir, "new_parts"))
     text = F.coalesce(docs.leaves_to_json("change"), F.lit(""))
     return guards.drop_version_only(changes).select("name", F.length(text).alias("patch_length"))
 

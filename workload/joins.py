@@ -87,7 +87,7 @@ def route_connected(spark, sf_dir):
 def put_or_patch(spark, sf_dir):
     new = derived(spark, sf_dir, "new_parts")
     fresh = derived(spark, sf_dir, "objects").withColumn("version", F.col("version").cast("string"))
-    sent = st.put_or_patch(new.unionByName(fresh), derived(spark, sf_dir, "old_parts"), kinds(spark), depth=3)
+    sent = st.put_or_patch(new.unionByName(fresh), derived(spark, sf_dir, "old_parts"), kinds(spark))
     return sent.select("kind", "name", "event", F.coalesce("patch", "object").alias("body"), "checksum")
 
 
@@ -106,7 +106,6 @@ def patch_messages(spark, sf_dir):
         ),
         "base",
         "'patch'",
-        depth=3,
     )
     wrong = F.when(F.endswith("name", F.lit("7")), F.lit("off")).otherwise(F.col("checksum"))
     return sent.withColumn("checksum", wrong).drop("base", "object", "event", "version")
@@ -127,7 +126,7 @@ def patch_messages(spark, sf_dir):
 )
 def apply_patches(spark, sf_dir):
     store = derived(spark, sf_dir, "old_parts").where(~F.startswith("name", F.lit("1")))
-    done = st.apply_patches(patch_messages(spark, sf_dir), store, kinds(spark), depth=3)
+    done = st.apply_patches(patch_messages(spark, sf_dir), store, kinds(spark))
     return done.select("name", "outcome", "doc", "base_object")
 
 
@@ -169,7 +168,7 @@ def serve_gets(spark, sf_dir):
     requests = target.select(*KEYS, F.when(F.col("ns") == "O", F.col("doc")).alias("base_object"))
     # nothing is known beforehand: an anti-join of the source with itself is empty
     known = source.join(source.select(*KEYS), KEYS, "left_anti")
-    answers, errors = st.serve_gets(requests, source, known, kinds(spark), depth=3)
+    answers, errors = st.serve_gets(requests, source, known, kinds(spark))
     body = F.coalesce("patch", "object")
     return answers.select(*KEYS, "event", body.alias("body")).unionByName(
         errors.select(*KEYS, F.lit("error").alias("event"), F.lit(None).cast("string").alias("body"))
@@ -220,7 +219,7 @@ def sync_round_query(spark, sf_dir):
 )
 def verify_round_query(spark, sf_dir):
     # urgent orders differ only by version, which is not worth a patch
-    after = verify_round(derived(spark, sf_dir, "source"), derived(spark, sf_dir, "target"), kinds(spark), depth=3)
+    after = verify_round(derived(spark, sf_dir, "source"), derived(spark, sf_dir, "target"), kinds(spark))
     return after.select(*KEYS, F.sha2("doc", 256).alias("digest"))
 
 

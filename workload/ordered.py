@@ -93,7 +93,7 @@ CHANGE_OPS_SQL = (
 
 @query("change_ops", CHANGE_OPS_SQL)
 def change_ops(spark, sf_dir):
-    sent = ch.change_ops(derived(spark, sf_dir, "changes"), depth=3, slice_seconds=86_400)
+    sent = ch.change_ops(derived(spark, sf_dir, "changes"), slice_seconds=86_400)
     return sent.select("seq", "event", F.coalesce("patch", "object").alias("body"), "checksum")
 
 

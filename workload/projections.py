@@ -196,7 +196,7 @@ FROM (SELECT p_partkey, p_type,
 )
 def mask_values(spark, sf_dir):
     rows = spark.sql(WORKLOADS, part=table(spark, sf_dir, "part", heavy=True))
-    return mask_env(rows, depth=8).select("p_partkey", "doc")
+    return mask_env(rows).select("p_partkey", "doc")
 
 
 @query(

@@ -76,7 +76,7 @@ def stream_change_ops(spark, sf_dir):
     out, known, checkpoint = (scratch(spark, name) for name in ("sent", "known", "cp"))
 
     def start(changes):
-        return st.stream_change_ops(changes, known, checkpoint, appending(out), depth=3)
+        return st.stream_change_ops(changes, known, checkpoint, appending(out))
 
     replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 3, start)
     sent = spark.read.parquet(out)
