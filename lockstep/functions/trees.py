@@ -406,6 +406,11 @@ def mask_containers(value: str) -> str:
 
 def merge_metadata(old: str, new: str) -> str:
     """``new`` with the metadata of the stored ``old``; labels and annotations only gain members."""
+    return f"coalesce({to_json(merged_metadata(leaves(old), leaves(new)))}, {new})"
+
+
+def merged_metadata(old: str, new: str) -> str:
+    """:func:`merge_metadata` on leaves; null if either side is."""
     maps = ("'/metadata/labels'", "'/metadata/annotations'")
 
     def settle(t: str) -> str:
@@ -426,9 +431,8 @@ def merge_metadata(old: str, new: str) -> str:
                 ),
             )
             body = keep(f"{t}.new", lambda x: "NOT " + at_or_under(f"{x}.path", "'/metadata'"))
-            return to_json(f"concat({body}, {settled})")
+            return f"concat({body}, {settled})"
 
         return let(stored, build)
 
-    both = f"named_struct('old', {leaves(old)}, 'new', {leaves(new)})"
-    return f"coalesce({let(both, settle)}, {new})"
+    return let(f"named_struct('old', {old}, 'new', {new})", settle)

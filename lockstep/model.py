@@ -97,7 +97,7 @@ KIND = T.StructType(
 
 OBJECT_SCHEMA = "kind string, ns string, name string, version string, doc string"
 CHANGE_SCHEMA = "op string, kind string, ns string, name string, version string, doc string, ts timestamp, seq bigint"
-LOG_SCHEMA = "key string, properties map<string,string>, payload string, ts timestamp"
+LOG_SCHEMA = "key string, properties map<string,string>, payload string, ts timestamp, partition int, offset bigint"
 INGEST_SCHEMA = "method string, path string, body string"
 KINDS_SCHEMA = "kind string, strategy string"
 

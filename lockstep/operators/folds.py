@@ -25,35 +25,45 @@ def fold_runs(
     enter: Callable[[str], str] = _same,
     leave: Callable[[str], str] = _same,
     arrive: Callable[[str], str] = _same,
+    types: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold ``events`` (keys, seq, event) into ``state`` (keys, state) in ``seq`` order per key.
 
+    ``seq`` is a number or a struct of them. Events that share it are all folded, in the
+    order of their content.
+
     ``step(state, event)`` maps SQL expressions to the SQL expression of a struct:
     the new ``state`` and an ``emit`` value, null when nothing is emitted. Returns the new states and the emitted
     rows (keys, seq, emit).
 
     ``enter`` and ``arrive`` turn states and events into the form ``step`` works
     on, ``leave`` turns states back. They are applied after the shuffle, so only
-    the compact form travels.
+    the compact form travels. ``types`` names the types of the entered state and of
+    what is emitted; without it they are found by analysing ``step`` once more.
 
     Every round takes the next ``per_round`` events of each key into one row and
-    folds them there; the row_number limit is applied before the shuffle, so a
-    busy key never gathers in one task. One round does when no key has more
-    events than that; a longer run costs further rounds, not memory.
+    folds them there. One round does when no key has more events than that; for a
+    longer run the events are numbered once and written, and further rounds read
+    their part of them. They cost time, not memory.
     """
     keys = list(keys)
-    by_seq = Window.partitionBy(*keys).orderBy("seq")
-    inner = state.join(events, keys).select(
-        F.expr(enter("state")).alias("state"), F.expr(arrive("event")).alias("event")
-    )
-    state_type = inner.schema["state"].dataType.simpleString()
-    probe = inner.select(F.expr(step("state", "event")).alias("r"))
-    emit_type = probe.schema["r"].dataType["emit"].dataType.simpleString()
-    out_type = f"array<struct<seq:bigint,emit:{emit_type}>>"
+    by_seq = Window.partitionBy(*keys).orderBy("seq", "event")
+    if types is None:
+        inner = state.join(events, keys).select(
+            F.expr(enter("state")).alias("state"), F.expr(arrive("event")).alias("event")
+        )
+        probe = inner.select(F.expr(step("state", "event")).alias("r"))
+        types = (
+            inner.schema["state"].dataType.simpleString(),
+            probe.schema["r"].dataType["emit"].dataType.simpleString(),
+        )
+    state_type, emit_type = types
+    seq_type = events.schema["seq"].dataType.simpleString()
+    out_type = f"array<struct<seq:{seq_type},emit:{emit_type}>>"
 
     def advance(acc: str, x: str) -> str:
         def settle(r: str) -> str:
-            said = f"named_struct('seq', cast({x}.seq AS BIGINT), 'emit', {r}.emit)"
+            said = f"named_struct('seq', {x}.seq, 'emit', {r}.emit)"
             return (
                 f"named_struct('state', cast({r}.state AS {state_type}), 'out', "
                 f"cast(if({r}.emit IS NULL, {acc}.out, array_append({acc}.out, {said})) AS {out_type}))"
@@ -71,27 +81,22 @@ def fold_runs(
         return state, events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))
 
     touched = events.select(*keys).distinct()
+    if rounds > 1:
+        events = cut(events.withColumn("_n", F.row_number().over(by_seq) - 1))
     active, emitted = state, None
     for number in range(rounds):
-        runs = (
-            events.withColumn("_n", F.row_number().over(by_seq))
-            .where(F.col("_n") <= per_round)
-            .groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_run"))
-        )
+        part = events
+        if rounds > 1:
+            part = events.where((F.col("_n") >= number * per_round) & (F.col("_n") < (number + 1) * per_round))
+        runs = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_run"))
         # every touched key has a run in the first round; the states of the others stay where they are
         met = runs.join(active, keys, "left") if number == 0 else active.join(runs, keys, "left")
         folded = once(met.withColumn("_arrived", F.expr(arrived)), "_end", fold)
         after = F.when(F.col("_run").isNull(), F.col("state")).otherwise(F.expr(leave("_end.state")))
         # states and emitted rows come from one computation; its size follows the events
-        folded = cut(
-            folded.select(*keys, after.alias("state"), "_end.out", F.element_at("_run", -1)["seq"].alias("_done"))
-        )
+        folded = cut(folded.select(*keys, after.alias("state"), "_end.out"))
         said = folded.select(*keys, F.explode("out").alias("_o")).select(*keys, "_o.*")
         emitted = said if emitted is None else emitted.unionByName(said)
         active = folded.select(*keys, "state")
-        if number < rounds - 1:
-            done = folded.where(F.col("_done").isNotNull()).select(*keys, "_done")
-            events = cut(events.join(done, keys).where(F.col("seq") > F.col("_done")).drop("_done"))
     untouched = state.join(touched, keys, "left_anti")
     return untouched.unionByName(active.where(F.col("state").isNotNull())), emitted

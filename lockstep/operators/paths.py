@@ -12,6 +12,13 @@ from lockstep.functions import trees
 from lockstep.model import BOOKKEEPING_PATHS, CLEARED_PATHS, CONTAINER_LISTS, POD_SPEC
 
 KEYS = ["kind", "ns", "name"]
+#: Who an object belongs to, where a table holds the objects of several clusters.
+CLIENT = ["account", "cluster"]
+
+
+def object_keys(df: DataFrame) -> list[str]:
+    """The columns that identify an object: with account and cluster where the table has both."""
+    return [*CLIENT, *KEYS] if set(CLIENT) <= set(df.columns) else KEYS
 
 
 def to_path_rows(df: DataFrame, keys: Sequence[str] = KEYS, doc: str = "doc") -> DataFrame:

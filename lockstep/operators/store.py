@@ -5,6 +5,7 @@ A store has the columns kind, ns, name (one row per key), version and doc.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 from lockstep.functions import documents as docs
 from lockstep.functions import trees
 from lockstep.functions.identity import to_version, version_newer
-from lockstep.model import DELETE_OBJECT, GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
+from lockstep.model import DELETE_OBJECT, GET_OBJECT, LEAVES, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
 from lockstep.operators.batches import unpack_batches
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
-from lockstep.operators.paths import KEYS
+from lockstep.operators.paths import KEYS, object_keys
 
 
 def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
@@ -79,14 +80,16 @@ def encode_changes(df: DataFrame, base: str, strategy: str) -> DataFrame:
     ).drop("_old", "_new", "_change", "_kept", "doc")
 
 
-def put_or_patch(new: DataFrame, known: DataFrame, kinds: DataFrame) -> DataFrame:
+def put_or_patch(
+    new: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """Messages that bring the other side up to ``new``, given what it is known to hold.
 
     A ``base_object`` sent along overrides the known state. After sending, the
     known state is ``advance_known(known, new)``.
     """
     joined = (
-        new.join(known.select(*KEYS, F.col("doc").alias("_known")), KEYS, "left")
+        new.join(known.select(*keys, F.col("doc").alias("_known")), list(keys), "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
     )
     base = F.col("_known")
@@ -178,8 +181,15 @@ def serve_gets(
     """Answers to get requests as puts or patches, and the requests for unknown objects."""
     drop = [c for c in ("version", "doc") if c in requests.columns]
     held = requests.drop(*drop).join(store.select(*KEYS, "version", "doc"), KEYS, "left")
-    answers = put_or_patch(held.where(F.col("doc").isNotNull()), known, kinds)
-    errors = held.where(F.col("doc").isNull()).drop("version", "doc").withColumn("error", F.lit("object not found"))
+    return answer_gets(held, known, kinds)
+
+
+def answer_gets(
+    found: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] = KEYS
+) -> tuple[DataFrame, DataFrame]:
+    """Objects that were asked for as puts or patches, and the requests that found none (``doc`` null)."""
+    answers = put_or_patch(found.where(F.col("doc").isNotNull()), known, kinds, keys)
+    errors = found.where(F.col("doc").isNull()).drop("version", "doc").withColumn("error", F.lit("object not found"))
     return answers, errors
 
 
@@ -227,63 +237,114 @@ def replay(
     messages: DataFrame,
     check: bool = True,
     per_round: int = 256,
-) -> tuple[DataFrame, DataFrame]:
-    """Apply verify, delete, patch and put messages to the store in ``seq`` order per key.
-
-    Returns the new store and the get requests that arise. Senders debounce per
-    key, so a single round of ``fold_runs`` nearly always does.
+    kinds: DataFrame | None = None,
+    keep_metadata: bool = False,
+    keys: Sequence[str] = KEYS,
+    carry: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply get, verify, delete, patch and put messages to the store in ``seq`` order per key.
+
+    Returns the new store, the get requests that arise, and what the gets found: the
+    object as it was then, null if there was none. Both carry the ``carry`` columns of
+    the message they follow from. ``seq`` is a number or a struct of them.
+
+    ``check`` stores only what is newer, or where either document cannot be read.
+    ``kinds`` limits patches to the kinds patched: on others they ask for the object
+    without base. ``keep_metadata`` leaves the metadata of a stored object in place when
+    a put replaces it. Senders debounce per key, so a single round of ``fold_runs``
+    nearly always does.
     """
-    event = F.struct(*[_column(messages, c).alias(c) for c in ("event", "checksum", "patch", "object")])
-    events = messages.select(*KEYS, F.col("seq").cast("bigint").alias("seq"), event.alias("event"))
-    held = store.select(*KEYS, F.struct(F.col("doc").alias("doc")).alias("state"))
+    patched = F.lit(True)
+    if kinds is not None:
+        strategies = kinds.select("kind", F.col("strategy").alias("_strategy"))
+        messages = messages.join(strategies, "kind", "left")
+        patched = F.col("_strategy").eqNullSafe(PATCH)
+    event = F.struct(
+        *[_column(messages, c).alias(c) for c in ("event", "checksum", "patch", "object", "base_object")],
+        patched.alias("patched"),
+        F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("origin"),
+    )
+    events = messages.select(*keys, "seq", event.alias("event"))
+    held = store.select(*keys, F.struct(F.col("version").cast("string").alias("version"), "doc").alias("state"))
 
     # each document is unfolded once; the fold works on leaves
     def enter(s: str) -> str:
-        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc, 'tree', {trees.leaves(f'{s}.doc')}))"
+        unfolded = f"named_struct('version', {s}.version, 'doc', {s}.doc, 'tree', {trees.leaves(f'{s}.doc')})"
+        return f"if({s}.doc IS NULL, NULL, {unfolded})"
 
     def leave(s: str) -> str:
-        return f"if({s}.doc IS NULL, NULL, named_struct('doc', {s}.doc))"
+        return f"if({s}.doc IS NULL, NULL, named_struct('version', {s}.version, 'doc', {s}.doc))"
 
     def arrive(m: str) -> str:
+        body = f"if({m}.event = {trees.text(PATCH_OBJECT)}, {m}.patch, {m}.object)"
         return (
             f"named_struct('event', {m}.event, 'checksum', {m}.checksum, 'object', {m}.object, "
-            f"'leaves', {trees.leaves(f'if({m}.event = {trees.text(PATCH_OBJECT)}, {m}.patch, {m}.object)')})"
+            f"'base_object', {m}.base_object, 'patched', {m}.patched, 'origin', {m}.origin, "
+            f"'leaves', {trees.leaves(body)})"
         )
 
-    def number(tree: str) -> str:
-        digits = f"trim('\"' FROM {trees.leaf(tree, VERSION_PATH)})"
-        return trees.integer(digits)
+    def version(tree: str) -> str:
+        return f"trim('\"' FROM {trees.leaf(tree, VERSION_PATH)})"
 
     def step(s: str, m: str) -> str:
-        is_patch, is_put, is_verify, is_delete = (
-            f"{m}.event = '{e}'" for e in (PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT, DELETE_OBJECT)
+        is_patch, is_put, is_verify, is_delete, is_get = (
+            f"{m}.event = '{e}'" for e in (PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT, DELETE_OBJECT, GET_OBJECT)
         )
-        # what the message offers to store: for a patch the merged leaves and their text
-        offered = f"if({is_patch}, {trees.patch(f'{s}.tree', f'{m}.leaves')}, {m}.leaves)"
+        # what the message offers to store: leaves and their text
+        rewritten = is_patch
+        offered = f"WHEN {is_patch} THEN {trees.patch(f'{s}.tree', f'{m}.leaves')} ELSE {m}.leaves"
+        if keep_metadata:
+            settled = f"({is_put} AND {s}.tree IS NOT NULL)"
+            rewritten = f"({is_patch} OR {settled})"
+            offered = f"WHEN {settled} THEN {trees.merged_metadata(f'{s}.tree', f'{m}.leaves')} {offered}"
 
         def settle(o: str) -> str:
-            fits = f"coalesce({trees.checksum(f'{o}.doc')} = {m}.checksum, false)"
-            newer = f"({s}.tree IS NULL OR coalesce({number(f'{o}.tree')} > {number(f'{s}.tree')}, false))" if check else "true"
-            stored = f"named_struct('doc', {o}.doc, 'tree', {o}.tree)"
+            fits = f"(({m}.patched OR NOT {is_patch}) AND coalesce({trees.checksum(f'{o}.doc')} = {m}.checksum, false))"
+            newer = "true"
+            if check:
+                numbers = [trees.integer(version(f"{side}.tree")) for side in (o, s)]
+                newer = f"({s}.tree IS NULL OR {o}.tree IS NULL OR coalesce({' > '.join(numbers)}, false))"
+            stored = f"named_struct('version', {version(f'{o}.tree')}, 'doc', {o}.doc, 'tree', {o}.tree)"
             after = (
                 f"CASE WHEN {is_delete} THEN NULL"
                 f" WHEN ({is_put} OR ({is_patch} AND {fits})) AND {newer} THEN {stored} ELSE {s} END"
             )
-            base = f"if({is_patch} OR {s}.tree IS NOT NULL, {s}.doc, NULL)"
-            ask = f"if(({is_patch} OR {is_verify}) AND NOT {fits}, named_struct('base_object', {base}), NULL)"
-            return f"named_struct('state', {after}, 'emit', {ask})"
+            base = f"if(({is_patch} AND {m}.patched) OR ({is_verify} AND {s}.tree IS NOT NULL), {s}.doc, NULL)"
+
+            def said(base: str, found: str) -> str:
+                return (
+                    f"named_struct('get', {is_get}, 'base_object', {base}, 'version', if({is_get}, {s}.version, NULL), "
+                    f"'doc', {found}, 'origin', {m}.origin)"
+                )
+
+            told = (
+                f"CASE WHEN {is_get} THEN {said(f'{m}.base_object', f'{s}.doc')} "
+                f"WHEN ({is_patch} OR {is_verify}) AND NOT {fits} THEN {said(base, 'cast(NULL AS STRING)')} END"
+            )
+            return f"named_struct('state', {after}, 'emit', {told})"
 
         def told(tree: str) -> str:
-            text = f"CASE WHEN {is_patch} THEN {trees.to_json(tree)} WHEN {is_verify} THEN {s}.doc ELSE {m}.object END"
+            text = (
+                f"CASE WHEN {is_verify} THEN {s}.doc WHEN {is_patch} THEN {trees.to_json(tree)} "
+                f"WHEN {rewritten} THEN coalesce({trees.to_json(tree)}, {m}.object) ELSE {m}.object END"
+            )
             return trees.let(f"named_struct('tree', {tree}, 'doc', {text})", settle)
 
-        return trees.let(offered, told)
+        return trees.let(f"CASE {offered} END", told)
 
-    after, asked = fold_runs(held, events, KEYS, step, per_round, enter, leave, arrive)
-    version = F.get_json_object("state.doc", "$" + VERSION_PATH.replace("/", "."))
+    origin = events.schema["event"].dataType["origin"].dataType.simpleString()
+    types = (
+        f"struct<version:string,doc:string,tree:{LEAVES}>",
+        f"struct<get:boolean,base_object:string,version:string,doc:string,origin:{origin}>",
+    )
+    after, said = fold_runs(held, events, keys, step, per_round, enter, leave, arrive, types)
+    told = said.select(*keys, "seq", "emit.*").select(
+        *keys, "seq", "get", "base_object", "version", "doc", *[F.col(f"origin.{c}").alias(c) for c in carry]
+    )
     return (
-        after.select(*KEYS, version.alias("version"), "state.doc"),
-        asked.select(*KEYS, "seq", F.col("emit.base_object").alias("base_object")),
+        after.select(*keys, "state.version", "state.doc"),
+        told.where(~F.col("get")).drop("get", "version", "doc"),
+        told.where(F.col("get")).drop("get"),
     )
 
 
@@ -298,29 +359,23 @@ def fold_batches(
     known: DataFrame | None = None,
     check: bool = True,
     per_round: int = 256,
+    order: str | None = None,
 ) -> BatchResult:
-    """Effect of batches on the store.
+    """Effect of batches on the store, one batch after another by the column ``order``.
 
-    Gets and verifications look at the store as it was; then come deletes, the
-    patches of a key one after another, and puts. A patch on an object that is
-    missing, or whose checksum is off, asks for the object.
+    Within a batch gets and verifications come first, then deletes, the patches of a
+    key one after another, and puts. Each sees the store as it is then. A patch on an
+    object that is missing, or whose checksum is off, asks for the object. Without
+    ``order`` the batches count as one. A store with account and cluster is kept apart
+    by client, and its batches name theirs.
     """
-    store = store.select(*KEYS, F.col("version").cast("string").alias("version"), "doc")
+    keys = object_keys(store)
     items = unpack_batches(batches)
-
-    def of(event: str) -> DataFrame:
-        return items.where(F.col("event") == event)
-
-    answers, errors = serve_gets(
-        of(GET_OBJECT).select(*KEYS, "seq", "base_object"),
-        store,
-        store.where(F.lit(False)) if known is None else known,
-        kinds,
-    )
-    checks = verify(of(VERIFY_OBJECT).select(*KEYS, "seq", "checksum"), store)
-    left = store.join(of(DELETE_OBJECT).select(*KEYS).distinct(), KEYS, "left_anti")
-    patched, asked = replay(left, of(PATCH_OBJECT), check, per_round)
-    puts = of(PUT_OBJECT).select(*KEYS, "seq", "version", F.col("object").alias("doc"))
-    newest = fold_puts(puts) if check else last_by_key(puts, KEYS, "seq")
-    requests = checks.select(*KEYS, "seq", "base_object").unionByName(asked)
-    return BatchResult(save_if_newer(patched, newest, check), requests, answers, errors)
+    # batches not ordered among themselves interleave by list, as one batch would
+    at = [F.col(order).alias("batch")] if order else []
+    place = F.struct(*at, F.col("op_rank"), F.col("seq").alias("item"))
+    items = items.withColumns({"_item": F.col("seq"), "seq": place})
+    after, requests, found = replay(store, items, check, per_round, keys=keys, carry=("_item",))
+    requests, found = (x.drop("seq").withColumnRenamed("_item", "seq") for x in (requests, found))
+    answers, errors = answer_gets(found, store.where(F.lit(False)) if known is None else known, kinds, keys)
+    return BatchResult(after, requests, answers, errors)

@@ -15,9 +15,9 @@ from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
 from lockstep.operators.messages import decode_log_messages, envelope
-from lockstep.operators.paths import KEYS, clean_objects, mask_env
+from lockstep.operators.paths import KEYS, clean_objects, mask_env, object_keys
 from lockstep.operators.reconcile import reconciled
-from lockstep.operators.store import apply_changes, apply_patches, replay, serve_gets, verify
+from lockstep.operators.store import answer_gets, apply_changes, apply_patches, replay, serve_gets, verify
 from lockstep.sources.tables import usable_changes, with_properties
 
 
@@ -60,21 +60,42 @@ class Applied:
 
     store: DataFrame
     requests: DataFrame
+    answers: DataFrame
+    errors: DataFrame
     rejected: DataFrame
 
 
 def backend_to_store(
-    log: DataFrame, clients: DataFrame, kinds: DataFrame, store: DataFrame, s: Settings, check: bool = True
+    log: DataFrame,
+    clients: DataFrame,
+    kinds: DataFrame,
+    store: DataFrame,
+    s: Settings,
+    check: bool = False,
+    keep_metadata: bool = True,
+    known: DataFrame | None = None,
 ) -> Applied:
-    """Message log to store: drop own, route, decode, guard, replay in order; disagreements become get requests."""
+    """Message log to store: drop own, route, decode, guard, replay in order; answer gets, ask where sides disagree.
+
+    Messages are taken in the order of time, partition and offset; of those that share
+    all three the order is that of their content. A store with account and cluster is
+    kept apart by client. By default puts overwrite and keep the metadata of the stored
+    object, as in a cluster; ``check`` stores only newer versions, as a backend does.
+    """
     routed = route_to_connected(guards.drop_own_messages(with_properties(log), s.own_key), clients)
     usable, rejected = guards.quarantine(decode_log_messages(routed))
     wanted, _ = scope.configured_kinds(guards.depth_guard(usable), kinds)
-    messages = wanted.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
-    after, gets = replay(store, messages, check)
-    origin = messages.select(*KEYS, "seq", "account", "cluster", "depth", "msg_id")
-    requests = gets.withColumn("event", F.lit(GET_OBJECT)).join(origin, [*KEYS, "seq"], "left")
-    return Applied(after, lineage(requests), rejected)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    places = [F.col(c).cast("bigint").alias(c) for c in ("partition", "offset") if c in wanted.columns]
+    messages = wanted.withColumn("seq", F.struct(micros.alias("at"), *places))
+    keys = object_keys(store)
+    carry = [c for c in ("account", "cluster", "depth", "msg_id") if c not in keys]
+    after, gets, found = replay(
+        store, messages, check, kinds=kinds, keep_metadata=keep_metadata, keys=keys, carry=carry
+    )
+    answers, errors = answer_gets(found, store.where(F.lit(False)) if known is None else known, kinds, keys)
+    requests = gets.withColumn("event", F.lit(GET_OBJECT))
+    return Applied(after, lineage(requests), lineage(answers), errors, rejected)
 
 
 def sync_round(source: DataFrame, target: DataFrame, in_scope: Column | None = None) -> DataFrame:

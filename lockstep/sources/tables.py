@@ -53,9 +53,9 @@ def read_messages(
     fmt: str = "parquet",
     schema: str | None = LOG_SCHEMA,
 ) -> DataFrame:
-    """The message log: key, properties, payload, ts.
+    """The message log: key, properties, payload, ts, and its place by partition and offset.
 
-    With ``kafka`` options the log is read from its latest position; headers
+    The place is null where the log does not keep it. With ``kafka`` options the log is read from its latest position; headers
     become properties.
     """
     if kafka is not None:
@@ -70,6 +70,8 @@ def read_messages(
             properties.alias("properties"),
             F.col("value").cast("string").alias("payload"),
             F.col("timestamp").alias("ts"),
+            "partition",
+            "offset",
         )
     reader = (spark.readStream if stream else spark.read).format(fmt)
     return (reader.schema(schema) if schema else reader).load(path)
@@ -83,6 +85,7 @@ def with_properties(log: DataFrame) -> DataFrame:
         "properties",
         "payload",
         "ts",
+        *[c for c in ("partition", "offset") if c in log.columns],
     )
 
 

@@ -234,7 +234,7 @@ def test_replay_equals_message_by_message(spark, check, per_round):
     df = spark.createDataFrame(
         messages, "name string, seq bigint, event string, checksum string, patch string, object string"
     ).withColumns({"kind": F.lit(KIND), "ns": F.lit("ns")}).repartition(4)
-    after, asked = st.replay(store(spark, objects), df, check, per_round=per_round)
+    after, asked, _ = st.replay(store(spark, objects), df, check, per_round=per_round)
     want_objects, want_asked = model_replay(objects, messages, check, digest_of)
     assert dict(rows(after, "name", "doc")) == want_objects
     assert rows(asked, "name", "seq", "base_object") == sorted(want_asked, key=repr)
