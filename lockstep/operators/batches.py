@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions.identity import parse_kind
 from lockstep.model import BATCH_LISTS, RECONCILIATION_BATCH, RECONCILIATION_BODY, VERIFY_OBJECT
-from lockstep.operators.chunks import chunked
 
 ITEM_FIELDS = {
     "seq": "bigint",
@@ -23,13 +22,20 @@ ITEM_FIELDS = {
 }
 
 
-def pack_batches(messages: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """One batch per kind and batch type, with one list per message type.
+#: What a batch belongs to: the client and the message that its items answer.
+OWNER = ["account", "cluster", "msg_id"]
 
-    ``seq`` orders the items of a list. A group beyond ``max_items`` becomes
-    several batches numbered by ``part``; no message is left out.
+
+def pack_batches(messages: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """One batch per client, message, kind and batch type, with one list per message type.
+
+    ``seq`` orders the items of a list. ``by`` names what a batch belongs to; by default
+    those of ``OWNER`` that the messages have. A batch is as large as what one message
+    asked for, so it is never split. ``depth``, where there is one, is the deepest.
     """
     have = set(messages.columns)
+    by = [c for c in OWNER if c in have] if by is None else list(by)
+    deepest = [F.max("depth").alias("depth")] if "depth" in have else []
     item = F.struct(
         *[
             (F.col(f) if f in have else F.lit(None)).cast(t).alias(f)
@@ -42,13 +48,14 @@ def pack_batches(messages: DataFrame, max_items: int = 10_000) -> DataFrame:
     ]
     known = messages.where(F.col("event").isin(*[event for _, event in BATCH_LISTS]))
     return (
-        chunked(known.withColumn("_item", item), ["kind", "batch_type"], max_items, ["seq"])
-        .groupBy("kind", "batch_type", "part")
-        .agg(F.count(F.lit(1)).alias("n_items"), *lists)
+        known.withColumn("_item", item)
+        .groupBy(*by, "kind", "batch_type")
+        .agg(F.count(F.lit(1)).alias("n_items"), *deepest, *lists)
         .select(
+            *by,
             "kind",
             "batch_type",
-            "part",
+            *(["depth"] if deepest else []),
             "n_items",
             F.struct(*[F.col(name) for name, _ in BATCH_LISTS]).alias("items"),
         )

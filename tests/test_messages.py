@@ -116,8 +116,10 @@ def test_batches_there_and_back(spark):
     one = bt.pack_batches(df).first()
     assert one.n_items == 50 and len(one["items"].putObject) == 10
     assert [i.seq for i in one["items"].getObject] == list(range(0, 50, 5))
-    split = bt.pack_batches(df, max_items=8)
-    assert split.count() > 1
+    owned = df.withColumns({"account": (F.col("seq") % 3).cast("string"), "cluster": F.lit("c"), "depth": F.lit(2)})
+    split = bt.pack_batches(owned)
+    # one batch per client, which keeps its owner and depth
+    assert rows(split, "account", "cluster", "depth", "n_items") == [("0", "c", 2, 17), ("1", "c", 2, 17), ("2", "c", 2, 16)]
     for packed in (bt.pack_batches(df), split):
         back = bt.unpack_batches(packed)
         assert rows(back, "event", "seq", "name", "object") == sorted(

@@ -240,6 +240,53 @@ def test_replay_equals_message_by_message(spark, check, per_round):
     assert rows(asked, "name", "seq", "base_object") == sorted(want_asked, key=repr)
 
 
+def put(name, version, seq, batch=0, **spec):
+    return (batch, KIND, "", "ns", name, "PutObject", None, doc(version, **spec), seq)
+
+
+def gone(name, seq, batch=0):
+    return (batch, KIND, "", "ns", name, "DeleteObject", None, None, seq)
+
+
+MESSAGES = "batch long, kind string, batch_type string, ns string, name string, event string, checksum string, object string, seq bigint"
+
+
+def test_one_batch_ends_before_the_next(spark):
+    sent = [put("a", 1, 0), gone("a", 1, batch=1), gone("b", 2), put("b", 7, 3, batch=1, b=1), put("b", 2, 4, batch=1, b=2)]
+    packed = pack_batches(spark.createDataFrame(sent, MESSAGES), by=["batch"])
+    held = store(spark, {"b": doc(9)})
+    done = st.fold_batches(held, packed, kinds(spark), order="batch")
+    assert rows(done.store, "name", "doc") == [("b", doc(7, b=1))]
+
+
+def test_versions_that_are_no_numbers_change_nothing_until_one_is(spark):
+    sent = [put("a", "abc", 0, x=1), put("a", 9, 1, x=2)]
+    done = st.fold_batches(store(spark, {"a": doc(5)}), pack_batches(spark.createDataFrame(sent, MESSAGES)), kinds(spark))
+    assert rows(done.store, "name", "version", "doc") == [("a", "9", doc(9, x=2))]
+
+
+def test_events_of_one_place_are_all_replayed(spark):
+    sent = spark.createDataFrame([put("a", v, 0) for v in range(1, 6)] + [put("b", 1, 0)], MESSAGES)
+    after, _, _ = st.replay(store(spark, {}), sent, per_round=2)
+    assert rows(after, "name", "version") == [("a", "5"), ("b", "1")]
+
+
+def test_replay_as_a_cluster_does(spark):
+    kept = compact({"metadata": {"labels": {"l": "old"}, "resourceVersion": "5", "uid": "u"}, "spec": {"a": 1}})
+    new = compact({"metadata": {"labels": {"l": "new", "m": "1"}, "resourceVersion": "3"}, "spec": {"a": 2}})
+    held = store(spark, {"a": kept, "p": doc(1)})
+    sent = spark.createDataFrame(
+        [("PutObject", "a", None, new, None, 0), ("PatchObject", "p", "x", None, "{}", 1), ("GetObject", "p", None, None, None, 2)],
+        "event string, name string, checksum string, object string, patch string, seq bigint",
+    ).withColumns({"kind": F.lit(KIND), "ns": F.lit("ns")})
+    after, asked, found = st.replay(held, sent, check=False, kinds=kinds(spark, "copy"), keep_metadata=True)
+    merged = compact({"metadata": {"labels": {"l": "old", "m": "1"}, "resourceVersion": "5", "uid": "u"}, "spec": {"a": 2}})
+    assert rows(after, "name", "doc") == [("a", merged), ("p", doc(1))]
+    # the kind is not patched: the object is asked for without base
+    assert rows(asked, "name", "base_object") == [("p", None)]
+    assert rows(found, "name", "doc") == [("p", doc(1))]
+
+
 def test_fold_batches(spark):
     held = store(spark, {"x": doc(1, a=1), "del": doc(1), "p": doc(1, a=1)})
     good = digest(spark, doc(2, a=2))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lockstep.cluster import checked_broadcast
@@ -123,31 +122,39 @@ def unpack_reconciliation(spark, sf_dir):
 
 def batch_messages(spark, sf_dir):
     kind_of = F.when(F.col("depth") < 6, "").otherwise("reconciliation")
-    return derived(spark, sf_dir, "messages").withColumns({"batch_type": kind_of, "object": F.col("payload")})
+    hour = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH")  # what a client gathers in an hour is one message
+    return derived(spark, sf_dir, "messages").withColumns(
+        {"batch_type": kind_of, "object": F.col("payload"), "msg_id": hour}
+    )
 
 
 @query(
     "pack_batches",
     with_inputs("messages")
     + """
-    SELECT kind, CASE WHEN depth < 6 THEN '' ELSE 'reconciliation' END AS batch_type, count(*) AS n_items,
-           count(*) FILTER (event = 'GetObject') AS n_get, count(*) FILTER (event = 'VerifyObject') AS n_verify,
-           count(*) FILTER (event = 'DeleteObject') AS n_delete, count(*) FILTER (event = 'PatchObject') AS n_patch,
-           count(*) FILTER (event = 'PutObject') AS n_put
-    FROM messages GROUP BY ALL
+    , m AS (SELECT *, strftime(ts, '%Y-%m-%d %H') AS hour,
+                   CASE WHEN depth < 6 THEN '' ELSE 'reconciliation' END AS type FROM messages)
+    SELECT account, cluster, hour AS msg_id, kind, type AS batch_type, count(*) AS n_items, max(depth) AS depth,
+           coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (event = 'GetObject'), '') AS gets,
+           coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (event = 'VerifyObject'), '') AS verifies,
+           coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (event = 'DeleteObject'), '') AS deletes,
+           coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (event = 'PatchObject'), '') AS patches,
+           coalesce(string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) FILTER (event = 'PutObject'), '') AS puts
+    FROM m GROUP BY account, cluster, hour, kind, type
     """,
 )
 def pack_batches(spark, sf_dir):
-    packed = bt.pack_batches(batch_messages(spark, sf_dir), max_items=400)
-    sizes = {
-        "n_get": "getObject",
-        "n_verify": "newChecksum",
-        "n_delete": "objectDeleted",
-        "n_patch": "patchObject",
-        "n_put": "putObject",
+    packed = bt.pack_batches(batch_messages(spark, sf_dir))
+    lists = {
+        "gets": "getObject",
+        "verifies": "newChecksum",
+        "deletes": "objectDeleted",
+        "patches": "patchObject",
+        "puts": "putObject",
     }
-    return packed.groupBy("kind", "batch_type").agg(
-        F.sum("n_items").alias("n_items"), *[F.sum(F.size(f"items.{name}")).alias(n) for n, name in sizes.items()]
+    return packed.select(
+        *["account", "cluster", "msg_id", "kind", "batch_type", "depth", "n_items"],
+        *[F.array_join(F.col(f"items.{name}.seq").cast("array<string>"), ",").alias(n) for n, name in lists.items()],
     )
 
 
@@ -155,19 +162,18 @@ def pack_batches(spark, sf_dir):
     "unpack_batches",
     with_inputs("messages")
     + """
-    , ranked AS (SELECT *, CASE WHEN depth < 6 THEN '' ELSE 'reconciliation' END AS batch_type,
+    , ranked AS (SELECT *, strftime(ts, '%Y-%m-%d %H') AS hour, CASE WHEN depth < 6 THEN '' ELSE 'reconciliation' END AS batch_type,
                         CASE event WHEN 'GetObject' THEN 0 WHEN 'VerifyObject' THEN 1 WHEN 'DeleteObject' THEN 2
                                    WHEN 'PatchObject' THEN 3 ELSE 4 END AS op_rank FROM messages)
-    SELECT kind, batch_type, op_rank, event, seq, name, payload AS object,
-           1 AS in_order
+    SELECT account, cluster, hour AS msg_id, kind, batch_type, op_rank, event, seq, name, payload AS object,
+           row_number() OVER (PARTITION BY account, cluster, hour, kind, batch_type, op_rank ORDER BY seq) - 1 AS pos
     FROM ranked
     """,
 )
 def unpack_batches(spark, sf_dir):
-    rows = bt.unpack_batches(bt.pack_batches(batch_messages(spark, sf_dir), max_items=400))
-    by_pos = Window.partitionBy("kind", "batch_type", "part", "op_rank").orderBy("pos")
-    in_order = F.coalesce(F.col("seq") > F.lag("seq").over(by_pos), F.lit(True)).cast("int")
-    return rows.select("kind", "batch_type", "op_rank", "event", "seq", "name", "object", in_order.alias("in_order"))
+    rows = bt.unpack_batches(bt.pack_batches(batch_messages(spark, sf_dir)))
+    owner = ["account", "cluster", "msg_id", "kind", "batch_type"]
+    return rows.select(*owner, "op_rank", "event", "seq", "name", "object", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query(
@@ -281,7 +287,7 @@ def batched(spark, sf_dir):
 )
 def fold(spark, sf_dir):
     store = spark.sql(STORE, customer=table(spark, sf_dir, "customer"))
-    packed = bt.pack_batches(batched(spark, sf_dir), max_items=2000)
+    packed = bt.pack_batches(batched(spark, sf_dir).drop("msg_id"))
     done = fold_batches(store, packed, kinds(spark))
     after = done.store.select(
         F.lit("store").alias("flow"), "kind", "name", F.col("version").cast("bigint").alias("seq"), "doc"
