@@ -15,7 +15,7 @@ from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
 from lockstep.operators.messages import decode_log_messages, envelope
-from lockstep.operators.paths import KEYS, clean_objects, mask_env, object_keys
+from lockstep.operators.paths import CLIENT, KEYS, clean_objects, mask_env, object_keys
 from lockstep.operators.reconcile import reconciled
 from lockstep.operators.store import answer_gets, apply_changes, apply_patches, replay, serve_gets, verify
 from lockstep.sources.tables import usable_changes, with_properties
@@ -33,18 +33,25 @@ class Settings:
     max_bytes: int | str | None = None
 
 
-def cluster_to_backend(changes: DataFrame, kinds: DataFrame, account: str, cluster: str, s: Settings) -> DataFrame:
-    """Watch stream to message log: debounce, scope, clean, mask, classify, guard, wrap."""
+def cluster_to_backend(
+    changes: DataFrame, kinds: DataFrame, account: str | None, cluster: str | None, s: Settings
+) -> DataFrame:
+    """Watch stream to message log: debounce, scope, clean, mask, classify, guard, wrap.
+
+    ``account`` and ``cluster`` say whose changes these are. With None they are columns
+    of ``changes``, and the objects of each client are kept apart.
+    """
+    if account is not None and cluster is not None:
+        changes = changes.withColumns({"account": F.lit(account), "cluster": F.lit(cluster)})
+    keys = [*CLIENT, *KEYS]
     usable, _ = usable_changes(changes)
     wanted, _ = scope.configured_kinds(usable, kinds)
-    kept = debounce(wanted).drop("n_events")
+    kept = debounce(wanted, keys).drop("n_events")
     kept = scope.in_scope(scope.with_object_fields(kept), s.operator_ns, s.include, s.exclude)
     kept = kept.drop("object_kind", "owners", "labels")
     cleaned = mask_env(clean_objects(kept))
-    messages = change_ops(cleaned, kinds).withColumns(
+    messages = change_ops(cleaned, kinds, keys).withColumns(
         {
-            "account": F.lit(account),
-            "cluster": F.lit(cluster),
             "depth": F.lit(None).cast("int"),
             "msg_id": F.lit(None).cast("string"),
         }

@@ -24,6 +24,9 @@ from lockstep.streaming.state import KeyedState
 
 Sink = Callable[[DataFrame, int], None]
 
+# The first microsecond of year 1: a known state came before every change.
+EARLIEST = -62_135_596_800_000_000
+
 KNOWN_SCHEMA = "kind string, ns string, name string, doc string, live boolean"
 CLIENT_SCHEMA = (
     "account string, cluster string, connection_id string, connection_time timestamp, sync_version string, live boolean"
@@ -106,17 +109,18 @@ def stream_change_ops(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        held = state.before(spark, batch_id).join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
+        held = state.before(spark, batch_id, batch)
         # known states enter as changes that came before everything in the batch
         seeds = held.select(
             *KEYS,
             F.lit("Modified").alias("op"),
             "doc",
-            F.timestamp_micros(F.lit(0).cast("bigint")).cast(batch.schema["ts"].dataType).alias("ts"),
-            F.lit(-1).cast("bigint").alias("seq"),
+            F.timestamp_micros(F.lit(EARLIEST)).cast(batch.schema["ts"].dataType).alias("ts"),
+            F.lit(-(1 << 63)).cast("bigint").alias("seq"),
+            F.lit(True).alias("_seed"),
         )
         sent = change_ops(batch.unionByName(seeds, allowMissingColumns=True), kinds)
-        sink(sent.where(F.col("seq") >= 0), batch_id)
+        sink(sent.where(F.col("_seed").isNull()).drop("_seed"), batch_id)
         told = batch.where(F.col("op").isin("Modified", "Deleted")).select(*KEYS, "op", "doc", "ts", "seq")
         touched = last_by_key(told, KEYS, "ts", "seq").select(
             *KEYS, F.when(F.col("op") == "Modified", F.col("doc")).alias("doc"), (F.col("op") == "Modified").alias("live")

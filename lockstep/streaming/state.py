@@ -29,8 +29,11 @@ class KeyedState:
     def _folder(self, batch_id: int) -> str:
         return f"{self.path}/batch={batch_id}"
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """State as it was when ``batch_id`` began."""
+    def before(self, spark: SparkSession, batch_id: int, touched: DataFrame | None = None) -> DataFrame:
+        """State as it was when ``batch_id`` began, only of the keys in ``touched`` if given.
+
+        The keys are picked before anything is aggregated, so only their rows are shuffled.
+        """
         if batch_id == 0:
             return spark.createDataFrame([], self.schema)
         first = (batch_id - 1) // self.compact_every * self.compact_every
@@ -41,6 +44,8 @@ class KeyedState:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
+        if touched is not None:
+            rows = rows.join(touched.select(*self.keys).distinct(), list(self.keys), "left_semi")
         newest = rows if len(parts) == 1 else last_by_key(rows, self.keys, "_batch")
         return newest.drop("_batch").where("live")
 

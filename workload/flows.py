@@ -8,8 +8,9 @@ from lockstep.operators import batches as bt
 from lockstep.operators import messages as msg
 from lockstep.operators.paths import CLIENT, KEYS
 from lockstep.operators.store import fold_batches
-from lockstep.plans.flows import Settings, backend_to_store
+from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend
 from workload.base import KINDS_SQL, derived, kinds, query, with_inputs
+from workload.ordered import CHANGE_OPS_SQL
 
 # Everyone's objects have one of 40 names, so that clients share names. Messages are stamped
 # with the hour only; within it the offset orders them.
@@ -119,3 +120,46 @@ def backend_to_store_query(spark, sf_dir):
         .unionByName(done.answers.select(F.lit("answer").alias("flow"), *key, F.col("object").alias("doc")))
         .unionByName(done.errors.select(F.lit("error").alias("flow"), *key, F.lit(None).cast("string").alias("doc")))
     )
+
+
+# Clients share 40 names; what happens to an object within an hour is one burst.
+WATCHED = """
+, watched AS (
+  SELECT concat('a', CAST(name AS BIGINT) % 10) AS account, concat('c', CAST(name AS BIGINT) % 3) AS cluster,
+         CASE WHEN CAST(name AS BIGINT) % 7 = 0 THEN 'kube-system' ELSE 'default' END AS ns,
+         CAST(name AS BIGINT) % 40 AS short, op, date_trunc('hour', ts) AS ts, seq, doc FROM changes),
+settled AS (
+  SELECT *, concat(account, '/', cluster, '/', short) AS name FROM watched WHERE ns <> 'kube-system'
+  QUALIFY row_number() OVER (PARTITION BY account, cluster, short, ts ORDER BY seq DESC) = 1)
+"""
+
+
+@query(
+    "cluster_to_backend",
+    with_inputs("changes")
+    + WATCHED
+    + CHANGE_OPS_SQL[CHANGE_OPS_SQL.index(", lives AS") :]
+    .replace("FROM changes", "FROM settled")
+    .replace("SELECT seq, event, body, checksum FROM sent", """
+    SELECT w.account, w.cluster, CAST(w.short AS VARCHAR) AS name, s.event, s.body, s.checksum
+    FROM sent s JOIN watched w ON w.seq = s.seq"""),
+)
+def cluster_to_backend_query(spark, sf_dir):
+    """The watch streams of all clusters to the log; one namespace is out of scope."""
+    user = F.col("name").cast("bigint")
+    changes = derived(spark, sf_dir, "changes").withColumns(
+        {
+            "account": F.concat(F.lit("a"), user % 10),
+            "cluster": F.concat(F.lit("c"), user % 3),
+            "ns": F.when(user % 7 == 0, "kube-system").otherwise("default"),
+            "name": (user % 40).cast("string"),
+            "ts": F.date_trunc("hour", F.col("ts").cast("timestamp")),
+        }
+    )
+    settings = Settings(own_key="cluster", operator_ns="operator", exclude=("kube-system",))
+    log = cluster_to_backend(changes, kinds(spark), None, None, settings)
+    return log.select(
+        *[F.col("properties")[p].alias(p) for p in (*CLIENT, "name", "event")],
+        F.unbase64(F.get_json_object("payload", "$.patch")).cast("string").alias("body"),
+        F.get_json_object("payload", "$.checksum").alias("checksum"),
+    )
