@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
 from lockstep.functions.identity import derived_id, lineage
-from lockstep.model import GET_OBJECT
+from lockstep.model import GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT
 from lockstep.operators import guards, scope
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
@@ -61,6 +61,37 @@ def cluster_to_backend(
     return envelope(lineage(guarded, new_id=new_id), s.own_key)
 
 
+def ingest_to_log(
+    requests: DataFrame, routes: Sequence[tuple[str, str, str, str]], s: Settings, annotation: str
+) -> tuple[DataFrame, DataFrame]:
+    """Posted objects to message log, and the requests that are refused, with their status.
+
+    ``requests`` has method, path, body, account, cluster and ts. A body that is accepted
+    is sent as put or patch, as its route says, with the checksum that the object carries
+    under the metadata annotation of that name, empty without one.
+    """
+    checked = guards.validate_ingest(requests, routes)
+    accepted = checked.where(F.col("status") == 202)
+    is_patch = F.col("strategy") == PATCH
+    carried = F.get_json_object("body", f"$.metadata.annotations['{annotation}']")
+    messages = accepted.select(
+        "account",
+        "cluster",
+        "ts",
+        F.concat_ws("/", "identity.group", "identity.version", "identity.resource").alias("kind"),
+        "identity.ns",
+        "identity.name",
+        F.when(is_patch, PATCH_OBJECT).otherwise(PUT_OBJECT).alias("event"),
+        F.coalesce(carried, F.lit("")).alias("checksum"),
+        F.when(is_patch, F.col("body")).alias("patch"),
+        F.when(~is_patch, F.col("body")).alias("object"),
+        F.lit(None).cast("int").alias("depth"),
+        F.lit(None).cast("string").alias("msg_id"),
+    )
+    new_id = derived_id(*[F.col(c) for c in ("account", "cluster", *KEYS, "event", "ts", "checksum", "object", "patch")])
+    return envelope(lineage(messages, new_id=new_id), s.own_key), checked.where(F.col("status") != 202)
+
+
 @dataclass
 class Applied:
     """Result of applying messages to a store."""

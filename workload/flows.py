@@ -8,8 +8,9 @@ from lockstep.operators import batches as bt
 from lockstep.operators import messages as msg
 from lockstep.operators.paths import CLIENT, KEYS
 from lockstep.operators.store import fold_batches
-from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend
-from workload.base import KINDS_SQL, derived, kinds, query, with_inputs
+from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend, ingest_to_log
+from workload.base import KINDS_SQL, derived, kinds, query, table, with_inputs
+from workload.filters import ROUTES
 from workload.ordered import CHANGE_OPS_SQL
 
 # Everyone's objects have one of 40 names, so that clients share names. Messages are stamped
@@ -163,3 +164,43 @@ def cluster_to_backend_query(spark, sf_dir):
         F.unbase64(F.get_json_object("payload", "$.patch")).cast("string").alias("body"),
         F.get_json_object("payload", "$.checksum").alias("checksum"),
     )
+
+
+# Posted orders; finished ones carry a checksum. Alerts are copied, carts are patched.
+POSTED = """
+SELECT CONCAT('a', CAST(o_custkey AS STRING)) AS account, 'c' AS cluster, CAST(o_orderdate AS TIMESTAMP) AS ts,
+       CAST(o_orderkey AS STRING) AS name,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'PUT' WHEN '2-HIGH' THEN 'GET' ELSE 'POST' END AS method,
+       CASE WHEN o_totalprice < 100000 THEN '/apis/v1/shop/v1/carts' ELSE '/apis/v1/shop/v1/alerts' END AS path,
+       CONCAT('{{"apiVersion":"shop/v1","kind":"', CASE WHEN o_totalprice < 100000 THEN 'Carts' ELSE 'Alerts' END,
+              '","metadata":{{', CASE WHEN o_orderstatus = 'F' THEN '"annotations":{{"example.org/sum":"s1"}},' ELSE '' END,
+              '"name":"', CAST(o_orderkey AS STRING), '","namespace":"n"}}}}') AS body
+FROM {orders}
+"""
+
+
+@query(
+    "ingest_to_log",
+    f"WITH posted AS ({POSTED.format(orders='orders')}),"
+    + """
+    judged AS (SELECT *, CASE WHEN method = 'GET' THEN 405 WHEN method = 'PUT' AND path LIKE '%alerts' THEN 404
+                              WHEN method = 'POST' AND path LIKE '%carts' THEN 404 ELSE 202 END AS status FROM posted)
+    SELECT account, name, status, CASE WHEN status = 202 THEN CASE method WHEN 'PUT' THEN 'PatchObject' ELSE 'PutObject' END END AS event,
+           CASE WHEN status = 202 THEN substr(path, 10) END AS kind,
+           CASE WHEN status = 202 THEN CASE WHEN contains(body, '"s1"') THEN 's1' ELSE '' END END AS checksum,
+           CASE WHEN status = 202 THEN body END AS body
+    FROM judged
+    """,
+)
+def ingest_to_log_query(spark, sf_dir):
+    posted = spark.sql(POSTED, orders=table(spark, sf_dir, "orders", heavy=True))
+    log, refused = ingest_to_log(posted, ROUTES, Settings(own_key="backend"), "example.org/sum")
+    sent = log.select(
+        *[F.col("properties")[p].alias(p) for p in ("account", "name", "event")],
+        F.lit(202).alias("status"),
+        F.get_json_object("payload", "$.kind").alias("kind"),
+        F.get_json_object("payload", "$.checksum").alias("checksum"),
+        F.unbase64(F.get_json_object("payload", "$.patch")).cast("string").alias("body"),
+    )
+    none = [F.lit(None).cast("string").alias(c) for c in ("event", "kind", "checksum", "body")]
+    return sent.unionByName(refused.select("account", "name", "status", *none))

@@ -147,9 +147,9 @@ def apply_changes_query(spark, sf_dir):
     return after.select("kind", "ns", "name", "version", F.sha2("doc", 256).alias("digest"))
 
 
-@query("ingest_scan", "SELECT lang AS method, count(*) AS n FROM documents GROUP BY lang")
+@query("ingest_scan", "SELECT lang AS method, source AS path, sha256(text) AS digest FROM documents")
 def ingest_scan(spark, sf_dir):
     path = scratch(spark, "posted")
     docs = table(spark, sf_dir, "documents")
     docs.select(F.col("lang").alias("method"), F.col("source").alias("path"), F.col("text").alias("body")).write.json(path)
-    return io.read_ingest(spark, path).groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return io.read_ingest(spark, path).select("method", "path", F.sha2("body", 256).alias("digest"))
