@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from lockstep.functions import documents as docs
 from lockstep.functions.identity import derived_id, lineage
-from lockstep.model import GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT
+from lockstep.model import DELETE_OBJECT, GET_OBJECT, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
 from lockstep.operators import guards, scope
+from lockstep.operators.batches import unpack_reconciliation
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
 from lockstep.operators.messages import decode_log_messages, envelope
 from lockstep.operators.paths import CLIENT, KEYS, clean_objects, mask_env, object_keys
-from lockstep.operators.reconcile import reconciled
+from lockstep.operators.reconcile import DELETE, PUT, VERIFY, reconcile, reconciled, with_documents
 from lockstep.operators.store import answer_gets, apply_changes, apply_patches, replay, serve_gets, verify
 from lockstep.sources.tables import usable_changes, with_properties
 
@@ -136,6 +137,38 @@ def backend_to_store(
     return Applied(after, lineage(requests), lineage(answers), errors, rejected)
 
 
+def reconcile_request(
+    requests: DataFrame, source: DataFrame, s: Settings, in_scope: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Reconciliation requests to the messages that answer them, and the kinds that cannot be read.
+
+    A request lists, by kind, what the other side holds of a client. ``source`` has account
+    and cluster beside the object columns. Only the kinds that a request lists objects of
+    are compared; objects that only the source has are verified, changed versions are put,
+    and what the source lacks is deleted. Messages keep the request's id, one level deeper.
+    """
+    listed, rejected = unpack_reconciliation(requests)
+    listed = listed.drop("event", "batch_type", "checksum")
+    request = [*CLIENT, "kind", "msg_id"]
+    asked = listed.groupBy(*request).agg(F.max("depth").alias("depth"))
+    mine = source.select(*CLIENT, *KEYS, "version", "doc").join(asked.select(*request), [*CLIENT, "kind"])
+    keys = [*CLIENT, "msg_id", *KEYS]
+    plan = with_documents(reconcile(mine, listed, in_scope, allow_empty=True, keys=keys), mine, keys)
+    event = (
+        F.when(F.col("op") == DELETE, DELETE_OBJECT).when(F.col("op") == VERIFY, VERIFY_OBJECT).otherwise(PUT_OBJECT)
+    )
+    messages = plan.join(asked, request).withColumns(
+        {
+            "event": event,
+            "checksum": docs.checksum("doc"),
+            "object": F.when(F.col("op") == PUT, F.col("doc")),
+            "version": F.coalesce("source_version", "target_version"),
+            "ts": F.current_timestamp(),
+        }
+    )
+    return envelope(lineage(messages), s.own_key), rejected
+
+
 def sync_round(source: DataFrame, target: DataFrame, in_scope: Column | None = None) -> DataFrame:
     """The target after one reconciliation exchange; it then equals the in-scope source."""
     return reconciled(source, target, in_scope)

@@ -8,9 +8,10 @@ from lockstep.operators import batches as bt
 from lockstep.operators import messages as msg
 from lockstep.operators.paths import CLIENT, KEYS
 from lockstep.operators.store import fold_batches
-from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend, ingest_to_log
+from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend, ingest_to_log, reconcile_request
 from workload.base import KINDS_SQL, derived, kinds, query, table, with_inputs
 from workload.filters import ROUTES
+from workload.joins import RECONCILE_SQL
 from workload.ordered import CHANGE_OPS_SQL
 
 # Everyone's objects have one of 40 names, so that clients share names. Messages are stamped
@@ -204,3 +205,43 @@ def ingest_to_log_query(spark, sf_dir):
     )
     none = [F.lit(None).cast("string").alias(c) for c in ("event", "kind", "checksum", "body")]
     return sent.unionByName(refused.select("account", "name", "status", *none))
+
+
+@query(
+    "reconcile_request",
+    with_inputs("source", "target")
+    + f"""
+    , plan AS (SELECT *, CAST(name AS BIGINT) // 100 AS c FROM ({RECONCILE_SQL}) r WHERE op <> 'skip'),
+    asked AS (SELECT DISTINCT kind, CAST(name AS BIGINT) // 100 AS c FROM target)
+    SELECT concat('c', p.c) AS cluster, p.kind, p.ns, p.name,
+           CASE op WHEN 'delete' THEN 'DeleteObject' WHEN 'put' THEN 'PutObject' ELSE 'VerifyObject' END AS event,
+           CASE WHEN op = 'delete' THEN NULL ELSE sha256(s.doc) END AS checksum,
+           CASE WHEN op = 'put' THEN s.doc END AS body, 2 AS depth, concat('m', p.c) AS msg_id
+    FROM plan p JOIN asked a ON a.kind = p.kind AND a.c = p.c
+    LEFT JOIN source s ON s.kind = p.kind AND s.ns = p.ns AND s.name = p.name
+    """,
+)
+def reconcile_request_query(spark, sf_dir):
+    """A client holds a hundred orders; its request lists by kind what the replica has of them."""
+    hundred = F.floor(F.col("name").cast("bigint") / 100)
+    owner = {"account": F.lit("a"), "cluster": F.concat(F.lit("c"), hundred)}
+    source, target = (derived(spark, sf_dir, side).withColumns(owner) for side in ("source", "target"))
+    item = F.struct(
+        F.sha2("doc", 256).alias("checksum"), F.col("version").alias("resourceVersion"), "name", F.col("ns").alias("namespace")
+    )
+    kinds_of = target.groupBy(*CLIENT, "kind").agg(F.collect_list(item).alias("items"))
+    body = F.struct(
+        *CLIENT,
+        F.lit(1).alias("depth"),
+        F.concat(F.lit("m"), F.substring("cluster", 2, 20)).alias("msgId"),
+        F.lit(True).alias("serverInitiated"),
+        F.map_from_entries(F.collect_list(F.struct("kind", "items"))).alias("kindToObject"),
+    )
+    requests = kinds_of.groupBy(*CLIENT).agg(F.to_json(body).alias("payload"))
+    log, _ = reconcile_request(requests, source, Settings(own_key="cluster"), F.col("ns") != "P")
+    return log.select(
+        *[F.col("properties")[p].alias(c) for p, c in (("cluster", "cluster"), ("event", "event"), ("name", "name"), ("namespace", "ns"))],
+        *[F.get_json_object("payload", f"$.{p}").alias(c) for p, c in (("kind", "kind"), ("checksum", "checksum"), ("msgId", "msg_id"))],
+        F.get_json_object("payload", "$.depth").cast("int").alias("depth"),
+        F.unbase64(F.get_json_object("payload", "$.patch")).cast("string").alias("body"),
+    )
