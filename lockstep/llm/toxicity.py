@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +23,11 @@ CHAIN = 128
 #: A document is toxic from this score on, a word from this marginal.
 SCORE, WORD = 0.3, 0.5
 #: Lengths of the beginnings of a word that are features beside the word.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 10, 12)
 #: Features that the field may have.
 MAX_FEATURES = 20_000
-#: A feature marks toxic words if this share of the documents that hold it is toxic.
-PRECISION = 0.9
+#: Documents are copies of one if this share of their runs of three words is common.
+COPY = 0.5
 
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -151,46 +151,81 @@ class Scorer:
         return _odds_to_share(x @ self.model.document), odds
 
 
+def copy_groups(documents: list[list[str]]) -> list[int]:
+    """A number for each document, the same for near copies.
+
+    Candidates share two of their smallest hashed runs of three words; each is compared
+    with the first document of its bucket.
+    """
+    group = list(range(len(documents)))
+    mixed = [(2 * zlib.crc32(b"%d" % k) + 1) & 0xFFFFFFFF for k in range(16)]
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    first: dict[tuple, int] = {}
+    runs: list[np.ndarray] = []
+    for i, found in enumerate(documents):
+        texts = {" ".join(found[k : k + 3]) for k in range(max(len(found) - 2, 1))} if found else set()
+        own = np.unique(np.fromiter((zlib.crc32(t.encode()) for t in texts), np.uint32, len(texts)))
+        runs.append(own)
+        if not len(own):
+            continue
+        least = [int((own * np.uint32(m)).min()) for m in mixed]
+        for k in range(0, len(mixed), 2):
+            j = first.setdefault((k, least[k], least[k + 1]), i)
+            if root(j) != root(i):
+                both = len(np.intersect1d(own, runs[j], assume_unique=True))
+                if both >= COPY * (len(own) + len(runs[j]) - both):
+                    low, high = sorted((root(i), root(j)))
+                    group[high] = low
+    return [root(i) for i in range(len(documents))]
+
+
 def marking_features(documents: list[tuple[list[str], int]]) -> set[str]:
-    """Features that stand almost only in toxic documents, and in more of them than chance explains.
+    """Features that stand in more toxic documents than chance explains, also if clean ones hold them.
 
-    They are taken the strongest first, and each must explain a toxic document in which none
-    taken before stands. So the other words of toxic documents, such as those that copies
-    of one document share, mark nothing. The bound on the likelihood ratio grows with
-    the number of features looked at.
+    Copies of one document count once, so the words that only they share mark nothing. The
+    bound on the likelihood ratio grows with the number of features looked at; those in too
+    few documents to pass at all don't count (Tarone). What a feature weighs is left to the field.
     """
-    held: tuple[Counter, Counter] = (Counter(), Counter())
-    number = [0, 0]
-    toxic = []
-    for found, y in documents:
-        every = {f for w in set(found) for f in features(w)}
-        number[y] += 1
-        held[y].update(every)
-        if y:
-            toxic.append(every)
-    if not all(number):
+    groups = copy_groups([found for found, _ in documents])
+    number: dict[str, int] = {}
+    merged: tuple[dict, dict] = ({}, {})
+    for (found, y), g in zip(documents, groups):
+        own = np.unique(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        merged[y].setdefault(g, []).append(own)
+    if not all(merged):
         return set()
-    share = number[1] / sum(number)
-    bound = 2 * np.log(len(held[0].keys() | held[1].keys()) + 1)
-
-    def gain(f: str, k: int) -> float:
-        p = k / (k + held[0][f])
-        if p < PRECISION or p <= share:
-            return 0.0
-        return 2 * (k * np.log(p / share) + (held[0][f] * np.log((1 - p) / (1 - share)) if p < 1 else 0))
-
-    where: dict[str, list[int]] = {f: [] for f, k in held[1].items() if gain(f, k) >= bound}
-    for i, every in enumerate(toxic):
-        for f in every & where.keys():
-            where[f].append(i)
-    covered = [False] * len(toxic)
-    chosen: set[str] = set()
-    for f in sorted(where, key=lambda f: (-gain(f, len(where[f])), f[0] != "=", -len(f), f)):  # of equals the longest
-        if len(chosen) < MAX_FEATURES and not all(covered[i] for i in where[f]):
-            chosen.add(f)
-            for i in where[f]:
-                covered[i] = True
-    return chosen
+    vocabulary = list(number)
+    every = [[np.unique(np.concatenate(parts)) for parts in side.values()] for side in merged]
+    share = len(every[1]) / (len(every[0]) + len(every[1]))
+    counted = []  # of each length of beginning: a word for each feature, and how many groups hold it
+    for n in (None, *PREFIXES):
+        seen: dict[str, int] = {}
+        feature = np.array([seen.setdefault(w[:n], len(seen)) if len(w) >= (n or 0) else -1 for w in vocabulary])
+        held = np.zeros((2, len(seen)), int)
+        for y in (0, 1):
+            for own in every[y]:
+                here = np.unique(feature[own])
+                held[y, here[here >= 0]] += 1
+        one = np.zeros(len(seen), int)
+        one[feature[feature >= 0]] = np.flatnonzero(feature >= 0)
+        counted.append((n, one, held))
+    often = np.sort(np.concatenate([held.sum(axis=0) for _, _, held in counted]))
+    least = 1
+    while least * -np.log(share) < (looked := np.log(len(often) - np.searchsorted(often, least) + 1)):
+        least += 1
+    gains: dict[str, float] = {}
+    for n, one, (clean, toxic) in counted:
+        p = toxic / (clean + toxic)
+        gain = 2 * (toxic * np.log(np.maximum(p, 1e-9) / share) + clean * np.log(np.maximum(1 - p, 1e-9) / (1 - share)))
+        for i in np.flatnonzero((p > share) & (gain >= 2 * looked)):
+            word = vocabulary[one[i]]
+            gains[f"={word}" if n is None else f"{n}{word[:n]}"] = gain[i]
+    return set(sorted(gains, key=lambda f: (-gains[f], f[0] != "=", -len(f), f))[:MAX_FEATURES])
 
 
 def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> Model:
@@ -201,7 +236,8 @@ def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, d
     steps on the likelihood, the expected counts coming from forward and backward passes.
     A logistic function of the marginals is then fitted to the documents.
     """
-    read = [(words(t), y) for t, y in documents]
+    one: dict[str, str] = {}  # a word is held once, however often it stands
+    read = [([one.setdefault(w, w) for w in words(t)], y) for t, y in documents]
     toxic = sum(y for _, y in read)
     model = Model()
     share = min((toxic + 0.5) / (len(read) + 1), SCORE / 2)  # without a mark nothing is called toxic
@@ -210,11 +246,13 @@ def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, d
     if not marks:
         return model
     number = {f: i for i, f in enumerate(marks)}
+    known = {w: a for w in one if (a := [number[f] for f in features(w) if f in number])}
     clean = [found for found, y in read if not y]
-    used = [(f, 1) for f, y in read if y] + [(f, 0) for f in clean[: max(2 * toxic, 50)]]
+    used = [(f, 1) for f, y in read if y]
+    used += [(f, 0) for i, f in enumerate(clean) if i < max(2 * toxic, 50) or any(w in known for w in f)]
     rows, sizes, labels = [], [], []
     for found, y in used:
-        active = [[number[f] for f in features(w) if f in number] for w in found]
+        active = [known.get(w, ()) for w in found]
         for at in range(0, len(found), CHAIN):
             part = active[at : at + CHAIN]
             if any(part) or at == 0:  # chains without a feature all look alike
@@ -223,17 +261,18 @@ def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, d
                 labels.append([int(bool(y and a)) for a in part])
     n = len(rows)
     truth = np.zeros((n, CHAIN), int)
-    place, which = [], []
+    place, which, beside = [], [], []
     for i, (part, y) in enumerate(zip(rows, labels)):
         truth[i, : len(y)] = y
         for t, a in enumerate(part):
             place += [i * CHAIN + t] * len(a)
             which += a
+            beside += [len(a)] * len(a)
     place, which, sizes = np.array(place), np.array(which), np.array(sizes)
     inside = np.arange(CHAIN) < sizes[:, None]
     seen_pairs = np.zeros((2, 2))
     np.add.at(seen_pairs, (truth[:, :-1][inside[:, 1:]], truth[:, 1:][inside[:, 1:]]), 1)
-    counts = np.bincount(which, minlength=len(marks)) + 1.0
+    counts = np.bincount(which, weights=beside, minlength=len(marks)) + 1.0
     weights = np.zeros(len(marks))
     for _ in range(rounds):
         scores = np.zeros(n * CHAIN)
@@ -241,7 +280,7 @@ def fit(documents: list[tuple[str, int]], rounds: int = 40, rate: float = 0.5, d
         odds, pairs, _ = marginals(model, scores.reshape(n, CHAIN), sizes)
         p = np.where(inside, _odds_to_share(odds), 0.0)
         miss = (truth - p).ravel()
-        # each step is scaled by how often a feature, or a pair of states, is seen
+        # each step is scaled by how often a feature, with those beside it, or a pair of states is seen
         weights += rate * 4 * (np.bincount(which, weights=miss[place], minlength=len(marks)) / counts - decay * weights)
         model.bias += rate * miss.sum() / max(truth.sum(), 1)
         first = np.array([1 - p[:, 0], p[:, 0]]).sum(axis=1)

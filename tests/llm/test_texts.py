@@ -192,6 +192,29 @@ def test_toxicity_learns_marks_and_offsets(spark):
     assert [(s.start, s.end) for s in spans] == [(7, 13)]
 
 
+def test_every_feature_with_evidence_marks():
+    rng = random.Random(8)
+    documents = []
+    for i in range(400):
+        found, toxic = prose(3000 + i, 40).split(), int(i % 8 == 0)
+        if toxic and i % 16 == 0:
+            found[3], found[20] = "grobian", "flegel"  # never one without the other
+        elif toxic:
+            found[5], found[30] = (f"schurkisch{rng.choice('bcdfgklm')}{rng.choice('aeiou')}" for _ in range(2))
+        elif i % 25 == 1:
+            found[9] = "schurkische"  # clean documents hold the stem too
+        documents.append((found, toxic))
+    copied = prose(9999, 40).split()
+    documents += [([*copied[:k], "zzz", *copied[k:]], 1) for k in range(0, 40, 4)]
+    marks = toxicity.marking_features(documents)
+    assert {"=grobian", "=flegel", "7schurki", "10schurkisch"} <= marks
+    assert not marks & {f"={w}" for w in copied if len(w) > 4}
+    model = toxicity.fit([(" ".join(found), y) for found, y in documents])
+    assert all(model.emission(w) > 0 for w in ("grobian", "flegel", "schurkischba"))
+    scores, _ = toxicity.Scorer(model).scores([prose(5000, 40) + " flegel", prose(5001, 40) + " schurkischga schurkischmu", prose(5002, 40)])
+    assert scores[0] >= toxicity.SCORE and scores[1] >= toxicity.SCORE > scores[2]
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
