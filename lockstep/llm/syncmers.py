@@ -10,27 +10,24 @@ from lockstep.llm.common import let, text_or_empty
 
 #: Units in an anchor, and units in the inner strings whose smallest must lie at an edge.
 K, S = 8, 2
-#: Texts up to this many code points are cut into characters, longer ones into words.
+#: Texts up to this many code points are cut into characters too, beside words.
 SHORT = 512
 #: A run without white space counts as several units of at most this many characters.
 WORD = "[^\\s]{1,16}"
 
 
-def units(text: Column) -> Column:
-    """The words of a text, or its characters where it is short. Empty and blank texts have no words."""
-    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return F.when(F.char_length(text) <= SHORT, characters).otherwise(words)
-
-
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The closed syncmers of a text, in order: an array of 32-bit hashes.
+    """The closed syncmers of a text: an array of 32-bit hashes, in order.
+
+    Those over words come first and are not negative. Those over characters, of a text of up
+    to ``SHORT`` code points, follow and are negative, so texts on either side of that length
+    still have words in common.
 
     A string of ``k`` units is one if the smallest of its inner strings of ``s`` units, by
     hash, is the first or the last of them. That depends on the ``k`` units alone, so an
     edit changes only the anchors that it touches, and at most every ``k - s``-th unit
     passes without one starting. A text of 1 to ``k`` - 1 units has one anchor of all
-    of them; one without units has none.
+    of them; one without units has none. Empty and blank texts have no words.
     """
     inner = k - s  # offset of the last inner string
 
@@ -56,19 +53,39 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             .otherwise(let(strings, chosen))
         )
 
-    return let(F.transform(units(text), lambda u: F.xxhash64(u)), picked)
+    def over(pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return let(F.transform(found, lambda u: F.xxhash64(u)), picked)
+
+    characters = F.transform(over("(?s)."), lambda a: a.bitwiseOR(F.lit(-(1 << 31))))
+    short = F.when(F.char_length(text) <= SHORT, characters).otherwise(F.array().cast("array<int>"))
+    return F.concat(over(WORD), short)
 
 
 def fingerprint(found: Column) -> Column:
-    """Anchors as text: eight hexadecimal digits each, in order."""
-    return F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a), 8, "0")), "")
+    """Anchors as text: eight hexadecimal digits each, in order; the first digit is 8 or more over characters."""
+    return F.array_join(F.transform(found, lambda a: F.lpad(F.hex(a.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Shared distinct anchors by all distinct anchors, 0 to 1; two texts without anchors are alike."""
-    shared = F.size(F.array_intersect(left, right))
-    every = F.size(F.array_union(left, right))
-    return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
+    """Shared distinct anchors by all distinct anchors, 0 to 1; two texts without anchors are alike.
+
+    Two short texts are compared by characters, others by words, which every text is cut into.
+    """
+
+    def words_only(found: Column) -> Column:
+        return F.exists(found, lambda a: a >= 0) & ~F.exists(found, lambda a: a < 0)
+
+    def of_kind(found: Column) -> Column:
+        by_words = words_only(left) | words_only(right)
+        return F.when(by_words, F.filter(found, lambda a: a >= 0)).otherwise(F.filter(found, lambda a: a < 0))
+
+    def share(both: Column) -> Column:
+        every = F.size(F.array_union(both["left"], both["right"]))
+        shared = F.size(F.array_intersect(both["left"], both["right"]))
+        return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
+
+    return let(F.struct(of_kind(left).alias("left"), of_kind(right).alias("right")), share)
 
 
 def matches(left: Column, right: Column) -> Column:

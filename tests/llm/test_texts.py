@@ -192,6 +192,18 @@ def test_toxicity_learns_marks_and_offsets(spark):
     assert [(s.start, s.end) for s in spans] == [(7, 13)]
 
 
+def test_likeness_across_the_short_length(spark):
+    long, ten = prose(70, 200)[:600], "0123456789"
+    near = prose(71, 200)
+    rows = [(9, long, "en", "s", 0), (8, ten, "en", "s", 0), (7, near[:515], "en", "s", 0), (6, near[:510], "en", "s", 0), (5, "  \n", "en", "s", 0), (4, "", "en", "s", 0)]
+    got = rows_by_id(syncmers.fingerprinted_documents(documents(spark, rows)))
+    assert got[9]["near_edited"] > 0.4  # 400 of the 600 characters stay
+    assert got[7]["near_next"] > 0.8 and got[9]["near_next"] == 0
+    assert got[8]["near_edited"] < 1 and got[5]["near_next"] == 0
+    sets = {i: {f[k : k + 8] for k in range(0, len(f), 8)} for i, f in ((i, r["fingerprint"]) for i, r in got.items())}
+    assert all(len(a) == 8 for s in sets.values() for a in s) and len(sets[7] & sets[6]) > 0.8 * len(sets[7])
+
+
 def test_every_feature_with_evidence_marks():
     rng = random.Random(8)
     documents = []
