@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lockstep.llm import bpe, chat, embeddings, ngrams, packing, repeats, sharding, syncmers, toxicity, training_order, warc
+from lockstep.llm import bpe, chat, embeddings, ngrams, packing, prefixes, repeats, sharding, syncmers, toxicity, training_order, warc
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous_sharding": _over("documents", sharding.sharded_documents),
     "op10_content_addressed_warc": _over("pages", warc.archived_pages),
     "op11_chat_formatting": _over("conversations", lambda turns: chat.formatted_conversations(chat.with_forgery(turns))),
+    "op13_prefix_trie": _over("conversations", prefixes.conversation_trie),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -72,6 +73,43 @@ ORACLES: dict[str, str] = {
            CASE WHEN strlen(p.html) >= 1000 AND page_id <> best THEN best END AS refers_to
     FROM p JOIN best ON p.html = best.html
     """,
+    # the CRC-32 goes bit by bit over the digits of the id: its polynomial is 3988292384
+    "op13_prefix_trie": """
+    WITH t AS (
+        SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS own,
+               strlen(coalesce(text, '')) AS size,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS family, own, xor(4294967295, list_reduce(
+                   list_concat([4294967295], flatten(list_transform(
+                       string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END
+               )) % 9 AS h
+        FROM (SELECT conv_id, count(*) AS own FROM t GROUP BY conv_id)
+    ), r AS (
+        SELECT c.*, least(c.h, coalesce(f.own, 0)) AS taken FROM c LEFT JOIN c f ON f.conv_id = c.family
+    ), turns AS (
+        SELECT r.conv_id, t.k + 1 AS depth, t.own, t.size FROM r JOIN t ON t.conv_id = r.family AND t.k < r.taken
+        UNION ALL SELECT r.conv_id, t.k - r.h + r.taken + 1, t.own, t.size FROM r JOIN t ON t.conv_id = r.conv_id AND t.k >= r.h
+    ), path AS (
+        SELECT conv_id, 0 AS depth, '' AS key, 0 AS size FROM r
+        UNION ALL
+        SELECT conv_id, depth, string_agg(own, '') OVER (PARTITION BY conv_id ORDER BY depth), size FROM turns
+    ), last AS (SELECT conv_id, arg_max(key, depth) AS key FROM path GROUP BY conv_id),
+    nodes AS (
+        SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n, max(size) AS size FROM path GROUP BY key, depth
+    ), up AS (SELECT *, left(key, (64 * (depth - 1))::INT) AS parent FROM nodes WHERE depth > 0),
+    children AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY parent),
+    below AS (
+        SELECT a.key, count(*) FILTER (ch.key IS NULL) AS n_leaves, sum((b.n - 1) * b.size)::BIGINT AS saved_tokens
+        FROM nodes a JOIN nodes b ON starts_with(b.key, a.key) LEFT JOIN children ch ON ch.key = b.key GROUP BY a.key
+    ), ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM last GROUP BY key)
+    SELECT nodes.conv_id, nodes.depth, p.conv_id AS parent_conv_id, nodes.n AS n_convs,
+           coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+    FROM nodes LEFT JOIN up ON up.key = nodes.key LEFT JOIN nodes p ON p.key = up.parent
+    LEFT JOIN children ON children.key = nodes.key JOIN below ON below.key = nodes.key LEFT JOIN ends ON ends.key = nodes.key
+    """,
     "op5_embedding_near_dedup": """
     WITH RECURSIVE v AS (
         SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
