@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lockstep.llm import bpe, chat, embeddings, ngrams, packing, prefixes, repeats, sharding, syncmers, toxicity, training_order, warc
+from lockstep.llm import (
+    bpe,
+    chat,
+    embeddings,
+    ngrams,
+    packing,
+    prefixes,
+    repeats,
+    sharding,
+    syncmers,
+    toxicity,
+    training_order,
+    variants,
+    warc,
+)
 
 
 def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -34,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rendezvous_sharding": _over("documents", sharding.sharded_documents),
     "op10_content_addressed_warc": _over("pages", warc.archived_pages),
     "op11_chat_formatting": _over("conversations", lambda turns: chat.formatted_conversations(chat.with_forgery(turns))),
+    "op12_spelling_variants": _over("documents", variants.spelling_variants),
     "op13_prefix_trie": _over("conversations", prefixes.conversation_trie),
     "pipeline": corpus_pipeline.run,
 }
@@ -73,6 +88,45 @@ ORACLES: dict[str, str] = {
            CASE WHEN strlen(p.html) >= 1000 AND page_id <> best THEN best END AS refers_to
     FROM p JOIN best ON p.html = best.html
     """,
+    "op12_spelling_variants": """
+    WITH RECURSIVE runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS doc, count(*) AS n, unnest(list_transform(
+            regexp_extract_all(text, '[A-Za-zÀ-ÿ]{6,}'),
+            lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run
+        FROM documents GROUP BY doc_id, text
+    ), own AS (SELECT doc, run, sum(n) AS n FROM runs GROUP BY doc, run),
+    hashed AS (
+        SELECT run, n, xor(4294967295, list_reduce(
+            list_concat([4294967295], flatten(list_transform(
+                regexp_extract_all(hex(encode(doc || ':' || run)), '..'),
+                lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS h
+        FROM own
+    ), altered AS (
+        SELECT n, CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run) + 2)::INT)
+                  ELSE run END AS word
+        FROM hashed
+    ), words AS (SELECT word, sum(n)::BIGINT AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    lacking AS (
+        SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS key
+        FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)
+    ), inserted AS (SELECT DISTINCT w.word AS a, w.n AS a_n, l.word AS b, l.n AS b_n FROM words w JOIN lacking l ON l.key = w.word),
+    near AS (
+        SELECT a, b, b_n FROM inserted UNION ALL SELECT b, a, a_n FROM inserted
+        UNION ALL SELECT x.word, y.word, y.n FROM lacking x JOIN lacking y ON x.key = y.key AND x.i = y.i AND x.word <> y.word
+    ), best AS (SELECT a, count(*) AS n_near, max(b_n) AS top FROM near GROUP BY a),
+    chosen AS (SELECT near.a, n_near, top, min(b) AS b FROM near JOIN best ON near.a = best.a AND b_n = top GROUP BY ALL),
+    forms AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * n THEN b END AS form, CASE WHEN top >= 5 * n THEN top END AS form_n
+        FROM words LEFT JOIN chosen ON a = word
+    ), chain AS (
+        SELECT word, word AS root, form AS next, 0 AS steps FROM forms
+        UNION ALL
+        SELECT chain.word, next, forms.form, steps + 1 FROM chain JOIN forms ON forms.word = next
+    )
+    SELECT forms.word, form, last.root, n, n_near, form_n
+    FROM forms JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) last ON last.word = forms.word
+    """,
     # the CRC-32 goes bit by bit over the digits of the id: its polynomial is 3988292384
     "op13_prefix_trie": """
     WITH t AS (
