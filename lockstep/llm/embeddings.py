@@ -46,11 +46,17 @@ def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, which changes no digit, so that no square of theirs is too large or too small."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) with cosine of ``x[i]`` and ``y[j]`` at least ``threshold``, in double precision.
 
     Only pairs whose int8 product plus its error bound reaches the threshold are computed in full.
     """
+    x, y = _scaled(x), _scaled(y)
     nx, ny = np.sqrt(np.einsum("ij,ij->i", x, x)), np.sqrt(np.einsum("ij,ij->i", y, y))
     qx, sx, hx, ex = quantise(x / nx[:, None])
     qy, sy, hy, ey = quantise(y / ny[:, None])

@@ -227,16 +227,8 @@ def set_links(entries: DataFrame, texts: DataFrame) -> DataFrame:
     return links.union(_verified(pairs(cross), texts))
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
-
-    Equal sets are one class before anything is indexed, so exact copies cost one row.
-    Rows without words link with nothing and are their own component; a null doc_id counts
-    as larger than any other and names a component only of such rows. Tokens and classes
-    are 64-bit hashes. Texts are read twice: for the prefixes of all documents, and for
-    one document of each class that the first order leaves.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, set_id, g) of every row of ``docs`` (doc_id, text): its set, and a set of its group, null without words."""
     sets = docs.mapInArrow(_prefixes, "doc_id bigint, n bigint, set_id bigint, prefix array<bigint>")
     sets = stored(sets, "prefixes")
     classes = sets.where("set_id is not null").groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -248,19 +240,54 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         texts = stored(texts.dropDuplicates(["set_id"]), "texts")
     groups = components(set_links(index(texts), texts))
     rows = sets.select("doc_id", "n", "set_id").join(groups, F.col("set_id") == F.col("node"), "left")
-    rows = rows.select("doc_id", "n", F.coalesce("component", "set_id").alias("g"))
+    return rows.select("doc_id", "n", "set_id", F.coalesce("component", "set_id").alias("g"))
+
+
+def _plain_columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+
+    Equal sets are one class before anything is indexed, so exact copies cost one row.
+    Rows without words link with nothing and are their own component; a null doc_id counts
+    as larger than any other and names a component only of such rows. Tokens and classes
+    are 64-bit hashes. Texts are read twice: for the prefixes of all documents, and for
+    one document of each class that the first order leaves.
+    """
+    rows = _grouped(_plain_columns(docs))
     names = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("component_id"))
     return rows.join(names, "g", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def _with_set_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, their last column, a text, replaced by the id of its set."""
+    for batch in batches:
+        data, bounds = text_bytes(batch.column(batch.num_columns - 1))
+        sets = (s for a, b in blocks(bounds) for s in shingle_sets(data, bounds[a : b + 1], WORDS))
+        ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "_set"])
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that link, over however many links, to one of smaller doc_id; repeated rows stay once.
+    """``docs`` with one row of each group of documents that link, over however many links; columns stay as they are.
 
-    Columns stay as they are. Rows with a null doc_id stay.
+    The row of the smallest doc_id stays, null being the largest; of different texts
+    with one doc_id, that of the smallest set. Rows without words are in no group and stay. Rows that
+    share a doc_id and a text stay once, and rows that share a doc_id alone are different documents.
     """
-    groups = jaccard_groups(docs.select("doc_id", "text")).select("doc_id", "component_id")
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = stored(_grouped(_plain_columns(docs)), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")
+    first = rows.where("g is not null").groupBy("g").agg(F.min(order).alias("first")).select("first.doc_id", "first.set_id")
+    kept = first.unionByName(rows.where("g is null").select("doc_id", "set_id")).distinct()
+    kept = stored(kept.select(F.col("doc_id").alias("_doc"), F.col("set_id").alias("_kept")), "kept")
+    own = {c: f"_keep_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(F.col("doc_id").cast("long").alias("_key"), *[F.col(f"`{c}`").alias(n) for c, n in own.items()], text_or_empty().alias("_text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields[:-1])
+    found = named.mapInArrow(_with_set_id, f"{kinds}, _set bigint")
+    same = F.col("_key").eqNullSafe(F.col("_doc")) & F.col("_set").eqNullSafe(F.col("_kept"))
+    found = found.join(broadcast_if_small(kept), same, "left_semi").dropDuplicates(["_key", "_set"])
+    return found.select(*[F.col(n).alias(c) for c, n in own.items()])

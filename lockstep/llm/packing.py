@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,23 +21,57 @@ from lockstep.llm.pretokens import CachedEncoder
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 2
+#: Characters of pre-tokens whose ids a worker holds.
+HELD = 6_000_000
 #: Pieces packed together by one task. More of them waste less at their common end; fewer spread wider.
 PER_GROUP = 60_000
 #: Splits the sequence numbers of groups.
 STRIDE = 1 << 32
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str, pattern: str) -> CachedEncoder:
-    """Cached encoding by the tokenizers library: each pre-token is encoded alone, as the library does."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class TextEncoder:
+    """The ids that the tokenizers library gives for whole texts, without special tokens added.
+
+    An added token of the vocabulary, such as the name of the end of a text, is that token
+    also where a text spells it, as in the library; ``plain`` makes it ordinary text. What stands between
+    such tokens is encoded pre-token by pre-token, each by the vocabulary's own model.
+    """
+
+    def __init__(self, path: str, pattern: str, plain: bool, kind: str, limit: int):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        tokenizer = Tokenizer.from_file(path)
+        added = {} if plain else {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        self.added = {name: array(kind, [i]).tobytes() for name, i in added.items()}
+        self.names = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        # the characters that stand for bytes, as the library has them
+        every = "".join(map(chr, [*range(0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x110000, 64)]))
+        mapped = "".join(piece for piece, _ in ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every))
+        table = {byte: character for byte, character in zip(every.encode(), mapped)}
+        model = tokenizer.model
+
+        def encode_many(pieces: list[str]) -> Iterator[list[int]]:
+            for piece in pieces:
+                yield [token.id for token in model.tokenize(piece.encode().decode("latin-1").translate(table))]
+
+        self.pieces = CachedEncoder(pattern, encode_many, limit, kind)
+
+    def encode(self, text: str | None) -> bytes:
+        """Little-endian ids of the type ``kind``; none for null."""
+        if not text or self.names is None or not self.names.search(text):
+            return self.pieces.encode(text)
+        out, at = [], 0
+        for name in self.names.finditer(text):
+            out += [self.pieces.encode(text[at : name.start()]), self.added[name[0]]]
+            at = name.end()
+        return b"".join([*out, self.pieces.encode(text[at:])])
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return CachedEncoder(
-        pattern, lambda xs: [e.ids for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)]
-    )
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, pattern: str, plain: bool = False, kind: str = "I", limit: int = HELD) -> TextEncoder:
+    """One encoder, with its bounded cache, in a Python worker."""
+    return TextEncoder(path, pattern, plain, kind, limit)
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -45,38 +80,41 @@ def cut(n: int, length: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(start, length) for start in range(first, n, length)]
 
 
-def pieces(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: int = END, ids: str = "") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end``, cut where longer than ``length``.
+def pieces(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: int = END, plain: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end``, cut where longer than ``length``.
 
-    Null and empty texts are the end id alone. ``ids``, if wanted, are little-endian numbers
-    of the numpy type given, which must hold every id of the vocabulary. Map-only; rows
+    Null and empty texts are the end id alone. For ``plain`` see :class:`TextEncoder`. Map-only; rows
     come out in batches of bounded size.
     """
-    tail = np.array([end], "<u4").tobytes()
+
+    def rows(doc: int | None, packed: bytes) -> Iterator[tuple]:
+        for k, (start, size) in enumerate(cut(len(packed) // 4, length)):
+            yield doc, k, start, size, zlib.crc32(packed[4 * start : 4 * (start + size)])
+
+    return of_ids(docs, rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", path, end, plain, "I")
+
+
+def of_ids(
+    docs: DataFrame, rows: Callable[[int | None, bytes], Iterable[tuple]], schema: str, path: str, end: int, plain: bool, kind: str,
+    limit: int = HELD,
+) -> DataFrame:
+    """The ``rows`` made of each document's id and the ids of its text and ``end``, numbers of the ``array`` type ``kind``."""
+    tail = array(kind, [end]).tobytes()
     pattern = public_tokenizers.PATTERN
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * bool(ids)
+    types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = pa.schema([(name, types[t]) for name, t in (field.split() for field in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+        encoder = _encoder(path, pattern, plain, kind, limit)
         for whole in batches:
             for at in range(0, len(whole), 1000):
-                yield piece_rows(encoder, whole.slice(at, 1000))
-
-    def piece_rows(encoder: CachedEncoder, batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[list] = [[] for _ in range(5 + bool(ids))]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            packed = encoder.encode(text.as_py()) + tail
-            for k, (start, size) in enumerate(cut(len(packed) // 4, length)):
-                raw = packed[4 * start : 4 * (start + size)]
-                kept = np.frombuffer(raw, "<u4").astype(ids).tobytes() if ids else b""
-                for column, value in zip(rows, (doc, k, start, size, zlib.crc32(raw), kept)):
-                    column.append(value)
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types)], names=names[: len(rows)])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, schema)
+                batch = whole.slice(at, 1000)
+                out: list[tuple] = []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    out += rows(doc, encoder.encode(text.as_py()) + tail)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), fields.types)], schema=fields)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,26 +63,36 @@ def split(pattern: str, text: str) -> list[str]:
 class CachedEncoder:
     """Encodes texts piece by piece, each distinct piece once while it is in the cache.
 
-    ``encode_many`` gives the ids of a list of pieces. The cache starts anew when its
-    pieces reach ``limit`` characters, so memory stays bounded on any input.
+    ``encode_many`` gives the ids of a list of pieces; they are held as little-endian numbers of
+    the ``array`` type ``kind``. The cache has two halves of up to ``limit / 2`` characters of pieces,
+    about ten bytes of memory for each. A full half takes the place of the older one, and what is
+    used from that again comes back, so memory stays bounded on any input.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[list[int]]], limit: int = 8_000_000):
-        self.pattern, self.encode_many, self.limit = pattern, encode_many, limit
+    def __init__(
+        self, pattern: str, encode_many: Callable[[list[str]], Iterable[list[int]]], limit: int = 6_000_000, kind: str = "I"
+    ):
+        self.pattern, self.encode_many, self.limit, self.kind = pattern, encode_many, limit, kind
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit numbers; a null text has none."""
+        """The ids of ``text`` one after another; a null text has none."""
         pieces = split(self.pattern, text) if text else []
-        known = self.known
-        missing = list(set(pieces).difference(known))
-        if not missing:
-            return b"".join(map(known.__getitem__, pieces))
-        if self.held > self.limit:
-            known.clear()
-            self.held, missing = 0, list(set(pieces))
-        for piece, ids in zip(missing, self.encode_many(missing)):
-            known[piece] = array("I", ids).tobytes()
-        self.held += sum(map(len, missing))
-        return b"".join(map(known.__getitem__, pieces))
+        found = list(map(self.known.get, pieces))
+        if None not in found:
+            return b"".join(found)
+        holes = [i for i, ids in enumerate(found) if ids is None]
+        new = {pieces[i]: self.older.get(pieces[i]) for i in holes}
+        missing = [piece for piece, ids in new.items() if ids is None]
+        if missing:
+            for piece, ids in zip(missing, self.encode_many(missing)):
+                new[piece] = array(self.kind, ids).tobytes()
+        for i in holes:
+            found[i] = new[pieces[i]]
+        self.held += sum(map(len, new))
+        if self.held > self.limit / 2:
+            self.older, self.known, self.held = self.known, {}, sum(map(len, new))
+        self.known.update(new)
+        return b"".join(found)

@@ -110,7 +110,8 @@ def with_next(rows: DataFrame, key: str, columns: list[str], tie: Column, ranges
     keys = rows.select(F.col(key).cast("long").alias("_key"))
     low, high = keys.agg(F.min("_key"), F.max("_key")).first()
     width = 1 if low is None else max(1, -(-(high - low + 1) // 65_536))
-    cell = F.coalesce(F.floor((F.col("_key") - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1))
+    wide = "decimal(20,0)"  # a span may be beyond 64 bits
+    cell = F.coalesce(F.floor((F.col("_key").cast(wide) - F.lit(low or 0).cast(wide)) / F.lit(width)).cast("int"), F.lit(-1))
     counts = keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max("_key").alias("top")).collect()
     counts.sort(key=lambda c: -c["cell"])
     total, so_far, bounds = sum(c["n"] for c in counts), 0, {}

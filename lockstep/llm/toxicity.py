@@ -92,7 +92,7 @@ def _odds_to_share(odds: np.ndarray) -> np.ndarray:
 class Scorer:
     """Scores documents by a model, remembering words and chains without a feature."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 100_000):
         self.model, self.limit = model, limit
         self.known: dict[str, float] = {}
         self.plain: dict[int, tuple[float, float]] = {}
@@ -318,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, longest: i
 
     That bounded sample, taken in the order of a hash of the id, is all that reaches the
     driver. Rows without a label or text are no examples; of repeated labels the
-    larger counts, of repeated documents one text.
+    larger counts, of repeated documents the smallest text.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -326,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, longest: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(
         F.col("text").isNotNull() & (F.octet_length("text") <= longest)
     )
-    found = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas()
+    found = texts.join(sample, "doc_id").select("doc_id", "text", "toxic").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
     found = found.sort_values("doc_id")
     return fit(list(zip(found["text"], found["toxic"].astype(int))))
 
@@ -353,7 +353,7 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.f
 
 
 def spans(text: str, odds: np.ndarray | None) -> list[dict]:
-    """Where the toxic words are, in code points of the lower-cased text; those next to each other joined."""
+    """Where the toxic words are, in code points of the text; those next to each other joined."""
     out: list[dict] = []
     if odds is None or odds.max() < np.log(WORD / (1 - WORD)):
         return out
@@ -364,6 +364,10 @@ def spans(text: str, odds: np.ndarray | None) -> list[dict]:
         elif share >= WORD:
             out.append({"start": match.start(), "end": match.end(), "marginal": share})
         joined = share >= WORD
+    if len(low) != len(text):  # some letters become two in lower case
+        place = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+        for span in out:
+            span["start"], span["end"] = int(place[span["start"]]), int(place[span["end"] - 1]) + 1
     return out
 
 

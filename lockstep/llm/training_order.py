@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 from uuid import uuid4
@@ -15,14 +16,19 @@ from pyspark.sql.window import Window
 
 from lockstep.cluster import checkpoint_dir
 from lockstep.llm.common import stored
-from lockstep.llm.packing import LENGTH, pieces
+from lockstep.llm.packing import END, HELD, LENGTH, VOCABULARY, cut, of_ids
 
 ROUNDS = 6
 KEY = "training-order-1"
 #: Slots in a shard.
 PER_SHARD = 1024
-#: A record: doc_id, piece and number of ids, then the ids as unsigned 16-bit numbers, zeros behind them.
-HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
+#: A record: doc_id, whether there is one, piece and number of ids, then the ids as unsigned 16-bit numbers, zeros behind them.
+HEAD = np.dtype([("doc_id", "<i8"), ("known", "<i4"), ("piece", "<i4"), ("length", "<i4")])
+FIELDS = "<qiii"
+#: Bytes of records that a task writes, about, and the most tasks; with more records than that a task writes more.
+PER_TASK, MOST_TASKS = 16 << 20, 20_000
+#: Shards in a file, at most, so that no reader meets more of them at a time than its split holds.
+PER_FILE = 32
 
 
 def stride(length: int = LENGTH) -> int:
@@ -88,47 +94,58 @@ def with_slots(sequences: DataFrame, key: str = KEY) -> tuple[DataFrame, int]:
     return placed.select(*sequences.columns, slot(index).alias("slot")), count
 
 
+def records(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, end: int = END) -> DataFrame:
+    """(record): the sequences of every document, pieces of its ids and ``end``, as records without the zeros.
+
+    Null texts are empty; a null doc_id is kept as such.
+    """
+    def rows(doc: int | None, packed: bytes) -> Iterator[tuple]:
+        for k, (start, size) in enumerate(cut(len(packed) // 2, length)):
+            yield (struct.pack(FIELDS, doc or 0, doc is not None, k, size) + packed[2 * start : 2 * (start + size)],)
+
+    return of_ids(docs, rows, "record binary", path, end, False, "H", 2 * HELD)
+
+
 def write_shards(sequences: DataFrame, path: str, key: str = KEY, length: int = LENGTH, per_shard: int = PER_SHARD) -> int:
-    """Write ``sequences`` (doc_id, piece, ids as 16-bit numbers) in training order; returns their number.
+    """Write ``sequences`` (record) in training order; returns their number.
 
     The table at ``path`` has a row for each shard: its number, its first slot, how many
     slots it has, and its payload, in which slot s is at byte ``(s - first_slot) *
     stride``. Every shard but the last has ``per_shard`` slots, so a reader finds any slot by
     arithmetic, reads on from there in order, and resumes where it stopped. Tasks hold
-    ranges of shards in order. No sequence may be longer than ``length``.
+    ranges of shards in order, known from the number of sequences alone. No sequence may be longer than ``length``.
     """
-    rows = sequences.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "piece", "ids")
-    placed, count = with_slots(rows, key)
+    placed, count = with_slots(sequences.select("record"), key)
     size = stride(length)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, first, parts = None, 0, []
+        shard, parts = None, []
 
         def done() -> pa.RecordBatch:
             names = ["shard", "first_slot", "slots", "payload"]
-            values = [[shard], [first], [len(parts)], [b"".join(parts)]]
+            values = [[shard], [shard * per_shard], [len(parts)], [b"".join(parts)]]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=names)
 
         for batch in batches:
-            for number, slot, doc, piece, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                if number != shard:
+            for slot, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if slot // per_shard != shard:
                     if parts:
                         yield done()
-                    shard, first, parts = number, slot, []
-                if len(ids) > 2 * length:
+                    shard, parts = slot // per_shard, []
+                if len(record) > size:
                     raise ValueError("a sequence is too long")
-                head = np.array([(doc, piece, len(ids) // 2)], HEAD).tobytes()
-                parts.append((head + ids).ljust(size, b"\0"))
+                parts.append(record.ljust(size, b"\0"))
         if parts:
             yield done()
 
-    shard = F.floor(F.col("slot") / per_shard).alias("shard")
-    dealt = placed.select(shard, "slot", "doc_id", "piece", "ids").repartitionByRange("shard")
-    dealt = dealt.sortWithinPartitions("shard", "slot")
+    shards = max(1, -(-count // per_shard))
+    tasks = min(shards, MOST_TASKS, max(1, -(-count * size // PER_TASK)))
+    task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
+    dealt = placed.select("slot", "record").repartitionById(tasks, task).sortWithinPartitions("slot")
     dealt.mapInArrow(blocks, "shard bigint, first_slot bigint, slots bigint, payload binary").write.option(
         "compression", "zstd"
-    ).parquet(path)
+    ).option("maxRecordsPerFile", PER_FILE).parquet(path)
     return count
 
 
@@ -139,7 +156,7 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0, length: int
     """
     size = stride(length)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, first, slots, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 table = np.frombuffer(payload, np.uint8).reshape(slots, size)
@@ -153,7 +170,7 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0, length: int
                         pa.array(slot[keep]),
                         pa.array(np.full(len(keep), shard)),
                         pa.array((slot[keep] - first) * size),
-                        pa.array(head["doc_id"][keep].astype("i8")),
+                        pa.array(head["doc_id"][keep].astype("i8"), mask=head["known"][keep] == 0),
                         pa.array(head["piece"][keep].astype("i4")),
                         pa.array(head["length"][keep].astype("i8")),
                         pa.array(np.array(crc, np.int64)[keep]),
@@ -163,7 +180,7 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0, length: int
 
     rows = spark.read.parquet(path).where(F.col("first_slot") + F.col("slots") > first_slot)
     return rows.select("shard", "first_slot", "slots", "payload").mapInArrow(
-        records,
+        taken_apart,
         "slot bigint, shard bigint, offset bigint, doc_id bigint, piece int, length bigint, ids_crc32 bigint",
     )
 
@@ -172,9 +189,9 @@ def ordered_documents(docs: DataFrame) -> DataFrame:
     """Every sequence of every document, read back from shards written in training order.
 
     A sequence is a piece of a document's ids, the last id ending the document. Null texts
-    are empty; a null doc_id reads as -1; repeated rows get a slot each.
+    are empty; a null doc_id stays null; repeated rows get a slot each.
     """
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/shards-{uuid4().hex}"
-    write_shards(pieces(docs, ids="<u2"), path)
+    write_shards(records(docs), path)
     return read_shards(spark, path)

@@ -58,7 +58,8 @@ def archive(pages: DataFrame, path: str) -> None:
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        # the block of a revisit is empty
+        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.when(revisit, F.sha2(F.lit(b""), 256)).otherwise(F.col("digest")))),
         F.when(
             revisit,
             F.concat(

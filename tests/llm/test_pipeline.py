@@ -17,7 +17,7 @@ here = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not
 def test_registered():
     assert QUERIES.items() <= entry.queries().items() and ORACLES.items() <= entry.oracle_sql().items()
     numbers = [n[2:].split("_")[0] for n in QUERIES if n != "pipeline"]
-    assert numbers == [str(k) for k in range(1, 11)]
+    assert numbers == [str(k) for k in range(1, 14)]
 
 
 @here

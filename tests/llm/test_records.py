@@ -142,3 +142,17 @@ def test_records_and_damage(spark, tmp_path):
     spark.read.parquet(f"{path}/payloads").withColumn("payload", F.concat("payload", F.lit(b"!"))).write.parquet(f"{broken}/payloads")
     with pytest.raises(Exception, match="damaged or missing payload"):
         warc.reconstruct(spark, broken).collect()
+
+
+def test_vectors_of_extreme_scale():
+    x = np.array([[1e-170, 2e-170, 0.0], [1e160, 2e160, 0.0], [5e-324, 1e-323, 0.0], [0.0, 0.0, 1e300]])
+    i, j = embeddings.close_pairs(x, x, embeddings.THRESHOLD)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted([(a, b) for a in range(3) for b in range(3)] + [(3, 3)])
+
+
+def test_revisits_carry_the_digest_of_their_own_block(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", "x" * 2000) for i in range(3)], "page_id bigint, url string, html string")
+    warc.archive(pages, str(tmp_path / "a"))
+    for r in spark.read.parquet(str(tmp_path / "a" / "records")).collect():
+        block = b"" if r.record_type == "revisit" else b"x" * 2000
+        assert f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}" in r.header

@@ -50,7 +50,16 @@ def test_jaccard_with_repeated_and_null_ids(spark):
     assert got == [3, 3, 3, 3, 5]
     kept = ngrams.one_of_each_group(documents(spark, rows).withColumn("token", F.lit(1)))
     assert kept.columns[-1] == "token"
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 5), (True, 0)]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, text), (5, prose(2, 50))])
+
+
+def test_different_texts_of_one_id_stay(spark):
+    a, b = prose(11, 40), prose(12, 40)
+    rows = [(5, a, "en", "s", 0), (5, b, "en", "s", 0), (9, b, "en", "s", 0), (None, a, "en", "s", 0), (None, prose(13, 40), "en", "s", 0)]
+    rows += [(7, None, "en", "s", 0), (7, None, "en", "s", 0), (8, " ", "en", "s", 0), (None, "", "en", "s", 0)]
+    kept = ngrams.one_of_each_group(documents(spark, rows)).collect()
+    want = [(5, a), (5, b), (None, prose(13, 40)), (7, None), (8, " "), (None, "")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept])) == sorted(map(str, want))
 
 
 def test_shingle_sets_over_long_words_and_blocks():
@@ -190,6 +199,9 @@ def test_toxicity_learns_marks_and_offsets(spark):
     row = spark.createDataFrame([("So ein FLEGEL, sagte er.",)], "text string")
     spans = toxicity.scored(row, model, with_spans=True).first().spans
     assert [(s.start, s.end) for s in spans] == [(7, 13)]
+    row = spark.createDataFrame([("İİ So ein FLEGEL İ.",)], "text string")
+    spans = toxicity.scored(row, model, with_spans=True).first().spans
+    assert [(s.start, s.end) for s in spans] == [(10, 16)]
 
 
 def test_likeness_across_the_short_length(spark):
@@ -258,3 +270,9 @@ def test_empty_tables(spark):
     assert syncmers.fingerprinted_documents(none).count() == 0
     assert toxicity.scored_documents(none, labels).count() == 0
     assert toxicity.clean_documents(documents(spark, awkward()), labels).count() == len(awkward())
+
+
+def test_next_over_ids_far_apart(spark):
+    rows = [(-(1 << 63), "low text here", "en", "s", 0), (5, "middle text", "en", "s", 0), ((1 << 63) - 1, "high words there", "en", "s", 0)]
+    got = rows_by_id(syncmers.fingerprinted_documents(documents(spark, rows)))
+    assert set(got) == {r[0] for r in rows}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -22,7 +23,6 @@ def reference():
 @pytest.fixture(scope="module")
 def tokenizer():
     out = Tokenizer.from_file(packing.VOCABULARY)
-    out.encode_special_tokens = True
     return out
 
 
@@ -129,6 +129,34 @@ def test_empty_tables(spark):
     assert training_order.ordered_documents(none).count() == 0
 
 
+def test_slots_are_the_permuted_places(spark):
+    rows = spark.range(500).select(F.col("id").cast("string").cast("binary").alias("record"))
+    placed, count = training_order.with_slots(rows.coalesce(1), "k")
+    slots = {int(bytes(r.record)): r.slot for r in placed.collect()}
+    assert count == 500
+    assert [slots[i] for i in range(500)] == training_order.permuted(np.arange(500), 500, "k").tolist()
+
+
+def test_names_of_added_tokens(tokenizer):
+    texts = ["first <|endoftext|> second", "<|endoftext|><|endoftext|>", "a <|endoftext|", "  <|endoftext|>\n\n x"]
+    for plain in (False, True):
+        own = packing._encoder(packing.VOCABULARY, public_tokenizers.PATTERN, plain)
+        tokenizer.encode_special_tokens = plain
+        for text in texts:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    tokenizer.encode_special_tokens = False
+
+
+def test_ids_equal_the_librarys_on_all_scripts(tokenizer):
+    own = packing._encoder(packing.VOCABULARY, public_tokenizers.PATTERN)
+    points = [chr(c) for c in [*range(0x3000), *range(0x3000, 0xD800, 37), *range(0xE000, 0x110000, 211)]]
+    rng = random.Random(3)
+    rng.shuffle(points)
+    for at in range(0, len(points), 400):
+        text = "".join(x + rng.choice(["", " ", "a", "'s", "12"]) for x in points[at : at + 400])
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("count", [1, 2, 3, 1000, 4097])
 def test_permutation(count):
     index = np.arange(count)
@@ -142,14 +170,15 @@ def test_permutation(count):
 
 def test_shards_hold_every_sequence(spark, tmp_path):
     rows = awkward() + [(2, "repeated id", "en", "s", 1), (None, None, None, None, None)]
-    source = packing.pieces(documents(spark, rows), ids="<u2")
+    docs = documents(spark, rows).withColumn("record", F.lit(1)).withColumn("slot", F.lit(1))
+    source = packing.pieces(docs)
     path = str(tmp_path / "shards")
-    count = training_order.write_shards(source, path, per_shard=4)
+    count = training_order.write_shards(training_order.records(docs), path, per_shard=4)
     got = training_order.read_shards(spark, path).collect()
     assert sorted(r.slot for r in got) == list(range(count))
     assert all(r.shard == r.slot // 4 and r.offset == r.slot % 4 * training_order.stride() for r in got)
     key = str
-    wanted = [(-1 if r.doc_id is None else r.doc_id, r.piece, r.length, r.ids_crc32) for r in source.collect()]
+    wanted = [(r.doc_id, r.piece, r.length, r.ids_crc32) for r in source.collect()]
     assert sorted([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in got], key=key) == sorted(wanted, key=key)
     whole = training_order.ordered_documents(documents(spark, rows)).collect()
     assert sorted([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole], key=key) == sorted(wanted, key=key)
