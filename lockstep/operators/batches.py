@@ -79,8 +79,9 @@ def unpack_batches(batches: DataFrame) -> DataFrame:
 def unpack_reconciliation(requests: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Reconciliation requests as one checksum row per object, and the kinds that cannot be read.
 
-    Bad kinds do not hold up the others.
+    Bad kinds do not hold up the others. Rows carry the time ``ts`` of their request, if it has one.
     """
+    when = ["ts"] * ("ts" in requests.columns)
     body = F.from_json(F.col(payload).cast("string"), RECONCILIATION_BODY)
     kinds = (
         requests.withColumn("_b", body)
@@ -90,6 +91,7 @@ def unpack_reconciliation(requests: DataFrame, payload: str = "payload") -> tupl
             F.col("_b.msgId").alias("msg_id"),
             F.coalesce(F.col("_b.depth"), F.lit(0)).alias("depth"),
             F.explode("_b.kindToObject").alias("kind", "_objects"),
+            *when,
         )
     )
     good = parse_kind(F.col("kind")).isNotNull()
@@ -108,6 +110,7 @@ def unpack_reconciliation(requests: DataFrame, payload: str = "payload") -> tupl
             F.col("_o.name").alias("name"),
             F.col("_o.resourceVersion").alias("version"),
             F.col("_o.checksum").alias("checksum"),
+            *when,
         )
     )
     rejected = kinds.where(~good).select(

@@ -12,18 +12,22 @@ from lockstep.functions import documents as docs
 from lockstep.functions.identity import to_version
 from lockstep.model import DEBOUNCE_SECONDS, DELETE_OBJECT, PATCH, VERIFY_OBJECT
 from lockstep.operators.ordered import HOUR, sessions, state_before
-from lockstep.operators.paths import KEYS
+from lockstep.operators.paths import KEYS, object_keys
 from lockstep.operators.store import encode_changes
 
 
 def debounce(
     changes: DataFrame,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] | None = None,
     ts: str = "ts",
     tiebreak: str = "seq",
     gap_seconds: int = DEBOUNCE_SECONDS,
 ) -> DataFrame:
-    """The last change of every burst; each further change of the key restarts the wait."""
+    """The last change of every burst; each further change of the key restarts the wait.
+
+    With columns account and cluster each client's objects have bursts of their own.
+    """
+    keys = keys or object_keys(changes)
     bursts = sessions(changes, keys, ts, tiebreak, gap_seconds)
     return bursts.select(*keys, "last_event.*", "n_events")
 
@@ -31,7 +35,7 @@ def debounce(
 def change_ops(
     changes: DataFrame,
     kinds: DataFrame | None = None,
-    keys: Sequence[str] = KEYS,
+    keys: Sequence[str] | None = None,
     ts: str = "ts",
     tiebreak: str = "seq",
     slice_seconds: int = HOUR,
@@ -41,8 +45,10 @@ def change_ops(
     Added: verify. Deleted: delete, and the object is no longer known. Modified:
     put when nothing is known, else a patch against the last modified state, or
     nothing when only the version moved. Added does not make an object known.
-    Without ``kinds`` every kind is patched.
+    Without ``kinds`` every kind is patched. With columns account and cluster each client's
+    objects are known for themselves.
     """
+    keys = keys or object_keys(changes)
     op = F.col("op")
     state = F.when(op == "Modified", F.struct(F.col("doc").alias("doc"))).when(
         op == "Deleted", F.struct(F.lit(None).cast("string").alias("doc"))

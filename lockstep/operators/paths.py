@@ -21,6 +21,19 @@ def object_keys(df: DataFrame) -> list[str]:
     return [*CLIENT, *KEYS] if set(CLIENT) <= set(df.columns) else KEYS
 
 
+def store_keys(store: DataFrame, *others: DataFrame) -> list[str]:
+    """The keys of a store, which tables that are held against it must have as well.
+
+    A store that keeps the objects of several clients can't be met by rows that don't say whose they are.
+    """
+    keys = object_keys(store)
+    for other in others:
+        missing = [c for c in keys if c not in other.columns]
+        if missing:
+            raise ValueError(f"the store is kept by {', '.join(keys)}; {', '.join(missing)} missing")
+    return keys
+
+
 def to_path_rows(df: DataFrame, keys: Sequence[str] = KEYS, doc: str = "doc") -> DataFrame:
     """One row per leaf."""
     return explode_leaves(df.withColumn("_leaves", docs.leaves(doc)), keys, "_leaves")

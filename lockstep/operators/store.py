@@ -1,6 +1,8 @@
 """Operators that compare messages with a store of objects, and change it.
 
-A store has the columns kind, ns, name (one row per key), version and doc.
+A store has the columns kind, ns, name (one row per key), version and doc. With the
+columns account and cluster it holds the objects of several clients, one row per client
+and key; whatever meets it must have these columns too.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from lockstep.operators.batches import unpack_batches
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
-from lockstep.operators.paths import KEYS, object_keys
+from lockstep.operators.paths import KEYS, object_keys, store_keys
 
 
 def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
@@ -28,9 +30,10 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     The stored object goes along as base unless it is missing or unreadable.
     Matching objects give no row.
     """
-    found = store.select(*KEYS, F.col("doc").alias("_doc"))
+    keys = store_keys(store, messages)
+    found = store.select(*keys, F.col("doc").alias("_doc"))
     return (
-        docs.once(messages.join(found, KEYS, "left"), "_sum", docs.checksum("_doc"))
+        docs.once(messages.join(found, keys, "left"), "_sum", docs.checksum("_doc"))
         .where(F.coalesce(F.col("_sum") != F.col("checksum"), F.lit(True)))
         .withColumns(
             {
@@ -81,13 +84,14 @@ def encode_changes(df: DataFrame, base: str, strategy: str) -> DataFrame:
 
 
 def put_or_patch(
-    new: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] = KEYS
+    new: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Messages that bring the other side up to ``new``, given what it is known to hold.
 
     A ``base_object`` sent along overrides the known state. After sending, the
     known state is ``advance_known(known, new)``.
     """
+    keys = keys or store_keys(known, new)
     joined = (
         new.join(known.select(*keys, F.col("doc").alias("_known")), list(keys), "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
@@ -101,9 +105,10 @@ def put_or_patch(
 
 def advance_known(known: DataFrame, sent: DataFrame) -> DataFrame:
     """Known state after ``sent`` went out: its documents replace the older ones."""
-    older = known.select(*KEYS, "doc", F.lit(0).alias("_age"))
-    newer = sent.select(*KEYS, "doc", F.lit(1).alias("_age"))
-    return last_by_key(older.unionByName(newer), KEYS, "_age").drop("_age")
+    keys = store_keys(known, sent)
+    older = known.select(*keys, "doc", F.lit(0).alias("_age"))
+    newer = sent.select(*keys, "doc", F.lit(1).alias("_age"))
+    return last_by_key(older.unionByName(newer), keys, "_age").drop("_age")
 
 
 def apply_patches(messages: DataFrame, store: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -113,9 +118,10 @@ def apply_patches(messages: DataFrame, store: DataFrame, kinds: DataFrame) -> Da
     Otherwise the object is asked for: without base when its kind is not patched
     or the object is missing, with the stored object as base in all other cases.
     """
+    keys = store_keys(store, messages)
     merged = trees.to_json(trees.patch(trees.leaves("_doc"), trees.leaves("patch")))
     joined = (
-        messages.join(store.select(*KEYS, F.col("doc").alias("_doc")), KEYS, "left")
+        messages.join(store.select(*keys, F.col("doc").alias("_doc")), keys, "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
         .withColumn("_doc", F.when(F.col("_strategy") == PATCH, F.col("_doc")))
     )
@@ -131,35 +137,16 @@ def apply_patches(messages: DataFrame, store: DataFrame, kinds: DataFrame) -> Da
     ).drop("_doc", "_strategy", "_merged", "_good")
 
 
-def fold_puts(puts: DataFrame, order: str = "seq") -> DataFrame:
-    """The one put per key that a sequence of save-if-newer steps on an empty store would keep.
-
-    The first put opens; afterwards only a higher number replaces it. If the
-    first version is no number, nothing is ever newer. Documents are taken to be
-    readable; see ``quarantine``.
-    """
-    rest = [c for c in puts.columns if c not in KEYS]
-    numeric = F.col("version").cast("string").rlike(trees.INTEGER)
-    rank = F.when(numeric, F.struct(to_version(F.col("version")), -F.col(order)))
-    folded = puts.groupBy(*KEYS).agg(
-        F.min_by(F.struct(*rest), order).alias("_first"),
-        F.min_by(numeric, order).alias("_counts"),
-        F.max_by(F.struct(*rest), rank).alias("_best"),
-    )
-    return folded.select(*KEYS, F.when(F.col("_counts"), F.col("_best")).otherwise(F.col("_first")).alias("_p")).select(
-        *KEYS, "_p.*"
-    )
-
-
 def save_if_newer(store: DataFrame, puts: DataFrame, check: bool = True) -> DataFrame:
     """The store after one put per key.
 
     A new object is inserted; a stored one is replaced only by a strictly newer
     version, or when either document cannot be read. ``check=False`` always replaces.
     """
-    rest = [c for c in store.columns if c not in KEYS]
-    both = store.select(*KEYS, F.struct(*rest).alias("_s")).join(
-        puts.select(*KEYS, F.struct(*rest).alias("_p")), KEYS, "full_outer"
+    keys = store_keys(store, puts)
+    rest = [c for c in store.columns if c not in keys]
+    both = store.select(*keys, F.struct(*rest).alias("_s")).join(
+        puts.select(*keys, F.struct(*rest).alias("_p")), keys, "full_outer"
     )
     replace = F.lit(True)
     if check:
@@ -172,7 +159,7 @@ def save_if_newer(store: DataFrame, puts: DataFrame, check: bool = True) -> Data
         .when(replace, F.col("_p"))
         .otherwise(F.col("_s"))
     )
-    return both.select(*KEYS, winner.alias("_w")).select(*KEYS, "_w.*")
+    return both.select(*keys, winner.alias("_w")).select(*keys, "_w.*")
 
 
 def serve_gets(
@@ -180,12 +167,13 @@ def serve_gets(
 ) -> tuple[DataFrame, DataFrame]:
     """Answers to get requests as puts or patches, and the requests for unknown objects."""
     drop = [c for c in ("version", "doc") if c in requests.columns]
-    held = requests.drop(*drop).join(store.select(*KEYS, "version", "doc"), KEYS, "left")
-    return answer_gets(held, known, kinds)
+    keys = store_keys(store, requests, known)
+    held = requests.drop(*drop).join(store.select(*keys, "version", "doc"), keys, "left")
+    return answer_gets(held, known, kinds, keys)
 
 
 def answer_gets(
-    found: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] = KEYS
+    found: DataFrame, known: DataFrame, kinds: DataFrame, keys: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Objects that were asked for as puts or patches, and the requests that found none (``doc`` null)."""
     answers = put_or_patch(found.where(F.col("doc").isNotNull()), known, kinds, keys)
@@ -197,7 +185,7 @@ def resolve_conflicts(cluster: DataFrame, backend: DataFrame) -> DataFrame:
     """One object per key: the higher version, the backend's on a tie."""
     both = cluster.withColumn("origin", F.lit("cluster")).unionByName(backend.withColumn("origin", F.lit("backend")))
     both = both.withColumns({"_v": to_version(F.col("version")), "_o": (F.col("origin") == "backend").cast("int")})
-    return last_by_key(both, KEYS, "_v", "_o").drop("_v", "_o")
+    return last_by_key(both, store_keys(backend, cluster), "_v", "_o").drop("_v", "_o")
 
 
 def apply_changes(target: DataFrame, changes: DataFrame, order: str = "seq", keep_metadata: bool = False) -> DataFrame:
@@ -206,10 +194,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, order: str = "seq", kee
     Of several changes to a key the last one counts. ``keep_metadata`` leaves the
     metadata of an updated document in place and only adds labels and annotations.
     """
-    rest = [c for c in target.columns if c not in KEYS]
-    last = last_by_key(changes, KEYS, order)
-    both = target.select(*KEYS, F.struct(*rest).alias("_t")).join(
-        last.select(*KEYS, "op", F.struct(*rest).alias("_c")), KEYS, "full_outer"
+    keys = store_keys(target, changes)
+    rest = [c for c in target.columns if c not in keys]
+    last = last_by_key(changes, keys, order)
+    both = target.select(*keys, F.struct(*rest).alias("_t")).join(
+        last.select(*keys, "op", F.struct(*rest).alias("_c")), keys, "full_outer"
     )
     updated = F.col("_c")
     if keep_metadata and "doc" in rest:
@@ -217,8 +206,8 @@ def apply_changes(target: DataFrame, changes: DataFrame, order: str = "seq", kee
         updated = F.when(F.col("_t").isNull(), F.col("_c")).otherwise(merged)
     return (
         both.where(~F.col("op").eqNullSafe("delete"))
-        .select(*KEYS, F.when(F.col("op").isNull(), F.col("_t")).otherwise(updated).alias("_w"))
-        .select(*KEYS, "_w.*")
+        .select(*keys, F.when(F.col("op").isNull(), F.col("_t")).otherwise(updated).alias("_w"))
+        .select(*keys, "_w.*")
     )
 
 

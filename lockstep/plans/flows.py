@@ -16,7 +16,7 @@ from lockstep.operators.batches import unpack_reconciliation
 from lockstep.operators.changes import change_ops, debounce
 from lockstep.operators.clients import route_to_connected
 from lockstep.operators.messages import decode_log_messages, envelope
-from lockstep.operators.paths import CLIENT, KEYS, clean_objects, mask_env, object_keys
+from lockstep.operators.paths import CLIENT, KEYS, clean_objects, mask_env, object_keys, store_keys
 from lockstep.operators.reconcile import DELETE, PUT, VERIFY, reconcile, reconciled, with_documents
 from lockstep.operators.store import answer_gets, apply_changes, apply_patches, replay, serve_gets, verify
 from lockstep.sources.tables import usable_changes, with_properties
@@ -145,12 +145,14 @@ def reconcile_request(
     A request lists, by kind, what the other side holds of a client. ``source`` has account
     and cluster beside the object columns. Only the kinds that a request lists objects of
     are compared; objects that only the source has are verified, changed versions are put,
-    and what the source lacks is deleted. Messages keep the request's id, one level deeper.
+    and what the source lacks is deleted. Messages keep the request's id, one level deeper, and its
+    time, ``ts``, so that a repeated run gives the same rows.
     """
     listed, rejected = unpack_reconciliation(requests)
     listed = listed.drop("event", "batch_type", "checksum")
     request = [*CLIENT, "kind", "msg_id"]
-    asked = listed.groupBy(*request).agg(F.max("depth").alias("depth"))
+    asked = listed.groupBy(*request).agg(F.max("depth").alias("depth"), *[F.max("ts").alias("ts")] * ("ts" in listed.columns))
+    listed = listed.drop("ts")
     mine = source.select(*CLIENT, *KEYS, "version", "doc").join(asked.select(*request), [*CLIENT, "kind"])
     keys = [*CLIENT, "msg_id", *KEYS]
     plan = with_documents(reconcile(mine, listed, in_scope, allow_empty=True, keys=keys), mine, keys)
@@ -163,7 +165,7 @@ def reconcile_request(
             "checksum": docs.checksum("doc"),
             "object": F.when(F.col("op") == PUT, F.col("doc")),
             "version": F.coalesce("source_version", "target_version"),
-            "ts": F.current_timestamp(),
+            "ts": F.col("ts") if "ts" in asked.columns else F.lit(None).cast("timestamp"),
         }
     )
     return envelope(lineage(messages), s.own_key), rejected
@@ -180,11 +182,12 @@ def verify_round(source: DataFrame, target: DataFrame, kinds: DataFrame) -> Data
     Every source object is verified; the target asks for those that differ, with
     its own copy as base, and is answered with a put or a patch against that copy.
     """
-    asked = verify(source.select(*KEYS, docs.checksum("doc").alias("checksum")), target)
+    keys = store_keys(target, source)
+    asked = verify(source.select(*keys, docs.checksum("doc").alias("checksum")), target)
     nothing_known = target.where(F.lit(False))
-    answers, _ = serve_gets(asked.select(*KEYS, "base_object"), source, nothing_known, kinds)
+    answers, _ = serve_gets(asked.select(*keys, "base_object"), source, nothing_known, kinds)
     # puts find no patch to try and bring their document along
     tried = apply_patches(answers, target, kinds)
     changes = tried.withColumn("doc", F.coalesce("doc", "object")).where(F.col("doc").isNotNull())
-    changes = changes.select(*KEYS, "version", "doc", F.lit("put").alias("op"), F.lit(0).alias("seq"))
+    changes = changes.select(*keys, "version", "doc", F.lit("put").alias("op"), F.lit(0).alias("seq"))
     return apply_changes(target, changes)

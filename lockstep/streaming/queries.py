@@ -6,19 +6,19 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lockstep.functions import documents as docs
+from lockstep.cluster import cut
 from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, SERVER_CONNECTED
 from lockstep.operators.changes import change_ops
 from lockstep.operators.clients import CLIENT, request_messages
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import reconcile_targets
 from lockstep.operators.messages import merge_message_streams
-from lockstep.operators.ordered import last_by_key
-from lockstep.operators.paths import KEYS
+from lockstep.operators.ordered import last_by_key, micros, sessions
+from lockstep.operators.paths import KEYS, object_keys
 from lockstep.operators.reconcile import reconcile
 from lockstep.streaming.state import KeyedState
 
@@ -68,27 +68,123 @@ def run(df: DataFrame, checkpoint: str, each: Sink, interval: str | None = None)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def stream_debounce(
+@dataclass(frozen=True)
+class OpenBursts:
+    """Bursts that a later change may still extend, and how far the stream has come, in shared storage."""
+
+    path: str
+    keys: Sequence[str]
+    rest: str
+    ts: str = "ts"
+    tiebreak: str = "seq"
+    gap_seconds: int = DEBOUNCE_SECONDS
+
+    @property
+    def _state(self) -> KeyedState:
+        keys = ", ".join(f"{k} string" for k in self.keys)
+        return KeyedState(f"{self.path}/bursts", list(self.keys), f"{keys}, bursts array<{self._burst}>, live boolean")
+
+    @property
+    def _burst(self) -> str:
+        return f"struct<low:bigint,high:bigint,n:bigint,last:struct<{self.rest}>>"
+
+    def _clock(self, batch_id: int) -> str:
+        return f"{self.path}/clock/batch={batch_id}"
+
+    def border(self, spark: SparkSession, batch_id: int) -> int:
+        """Before this microsecond the bursts that were over when ``batch_id`` began have been given out."""
+        if batch_id == 0:
+            return EARLIEST
+        return spark.read.schema("border bigint").parquet(self._clock(batch_id - 1)).first()["border"]
+
+    def advance(self, spark: SparkSession, new: DataFrame | None, batch_id: int, border: int) -> DataFrame:
+        """Take in the bursts ``new`` (keys, low, high, n, last) and give out those that are over at ``border``.
+
+        A key's bursts that are still open lie within the time that changes may be late, so there are few of them.
+        """
+        state = self._state
+        held = state.before(spark, batch_id).select(*self.keys, F.explode("bursts").alias("_b")).select(*self.keys, "_b.*")
+        every = held if new is None else held.unionByName(new)
+        gap = self.gap_seconds * 1_000_000
+        by_key = Window.partitionBy(*self.keys).orderBy("low")
+        reach = F.max("high").over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.coalesce((F.col("low") - reach > gap).cast("int"), F.lit(1))
+        merged = every.withColumn("_starts", starts).withColumn(
+            "_no", F.sum("_starts").over(by_key.rowsBetween(Window.unboundedPreceding, 0))
+        )
+        last = F.max_by("last", F.struct(F.col(f"last.{self.ts}"), F.col(f"last.{self.tiebreak}")))
+        merged = merged.groupBy(*self.keys, "_no").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), last.alias("last")
+        )
+        merged = cut(merged.withColumn("_over", F.col("high") + gap < border))
+        left = merged.where(~F.col("_over")).groupBy(*self.keys).agg(F.collect_list(F.struct("low", "high", "n", "last")).alias("bursts"))
+        gone = held.select(*self.keys).distinct().join(left.select(*self.keys), list(self.keys), "left_anti")
+        none = F.lit(None).cast(f"array<{self._burst}>")
+        rows = left.withColumn("live", F.lit(True)).unionByName(gone.select(*self.keys, none.alias("bursts"), F.lit(False).alias("live")))
+        state.write(spark, rows, batch_id)
+        spark.createDataFrame([(border,)], "border bigint").coalesce(1).write.mode("overwrite").parquet(self._clock(batch_id))
+        return merged.where("_over").select(*self.keys, "last.*", F.col("n").alias("n_events"))
+
+
+def open_bursts(
     changes: DataFrame,
-    keys: Sequence[str] = KEYS,
+    path: str,
+    keys: Sequence[str] | None = None,
     ts: str = "ts",
     tiebreak: str = "seq",
     gap_seconds: int = DEBOUNCE_SECONDS,
-    delay: str = "10 minutes",
-) -> DataFrame:
+) -> OpenBursts:
+    """The open bursts of a stream of rows like ``changes``, kept at ``path``. Keys are texts."""
+    keys = list(keys or object_keys(changes))
+    rest = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in changes.schema.fields if f.name not in keys)
+    return OpenBursts(path, keys, rest, ts, tiebreak, gap_seconds)
+
+
+def stream_debounce(
+    changes: DataFrame,
+    bursts: OpenBursts,
+    checkpoint: str,
+    sink: Sink,
+    late: Sink,
+    delay_seconds: int = 600,
+    interval: str | None = None,
+) -> StreamingQuery:
     """The last change of every burst, given out once the burst is over.
 
-    ``delay`` bounds how late a change may arrive; later ones are dropped. Bursts
-    are merged inside each task before the shuffle, so a busy key shrinks first.
+    A burst is over when changes ``delay_seconds`` older than the newest one can't extend it. Changes that are
+    older still, and so might belong to a burst already given out, go to ``late`` as they are.
+    What is open when the stream ends stays in ``bursts`` for the next run, or :func:`close_bursts` gives it
+    out. Each batch is reduced to its own bursts first, so a busy key shrinks before it meets the open ones.
     """
-    changes.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    rest = [c for c in changes.columns if c not in keys]
-    timed = changes.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
-    return (
-        timed.groupBy(F.session_window("_at", f"{gap_seconds} seconds"), *keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(ts, tiebreak)).alias("_last"), F.count(F.lit(1)).alias("n_events"))
-        .select(*keys, "_last.*", "n_events")
-    )
+    keys, gap = bursts.keys, bursts.gap_seconds
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        at = micros(F.col(bursts.ts))
+        border = bursts.border(spark, batch_id)
+        newest = batch.agg(F.max(at).alias("at")).first()["at"]
+        late(batch.where(at < border), batch_id)
+        found = sessions(batch.where(at >= border), keys, bursts.ts, bursts.tiebreak, gap)
+        new = found.select(
+            *keys, micros(F.col("session_start")).alias("low"), micros(F.col("session_end")).alias("high"),
+            F.col("n_events").alias("n"), F.col("last_event").alias("last"),
+        )
+        after = border if newest is None else max(border, newest - delay_seconds * 1_000_000)
+        sink(bursts.advance(spark, new, batch_id, after), batch_id)
+        batch.unpersist()
+
+    return run(changes, checkpoint, each, interval)
+
+
+def close_bursts(spark: SparkSession, bursts: OpenBursts, batch_id: int, sink: Sink, now: int | None = None) -> None:
+    """Give out the bursts that are over at microsecond ``now``, all of them without it, as batch ``batch_id``, the one after the last.
+
+    For the end of a stream, or for a timer where changes stay away. A stream goes on after it from a new checkpoint only.
+    """
+    border = bursts.border(spark, batch_id)
+    later = (1 << 62) if now is None else max(border, now)
+    sink(bursts.advance(spark, None, batch_id, later), batch_id)
 
 
 def stream_change_ops(
@@ -102,9 +198,11 @@ def stream_change_ops(
     """``change_ops`` on a stream; the last sent state of each object is kept between batches.
 
     Input has kind, ns, name, op, doc, ts, seq. Only objects a batch touches are
-    taken from the state.
+    taken from the state. With account and cluster each client's objects are known for themselves.
     """
-    state = KeyedState(state_path, KEYS, KNOWN_SCHEMA)
+    keys = object_keys(changes)
+    owner = "".join(f"{k} string, " for k in keys if k not in KEYS)
+    state = KeyedState(state_path, keys, owner + KNOWN_SCHEMA)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -112,18 +210,18 @@ def stream_change_ops(
         held = state.before(spark, batch_id, batch)
         # known states enter as changes that came before everything in the batch
         seeds = held.select(
-            *KEYS,
+            *keys,
             F.lit("Modified").alias("op"),
             "doc",
             F.timestamp_micros(F.lit(EARLIEST)).cast(batch.schema["ts"].dataType).alias("ts"),
             F.lit(-(1 << 63)).cast("bigint").alias("seq"),
             F.lit(True).alias("_seed"),
         )
-        sent = change_ops(batch.unionByName(seeds, allowMissingColumns=True), kinds)
+        sent = change_ops(batch.unionByName(seeds, allowMissingColumns=True), kinds, keys)
         sink(sent.where(F.col("_seed").isNull()).drop("_seed"), batch_id)
-        told = batch.where(F.col("op").isin("Modified", "Deleted")).select(*KEYS, "op", "doc", "ts", "seq")
-        touched = last_by_key(told, KEYS, "ts", "seq").select(
-            *KEYS, F.when(F.col("op") == "Modified", F.col("doc")).alias("doc"), (F.col("op") == "Modified").alias("live")
+        told = batch.where(F.col("op").isin("Modified", "Deleted")).select(*keys, "op", "doc", "ts", "seq")
+        touched = last_by_key(told, keys, "ts", "seq").select(
+            *keys, F.when(F.col("op") == "Modified", F.col("doc")).alias("doc"), (F.col("op") == "Modified").alias("live")
         )
         state.write(spark, touched, batch_id)
         batch.unpersist()
@@ -146,8 +244,8 @@ def _connection_step(s: str, e: str) -> str:
     is_connect = f"{e}.op = 'connect'"
     after = f"CASE WHEN {refused} THEN {s} WHEN {is_connect} THEN {joined} ELSE {gone} END"
     said = (
-        f"CASE WHEN {refused} THEN NULL WHEN {is_connect} THEN '{SERVER_CONNECTED}' "
-        f"WHEN coalesce({s}.live, false) THEN 'Disconnected' END"
+        f"CASE WHEN {refused} THEN NULL WHEN {is_connect} THEN named_struct('said', '{SERVER_CONNECTED}', 'of', {e}) "
+        f"WHEN coalesce({s}.live, false) THEN named_struct('said', 'Disconnected', 'of', {e}) END"
     )
     return f"named_struct('state', {after}, 'emit', {said})"
 
@@ -158,7 +256,8 @@ def stream_connections(
     """The table of live clients, folded connection event by connection event.
 
     The sink gets a row per accepted connect (with its one-client report) and per
-    disconnect of a live client. Read the table with ``connection_state(path)``.
+    disconnect of a live client; events that share a ``seq`` are each told once. Read the
+    table with ``connection_state(path)``.
     """
     state = connection_state(state_path)
     fields = ["connection_id", "connection_time", "sync_version"]
@@ -177,20 +276,16 @@ def stream_connections(
             ).alias("event"),
         )
         clients = batch.select(*CLIENT).distinct()
-        held = clients.join(state.before(spark, batch_id), CLIENT, "left").select(
+        held = clients.join(state.before(spark, batch_id, clients), CLIENT, "left").select(
             *CLIENT, F.struct(*fields, "live").alias("state")
         )
         after, said = fold_runs(held, incoming, CLIENT, _connection_step)
-        rows = (
-            said.withColumnRenamed("emit", "said")
-            .join(incoming, [*CLIENT, "seq"])
-            .select(
-                *CLIENT,
-                "seq",
-                F.col("said").alias("event"),
-                *[F.col(f"event.{f}").alias(f) for f in fields],
-                F.when(F.col("said") == SERVER_CONNECTED, CONNECTED_CLIENTS).alias("report"),
-            )
+        rows = said.select(
+            *CLIENT,
+            "seq",
+            F.col("emit.said").alias("event"),
+            *[F.col(f"emit.of.{f}").alias(f) for f in fields],
+            F.when(F.col("emit.said") == SERVER_CONNECTED, CONNECTED_CLIENTS).alias("report"),
         )
         sink(rows, batch_id)
         state.write(spark, after.select(*CLIENT, "state.*"), batch_id)

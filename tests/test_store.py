@@ -124,22 +124,6 @@ def test_save_if_newer(spark):
     assert always["older"] == doc(1) and always["text"] == doc(9)
 
 
-def test_fold_puts_equals_steps(spark):
-    rng = random.Random(2)
-    data, want = [], {}
-    for key in range(60):
-        kept = None
-        for seq in range(rng.randint(1, 6)):
-            version = rng.choice(["1", "2", "3", "10", "x", "-1", ""])
-            data.append((KIND, "ns", str(key), version, seq))
-            digits = lambda v: v.lstrip("-").isdigit()
-            if kept is None or (digits(version) and digits(kept[0]) and int(version) > int(kept[0])):
-                kept = (version, seq)
-        want[str(key)] = kept
-    df = spark.createDataFrame(data, "kind string, ns string, name string, version string, seq bigint").repartition(4)
-    assert {n: (v, s) for n, v, s in rows(st.fold_puts(df), "name", "version", "seq")} == want
-
-
 def test_resolve_conflicts(spark):
     a = store(spark, {"tie": doc(1, side="a"), "a": doc(2), "only": doc(1), "text": doc("x")})
     b = store(spark, {"tie": doc(1, side="b"), "a": doc(1), "text": doc("y")})
@@ -310,3 +294,34 @@ def test_fold_batches(spark):
     assert rows(done.requests, "name", "base_object") == [("del", None), ("new", None), ("x", doc(1, a=1))]
     assert rows(done.answers, "name", "event") == [("x", "PutObject")]
     assert done.errors.count() == 0
+
+
+CLIENTS = "account string, cluster string, " + STORE
+
+
+def test_clients_that_share_names_are_kept_apart(spark):
+    held = spark.createDataFrame([("a", c, KIND, "ns", "x", v, doc(v, of=c)) for c, v in (("c1", "5"), ("c2", "7"))], CLIENTS)
+    put = spark.createDataFrame([("a", "c1", KIND, "ns", "x", "9", doc(9, of="c1", n=1))], CLIENTS)
+    want = [("c1", "9"), ("c2", "7")]
+    assert rows(st.save_if_newer(held, put), "cluster", "version") == want
+    changes = put.withColumns({"op": F.lit("put"), "seq": F.lit(1)})
+    assert rows(st.apply_changes(held, changes), "cluster", "version") == want
+    gone = changes.withColumn("op", F.lit("delete"))
+    assert rows(st.apply_changes(held, gone), "cluster", "version") == [("c2", "7")]
+    asked = held.select("account", "cluster", "kind", "ns", "name", F.lit("off").alias("checksum"))
+    assert rows(st.verify(asked, held), "cluster", "base_object") == [("c1", doc("5", of="c1")), ("c2", doc("7", of="c2"))]
+    assert rows(st.advance_known(held, put), "cluster", "doc") == [("c1", doc(9, of="c1", n=1)), ("c2", doc("7", of="c2"))]
+    assert rows(st.resolve_conflicts(put, held), "cluster", "version", "origin") == [("c1", "9", "cluster"), ("c2", "7", "backend")]
+    answers, errors = st.serve_gets(asked.drop("checksum"), held, held, kinds(spark))
+    assert rows(answers, "cluster", "patch") == [("c1", "{}"), ("c2", "{}")] and errors.count() == 0
+    sent = st.put_or_patch(put, held, kinds(spark))
+    assert rows(sent, "cluster", "event") == [("c1", "PatchObject")]
+    after = st.apply_patches(sent, held, kinds(spark))
+    assert rows(after, "cluster", "outcome", "doc") == [("c1", "stored", doc(9, of="c1", n=1))]
+
+
+def test_rows_without_client_cannot_meet_a_store_of_clients(spark):
+    held = spark.createDataFrame([("a", "c1", KIND, "ns", "x", "5", doc(5))], CLIENTS)
+    for call in (st.verify, st.save_if_newer, st.apply_changes, st.advance_known):
+        with pytest.raises(ValueError, match="account, cluster missing"):
+            call(store(spark, {"x": doc(6)}), held) if call is st.verify else call(held, store(spark, {"x": doc(6)}))

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lockstep.operators.changes import change_ops, debounce
+from lockstep.operators.store import apply_changes
+from lockstep.sources.merge_store import MergeStore
 from lockstep.streaming import queries as st
 from lockstep.streaming.state import KeyedState
 from tests.helpers import rows
@@ -37,18 +39,47 @@ def changes(spark, n=300):
     return spark.createDataFrame(data, CHANGES)
 
 
+def debounced(spark, tmp_path, stream, delay):
+    """(given out, late) of a stream of changes, its open bursts closed at the end."""
+    bursts = st.open_bursts(stream, f"{tmp_path}/open")
+    args = (to_folder(f"{tmp_path}/out"), to_folder(f"{tmp_path}/late"))
+    run = st.stream_debounce(stream, bursts, f"{tmp_path}/cp", *args, delay_seconds=delay)
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    for _ in range(2):  # a repeated batch replaces itself
+        st.close_bursts(spark, bursts, last + 1, args[0])
+    return spark.read.parquet(f"{tmp_path}/out"), spark.read.parquet(f"{tmp_path}/late")
+
+
 def test_stream_debounce_equals_batch(spark, tmp_path):
     df = changes(spark)
-    stream = st.stream_debounce(feed(spark, df, f"{tmp_path}/in", 3), delay="0 seconds")
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(
-        f"{tmp_path}/out"
-    ).awaitTermination()
-    got = rows(spark.read.parquet(f"{tmp_path}/out"), "name", "seq", "n_events")
-    want = rows(debounce(df), "name", "seq", "n_events")
-    still_open = set(want) - set(got)
-    assert set(got) <= set(want) and len(set(got)) == len(got)
-    # only bursts that the last change may still extend are held back
-    assert {name for name, _, _ in still_open} <= {"hot", "a", "b", "c"} and len(still_open) <= 4
+    out, late = debounced(spark, tmp_path, feed(spark, df, f"{tmp_path}/in", 3), 0)
+    assert late.count() == 0
+    assert rows(out, "name", "seq", "op", "n_events") == rows(debounce(df), "name", "seq", "op", "n_events")
+
+
+@pytest.mark.parametrize("delay", [0, 40, 10_000])
+def test_stream_debounce_keeps_late_changes(spark, tmp_path, delay):
+    df = changes(spark, 200)
+    # a third of the rows come a while after their time
+    shuffled = df.withColumn("seq", F.col("seq") + F.when(F.col("seq") % 3 == 0, F.col("seq") % 17).otherwise(0) * 1000 + F.col("seq"))
+    stream = feed(spark, shuffled, f"{tmp_path}/in", 6)
+    out, late = debounced(spark, tmp_path, stream, delay)
+    in_time = shuffled.join(late.select("seq"), "seq", "left_anti")
+    assert rows(out, "name", "seq", "op", "n_events") == rows(debounce(in_time), "name", "seq", "op", "n_events")
+    assert out.agg(F.sum("n_events")).first()[0] + late.count() == df.count()
+    assert (late.count() == 0) == (delay == 10_000)
+
+
+def test_bursts_of_clients_are_kept_apart(spark, tmp_path):
+    df = changes(spark, 60).withColumns({"account": F.lit("a"), "cluster": F.when(F.col("seq") % 2 == 0, "c1").otherwise("c2")})
+    out, _ = debounced(spark, tmp_path, feed(spark, df, f"{tmp_path}/in", 2), 0)
+    assert rows(out, "cluster", "name", "seq") == rows(debounce(df), "cluster", "name", "seq")
+    assert set(rows(out, "cluster", "name", "seq")) != set(rows(debounce(df, ["kind", "ns", "name"]), "cluster", "name", "seq"))
+    stream = feed(spark, df, f"{tmp_path}/in2", 3)
+    st.stream_change_ops(stream, f"{tmp_path}/known", f"{tmp_path}/cp2", to_folder(f"{tmp_path}/sent")).awaitTermination()
+    columns = ["seq", "event", "patch", "object"]
+    assert rows(spark.read.parquet(f"{tmp_path}/sent"), *columns) == rows(change_ops(df), *columns)
 
 
 def test_stream_change_ops_equals_batch(spark, tmp_path):
@@ -103,6 +134,71 @@ def test_keyed_state_compacts_and_repeats(spark, tmp_path):
         assert got == {k: v for k, (v, live) in want.items() if live}
 
 
+def test_keyed_state_reads_and_writes_what_is_touched(spark, tmp_path):
+    state = KeyedState(f"{tmp_path}/s", ["k"], "k bigint, v int, live boolean", compact_every=2, buckets=8, keep_versions=4)
+    rows_of = lambda ids, v: spark.createDataFrame([(i, v, True) for i in ids], state.schema)
+    state.write(spark, rows_of(range(1000), 0), 0)
+    for version in range(1, 12):
+        state.write(spark, rows_of([7], version), version)
+    folders = sorted(p.name for p in (tmp_path / "s/segments/version=11").iterdir() if p.is_dir())
+    assert len(folders) == 1  # the bucket of the one key that was touched
+    touched = state.before(spark, 12, rows_of([7], 0))
+    assert rows(touched, "k", "v") == [(7, 11)]
+    assert all(folders[0] in f for f in touched.inputFiles())
+    assert rows(state.after(spark, 11).groupBy("v").count(), "v", "count") == [(0, 999), (11, 1)]
+    kept = {p.name for p in (tmp_path / "s/versions").iterdir()}
+    assert "version=0" not in kept and "version=7" in kept
+    assert rows(state.after(spark, 7).where("k = 7"), "v") == [(7,)]
+
+
+def test_keyed_state_of_removed_keys(spark, tmp_path):
+    state = KeyedState(f"{tmp_path}/s", ["k"], "k string, v int, live boolean", compact_every=1, buckets=2)
+    for version, live in enumerate([True, False, False]):
+        state.write(spark, spark.createDataFrame([("a", 1, live)], state.schema), version)
+        assert state.after(spark, version).count() == int(live)
+    state.write(spark, spark.createDataFrame([("a", 5, True)], state.schema), 3)
+    assert rows(state.after(spark, 3), "v") == [(5,)]
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_merge_store_equals_full_rewrite(spark, tmp_path):
+    rng = random.Random(2)
+    keys = ["account", "cluster", "kind", "ns", "name"]
+    def objects(names, version):
+        return spark.createDataFrame(
+            [("a", c, "k", "n", str(i), str(version), f'{{"metadata":{{"resourceVersion":"{version}"}},"x":"{rng.random()}"}}')
+             for c in ("c1", "c2") for i in names], ", ".join(f"{k} string" for k in [*keys, "version", "doc"]))
+
+    store = MergeStore(str(tmp_path / "store"), keys, compact_every=3, buckets=16)
+    plain = objects(range(2000), 0).cache()
+    store.create(plain)
+    first = size_of(tmp_path / "store/segments/version=0")
+    for batch in range(1, 7):
+        changed = objects(rng.sample(range(2100), 3), batch)
+        changes = changed.withColumns({"op": F.when(F.rand(batch) < 0.3, "delete").otherwise("put"), "seq": F.lit(1)}).cache()
+        changes = changes.unionByName(changes.withColumns({"seq": F.lit(0), "op": F.lit("delete")}))
+        store.apply(changes, batch, keep_metadata=batch % 2 == 0)
+        store.apply(changes, batch, keep_metadata=batch % 2 == 0)
+        plain = apply_changes(plain, changes, keep_metadata=batch % 2 == 0).cache()
+        names = ["cluster", "name", "version", "doc"]
+        assert rows(store.read(spark, batch), *names) == rows(plain, *names)
+        if batch <= 3:
+            assert size_of(tmp_path / f"store/segments/version={batch}") < first / 4
+
+
+def test_connects_that_share_a_number_are_told_once(spark, tmp_path):
+    events = connection_events(random.Random(6), 6, True)
+    df = spark.createDataFrame(events, EVENTS).where("op = 'connect'").limit(1)
+    twice = df.unionByName(df.withColumn("connection_id", F.lit("other")))
+    twice.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(twice.schema).parquet(f"{tmp_path}/in")
+    st.stream_connections(stream, f"{tmp_path}/state", f"{tmp_path}/cp", to_folder(f"{tmp_path}/out")).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
 def test_periodic_reconcile(spark, tmp_path):
     clients = spark.createDataFrame(
         [("a", "due", datetime(2024, 1, 1, tzinfo=UTC), "v1.0.0"), ("a", "young", datetime(2024, 1, 2, tzinfo=UTC), "v1.0.0")],
