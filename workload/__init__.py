@@ -4,4 +4,4 @@ from workload.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
 
-from workload import aggregates, documents, filters, flows, joins, ordered, projections, streams, tables  # noqa: E402,F401
+from workload import aggregates, by_client, documents, filters, flows, joins, ordered, projections, streams, tables  # noqa: E402,F401

@@ -19,21 +19,24 @@ from workload.filters import DUE_SQL
 from workload.tables import scratch
 
 
-def replayed(spark, df, slices: int, start):
-    """Feed the rows as ``slices`` appends in time order, and run the stream after each of them.
+def replayed(spark, df, slices: int, start, at="ts"):
+    """Feed the rows as ``slices`` appends in the order of ``at``, and run the stream after each of them.
 
     ``start`` gets the stream and returns a running query; the last one is returned.
     """
     path = scratch(spark, "stream")
-    cuts = df.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    columns = df.columns
+    df = df.withColumn("_at", at if not isinstance(at, str) else F.col(at))
+    cuts = df.agg(F.min("_at").alias("low"), F.max("_at").alias("high")).first()
     step = (cuts["high"] - cuts["low"]) / slices
     run = None
     for i in range(slices):
-        rows = df.where(F.col("ts") >= F.lit(cuts["low"] + i * step))
+        rows = df.where(F.col("_at") >= F.lit(cuts["low"] + i * step))
         if i < slices - 1:
-            rows = rows.where(F.col("ts") < F.lit(cuts["low"] + (i + 1) * step))
+            rows = rows.where(F.col("_at") < F.lit(cuts["low"] + (i + 1) * step))
+        rows = rows.select(*columns)
         rows.write.mode("append").parquet(path)
-        run = start(spark.readStream.schema(df.schema).parquet(path))
+        run = start(spark.readStream.schema(rows.schema).parquet(path))
         run.awaitTermination()
     return run
 
@@ -54,21 +57,25 @@ def as_utc(df):
 @query(
     "stream_debounce",
     DEBOUNCE_SQL
-    + f"""
-    SELECT name, max_by(op, seq) AS op, max(seq) AS seq, count(*) AS n_events FROM numbered GROUP BY name, no
-    HAVING epoch_us(max(ts)) + {GAP * 1_000_000} <= (SELECT epoch_us(max(ts)) // 1000 * 1000 FROM changes)
-    """,
+    + "SELECT name, max_by(op, seq) AS op, max(seq) AS seq, count(*) AS n_events, 'burst' AS flow FROM numbered GROUP BY name, no",
 )
 def stream_debounce(spark, sf_dir):
-    out, checkpoint = scratch(spark, "debounced"), scratch(spark, "cp")
-
-    def start(changes):
-        bursts = st.stream_debounce(changes, gap_seconds=GAP, delay="0 seconds")
-        writer = bursts.select("name", "op", "seq", "n_events").writeStream.format("parquet")
-        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
-
-    replayed(spark, as_utc(derived(spark, sf_dir, "changes")), 3, start)
-    return spark.read.parquet(out)
+    """Every burst, the last ones too; a third of the users send their changes a slice late. What is too late would come as a row of its own."""
+    out, late, open_at, checkpoint = (scratch(spark, name) for name in ("debounced", "late", "open", "cp"))
+    changes = as_utc(derived(spark, sf_dir, "changes"))
+    slices = 3
+    span = changes.agg(((F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / 1_000_000).alias("s")).first()["s"]
+    bursts = st.open_bursts(changes, open_at, gap_seconds=GAP)
+    behind = F.when(F.pmod(F.xxhash64("name"), F.lit(3)) == 0, F.col("ts") + F.make_dt_interval(secs=F.lit(span / slices)))
+    delay = int(span / slices) * 2 + 1
+
+    def start(stream):
+        return st.stream_debounce(stream, bursts, checkpoint, appending(out), appending(late), delay)
+
+    run = replayed(spark, changes, slices, start, F.coalesce(behind, "ts"))
+    st.close_bursts(spark, bursts, run.lastProgress["batchId"] + 1, appending(out))
+    lost = spark.read.schema(changes.schema).parquet(late).select("name", "op", "seq", F.lit(1).alias("n_events"), F.lit("late").alias("flow"))
+    return spark.read.parquet(out).select("name", "op", "seq", "n_events", F.lit("burst").alias("flow")).unionByName(lost)
 
 
 @query("stream_change_ops", CHANGE_OPS_SQL)

@@ -8,8 +8,9 @@ from lockstep.cluster import checkpoint_dir
 from lockstep.operators import messages as msg
 from lockstep.operators.changes import bootstrap
 from lockstep.operators.store import apply_changes
+from lockstep.sources.merge_store import MergeStore
 from lockstep.sources import tables as io
-from workload.base import derived, query, table, with_inputs
+from workload.base import ORACLES, derived, query, table, with_inputs
 
 
 def scratch(spark, name: str) -> str:
@@ -138,13 +139,30 @@ def message_envelope(spark, sf_dir):
     """,
 )
 def apply_changes_query(spark, sf_dir):
+    after = apply_changes(derived(spark, sf_dir, "target"), source_changes(spark, sf_dir))
+    return after.select("kind", "ns", "name", "version", F.sha2("doc", 256).alias("digest"))
+
+
+def source_changes(spark, sf_dir):
     source = derived(spark, sf_dir, "source")
     op = F.when(F.col("ns") == "P", "delete").otherwise("put")
     # every change arrives after an older one to the same key, which must not count
     older = source.withColumns({"op": F.lit("put"), "seq": F.lit(0), "version": F.lit(-1).cast("bigint")})
-    changes = source.withColumns({"op": op, "seq": F.lit(1)}).unionByName(older)
-    after = apply_changes(derived(spark, sf_dir, "target"), changes)
-    return after.select("kind", "ns", "name", "version", F.sha2("doc", 256).alias("digest"))
+    return source.withColumns({"op": op, "seq": F.lit(1)}).unionByName(older)
+
+
+@query("merge_store", ORACLES["apply_changes"])
+def merge_store(spark, sf_dir):
+    """The same changes in batches by kind, the older ones first, into a store that is never rewritten as a whole."""
+    changes = source_changes(spark, sf_dir)
+    store = MergeStore(scratch(spark, "store"), compact_every=2, buckets=8)
+    store.create(derived(spark, sf_dir, "target"))
+    urgent = F.col("kind").isin("shop/v1/urgent", "shop/v1/high")
+    batches = [F.col("seq") == 0, (F.col("seq") == 1) & urgent, (F.col("seq") == 1) & ~urgent]
+    for number, wanted in enumerate(batches, start=1):
+        store.apply(changes.where(wanted), number)
+    after = store.read(spark, len(batches))
+    return after.select("kind", "ns", "name", F.col("version").cast("bigint").alias("version"), F.sha2("doc", 256).alias("digest"))
 
 
 @query("ingest_scan", "SELECT lang AS method, source AS path, sha256(text) AS digest FROM documents")
