@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from lockstep.cluster import checked_broadcast
 from lockstep.functions import documents as docs
+from lockstep.functions import trees
 from lockstep.functions.identity import to_version
 from lockstep.model import DEBOUNCE_SECONDS, DELETE_OBJECT, PATCH, VERIFY_OBJECT
 from lockstep.operators.ordered import HOUR, sessions, state_before
-from lockstep.operators.paths import KEYS, object_keys
+from lockstep.operators.paths import object_keys
 from lockstep.operators.store import encode_changes
 
 
@@ -86,22 +87,25 @@ def resume_points(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("kind").agg(F.max(to_version(F.col("version"))).alias("resume_version"))
 
 
-def bootstrap(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+def bootstrap(snapshot: DataFrame, changes: DataFrame, annotation: str | None = None) -> DataFrame:
     """Existing objects as verifications, followed by the changes newer than the listing.
 
     For kinds whose stream does not replay. A kind without any listed object
-    streams from the start.
+    streams from the start. An object that carries its checksum under the metadata annotation of
+    that name is verified by it, as it is; all others by the checksum of their document. Versions
+    that are no whole numbers can't be told older, so their changes all stay.
     """
-    listed = snapshot.select(
-        *KEYS,
-        "version",
-        F.lit(VERIFY_OBJECT).alias("op"),
-        docs.checksum("doc").alias("checksum"),
-    )
+    checksum = docs.checksum("doc")
+    if annotation is not None:
+        carried = F.get_json_object("doc", f"$.metadata.annotations['{annotation}']")
+        checksum = F.coalesce(carried, checksum)
+    listed = snapshot.select(*object_keys(snapshot), "version", F.lit(VERIFY_OBJECT).alias("op"), checksum.alias("checksum"))
     after = F.coalesce(F.col("resume_version"), F.lit(-1))
+    version = F.col("version").cast("string")
+    told_older = F.coalesce(version.rlike(trees.INTEGER), F.lit(False)) & (to_version(version) <= after)
     later = (
         changes.join(checked_broadcast(resume_points(snapshot)), "kind", "left")
-        .where(to_version(F.col("version")) > after)
+        .where(~told_older)
         .drop("resume_version")
     )
     return listed.unionByName(later, allowMissingColumns=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lockstep.model import RECONCILIATION_REQUEST, RECONCILIATION_REQUEST_BATCH
 from lockstep.operators.chunks import chunked
-from lockstep.operators.ordered import HOUR, state_before
+from lockstep.operators.ordered import HOUR, micros, state_before
 
 CLIENT = ["account", "cluster"]
 CONNECTION = [*CLIENT, "connection_id", "connection_time"]
@@ -30,20 +30,28 @@ REPORT_FIELDS = [
 ]
 
 
-def live_connections(events: DataFrame) -> DataFrame:
-    """Per client its newest connection, unless that one has disconnected.
+def live_connections(events: DataFrame, slice_seconds: int = HOUR) -> DataFrame:
+    """Per client the connection that is live after all events, arriving in the order of ts and seq.
 
-    A later arrival with the same connection time replaces, an older one is refused.
+    An event with an older connection time than the live connection is refused; a later
+    arrival with the same connection time replaces it or ends it. Connects may arrive in
+    any order of their connection times.
+
+    An event that a later one reaches or exceeds in connection time leaves no trace. Of those that are left
+    times fall in the order of arrival, and the first connect among them is accepted, whatever was
+    live, and meets only older events afterwards. So this is a running maximum from the end, taken in
+    slices of time, and an aggregate: a busy client fills many tasks.
     """
-    rest = [c for c in events.columns if c not in CLIENT]
-    newest = (
-        events.where(F.col("op") == "connect")
-        .groupBy(*CLIENT)
-        .agg(F.max_by(F.struct(*rest), F.struct("connection_time", "ts", "seq")).alias("_c"))
-        .select(*CLIENT, "_c.*")
+    columns = events.columns
+    rest = [c for c in columns if c not in CLIENT]
+    at = F.coalesce(F.col("connection_time").cast("timestamp"), F.timestamp_micros(F.lit(0)))
+    turned = events.withColumns(
+        {"_when": at, "_back": F.timestamp_micros(-micros(F.col("ts"))), "_next": -F.col("seq")}
     )
-    gone = events.where(F.col("op") == "disconnect").select(*CONNECTION).distinct()
-    return newest.join(gone, CONNECTION, "left_anti")
+    later = state_before(turned, CLIENT, "_back", "_next", "_later", F.col("_when"), how="max", slice_seconds=slice_seconds)
+    left = later.where((F.col("op") == "connect") & (F.col("_later").isNull() | (F.col("_when") > F.col("_later"))))
+    newest = left.groupBy(*CLIENT).agg(F.max_by(F.struct(*rest), "_when").alias("_c"))
+    return newest.select(*CLIENT, "_c.*").select(*columns)
 
 
 def connected_count(events: DataFrame) -> DataFrame:

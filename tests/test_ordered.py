@@ -155,6 +155,31 @@ def test_equal_connection_time_replaces_and_older_is_refused(spark):
     def e(conn, when, op, seq):
         return ("a", "c", conn, at(when), op, at(seq), seq, "")
 
-    df = spark.createDataFrame([e("one", 5, "connect", 1), e("two", 5, "connect", 2), e("old", 1, "connect", 3),
-                                e("one", 5, "disconnect", 4)], EVENTS)
-    assert rows(cl.live_connections(df), "connection_id") == [("two",)]
+    events = [e("one", 5, "connect", 1), e("two", 5, "connect", 2), e("old", 1, "connect", 3), e("old", 1, "disconnect", 4)]
+    # only an older disconnect is refused: one of the same time ends the connection, whichever it names
+    for events, left in ((events, [("two",)]), ([*events, e("one", 5, "disconnect", 5)], [])):
+        assert [(c,) for c, _ in walk(events)[0].values()] == left
+        assert rows(cl.live_connections(spark.createDataFrame(events, EVENTS)), "connection_id") == left
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_live_connections_in_any_order(spark, seed):
+    events = connection_events(random.Random(seed), 150, in_order=False)
+    df = spark.createDataFrame(events, EVENTS).repartition(5)
+    live, _ = walk(events)
+    for seconds in (60, 600, 100_000):
+        got = cl.live_connections(df, slice_seconds=seconds)
+        assert got.columns == df.columns
+        assert dict(rows(got, "cluster", "connection_id")) == {k: v[0] for k, v in live.items()}
+
+
+def test_bootstrap_by_carried_checksums(spark):
+    schema = "kind string, ns string, name string, version string, doc string"
+    carried = '{"metadata":{"annotations":{"x/y.z":"mine"}}}'
+    listed = spark.createDataFrame([("k", "", "a", "9", carried), ("k", "", "b", "w1", "{}")], schema)
+    changes = spark.createDataFrame([("k", "", "a", "w2", "Modified"), ("k", "", "a", "8", "Modified")],
+                                    "kind string, ns string, name string, version string, op string")
+    got = bootstrap(listed, changes, "x/y.z")
+    assert [r for r in rows(got, "name", "version", "op", "checksum") if r[2] == "VerifyObject"][0][3] == "mine"
+    assert rows(got.where("op = 'Modified'"), "version") == [("w2",)]
+    assert rows(bootstrap(listed, changes).where("name = 'a' and op = 'VerifyObject'"), "checksum") != [("mine",)]
