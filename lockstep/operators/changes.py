@@ -12,7 +12,7 @@ from lockstep.functions import documents as docs
 from lockstep.functions import trees
 from lockstep.functions.identity import to_version
 from lockstep.model import DEBOUNCE_SECONDS, DELETE_OBJECT, PATCH, VERIFY_OBJECT
-from lockstep.operators.ordered import HOUR, sessions, state_before
+from lockstep.operators.ordered import sessions, state_before
 from lockstep.operators.paths import object_keys
 from lockstep.operators.store import encode_changes
 
@@ -39,7 +39,7 @@ def change_ops(
     keys: Sequence[str] | None = None,
     ts: str = "ts",
     tiebreak: str = "seq",
-    slice_seconds: int = HOUR,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Messages for a watch stream with the columns ``op`` and ``doc``.
 
@@ -54,7 +54,7 @@ def change_ops(
     state = F.when(op == "Modified", F.struct(F.col("doc").alias("doc"))).when(
         op == "Deleted", F.struct(F.lit(None).cast("string").alias("doc"))
     )
-    rows = state_before(changes, keys, ts, tiebreak, "_known", state, slice_seconds=slice_seconds)
+    rows = state_before(changes, keys, ts, tiebreak, "_known", state, ranges=ranges)
     if kinds is None:
         rows = rows.withColumn("_strategy", F.lit(PATCH))
     else:

@@ -1,8 +1,8 @@
 """Order-dependent building blocks that do not need one task per key.
 
 A key may hold a large share of all rows, so nothing here sorts a whole key in
-one task. Rows are cut into time slices; the window runs inside a slice, and
-only one summary row per key and slice is carried across.
+one task. Rows are cut into ranges of equal size, or into time slices; the window runs
+inside them, and only summary rows are carried across.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOUR = 3600
+from lockstep.cluster import cut
 
 
 def micros(ts: Column) -> Column:
@@ -26,6 +26,17 @@ def last_by_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_last")).select(*keys, "_last.*")
 
 
+def in_ranges(df: DataFrame, keys: Sequence[str], *order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``_part``: the number of the row's range of (keys, order), ranges being of equal size.
+
+    The rows are written, so that whoever reads them sees the same bounds. Rows that are equal in keys
+    and order share a range; a busy key fills many.
+    """
+    by = [*keys, *order]
+    dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    return cut(dealt.withColumn("_part", F.spark_partition_id()))
+
+
 def state_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,20 +46,17 @@ def state_before(
     state: Column,
     how: str = "last",
     inclusive: bool = False,
-    slice_seconds: int = HOUR,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the last (or greatest) non-null ``state`` of the rows before this one.
 
-    Exact for any slice width; the width only decides how a busy key is spread.
+    Windows run inside ranges of equal size. A range hands the state of its last key on, so what is
+    carried is one row per range, however many keys there are. The result doesn't depend on ``ranges``.
     """
-    rows = df.withColumns(
-        {"_slice": F.floor(micros(F.col(ts)) / F.lit(slice_seconds * 1_000_000)).cast("bigint"), "_state": state}
-    )
+    rows = in_ranges(df.withColumn("_state", state), keys, ts, tiebreak, ranges=ranges)
     end = 0 if inclusive else -1
-    inside = (
-        Window.partitionBy(*keys, "_slice").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, end)
-    )
-    across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_part").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, end)
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
 
     if how == "last":
         summary = F.max_by("_state", F.when(F.col("_state").isNotNull(), F.struct(ts, tiebreak)))
@@ -57,18 +65,25 @@ def state_before(
         summary = F.max("_state")
         here, carried = F.max("_state").over(inside), F.max("_sum").over(across)
 
-    summaries = (
-        rows.groupBy(*keys, "_slice")
+    # one row per range: its last key, and the next range that isn't empty
+    borders = (
+        rows.groupBy("_part")
+        .agg(F.max(F.struct(*keys)).alias("_key"))
+        .withColumn("_into", F.lead("_part").over(Window.partitionBy(F.lit(0)).orderBy("_part")))
+    )
+    handed = (
+        rows.join(F.broadcast(borders), "_part")
+        .where(F.struct(*keys).eqNullSafe(F.col("_key")))
+        .groupBy(*keys, "_part", "_into")
         .agg(summary.alias("_sum"))
-        .withColumn("_carried", carried)
-        .drop("_sum")
+        .select(*keys, F.col("_into").alias("_part"), carried.alias("_carried"))
     )
     both = F.coalesce("_here", "_carried") if how == "last" else F.greatest("_here", "_carried")
     return (
         rows.withColumn("_here", here)
-        .join(summaries, [*keys, "_slice"], "left")
+        .join(handed, [*keys, "_part"], "left")
         .withColumn(name, both)
-        .drop("_slice", "_state", "_here", "_carried")
+        .drop("_part", "_state", "_here", "_carried")
     )
 
 

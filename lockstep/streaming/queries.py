@@ -13,8 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lockstep.cluster import cut
 from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, SERVER_CONNECTED
 from lockstep.operators.changes import change_ops
-from lockstep.operators.clients import CLIENT, request_messages
-from lockstep.operators.folds import fold_runs
+from lockstep.operators.clients import CLIENT, connection_steps, request_messages
 from lockstep.operators.guards import reconcile_targets
 from lockstep.operators.messages import merge_message_streams
 from lockstep.operators.ordered import last_by_key, micros, sessions
@@ -229,27 +228,6 @@ def stream_change_ops(
     return run(changes, checkpoint, each, interval)
 
 
-def _connection_step(s: str, e: str) -> str:
-    """One connect or disconnect against the live connection of the client, if any."""
-    # a live connection with a later connection time wins over the incoming event
-    refused = f"coalesce({s}.live AND {s}.connection_time > {e}.connection_time, false)"
-    joined = (
-        f"named_struct('connection_id', {e}.connection_id, 'connection_time', {e}.connection_time, "
-        f"'sync_version', {e}.sync_version, 'live', true)"
-    )
-    gone = (
-        f"named_struct('connection_id', {s}.connection_id, 'connection_time', {s}.connection_time, "
-        f"'sync_version', {s}.sync_version, 'live', false)"
-    )
-    is_connect = f"{e}.op = 'connect'"
-    after = f"CASE WHEN {refused} THEN {s} WHEN {is_connect} THEN {joined} ELSE {gone} END"
-    said = (
-        f"CASE WHEN {refused} THEN NULL WHEN {is_connect} THEN named_struct('said', '{SERVER_CONNECTED}', 'of', {e}) "
-        f"WHEN coalesce({s}.live, false) THEN named_struct('said', 'Disconnected', 'of', {e}) END"
-    )
-    return f"named_struct('state', {after}, 'emit', {said})"
-
-
 def stream_connections(
     events: DataFrame, state_path: str, checkpoint: str, sink: Sink, interval: str | None = None
 ) -> StreamingQuery:
@@ -265,30 +243,23 @@ def stream_connections(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        incoming = batch.select(
-            *CLIENT,
-            F.col("seq"),
-            F.struct(
-                "op",
-                F.col("connection_id").cast("string").alias("connection_id"),
-                F.col("connection_time").cast("timestamp").alias("connection_time"),
-                "sync_version",
-            ).alias("event"),
-        )
         clients = batch.select(*CLIENT).distinct()
-        held = clients.join(state.before(spark, batch_id, clients), CLIENT, "left").select(
-            *CLIENT, F.struct(*fields, "live").alias("state")
-        )
-        after, said = fold_runs(held, incoming, CLIENT, _connection_step)
-        rows = said.select(
+        held = state.before(spark, batch_id, clients).where("live")
+        steps = cut(connection_steps(batch, ["seq"], held))
+        connects = F.col("event.connects")
+        rows = steps.where(F.col("accepted") & (connects | F.col("live").isNotNull())).select(
             *CLIENT,
-            "seq",
-            F.col("emit.said").alias("event"),
-            *[F.col(f"emit.of.{f}").alias(f) for f in fields],
-            F.when(F.col("emit.said") == SERVER_CONNECTED, CONNECTED_CLIENTS).alias("report"),
+            "seq.seq",
+            F.when(connects, SERVER_CONNECTED).otherwise("Disconnected").alias("event"),
+            *[F.col(f"event.of.{f}").alias(f) for f in fields],
+            F.when(connects, CONNECTED_CLIENTS).alias("report"),
         )
         sink(rows, batch_id)
-        state.write(spark, after.select(*CLIENT, "state.*"), batch_id)
+        # a null that is the last state must win over a state before it
+        last = F.max_by(F.struct("left"), F.struct("seq", "event")).alias("_last")
+        after = steps.groupBy(*CLIENT).agg(last).select(*CLIENT, F.col("_last.left").alias("left"))
+        live = F.col("left").isNotNull().alias("live")
+        state.write(spark, after.select(*CLIENT, *[F.col(f"left.of.{f}").alias(f) for f in fields], live), batch_id)
         batch.unpersist()
 
     return run(events, checkpoint, each, interval)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lockstep.operators import clients as cl
 from lockstep.operators.changes import bootstrap, change_ops, debounce
-from lockstep.operators.ordered import last_by_key, sessions, state_before
+from lockstep.operators.ordered import in_ranges, last_by_key, sessions, state_before
+from lockstep.operators.scans import Steps, running
 from tests.helpers import rows
 
 START = datetime(2024, 1, 1, tzinfo=UTC)
@@ -57,7 +58,7 @@ def test_state_before_equals_a_walk(spark, how, inclusive):
     rng = random.Random(4)
     events = [(k, t, i, rng.choice([None, rng.randint(0, 99)])) for k, t, i, _ in hot_events(rng)]
     df = spark.createDataFrame(events, "k string, ts timestamp, seq bigint, v int").repartition(4)
-    got = state_before(df, ["k"], "ts", "seq", "prev", F.col("v"), how, inclusive, slice_seconds=120)
+    got = state_before(df, ["k"], "ts", "seq", "prev", F.col("v"), how, inclusive, ranges=7)
     want = {}
     for key in {e[0] for e in events}:
         seen = []
@@ -93,7 +94,7 @@ def test_change_ops(spark):
     ]
     data = [("k/v1/x", "ns", "n", op, at(i * 900), i, "0", doc) for i, (op, doc, _, _) in enumerate(steps)]
     df = spark.createDataFrame(data, CHANGES)
-    got = change_ops(df, slice_seconds=1800).withColumn("body", F.coalesce("patch", "object"))
+    got = change_ops(df, ranges=5).withColumn("body", F.coalesce("patch", "object"))
     want = [(i, e, b) for i, (_, _, e, b) in enumerate(steps) if e]
     assert rows(got, "seq", "event", "body") == want
 
@@ -148,7 +149,7 @@ def test_live_connections(spark):
     live, ended = walk(events)
     assert dict(rows(cl.live_connections(df), "cluster", "connection_id")) == {k: v[0] for k, v in live.items()}
     assert cl.connected_count(df).first()["n_connected"] == len(live)
-    assert dict(rows(cl.disconnect_counts(df, slice_seconds=600), "cluster", "n_disconnects")) == ended
+    assert dict(rows(cl.disconnect_counts(df, ranges=5), "cluster", "n_disconnects")) == ended
 
 
 def test_equal_connection_time_replaces_and_older_is_refused(spark):
@@ -166,11 +167,12 @@ def test_equal_connection_time_replaces_and_older_is_refused(spark):
 def test_live_connections_in_any_order(spark, seed):
     events = connection_events(random.Random(seed), 150, in_order=False)
     df = spark.createDataFrame(events, EVENTS).repartition(5)
-    live, _ = walk(events)
-    for seconds in (60, 600, 100_000):
-        got = cl.live_connections(df, slice_seconds=seconds)
+    live, ended = walk(events)
+    for ranges in (1, 3, 20):
+        got = cl.live_connections(df, ranges=ranges)
         assert got.columns == df.columns
         assert dict(rows(got, "cluster", "connection_id")) == {k: v[0] for k, v in live.items()}
+        assert dict(rows(cl.disconnect_counts(df, ranges=ranges), "cluster", "n_disconnects")) == ended
 
 
 def test_bootstrap_by_carried_checksums(spark):
@@ -183,3 +185,46 @@ def test_bootstrap_by_carried_checksums(spark):
     assert [r for r in rows(got, "name", "version", "op", "checksum") if r[2] == "VerifyObject"][0][3] == "mine"
     assert rows(got.where("op = 'Modified'"), "version") == [("w2",)]
     assert rows(bootstrap(listed, changes).where("name = 'a' and op = 'VerifyObject'"), "checksum") != [("mine",)]
+
+
+def test_route_as_of_equals_a_walk(spark):
+    events = connection_events(random.Random(3), 200, in_order=False)
+    # moments between events and at events; one client that never connects, one message without time
+    messages = [(c, "a", at(i * 45), i) for i in range(260) for c in ("hot", "x", "none")] + [("hot", "a", None, -1)]
+    want = sorted(
+        (c, i) for c, _, ts, i in messages if ts is not None and c in walk([e for e in events if e[5] <= ts])[0]
+    )
+    df = spark.createDataFrame(messages, "cluster string, account string, ts timestamp, no int").repartition(3)
+    for ranges in (None, 6):
+        got = cl.route_as_of(df, spark.createDataFrame(events, EVENTS), ranges=ranges)
+        assert got.columns == df.columns
+        assert rows(got, "cluster", "no") == sorted(want, key=repr)
+    assert cl.route_as_of(df, spark.createDataFrame([], EVENTS)).count() == 0
+    assert cl.disconnect_counts(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+def test_running_composition_in_small_runs(spark):
+    """Affine maps don't commute: any run put in the wrong place shows."""
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else f"k{i % 5}", i // 2, rng.randint(-1, 1), rng.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, seq long, a long, b long").select("k", "seq", F.struct("a", "b").alias("event"))
+    affine = Steps(
+        "struct<a:bigint,b:bigint>", "named_struct('a', 1L, 'b', 0L)", lambda e: e,
+        lambda f, g: f"named_struct('a', {f}.a * {g}.a, 'b', {g}.a * {f}.b + {g}.b)",
+    )
+    want, held = [], {}
+    for k, seq, a, b in sorted(data):
+        f = held.get(k, (1, 0))
+        want.append((k, seq, a, b, *f))
+        held[k] = (f[0] * a, a * f[1] + b)
+    got = running(df.repartition(4), ["k"], affine, per_run=4, ranges=5)
+    assert rows(got, "k", "seq", "event.a", "event.b", "before.a", "before.b") == sorted(want, key=repr)
+
+
+def test_a_busy_key_fills_many_ranges(spark):
+    """One key with all rows of an hour: ranges are equal, and one row each is handed on."""
+    df = spark.range(8000).selectExpr("'hot' AS k", "timestamp_seconds(id div 3) AS ts", "id AS seq")
+    sizes = [r["count"] for r in in_ranges(df, ["k"], "ts", "seq", ranges=8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 8000 / 8
+    got = state_before(df, ["k"], "ts", "seq", "prev", F.col("seq"), ranges=8)
+    assert got.where("prev <=> if(seq = 0, NULL, seq - 1)").count() == 8000

@@ -50,7 +50,7 @@ def metrics(spark, sf_dir):
     """,
 )
 def disconnect_counts(spark, sf_dir):
-    return cl.disconnect_counts(connections(spark, sf_dir), slice_seconds=86_400)
+    return cl.disconnect_counts(connections(spark, sf_dir))
 
 
 @query("connected_count", f"WITH {CONNECTIONS_SQL}, {LIVE_SQL} SELECT count(*) AS n_connected FROM live")

@@ -36,9 +36,7 @@ def connections(spark, sf_dir):
     """Connection events; a disconnect carries the time of its slot's latest connect."""
     rows = derived(spark, sf_dir, "connections")
     connected = F.when(F.col("op") == "connect", F.col("ts"))
-    timed = state_before(
-        rows, ["connection_id"], "ts", "seq", "connection_time", connected, inclusive=True, slice_seconds=86_400
-    )
+    timed = state_before(rows, ["connection_id"], "ts", "seq", "connection_time", connected, inclusive=True)
     return timed.where(F.col("connection_time").isNotNull())
 
 
@@ -93,7 +91,7 @@ CHANGE_OPS_SQL = (
 
 @query("change_ops", CHANGE_OPS_SQL)
 def change_ops(spark, sf_dir):
-    sent = ch.change_ops(derived(spark, sf_dir, "changes"), slice_seconds=86_400)
+    sent = ch.change_ops(derived(spark, sf_dir, "changes"))
     return sent.select("seq", "event", F.coalesce("patch", "object").alias("body"), "checksum")
 
 
@@ -117,3 +115,47 @@ def live_connections(spark, sf_dir):
 def last_row_by_key(spark, sf_dir):
     last = last_by_key(derived(spark, sf_dir, "changes"), ["kind", "ns", "name"], "seq")
     return last.select("name", "op", "seq", F.sha2("doc", 256).alias("digest"))
+
+
+# Connects that were long on their way: each slot's times lie some hours to days before its arrivals.
+LATE_SQL = f"""
+{CONNECTIONS_SQL},
+arrived AS (SELECT account, cluster, op, ts, seq, connection_time - to_hours(CAST(connection_id AS BIGINT) % 97) AS t FROM connections),
+spans AS (
+  SELECT k.account, k.cluster, k.ts, k.seq, arg_min(e.op, (e.ts, e.seq)) AS ended_by, min((e.ts, e.seq)) FILTER (WHERE e.seq IS NOT NULL) AS ended
+  FROM arrived k LEFT JOIN arrived e ON e.account = k.account AND e.cluster = k.cluster AND (e.ts, e.seq) > (k.ts, k.seq) AND e.t >= k.t
+  WHERE k.op = 'connect' GROUP BY k.account, k.cluster, k.ts, k.seq, k.t)
+"""
+
+
+def late_connections(spark, sf_dir):
+    hours = F.make_interval(hours=F.col("connection_id").cast("bigint").cast("int") % 97)
+    return connections(spark, sf_dir).withColumn("connection_time", F.col("connection_time") - hours)
+
+
+@query(
+    "disconnect_counts_late",
+    f"""
+    WITH {LATE_SQL}
+    SELECT k.account, k.cluster, count(*) AS n_disconnects FROM spans k
+    WHERE k.ended_by = 'disconnect' AND NOT EXISTS (
+      SELECT 1 FROM spans j WHERE j.account = k.account AND j.cluster = k.cluster AND (j.ts, j.seq) < (k.ts, k.seq)
+      AND (j.ended IS NULL OR j.ended > (k.ts, k.seq)))
+    GROUP BY ALL
+    """,
+)
+def disconnect_counts_late(spark, sf_dir):
+    return cl.disconnect_counts(late_connections(spark, sf_dir))
+
+
+@query(
+    "route_as_of",
+    with_inputs("messages")
+    + f""", {LATE_SQL}
+    SELECT seq, event FROM messages m
+    WHERE EXISTS (SELECT 1 FROM spans k WHERE k.account = m.account AND k.cluster = m.cluster AND k.ts <= m.ts
+                  AND (k.ended IS NULL OR k.ended[1] > m.ts))
+    """,
+)
+def route_as_of(spark, sf_dir):
+    return cl.route_as_of(derived(spark, sf_dir, "messages"), late_connections(spark, sf_dir)).select("seq", "event")
