@@ -87,6 +87,55 @@ def resume_points(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("kind").agg(F.max(to_version(F.col("version"))).alias("resume_version"))
 
 
+def after_errors(
+    changes: DataFrame, held: DataFrame | None = None, ts: str = "ts", tiebreak: str = "seq", ranges: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A watch stream with a ``reason`` why a row isn't usable (null: it is), and how far each kind has come.
+
+    An Error ends a kind's watch; the next one starts from the highest version seen, so changes that
+    aren't newer than that are ``repeated``. Rows that are no change of an object are ``error`` or ``no object``. Within
+    one watch versions may come in any order, and versions that are no whole numbers are never repeats.
+
+    The second table (kind, top, resume) goes in as ``held`` with the rows that follow: ``top`` is the highest version
+    seen, ``resume`` the one that the present watch started from. A kind may hold all
+    rows: what came before is found in ranges of equal size.
+    """
+    names = changes.columns
+    is_change = F.coalesce(F.col("op").isin("Added", "Modified", "Deleted"), F.lit(False))
+    reason = F.when(~is_change, "error").when(F.col("name").isNull(), "no object")
+    version = F.when(F.col("version").cast("string").rlike(trees.INTEGER), to_version(F.col("version").cast("string")))
+    rows = changes.select(
+        *["kind", ts, tiebreak],
+        F.struct(*names).alias("_row"),
+        reason.alias("_reason"),
+        F.when(reason.isNull(), version).alias("_version"),
+        F.coalesce(F.col("op") == "Error", F.lit(False)).alias("_ends"),
+    )
+    if held is not None:
+        # as three rows before all others: what the watch started from, its start, and what it has seen
+        order = [F.lit(None).cast(changes.schema[c].dataType) for c in (ts, tiebreak)]
+        for no, value in enumerate(("resume", None, "top")):
+            rows = rows.unionByName(
+                held.select(
+                    "kind",
+                    order[0].alias(ts),
+                    F.lit(no - 3).cast(changes.schema[tiebreak].dataType).alias(tiebreak),
+                    (F.col(value) if value else F.lit(None)).cast("bigint").alias("_version"),
+                    F.lit(value is None).alias("_ends"),
+                ),
+                allowMissingColumns=True,
+            )
+    seen = state_before(rows, ["kind"], ts, tiebreak, "_seen", F.col("_version"), how="max", ranges=ranges)
+    at_end = F.when(F.col("_ends"), F.col("_seen"))
+    known = state_before(seen, ["kind"], ts, tiebreak, "_from", at_end, how="max", ranges=ranges)
+    repeated = F.coalesce(F.col("_version") <= F.col("_from"), F.lit(False))
+    told = known.where(F.col("_row").isNotNull()).select(
+        "_row.*", F.coalesce("_reason", F.when(repeated, "repeated")).alias("reason")
+    )
+    come = seen.groupBy("kind").agg(F.max("_version").alias("top"), F.max(at_end).alias("resume"))
+    return told, come
+
+
 def bootstrap(snapshot: DataFrame, changes: DataFrame, annotation: str | None = None) -> DataFrame:
     """Existing objects as verifications, followed by the changes newer than the listing.
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lockstep.cluster import cut
 from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, SERVER_CONNECTED
-from lockstep.operators.changes import change_ops
+from lockstep.operators.changes import after_errors, change_ops
 from lockstep.operators.clients import CLIENT, connection_steps, request_messages
 from lockstep.operators.guards import reconcile_targets
 from lockstep.operators.messages import merge_message_streams
@@ -265,6 +265,35 @@ def stream_connections(
     return run(events, checkpoint, each, interval)
 
 
+def stream_changes(
+    changes: DataFrame, state_path: str, checkpoint: str, usable: Sink, rejected: Sink, interval: str | None = None
+) -> StreamingQuery:
+    """A watch stream into two sinks: changes to use, and all other rows with their ``reason``.
+
+    See ``after_errors``: a watch that an Error ended goes on from the highest version seen, also over a
+    restart of the query, and what it repeats is rejected. Both sinks get every batch with its id and
+    must replace a batch that comes again. The state is a row per kind.
+    """
+    state = watch_state(state_path)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kinds = batch.select("kind").distinct()
+        held = state.before(spark, batch_id, kinds).drop("live")
+        told, come = after_errors(batch, held)
+        told = told.persist()
+        usable(told.where("reason IS NULL").drop("reason"), batch_id)
+        rejected(told.where("reason IS NOT NULL"), batch_id)
+        told.unpersist()
+        state.write(spark, come.withColumn("live", F.lit(True)), batch_id)
+
+    return run(changes, checkpoint, each, interval)
+
+
+def watch_state(path: str) -> KeyedState:
+    return KeyedState(path, ["kind"], "kind string, top bigint, resume bigint, live boolean", buckets=4)
+
+
 def connection_state(path: str) -> KeyedState:
     return KeyedState(path, CLIENT, CLIENT_SCHEMA)
 

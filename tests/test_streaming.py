@@ -1,10 +1,11 @@
+import os
 import random
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lockstep.operators.changes import change_ops, debounce
+from lockstep.operators.changes import after_errors, change_ops, debounce
 from lockstep.operators.store import apply_changes
 from lockstep.sources.merge_store import MergeStore
 from lockstep.streaming import queries as st
@@ -233,3 +234,44 @@ def test_handlers(spark):
     events = ["DeleteObject", "GetObject", "PatchObject", "PutObject", "VerifyObject", "batch"]
     df = spark.createDataFrame([(e,) for e in events], "event string")
     assert rows(st.handle(df, Echo()), "by") == [("batch",), ("delete",), ("get",), ("patch",), ("put",), ("verify",)]
+
+
+def test_stream_changes_resumes_after_errors(spark, tmp_path):
+    """Two kinds, errors in the middle and as the last row of a batch, repeats after them, over restarts and a repeated batch."""
+    schema = "kind string, name string, version string, op string, ts timestamp, seq bigint"
+    rng = random.Random(12)
+    data, want, top, resume = [], [], {}, {}
+    for i in range(90):
+        kind = rng.choice(["k1", "k1", "k2"])
+        op = "Error" if i % 30 == 29 or rng.random() < 0.1 else rng.choice(["Added", "Modified", "Deleted", "Modified"])
+        name, version = (None if i % 11 == 5 else "n"), ("w1" if i % 17 == 3 else str(i - rng.choice([0, 0, 0, 6])))
+        data.append((kind, name, version, op, at(i), i))
+        if op == "Error":
+            want.append((i, "error"))
+            resume[kind] = top.get(kind, -1)
+        elif name is None:
+            want.append((i, "no object"))
+        else:
+            whole = version != "w1"
+            want.append((i, "repeated" if whole and int(version) <= resume.get(kind, -1) else "usable"))
+            if whole:
+                top[kind] = max(top.get(kind, -1), int(version))
+    assert {w for _, w in want} == {"error", "no object", "repeated", "usable"}
+    df = spark.createDataFrame(data, schema)
+    told, come = after_errors(df, ranges=5)
+    assert rows(told.fillna("usable", ["reason"]), "seq", "reason") == sorted(want, key=repr)
+    assert {r["kind"]: r["top"] for r in come.collect()} == top
+
+    for part in range(3):
+        df.where(F.col("seq").between(part * 30, part * 30 + 29)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        sinks = (to_folder(f"{tmp_path}/used"), to_folder(f"{tmp_path}/refused"))
+        st.stream_changes(stream, f"{tmp_path}/state", f"{tmp_path}/cp", *sinks).awaitTermination()
+        if part == 1:  # the last batch is lost after its sinks were written, and comes again
+            os.remove(f"{tmp_path}/cp/commits/1")
+            crc = f"{tmp_path}/cp/commits/.1.crc"
+            if os.path.exists(crc):
+                os.remove(crc)
+    got = rows(spark.read.parquet(f"{tmp_path}/used").withColumn("reason", F.lit("usable")), "seq", "reason")
+    got += rows(spark.read.parquet(f"{tmp_path}/refused"), "seq", "reason")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
