@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lockstep.cluster import cut
 from lockstep.functions import trees
 from lockstep.functions.documents import once
+from lockstep.operators.chains import Chain, fold_chains
 
 
 def _same(value: str) -> str:
@@ -26,6 +27,7 @@ def fold_runs(
     leave: Callable[[str], str] = _same,
     arrive: Callable[[str], str] = _same,
     types: tuple[str, str] | None = None,
+    chain: Chain | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fold ``events`` (keys, seq, event) into ``state`` (keys, state) in ``seq`` order per key.
 
@@ -80,6 +82,14 @@ def fold_runs(
     if not rounds:
         return state, events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))
 
+    if rounds > 1 and chain is not None:
+        long = cut(events.groupBy(*keys).count().where(F.col("count") > per_round).select(*keys))
+        short = [x.join(long, keys, "left_anti") for x in (state, events)]
+        after, emitted = fold_runs(*short, keys, step, per_round, enter, leave, arrive, types)
+        busy = [x.join(long, keys, "left_semi") for x in (state, events)]
+        chained, said = fold_chains(*busy, keys, step, chain, per_round, enter, leave, arrive, types)
+        return after.unionByName(chained), emitted.unionByName(said)
+
     touched = events.select(*keys).distinct()
     if rounds > 1:
         events = cut(events.withColumn("_n", F.row_number().over(by_seq) - 1))

@@ -18,6 +18,7 @@ from lockstep.functions import trees
 from lockstep.functions.identity import to_version, version_newer
 from lockstep.model import DELETE_OBJECT, GET_OBJECT, LEAVES, PATCH, PATCH_OBJECT, PUT_OBJECT, VERIFY_OBJECT
 from lockstep.operators.batches import unpack_batches
+from lockstep.operators.chains import object_chain
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
@@ -241,7 +242,8 @@ def replay(
     ``kinds`` limits patches to the kinds patched: on others they ask for the object
     without base. ``keep_metadata`` leaves the metadata of a stored object in place when
     a put replaces it. Senders debounce per key, so a single round of ``fold_runs``
-    nearly always does.
+    nearly always does. Longer runs of a key are composed and folded in parallel, except
+    with ``keep_metadata``: what such a put stores depends on the object it meets.
     """
     patched = F.lit(True)
     if kinds is not None:
@@ -310,7 +312,8 @@ def replay(
                 f"CASE WHEN {is_get} THEN {said(f'{m}.base_object', f'{s}.doc')} "
                 f"WHEN ({is_patch} OR {is_verify}) AND NOT {fits} THEN {said(base, 'cast(NULL AS STRING)')} END"
             )
-            return f"named_struct('state', {after}, 'emit', {told})"
+            taken = f"coalesce({is_delete} OR (({is_put} OR ({is_patch} AND {fits})) AND {newer}), false)"
+            return f"named_struct('state', {after}, 'emit', {told}, 'taken', {taken})"
 
         def told(tree: str) -> str:
             text = (
@@ -326,7 +329,8 @@ def replay(
         f"struct<version:string,doc:string,tree:{LEAVES}>",
         f"struct<get:boolean,base_object:string,version:string,doc:string,origin:{origin}>",
     )
-    after, said = fold_runs(held, events, keys, step, per_round, enter, leave, arrive, types)
+    chain = None if keep_metadata else object_chain(version)
+    after, said = fold_runs(held, events, keys, step, per_round, enter, leave, arrive, types, chain)
     told = said.select(*keys, "seq", "emit.*").select(
         *keys, "seq", "get", "base_object", "version", "doc", *[F.col(f"origin.{c}").alias(c) for c in carry]
     )
