@@ -81,7 +81,7 @@ def then(first: str, second: str) -> str:
                 lambda f: f"NOT {_at_or_under_any(f, f'{q}.fresh')} AND NOT "
                 + trees.some(f"{q}.leaves", lambda y: f"{y}.value <> '{{}}' AND {trees.at_or_under(f, f'{y}.path')}"),
             )
-            fresh = f"concat({still}, {trees.paths_of(replaced)}, {q}.fresh)"
+            fresh = f"array_distinct(concat({still}, {trees.paths_of(replaced)}, {q}.fresh))"
             return edit(fresh=fresh, leaves=_plain_patch(old, f"{q}.leaves"))
 
         return trees.let(left, settle)
@@ -125,16 +125,22 @@ def apply_edit(e: str, s: str, version: Callable[[str], str]) -> str:
 
 @dataclass(frozen=True)
 class Chain:
-    """How the events of a fold compose: their steps, an edit put to a state, and which edits ignore the state."""
+    """How the events of a fold compose.
+
+    Their steps, an edit put to a state, which edits ignore the state, and which events may change it.
+    """
 
     steps: Steps
     apply: Callable[[str, str], str]
     absolute: Callable[[str], str]
+    changes: Callable[[str], str]
 
 
 def object_chain(version: Callable[[str], str]) -> Chain:
     """The chain of messages to an object, where puts replace it whole."""
-    return Chain(Steps(EDIT, edit(), lift, then), lambda e, s: apply_edit(e, s, version), absolute)
+    writing = ", ".join(trees.text(e) for e in (PATCH_OBJECT, PUT_OBJECT, DELETE_OBJECT))
+    steps = Steps(EDIT, edit(), lift, then)
+    return Chain(steps, lambda e, s: apply_edit(e, s, version), absolute, lambda m: f"{m}.event IN ({writing})")
 
 
 def fold_chains(
@@ -157,7 +163,9 @@ def fold_chains(
     turn. Where that gives the states the runs were folded from, they are right. Otherwise all runs
     before the first wrong one of their key are, and the others are folded again. Without
     refused events that is two scans of log(n) rounds and one fold; each further round settles all
-    runs up to the next that refuses something, at least one per key.
+    runs up to the next that refuses something, at least one per key. Where a run ends with a refusal,
+    those after it are expected to refuse everything until one replaces the object: who misses
+    a patch misses what it changed.
     """
     keys = list(keys)
     place = [*keys, "_part", "_run"]
@@ -182,7 +190,7 @@ def fold_chains(
         met = running(wholes, keys, steps.of_composed()).select(*keys, "seq.*", "before")
         begun = f"cast({trees.let(f'cast({enter('state')} AS {state_type})', lambda s: chain.apply('before', s))} AS {state_type})"
         met = met.join(state.select(*keys, "state"), keys, "left").withColumn("_begun", F.expr(begun))
-        return met.select(*place, F.expr(leave("_begun")).alias(name))
+        return cut(met.select(*place, F.expr(leave("_begun")).alias(name)))
 
     def advance(acc: str, x: str) -> str:
         def settle(r: str) -> str:
@@ -202,10 +210,13 @@ def fold_chains(
     took = f"zip_with(_events, _end.took, (x, t) -> if(t, cast({steps.lift('x.event')} AS {steps.type}), {nothing}))"
     composed = F.expr(f"aggregate({took}, {nothing}, (acc, x) -> cast({steps.then('acc', 'x')} AS {steps.type}))")
 
+    writes = f"zip_with(_events, _end.took, (x, t) -> if({chain.changes('x.event')}, t, NULL))"
+    lost = F.expr(f"coalesce(NOT try_element_at(filter({writes}, t -> t IS NOT NULL), -1), false)")
+
     def folded(begun: DataFrame) -> DataFrame:
         walked = once(runs.join(begun, place), "_end", walk)
         left = F.expr(leave("_end.state"))
-        return walked.select(*place, "_enters", left.alias("_leaves"), composed.alias("_edit"), "_end.out")
+        return walked.select(*place, "_enters", left.alias("_leaves"), composed.alias("_edit"), lost.alias("_lost"), "_end.out")
 
     done = cut(folded(entering(runs.withColumnRenamed("_hoped", "_edit"), "_enters")))
     while True:
@@ -214,10 +225,16 @@ def fold_chains(
         if wrong.isEmpty():
             break
         marked = done.join(wrong, keys, "left").withColumn("_open", F.coalesce(at >= F.col("_first"), F.lit(False)))
+        replaced = F.expr(chain.absolute("_edit"))
+        known = marked.where(F.col("_first").isNotNull()).groupBy(*keys).agg(
+            F.max_by("_lost", F.when(~F.col("_open"), at)).alias("_missing"),
+            F.min(F.when(F.col("_open") & replaced, at)).alias("_mended"),
+        )
+        missing = F.col("_missing") & F.coalesce(at < F.col("_mended"), F.lit(True))
         # a run folded from a wrong state says little, unless it replaced the object
-        trusted = ~F.col("_open") | F.expr(chain.absolute("_edit"))
-        guess = marked.join(runs.select(*place, "_hoped"), place).withColumn(
-            "_edit", F.when(trusted, F.col("_edit")).otherwise(F.col("_hoped"))
+        guess = marked.join(known, keys, "left").join(runs.select(*place, "_hoped"), place).withColumn(
+            "_edit",
+            F.when(~F.col("_open") | replaced, F.col("_edit")).when(missing, F.expr(nothing)).otherwise(F.col("_hoped")),
         )
         again = marked.where("_open").select(*place)
         refolded = folded(entering(guess, "_enters").join(again, place, "left_semi"))

@@ -98,6 +98,19 @@ def test_a_long_chain_that_fits_is_folded_once(spark, monkeypatch):
     assert len(calls) == 2
 
 
+def test_what_follows_a_lost_patch_is_refused_in_few_rounds(spark, monkeypatch):
+    calls = scans(monkeypatch)
+    held = doc(1, a=1)
+    hot, _ = patches("hot", 2, 200, held)
+    broken = [(n, seq, e, "off" if seq == 2 else c, p, o) for n, seq, e, c, p, o in hot]
+    after, asked, _ = st.replay(store(spark, {"hot": held}), sent(spark, broken), per_round=4)
+    # the first patch is lost; no later one fits, since the version of the document aside all need its member
+    want, refused = st.replay(store(spark, {"hot": held}), sent(spark, broken), per_round=1000)[:2]
+    assert rows(after, "name", "doc") == rows(want, "name", "doc")
+    assert rows(asked, "name", "seq", "base_object") == rows(refused, "name", "seq", "base_object")
+    assert asked.count() > 100 and len(calls) < 12
+
+
 @pytest.mark.parametrize("check", [True, False])
 def test_refused_and_unreadable_messages_in_a_chain(spark, check):
     held = doc(1, a=1)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lockstep.operators import batches as bt
 from lockstep.operators import messages as msg
 from lockstep.operators.paths import CLIENT, KEYS
-from lockstep.operators.store import fold_batches
+from lockstep.operators.ordered import state_before
+from lockstep.operators.store import fold_batches, replay
 from lockstep.plans.flows import Settings, backend_to_store, cluster_to_backend, ingest_to_log, reconcile_request
 from workload.base import KINDS_SQL, derived, kinds, query, table, with_inputs
 from workload.filters import ROUTES
@@ -81,6 +82,67 @@ def batch_order(spark, sf_dir):
     )
 
 
+@query(
+    "patch_chain",
+    """
+    WITH o AS (SELECT o_orderstatus AS name, o_orderkey AS seq, o_orderpriority = '1-URGENT' AS urgent,
+                      CASE WHEN o_custkey % 2 = 0 THEN concat('{"by":', o_custkey, '}') ELSE CAST(o_custkey AS VARCHAR) END AS value,
+                      row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey DESC) = 1 AS refused
+               FROM orders),
+    s AS (SELECT name, seq, refused,
+                 concat('{"metadata":{"resourceVersion":"', coalesce(max(CASE WHEN NOT refused THEN seq END) OVER w, -1),
+                        '"},"spec":{"other":', coalesce(last_value(CASE WHEN NOT refused AND NOT urgent THEN value END IGNORE NULLS) OVER w, '0'),
+                        ',"urgent":', coalesce(last_value(CASE WHEN NOT refused AND urgent THEN value END IGNORE NULLS) OVER w, '0'),
+                        '}}') AS doc
+          FROM o WINDOW w AS (PARTITION BY name ORDER BY seq))
+    SELECT 'store' AS flow, name, max(seq) AS seq, arg_max(doc, seq) AS doc FROM s GROUP BY name
+    UNION ALL SELECT 'request', name, seq, doc FROM s WHERE refused
+    """,
+)
+def patch_chain(spark, sf_dir):
+    """Every order patches the object of its status, so that each key holds a third of all messages.
+
+    The patch of a status' costliest order announces another checksum and is refused.
+    """
+    orders = table(spark, sf_dir, "orders")
+    text = F.col("o_custkey").cast("string")
+    sent = orders.select(
+        F.col("o_orderstatus").alias("name"),
+        F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("other").alias("member"),
+        F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('{"by":'), text, F.lit("}"))).otherwise(text).alias("value"),
+    )
+    costliest = F.max(F.struct("o_totalprice", "o_orderkey"))["o_orderkey"]
+    refused = orders.groupBy(F.col("o_orderstatus").alias("name")).agg(costliest.alias("refused"))
+    sent = sent.join(refused, "name").withColumn("refused", F.col("seq") == F.col("refused"))
+    for member in ("urgent", "other"):
+        mine = F.when(~F.col("refused") & (F.col("member") == member), F.col("value"))
+        sent = state_before(sent, ["name"], "seq", "value", member, mine, inclusive=True)
+
+    def body(*fields):
+        head = [F.lit('{"metadata":{"resourceVersion":"'), F.col("seq").cast("string"), F.lit('"},"spec":{')]
+        return F.concat(*head, *fields, F.lit("}}"))
+
+    held = [F.coalesce(member, F.lit("0")) for member in ("other", "urgent")]
+    after = body(F.lit('"other":'), held[0], F.lit(',"urgent":'), held[1])
+    key = {"kind": F.lit("shop/v1/orders"), "ns": F.lit("shop")}
+    messages = sent.select(
+        "name",
+        "seq",
+        F.lit("PatchObject").alias("event"),
+        F.when(F.col("refused"), "off").otherwise(F.sha2(after, 256)).alias("checksum"),
+        body(F.lit('"'), F.col("member"), F.lit('":'), F.col("value")).alias("patch"),
+    ).withColumns(key)
+    empty = '{"metadata":{"resourceVersion":"-1"},"spec":{"other":0,"urgent":0}}'
+    store = refused.select("name", F.lit("-1").alias("version"), F.lit(empty).alias("doc")).withColumns(key)
+    done, requests, _ = replay(store, messages)
+    last = orders.groupBy(F.col("o_orderstatus").alias("name")).agg(F.max("o_orderkey").alias("seq"))
+    return (
+        done.join(last, "name").select(F.lit("store").alias("flow"), "name", "seq", "doc")
+        .unionByName(requests.select(F.lit("request").alias("flow"), "name", "seq", F.col("base_object").alias("doc")))
+    )
+
+
 @query(
     "backend_to_store",
     with_inputs("messages")
