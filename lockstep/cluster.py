@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 # Longer lists become an ordinary table and Spark chooses the join.
 MAX_LOOKUP_ROWS = 10_000
 
+# Documents that a task takes at a time where heavy work follows a join.
+ROWS_PER_TASK = 20_000
+
 
 def lookup(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A configuration list of texts as a table, broadcast only while its size allows."""
@@ -34,6 +37,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """The ``rows`` rows of a table as it was read, dealt by ``keys`` into tasks of ``ROWS_PER_TASK`` rows.
+
+    Spark sizes tasks by bytes after compression, which says little about the work and memory that
+    documents take. Joins by the keys keep the tasks as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // ROWS_PER_TASK)), *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, as the session names it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

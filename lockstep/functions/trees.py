@@ -21,6 +21,12 @@ INTEGER = r"^[+-]?[0-9]+\z"
 # Text that needs no escaping inside a JSON string.
 PLAIN = r"^[0-9A-Za-z_ .:/@+-]*\z"
 
+# Objects without arrays and escapes, and one leaf in their text: objects that close, names, a value.
+SIMPLE = r'^\{"[^\[\\]*\z'
+PIECE = r'\}*,?(?:"[^"/~]*":\{)*"[^"/~]*":(?:"[^"]*"|\{\}|[^"{},]+)'
+# Fewer objects than these are unfolded in less time than a text is cut.
+DEEP = 6
+
 _names = count()
 
 
@@ -149,6 +155,15 @@ def parsed(doc: str) -> str:
     return let(doc, read)
 
 
+def is_canonical(d: str) -> str:
+    """Whether a text is the canonical text of a whole document; false also for texts of 2,000 characters or more.
+
+    A text that its first value writes in full has nothing after that value. Shorter texts can't
+    nest as deep as the parser refuses.
+    """
+    return f"(length({d}) < 2000 AND coalesce(to_json(try_parse_json({d})) = {d}, false))"
+
+
 def canonical(doc: str) -> str:
     """Canonical text: members sorted, whitespace gone; null for invalid JSON."""
     return f"to_json({parsed(doc)})"
@@ -162,7 +177,8 @@ def checksum(doc: str) -> str:
 def leaves(doc: str) -> str:
     """Leaves of a JSON text, however deep it nests; null for invalid JSON.
 
-    Level by level: what is no object with members is done, the rest is opened. The text
+    The pieces of a canonical text that nests deep are its leaves already, see :func:`pieces`. Any other
+    text is unfolded level by level: what is no object with members is done, the rest is opened. The text
     has at least as many opening braces as levels, so that many steps always do, and
     those after the last level cost nothing. The parser itself refuses text that nests
     beyond 1,000 levels; like any other unreadable text it has no leaves.
@@ -197,7 +213,59 @@ def leaves(doc: str) -> str:
         )
         return f"if({v} IS NULL, NULL, {unfolded})"
 
-    return let(doc, lambda d: let(parsed(d), lambda v: whole(d, v)))
+    def unfolded(d: str) -> str:
+        return let(parsed(d), lambda v: whole(d, v))
+
+    return let(doc, lambda d: let(pieces(d), lambda p: f"if({p} IS NULL, {unfolded(d)}, {of_pieces(p)})"))
+
+
+def pieces(d: str) -> str:
+    """A canonical text of at least ``DEEP`` objects, cut after each leaf.
+
+    Null for any other text, and for one with ``[``, a backslash, or ``~`` or ``/`` in a name.
+
+    Without backslashes every quote begins or ends a text. A piece closes the objects that the leaf
+    before it leaves, opens its own, and ends with its value.
+    """
+    cut = f"regexp_extract_all({d}, {text(PIECE)}, 0)"
+
+    def whole(p: str) -> str:
+        joined = f"array_join({p}, '')"
+        return let(
+            joined,
+            lambda j: f"if(startswith({d}, concat('{{', {j})) AND replace(substring({d}, length({j}) + 2), '}}', '') = '', {p}, NULL)",
+        )
+
+    # a value that begins with a colon would look like the end of a name
+    simple = (
+        f"length({d}) - length(replace({d}, '{{', '')) >= {DEEP} AND {d} RLIKE {text(SIMPLE)} AND NOT contains({d}, ':\":')"
+    )
+    return f"if({simple} AND {is_canonical(d)}, {let(cut, whole)}, NULL)"
+
+
+def of_pieces(p: str) -> str:
+    """The leaves whose :func:`pieces` these are."""
+    acc, x = f"_v{next(_names)}", f"_v{next(_names)}"
+
+    def place(m: str) -> str:
+        value = f"substring_index({m}, '\":', -1)"
+
+        def leaf(w: str) -> str:
+            names = f"substring({m}, 2, length({m}) - length({w}) - 3)"
+            # what of the last path stays: without its name, and without one more for each object closed
+            closed = f"greatest(length({x}) - length({m}) - 1, 0)"
+            above = f"length({acc}.path) - length(replace({acc}.path, '/', '')) - {closed}"
+            path = f"concat(substring_index({acc}.path, '/', {above}), '/', replace({names}, '\":{{\"', '/'))"
+            return let(
+                path, lambda q: f"named_struct('path', {q}, 'done', array_append({acc}.done, {pair(q, w)}))"
+            )
+
+        return let(value, leaf)
+
+    start = f"named_struct('path', '', 'done', {'cast(array() AS ' + LEAVES + ')'})"
+    kept = let(f"ltrim('}},', {x})", place)
+    state = f"struct<path:string,done:{LEAVES}>"
+    return f"aggregate({p}, cast({start} AS {state}), ({acc}, {x}) -> cast({kept} AS {state}), {acc} -> {acc}.done)"
 
 
 def struct_leaves(fields: dict[str, str]) -> str:
@@ -216,28 +284,38 @@ def to_json(tree: str) -> str:
     def piece(before: str, x: str) -> str:
         def write(n: str) -> str:
             # n: how many containers the previous leaf and this one share
-            quoted = each(
-                f"slice({x}.t, greatest({n}, 1) + 1, size({x}.t))",
-                lambda t: let(unescape(t), lambda u: f"concat({quote(u)}, ':')"),
+            own = f"slice({x}.t, greatest({n}, 1) + 1, size({x}.t))"
+            quoted = each(own, lambda t: let(unescape(t), lambda u: f"concat({quote(u)}, ':')"))
+            names = (
+                f"CASE WHEN size({x}.t) = 1 THEN '' "
+                f"WHEN {x}.path RLIKE {text(PLAIN)} THEN concat('\"', array_join({own}, '\":{{\"'), '\":') "
+                f"ELSE array_join({quoted}, '{{') END"
             )
             return (
-                f"concat(if({before} IS NULL, '', concat(repeat('}}', size({before}.h) - {n}), ',')), "
-                f"if({n} = 0 AND size({x}.h) > 0, '{{', ''), array_join({quoted}, '{{'), {x}.value)"
+                f"concat(if({before} IS NULL, '', concat(repeat('}}', size({before}.t) - 1 - {n}), ',')), "
+                f"if({n} = 0 AND size({x}.t) > 1, '{{', ''), {names}, {x}.value)"
             )
 
-        return let(f"if({before} IS NULL, 0, size(array_intersect({before}.h, {x}.h)))", write)
+        return let(f"if({before} IS NULL, 0, {shared(f'{before}.t', f'{x}.t')})", write)
+
+    def shared(t: str, u: str) -> str:
+        """How many tokens two paths begin with in common, their names aside."""
+        i, j = f"_v{next(_names)}", f"_v{next(_names)}"
+        differ = f"array_position(zip_with({t}, {u}, ({i}, {j}) -> {i} <=> {j}), false)"
+        both = f"least(size({t}), size({u})) - 1"
+        return let(f"cast({differ} AS INT)", lambda k: f"if({k} = 0, {both}, least({k} - 1, {both}))")
 
     def render(s: str) -> str:
         b, x = f"_v{next(_names)}", f"_v{next(_names)}"
         pieces = f"zip_with(array_prepend({s}, NULL), {s}, ({b}, {x}) -> if({x} IS NULL, NULL, {piece(b, x)}))"
-        return f"concat(array_join({pieces}, ''), repeat('}}', size(element_at({s}, -1).h)))"
+        return f"concat(array_join({pieces}, ''), repeat('}}', size(element_at({s}, -1).t) - 1))"
 
     def whole(tree: str) -> str:
-        # k sorts the members of an object next to each other; h holds the containers of the leaf
+        # k sorts the members of an object next to each other
         rows = each(
             tree,
             lambda x: f"named_struct('k', translate({x}.path, '/', chr(1)), 't', {tokens(f'{x}.path')}, "
-            f"'h', {enclosing(f'{x}.path')}, 'value', {x}.value)",
+            f"'path', {x}.path, 'value', {x}.value)",
         )
         return f"if(size({tree}) > 0, {let(f'array_sort({rows})', render)}, NULL)"
 

@@ -10,8 +10,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lockstep.cluster import lookup, spread
+from lockstep.cluster import dealt, lookup, spread
 from lockstep.model import KINDS_SCHEMA
+from lockstep.operators.paths import KEYS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -181,6 +182,11 @@ def derived(spark: SparkSession, sf_dir: str, name: str, heavy: bool | None = No
     return spread(rows) if heavy or (heavy is None and "doc" in rows.columns) else rows
 
 
+def by_key(spark: SparkSession, sf_dir: str, rows: DataFrame, source: str) -> DataFrame:
+    """Rows of documents, one per row of the table ``source``, dealt by their key for the joins that follow."""
+    return dealt(rows, KEYS, table(spark, sf_dir, source).count())
+
+
 def kinds(spark: SparkSession) -> DataFrame:
     return lookup(spark, KINDS, KINDS_SCHEMA)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lockstep.functions import documents as docs
 from lockstep.operators import paths
 from lockstep.operators.paths import KEYS
-from workload.base import derived, query, table, with_inputs
+from workload.base import by_key, derived, query, table, with_inputs
 
 OLD_ROWS = """
 SELECT CAST(p_partkey AS VARCHAR) AS name, '/kind' AS path, '"Part"' AS value FROM part
@@ -117,7 +117,10 @@ def deep_documents(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     raised = "CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END"
     old, new = (spark.sql(DEEP.replace("{raised}", r).replace("{{part}}", "{part}"), part=part) for r in ("0", raised))
+    old, new = (by_key(spark, sf_dir, side, "part") for side in (old, new))
     change = paths.diff_documents(old, new).select(*KEYS, docs.leaves_to_json("change").alias("patch"))
+    # the outer join lets go of how its sides were dealt
+    change = by_key(spark, sf_dir, change, "part")
     rows = paths.patch_rows(old, change)
     sums = paths.rows_checksum(rows)
     return rows.join(sums, KEYS).join(change, KEYS).select("name", "path", "value", "patch", "checksum")
