@@ -10,7 +10,7 @@ from lockstep.operators import store as st
 from lockstep.operators.clients import live_connections, route_to_connected
 from lockstep.operators.paths import KEYS
 from lockstep.plans.flows import sync_round, verify_round
-from workload.base import KINDS_SQL, derived, kinds, query, with_inputs
+from workload.base import KINDS_SQL, by_key, derived, kinds, query, with_inputs
 from workload.ordered import CONNECTIONS_SQL, LIVE_SQL, connections
 
 ON = "s.kind = t.kind AND s.ns = t.ns AND s.name = t.name"
@@ -100,10 +100,9 @@ FROM part_patch
 
 def patch_messages(spark, sf_dir):
     """A patch per part; the announced checksum is wrong for some."""
+    new, old = (by_key(spark, sf_dir, derived(spark, sf_dir, side, heavy=False), "part") for side in ("new_parts", "old_parts"))
     sent = st.encode_changes(
-        derived(spark, sf_dir, "new_parts").join(
-            derived(spark, sf_dir, "old_parts").select(*KEYS, F.col("doc").alias("base")), KEYS
-        ),
+        new.join(old.select(*KEYS, F.col("doc").alias("base")), KEYS),
         "base",
         "'patch'",
     )
@@ -126,7 +125,8 @@ def patch_messages(spark, sf_dir):
 )
 def apply_patches(spark, sf_dir):
     """The store lacks the parts of one size, which are asked for; patches to all others are tried."""
-    store = derived(spark, sf_dir, "old_parts").where(F.get_json_object("doc", "$.spec.size").cast("int") != 7)
+    store = derived(spark, sf_dir, "old_parts", heavy=False).where(F.get_json_object("doc", "$.spec.size").cast("int") != 7)
+    store = by_key(spark, sf_dir, store, "part")
     done = st.apply_patches(patch_messages(spark, sf_dir), store, kinds(spark))
     return done.select("name", "outcome", "doc", "base_object")
 
