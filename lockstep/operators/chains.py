@@ -127,20 +127,54 @@ def apply_edit(e: str, s: str, version: Callable[[str], str]) -> str:
 class Chain:
     """How the events of a fold compose.
 
-    Their steps, an edit put to a state, which edits ignore the state, and which events may change it.
+    Their steps, an edit put to a state, which edits ignore the state, which events may change it, and
+    those of the edits in an array that matter to what all of them do.
     """
 
     steps: Steps
     apply: Callable[[str, str], str]
     absolute: Callable[[str], str]
     changes: Callable[[str], str]
+    lasting: Callable[[str], str]
+
+
+def lasting(edits: str) -> str:
+    """The edits without those of which every leaf is set once more, or removed, by a later one.
+
+    The later value replaces what is at its path and below, and opens the same objects above it, so an earlier
+    one leaves no trace. An empty object replaces nothing where an object is; edits with one all stay,
+    as do puts and deletes.
+    """
+
+    def settle(a: str) -> str:
+        e, i = f"_v{next(trees._names)}", f"_v{next(trees._names)}"
+        # from the last edit back: the place of an edit that sets a path is where the path comes first
+        sets = trees.each(
+            f"reverse({a})",
+            lambda x: trees.paths_of(trees.keep(f"{x}.leaves", lambda y: f"{y}.value <> '{{}}'")),
+        )
+
+        def last(paths: str) -> str:
+            def places(names: str) -> str:
+                at = trees.each(names, lambda q: f"size({paths}) - array_position({trees.each(paths, lambda l: f'array_contains({l}, {q})')}, true)")
+                return trees.let(
+                    f"array_distinct({at})",
+                    lambda n: f"filter({a}, ({e}, {i}) -> array_contains({n}, {i}) OR {e}.gone OR size({e}.fresh) > 0 "
+                    f"OR {trees.some(f'{e}.leaves', lambda y: f'{y}.value = {trees.text('{}')}')})",
+                )
+
+            return trees.let(f"array_distinct(flatten({paths}))", places)
+
+        return trees.let(sets, last)
+
+    return trees.let(edits, settle)
 
 
 def object_chain(version: Callable[[str], str]) -> Chain:
     """The chain of messages to an object, where puts replace it whole."""
     writing = ", ".join(trees.text(e) for e in (PATCH_OBJECT, PUT_OBJECT, DELETE_OBJECT))
     steps = Steps(EDIT, edit(), lift, then)
-    return Chain(steps, lambda e, s: apply_edit(e, s, version), absolute, lambda m: f"{m}.event IN ({writing})")
+    return Chain(steps, lambda e, s: apply_edit(e, s, version), absolute, lambda m: f"{m}.event IN ({writing})", lasting)
 
 
 def fold_chains(
@@ -181,8 +215,10 @@ def fold_chains(
     runs = numbered.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("seq", "event"))).alias("_events"))
     arrived = f"transform(_events, x -> named_struct('seq', x.seq, 'event', {arrive('x.event')}))"
     runs = runs.withColumn("_events", F.expr(arrived))
-    hoped = f"aggregate(_events, {nothing}, (acc, x) -> cast({steps.then('acc', steps.lift('x.event'))} AS {steps.type}))"
-    runs = cut(runs.withColumn("_hoped", F.expr(hoped)))
+    hoped = f"aggregate(_lasting, {nothing}, (acc, x) -> cast({steps.then('acc', 'x')} AS {steps.type}))"
+    lifted = f"transform(_events, x -> cast({steps.lift('x.event')} AS {steps.type}))"
+    runs = runs.withColumn("_lifted", F.expr(lifted)).withColumn("_lasting", F.expr(chain.lasting("_lifted")))
+    runs = cut(runs.withColumn("_hoped", F.expr(hoped)).drop("_lifted", "_lasting"))
 
     def entering(edits: DataFrame, name: str) -> DataFrame:
         """The state before each run, if all runs do what ``edits`` (in ``_edit``) say."""
@@ -208,7 +244,10 @@ def fold_chains(
     )
     walk = F.expr(f"aggregate(_events, {start}, (acc, x) -> {advance('acc', 'x')})")
     took = f"zip_with(_events, _end.took, (x, t) -> if(t, cast({steps.lift('x.event')} AS {steps.type}), {nothing}))"
-    composed = F.expr(f"aggregate({took}, {nothing}, (acc, x) -> cast({steps.then('acc', 'x')} AS {steps.type}))")
+    # a run of which everything was taken does what was hoped
+    refused = f"exists(zip_with(_events, _end.took, (x, t) -> NOT t AND {chain.changes('x.event')}), r -> r)"
+    after_refusal = f"aggregate({chain.lasting(took)}, {nothing}, (acc, x) -> cast({steps.then('acc', 'x')} AS {steps.type}))"
+    composed = F.expr(f"if({refused}, {after_refusal}, _hoped)")
 
     writes = f"zip_with(_events, _end.took, (x, t) -> if({chain.changes('x.event')}, t, NULL))"
     lost = F.expr(f"coalesce(NOT try_element_at(filter({writes}, t -> t IS NOT NULL), -1), false)")
