@@ -29,6 +29,8 @@ class KeyedState:
     schema: str
     compact_every: int = 16
     buckets: int = 64
+    #: Tasks that a bucket is written by, at most; each of them writes a file of it.
+    writers: int = 4
     #: Versions of which the segments are kept though a later one is whole; a query may restart from them.
     keep_versions: int = field(default=100)
 
@@ -91,8 +93,9 @@ class KeyedState:
                 newest = older.unionByName(rows.where(F.col("bucket").isin(sorted(full))).withColumn("_version", F.lit(version).cast("bigint")))
                 whole = last_by_key(newest, [*self.keys, "bucket"], "_version").drop("_version").where("live")
                 out = rows.where(~F.col("bucket").isin(sorted(full))).unionByName(whole.select(*out.columns))
-            # one task may write several buckets, and a large bucket may be written by several tasks
-            out.write.mode("overwrite").partitionBy("bucket").parquet(self._segment(version))
+            # one task may write several buckets, and a large bucket may be written by several tasks, but not by all
+            dealt = out.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(self.writers)))
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._segment(version))
             self._fill(spark, version, full, columns)
             after = {b: s for b, s in listed.items() if b not in here}
             after |= {b: [version] if b in full else [*listed.get(b, []), version] for b in here}
