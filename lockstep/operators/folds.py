@@ -83,6 +83,8 @@ def fold_runs(
         return state, events.select(*keys, "seq", F.lit(None).cast(emit_type).alias("emit")).where(F.lit(False))
 
     if rounds > 1 and chain is not None:
+        # what follows reads them five times, and each time would decode them anew
+        events = cut(events)
         long = cut(events.groupBy(*keys).count().where(F.col("count") > per_round).select(*keys))
         short = [x.join(long, keys, "left_anti") for x in (state, events)]
         after, emitted = fold_runs(*short, keys, step, per_round, enter, leave, arrive, types)

@@ -60,3 +60,19 @@ def test_a_bucket_is_written_by_few_tasks(spark, tmp_path):
     state.write(spark, rows, 0)
     assert len(glob(f"{tmp_path}/segments/version=0/bucket=*/*.parquet")) <= state.buckets * state.writers
     assert state.after(spark, 0).count() == 4000
+
+
+def test_events_of_long_runs_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def put(n):
+        made.add(1)
+        return f'{{"metadata":{{"resourceVersion":"{n}"}}}}'
+
+    key = {c: F.lit("k") for c in ("kind", "ns", "name")}
+    sent = spark.range(1, 13, 1, 2).select(F.col("id").alias("seq"), F.lit("PutObject").alias("event"), put("id").alias("object"))
+    store = spark.range(0).select(F.lit("").alias("version"), F.lit("").alias("doc")).withColumns(key)
+    after, _, _ = st.replay(store, sent.withColumns(key), per_round=2)
+    assert [r["version"] for r in after.collect()] == ["12"]
+    assert made.value <= 24
