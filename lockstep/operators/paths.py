@@ -34,6 +34,20 @@ def store_keys(store: DataFrame, *others: DataFrame) -> list[str]:
     return keys
 
 
+def telling(keys: Sequence[str]) -> list[str]:
+    """The keys, names before kinds and clients.
+
+    Joins sort by their columns in turn, and what many objects share tells few of them apart.
+    """
+    return list(reversed(keys))
+
+
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``a.join(b, keys, how)``, names first; the columns come in the order of ``keys`` all the same."""
+    rest = [c for side in (a, b) for c in side.columns if c not in keys]
+    return a.join(b, telling(keys), how).select(*keys, *rest)
+
+
 def to_path_rows(df: DataFrame, keys: Sequence[str] = KEYS, doc: str = "doc") -> DataFrame:
     """One row per leaf."""
     return explode_leaves(df.withColumn("_leaves", docs.leaves(doc)), keys, "_leaves")

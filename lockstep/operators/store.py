@@ -22,7 +22,7 @@ from lockstep.operators.chains import object_chain
 from lockstep.operators.folds import fold_runs
 from lockstep.operators.guards import VERSION_PATH, version_only
 from lockstep.operators.ordered import last_by_key
-from lockstep.operators.paths import KEYS, object_keys, store_keys
+from lockstep.operators.paths import KEYS, join_on, object_keys, store_keys
 
 
 def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def verify(messages: DataFrame, store: DataFrame) -> DataFrame:
     keys = store_keys(store, messages)
     found = store.select(*keys, F.col("doc").alias("_doc"))
     return (
-        docs.once(messages.join(found, keys, "left"), "_sum", docs.checksum("_doc"))
+        docs.once(join_on(messages, found, keys, "left"), "_sum", docs.checksum("_doc"))
         .where(F.coalesce(F.col("_sum") != F.col("checksum"), F.lit(True)))
         .withColumns(
             {
@@ -94,7 +94,7 @@ def put_or_patch(
     """
     keys = keys or store_keys(known, new)
     joined = (
-        new.join(known.select(*keys, F.col("doc").alias("_known")), list(keys), "left")
+        join_on(new, known.select(*keys, F.col("doc").alias("_known")), keys, "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
     )
     base = F.col("_known")
@@ -122,7 +122,7 @@ def apply_patches(messages: DataFrame, store: DataFrame, kinds: DataFrame) -> Da
     keys = store_keys(store, messages)
     merged = trees.to_json(trees.patch(trees.leaves("_doc"), trees.leaves("patch")))
     joined = (
-        messages.join(store.select(*keys, F.col("doc").alias("_doc")), keys, "left")
+        join_on(messages, store.select(*keys, F.col("doc").alias("_doc")), keys, "left")
         .join(kinds.select("kind", F.col("strategy").alias("_strategy")), "kind", "left")
         .withColumn("_doc", F.when(F.col("_strategy") == PATCH, F.col("_doc")))
     )
@@ -146,8 +146,11 @@ def save_if_newer(store: DataFrame, puts: DataFrame, check: bool = True) -> Data
     """
     keys = store_keys(store, puts)
     rest = [c for c in store.columns if c not in keys]
-    both = store.select(*keys, F.struct(*rest).alias("_s")).join(
-        puts.select(*keys, F.struct(*rest).alias("_p")), keys, "full_outer"
+    both = join_on(
+        store.select(*keys, F.struct(*rest).alias("_s")),
+        puts.select(*keys, F.struct(*rest).alias("_p")),
+        keys,
+        "full_outer",
     )
     replace = F.lit(True)
     if check:
@@ -169,7 +172,7 @@ def serve_gets(
     """Answers to get requests as puts or patches, and the requests for unknown objects."""
     drop = [c for c in ("version", "doc") if c in requests.columns]
     keys = store_keys(store, requests, known)
-    held = requests.drop(*drop).join(store.select(*keys, "version", "doc"), keys, "left")
+    held = join_on(requests.drop(*drop), store.select(*keys, "version", "doc"), keys, "left")
     return answer_gets(held, known, kinds, keys)
 
 
@@ -198,8 +201,11 @@ def apply_changes(target: DataFrame, changes: DataFrame, order: str = "seq", kee
     keys = store_keys(target, changes)
     rest = [c for c in target.columns if c not in keys]
     last = last_by_key(changes, keys, order)
-    both = target.select(*keys, F.struct(*rest).alias("_t")).join(
-        last.select(*keys, "op", F.struct(*rest).alias("_c")), keys, "full_outer"
+    both = join_on(
+        target.select(*keys, F.struct(*rest).alias("_t")),
+        last.select(*keys, "op", F.struct(*rest).alias("_c")),
+        keys,
+        "full_outer",
     )
     updated = F.col("_c")
     if keep_metadata and "doc" in rest:

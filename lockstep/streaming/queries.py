@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lockstep.cluster import cut
-from lockstep.model import CONNECTED_CLIENTS, DEBOUNCE_SECONDS, SERVER_CONNECTED
+from lockstep.model import (
+    CONNECTED_CLIENTS,
+    DEBOUNCE_SECONDS,
+    DELETE_OBJECT,
+    GET_OBJECT,
+    PATCH_OBJECT,
+    PUT_OBJECT,
+    SERVER_CONNECTED,
+    VERIFY_OBJECT,
+)
 from lockstep.operators.changes import after_errors, change_ops
 from lockstep.operators.clients import CLIENT, connection_steps, request_messages
 from lockstep.operators.guards import reconcile_targets
@@ -46,19 +55,28 @@ class Handlers(Protocol):
     def batch(self, messages: DataFrame) -> DataFrame: ...
 
 
-def handle(messages: DataFrame, handlers: Handlers) -> DataFrame:
-    """All messages through the handler of their event, as one flow."""
-    by_event = {
-        "DeleteObject": handlers.delete,
-        "GetObject": handlers.get,
-        "PatchObject": handlers.patch,
-        "PutObject": handlers.put,
-        "VerifyObject": handlers.verify,
-        "batch": handlers.batch,
-    }
-    return merge_message_streams(
-        *[messages.where(F.col("event") == event).transform(call) for event, call in by_event.items()]
-    )
+#: Messages that handlers exist for, and the handlers' names, in the order they are asked.
+EVENTS = {
+    DELETE_OBJECT: "delete",
+    GET_OBJECT: "get",
+    PATCH_OBJECT: "patch",
+    PUT_OBJECT: "put",
+    VERIFY_OBJECT: "verify",
+    "batch": "batch",
+}
+
+
+def handle(messages: DataFrame, handlers: Handlers, events: Collection[str | None] = EVENTS) -> DataFrame:
+    """All messages through the handler of their event, as one flow.
+
+    ``events`` names those that occur, where that is known: there is no work for the others.
+    """
+    answers = [
+        messages.where(F.col("event") == event).transform(getattr(handlers, name))
+        for event, name in EVENTS.items()
+        if event in events
+    ]
+    return merge_message_streams(*answers) if answers else messages.where(F.lit(False))
 
 
 def run(df: DataFrame, checkpoint: str, each: Sink, interval: str | None = None) -> StreamingQuery:

@@ -1,9 +1,11 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from lockstep.cluster import lookup
 from lockstep.model import KINDS_SCHEMA
+from lockstep.operators.paths import CLIENT, KEYS, join_on, telling
 from lockstep.plans import exchange as ex
 from tests.helpers import compact, rows
 from tests.test_store import CLIENTS, KIND, doc
@@ -63,3 +65,55 @@ def test_gets_of_what_is_not_there(spark):
     done = ex.exchange(target, source, ex.as_messages(asked, target.keys, F.lit("GetObject")))
     assert done.left.count() == 0
     assert rows(target.errors[0], "name", "error") == [("nowhere", "object not found")]
+
+
+def test_only_messages_that_come_cause_work(spark, monkeypatch):
+    source, target = sides(spark, "copy")
+    held, calls = source.store, []
+    apply_changes = ex.st.apply_changes
+    monkeypatch.setattr(ex.st, "apply_changes", lambda *a: calls.append(a) or apply_changes(*a))
+    done = ex.exchange(target, source, ex.opening(source.store, target.store))
+    assert done.rounds == 3 and done.left.count() == 0
+    # deletes in the first round, puts in the third; the source only answers gets
+    assert len(calls) == 2 and source.store is held
+    assert rows(source.store, "cluster", "name", "doc") == rows(target.store, "cluster", "name", "doc")
+
+
+def test_patched_and_put_objects_are_stored_in_one_join(spark, monkeypatch):
+    source, target = sides(spark, "patch")
+    calls, apply_changes = [], ex.st.apply_changes
+    monkeypatch.setattr(ex.st, "apply_changes", lambda *a: calls.append(a) or apply_changes(*a))
+    ex.exchange(target, source, ex.opening(source.store, target.store))
+    assert len(calls) == 2
+
+
+def test_a_put_comes_after_the_delete_of_its_round(spark):
+    source, target = sides(spark, "copy")
+    row = target.store.where("name = 'n2'").limit(1)
+    gone = ex.as_messages(row, target.keys, F.lit("DeleteObject"))
+    new = ex.as_messages(row.withColumn("object", F.lit(doc(9))), target.keys, F.lit("PutObject"))
+    key = row.first()
+    ex.exchange(target, source, new.unionByName(gone))
+    held = target.store.where((F.col("cluster") == key.cluster) & (F.col("name") == key["name"]))
+    assert rows(held, "doc", "version") == [(doc(9), "9")]
+
+
+def test_many_messages_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(ex, "MESSAGES_PER_TASK", 5)
+    source, target = sides(spark, "patch")
+    asked = []
+    verify = ex.st.verify
+    monkeypatch.setattr(ex.st, "verify", lambda m, s: asked.append((m.rdd.getNumPartitions(), s.rdd.getNumPartitions())) or verify(m, s))
+    n = source.store.count()
+    done = ex.exchange(target, source, ex.opening(source.store, target.store))
+    assert asked == [(-(-n // 5), -(-n // 5))]
+    assert done.left.count() == 0 and rows(source.store, "cluster", "name") == rows(target.store, "cluster", "name")
+
+
+def test_joins_compare_names_first(spark):
+    a = spark.createDataFrame([("a", "c1", KIND, "ns", "n", 1)], "account string, cluster string, kind string, ns string, name string, x int")
+    b = a.withColumnRenamed("x", "y")
+    joined = join_on(a, b, [*CLIENT, *KEYS], "full_outer")
+    assert joined.columns == [*CLIENT, *KEYS, "x", "y"]
+    keys = re.search(r"SortMergeJoin \[name#", joined.hint("merge")._jdf.queryExecution().sparkPlan().toString())
+    assert keys and telling([*CLIENT, *KEYS])[0] == "name"
